@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .textbuf import LOWER, blocks, sums
 
 ORDER = 3
+#: Rows of a sample's keys that may be broadcast (16 MB at most).
+SMALL = 200_000
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -149,20 +152,17 @@ def _union(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 def train(docs: DataFrame, max_docs: int = 1500) -> Model | None:
-    """Count grams on at most ``max_docs`` labelled texts a language: those whose ``doc_id`` hashes lowest.
+    """Count grams on about ``max_docs`` labelled texts a language: those whose hashed ``doc_id`` is below a share.
 
     The bound holds at every input size; the counts are summed by Spark, and their number is bounded
     by the bytes of the sample.
     """
-    from pyspark.sql.window import Window
-
     rows = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
-    ids = (
-        rows.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= max_docs)
-        .select("doc_id", "lang").distinct()
-    )
-    sample = rows.join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    ids = materialise(rows.select("doc_id", "lang").join(sizes, "lang").where(place < max_docs / F.col("n")).select("doc_id", "lang").distinct(), "sample")
+    few = ids.count() <= SMALL
+    sample = rows.join(F.broadcast(ids) if few else ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list] = {}
