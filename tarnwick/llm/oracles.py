@@ -26,3 +26,16 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept
 FROM documents JOIN least_root ON node = doc_id LEFT JOIN n USING (doc_id)
 """
+
+TOP_K = """
+WITH t AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM t q JOIN t c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 10
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, near_dups, oracles, quality
+from . import langid, near_dups, oracles, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_language_id": op5_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_exact_top_k": op9_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op9_exact_top_k": oracles.TOP_K,
 }
