@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, near_dups, oracles, quality, topk
+from . import langid, near_dups, oracles, quality, sharding, storage, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,20 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).drop("payload")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")  # as it arrives in its shard
+    return sharding.histogram_sort(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", (F.octet_length(text).cast("bigint") + 8).alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -31,12 +46,15 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc": op2_warc,
+    "op3_sharding": op3_sharding,
     "op5_language_id": op5_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": oracles.WARC,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_exact_top_k": oracles.TOP_K,
 }
