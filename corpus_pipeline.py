@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import langid, quality, storage
+from tarnwick.llm import langid, near_dups, packing, quality, storage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,9 +28,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
 
 
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near-duplicates; documents without words all stay."""
+    found = near_dups.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into training sequences: one row for each piece."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality_stage),
     ("language_id", language_stage),
+    ("near_dups", near_dup_stage),
+    ("packing", packing_stage),
 ]
 
 #: The stages train models, so SQL can't express them.
