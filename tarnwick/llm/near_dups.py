@@ -9,12 +9,15 @@ Two texts are linked when their sets of five-word shingles have a Jaccard index
 2.  Texts with equal shingle sets make a class; only its smallest document goes on.
 3.  Bands of 4 coordinates put classes into buckets.  At the threshold a pair misses all 32 buckets
     with probability 5e-6, and less above it.
-4.  Each bucket member is verified against the bucket's hub on the full shingle sets (linear in
-    the bucket's size), and components of the links are formed.
-5.  Where a bucket still holds several components, all its pairs from different components are
-    compared by sketch, in blocks of bounded size, and those that agree in at least 55 % of their
-    coordinates (five standard deviations below the threshold) are verified too.  Pairs within one component
-    need no test, as they can't change the result.
+4.  Each bucket member is verified against the bucket's hub, the member that meets most others in
+    all its buckets, on the full shingle sets (linear in the bucket's size), and components of the
+    links are formed.
+5.  Where a bucket still holds several components, its pairs from different components are
+    compared by sketch, in blocks of bounded size.  First each document outside the bucket's largest
+    component is verified against the few that agree with it best, and components are formed
+    again; then all pairs that are left and agree in at least 55 % of their coordinates (five
+    standard deviations below the threshold) are verified too.  Pairs within one component need no
+    test, as they can't change the result.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; fewer than five
 words make one shingle.  Repeated rows are answered alike.  A row with a null ``doc_id`` is linked
@@ -37,6 +40,7 @@ from .textbuf import LOWER, blocks, hashes, mix, owners, words
 WIDTH, COORDS, BANDS = 5, 128, 32
 BLOCK = 1024
 LEAST_AGREEMENT = 0.55
+PARTNERS = 3
 
 _ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], np.uint64)
 
@@ -158,8 +162,27 @@ def _side_by_side(a: pa.Array, b: pa.Array, rows: int = 256) -> Iterator[tuple]:
         yield from zip(one, two, strict=True)
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows (key, i, j, rep, n, label, side, sig) of one block pair that differ in label and may be linked."""
+def _mixed_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, once for each pair (i, j) of blocks that needs them."""
+    labelled = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("label")
+    )
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"))
+    mixed = mixed.where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    wide = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return wide.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "label",
+        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+
+
+def _cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of rows (key, i, j, rep, n, label, side, sig) of one block pair that differ in label and may be linked.
+
+    ``most``: of each row outside the block pair's largest component, only so many pairs, those
+    that agree best; None: all pairs.
+    """
 
     def of(group: dict[str, np.ndarray], out: list) -> None:
         side = group["side"]
@@ -174,8 +197,19 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
             ok = (label[a][:, None] != label[right]) & (4 * np.minimum(n[a][:, None], n[right]) >= 3 * np.maximum(n[a][:, None], n[right]))
             x, y = np.nonzero(ok)
             x, y = a[x], right[y]
-            fit = (sig[x] == sig[y]).sum(axis=1) >= LEAST_AGREEMENT * COORDS
-            x, y = x[fit], y[fit]
+            agree = (sig[x] == sig[y]).sum(axis=1)
+            fit = agree >= LEAST_AGREEMENT * COORDS
+            x, y, agree = x[fit], y[fit], agree[fit]
+            if most and len(x):
+                names, sizes = np.unique(label, return_counts=True)
+                main = label == names[sizes.argmax()]
+                x, y = np.concatenate([x, y]), np.concatenate([y, x])
+                order = np.lexsort((rep[y], -np.concatenate([agree, agree]), x))
+                x, y = x[order], y[order]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                keep = (place < most) & ~main[x]
+                x, y = x[keep], y[keep]
             out.append((np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,37 +255,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(*same, "rep", "x.bands", "x.sig"), "classes",
     )
     rows = reps.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    order = F.xxhash64("rep")
-    shared = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n")).alias("hub"), F.max(F.struct(order.alias("o"))).alias("top"))
-    shared = shared.where("hub.o < top.o").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialise(rows.join(shared, "key"), "members")
+    # the member that meets most others, counted over all its buckets, is the likeliest to be near them all
+    degree = members.groupBy("rep").agg(F.sum("m").alias("degree"))
+    hubs = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("rep"), "rep", "n")).alias("hub"))
+    star = members.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key")
     near = (F.col("rep") != F.col("hub")) & (4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n"))
-    tested = materialise(
-        rows.join(shared, "key").where(near).select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct(), "pairs"
-    )
+    tested = materialise(star.where(near).select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct(), "pairs")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
     )
     if _repeats(known):  # one text for each representative
         texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    links = materialise(verify(tested, texts), "links")
-    label = materialise(connected_components(links), "components")
-
-    labelled = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("label")
-    )
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"))
-    mixed = mixed.where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    wide = labelled.join(mixed, "key").withColumn("block", block)
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    wide = wide.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label",
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    wide = wide.join(reps.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep")
-    more = _cross_pairs(wide).join(tested, ["u", "v"], "left_anti")
-    more = verify(materialise(more, "pairs"), texts)
-    final = connected_components(more.unionByName(label.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    final = connected_components(materialise(verify(tested, texts), "links"))
+    sigs = reps.select("rep", "sig")
+    for most in (PARTNERS, None):
+        more = _cross_pairs(_mixed_blocks(members, final).join(sigs, "rep"), most)
+        more = materialise(more.join(tested, ["u", "v"], "left_anti"), "pairs")
+        links = materialise(verify(more, texts), "links")
+        if links.take(1):
+            final = connected_components(links.unionByName(final.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        tested = tested.unionByName(more)
 
     of_class = reps.select(*same, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(*same, F.coalesce("component", "rep").alias("component"))
