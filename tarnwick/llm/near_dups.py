@@ -7,17 +7,17 @@ Two texts are linked when their sets of five-word shingles have a Jaccard index
     empty; from round 128 on, all shingles go to the one bin whose turn it is, so that every
     coordinate is filled after 256 rounds at most, and a long text needs about two rounds.
 2.  Texts with equal shingle sets make a class; only its smallest document goes on.
-3.  Bands of 4 coordinates put classes into buckets.  At the threshold a pair misses all 32 buckets
+3.  32 bands of 4 coordinates put classes into buckets.  At the threshold a pair misses all 32 buckets
     with probability 5e-6, and less above it.
 4.  Each bucket member is verified against the bucket's hub, the member that meets most others in
     all its buckets, on the full shingle sets (linear in the bucket's size), and components of the
     links are formed.
 5.  Where a bucket still holds several components, its pairs from different components are
-    compared by sketch, in blocks of bounded size.  First each document outside the bucket's largest
-    component is verified against the few that agree with it best, and components are formed
-    again; then all pairs that are left and agree in at least 55 % of their coordinates (five
-    standard deviations below the threshold) are verified too.  Pairs within one component need no
-    test, as they can't change the result.
+    compared by finer sketches of 2048 coordinates, in blocks of bounded size.  First each document
+    outside the bucket's largest component is verified against the few that agree with it best,
+    and components are formed again; then all pairs that are left, and whose estimate is 0.715 or
+    more (four to five standard deviations below the threshold), are verified too.  Pairs within one
+    component need no test, as they can't change the result.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; fewer than five
 words make one shingle.  Repeated rows are answered alike.  A row with a null ``doc_id`` is linked
@@ -37,9 +37,11 @@ from .components import connected_components
 from .storage import materialise
 from .textbuf import LOWER, blocks, hashes, mix, owners, words
 
-WIDTH, COORDS, BANDS = 5, 128, 32
+WIDTH, BANDS, BAND_ROWS = 5, 32, 4
+FINE = 2048
 BLOCK = 1024
-LEAST_AGREEMENT = 0.55
+#: Of 4-bit coordinates: what pairs at a Jaccard index of 0.715 share on average.
+LEAST_AGREEMENT = 0.715 + 0.285 / 16
 PARTNERS = 3
 
 _ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], np.uint64)
@@ -75,34 +77,37 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], own[keep]
 
 
-def fast_sketch(h: np.ndarray, own: np.ndarray, n_docs: int, coords: int = COORDS) -> np.ndarray:
-    """Fast similarity sketches [n_docs, coords] of hash sets; a row of an empty set is all ones."""
+def fast_sketch(h: np.ndarray, own: np.ndarray, n_docs: int, coords: int) -> np.ndarray:
+    """Fast similarity sketches [n_docs, coords] of hash sets; a row of an empty set is all ones.
+
+    ``own``: the ascending number of the set of each hash.  ``coords``: a power of two up to 4096.  A value holds
+    its round in the high bits, so that the least value of a coordinate is one of the first round that filled it.
+    """
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full((n_docs, coords), none, np.uint64)
-    left_h, left_own = h, own
+    flat = out.reshape(-1)
+    h, base = h, own.astype(np.int64) * coords
     for k in range(2 * coords):
-        if not len(left_h):
+        if not len(h):
             break
-        v = mix(left_h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
-        bins = (v % np.uint64(coords)).astype(np.int64) if k < coords else np.full(len(v), k - coords)
-        docs, place = np.unique(left_own, return_inverse=True)
-        got = np.full((len(docs), coords), none, np.uint64)
-        np.minimum.at(got.reshape(-1), place * coords + bins, v >> np.uint64(1))
-        have = out[docs]
-        out[docs] = np.where(have == none, got, have)
-        short = (out[docs] == none).any(axis=1)[place]
-        left_h, left_own = left_h[short], left_own[short]
+        v = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        place = base + (v & np.uint64(coords - 1)).astype(np.int64) if k < coords else base + (k - coords)
+        np.minimum.at(flat, place, (v >> np.uint64(13)) | np.uint64(k << 51))
+        if k % 4 == 0:  # texts with all coordinates filled are done
+            docs = base // coords
+            new = np.concatenate([[True], docs[1:] != docs[:-1]])
+            short = (out[docs[new]] == none).any(axis=1)[np.cumsum(new) - 1]
+            h, base = h[short], base[short]
     return out
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sig): set size, a 128-bit sum of the set, band keys, 8 bits of each coordinate."""
+    """(doc_id, n_shingles, set_a, set_b, bands): set size, a 128-bit sum of the set, keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = COORDS // BANDS
         band = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
-            for at, raw, off in blocks(batch["text"]):
+            for at, raw, off in blocks(batch["text"], max_rows=8192):
                 n = len(off) - 1
                 h, own = shingles(LOWER[raw], off)
                 size = np.bincount(own, minlength=n)
@@ -112,23 +117,38 @@ def sketch(docs: DataFrame) -> DataFrame:
                     run_sum = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(mix(h * np.uint64(3) + salt), out=run_sum[1:])
                     sums.append((run_sum[ends[1:]] - run_sum[ends[:-1]]).view(np.int64))
-                coords = fast_sketch(h, own, n)
+                coords = fast_sketch(h, own, n, BANDS * BAND_ROWS)
                 keys = np.zeros((n, BANDS), np.uint64)
-                for k in range(rows):
-                    keys = mix(keys + coords[:, k::rows])
+                for k in range(BAND_ROWS):
+                    keys = mix(keys + coords[:, k::BAND_ROWS])
                 keys = mix(keys + band).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDS), n, [None, pa.py_buffer((coords & np.uint64(255)).astype(np.uint8).tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(at, n), pa.array(size.astype(np.int64)), *map(pa.array, sums), lists, sig.cast(pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
+                    [batch["doc_id"].slice(at, n), pa.array(size.astype(np.int64)), *map(pa.array, sums), lists],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sig binary"
+        run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
     )
 
 
+def signatures(texts: DataFrame) -> DataFrame:
+    """(rep, sig): 4 bits of each of ``FINE`` coordinates, two to a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw, off in blocks(batch["text"], max_rows=512):
+                n = len(off) - 1
+                h, own = shingles(LOWER[raw], off)
+                bits = (fast_sketch(h, own, n, FINE) & np.uint64(15)).astype(np.uint8)
+                packed = bits[:, ::2] << 4 | bits[:, 1::2]
+                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FINE // 2), n, [None, pa.py_buffer(packed.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), sig.cast(pa.binary())], names=["rep", "sig"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep bigint, sig binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full shingle sets have 100 * common >= 75 * union."""
     a = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
@@ -177,6 +197,15 @@ def _mixed_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
+def _agreement(sig: np.ndarray, x: np.ndarray, y: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """In how many coordinates the packed signatures of rows ``x`` and ``y`` agree."""
+    out = np.empty(len(x), np.int64)
+    for at in range(0, len(x), at_once):
+        d = sig[x[at : at + at_once]] ^ sig[y[at : at + at_once]]
+        out[at : at + at_once] = np.count_nonzero(d < 16, axis=1) + np.count_nonzero((d & 15) == 0, axis=1)
+    return out
+
+
 def _cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
     """Pairs of rows (key, i, j, rep, n, label, side, sig) of one block pair that differ in label and may be linked.
 
@@ -191,14 +220,14 @@ def _cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
         if not len(left) or not len(right):
             return
         sig, n, label, rep = group["sig"], group["n"], group["label"], group["rep"]
-        step = max(1, (1 << 24) // (COORDS * len(right)))
+        step = max(1, (1 << 18) // len(right))
         for lo in range(0, len(left), step):
             a = left[lo : lo + step]
             ok = (label[a][:, None] != label[right]) & (4 * np.minimum(n[a][:, None], n[right]) >= 3 * np.maximum(n[a][:, None], n[right]))
             x, y = np.nonzero(ok)
             x, y = a[x], right[y]
-            agree = (sig[x] == sig[y]).sum(axis=1)
-            fit = agree >= LEAST_AGREEMENT * COORDS
+            agree = _agreement(sig, x, y)
+            fit = agree >= LEAST_AGREEMENT * FINE
             x, y, agree = x[fit], y[fit], agree[fit]
             if most and len(x):
                 names, sizes = np.unique(label, return_counts=True)
@@ -233,7 +262,7 @@ def _cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
             data = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
             raw = batch["sig"]
             off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-            data["sig"] = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(len(raw), COORDS)
+            data["sig"] = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(len(raw), FINE // 2)
             if rest:
                 data = {k: np.concatenate([rest[k], data[k]]) for k in data}
             found, rest = flush(data, False)
@@ -251,8 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = found.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "set_a", "set_b"]
     reps = materialise(
-        known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x"))
-        .select(*same, "rep", "x.bands", "x.sig"), "classes",
+        known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes",
     )
     rows = reps.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -269,9 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if _repeats(known):  # one text for each representative
         texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
     final = connected_components(materialise(verify(tested, texts), "links"))
-    sigs = reps.select("rep", "sig")
+    sigs = None
     for most in (PARTNERS, None):
-        more = _cross_pairs(_mixed_blocks(members, final).join(sigs, "rep"), most)
+        mixed = materialise(_mixed_blocks(members, final), "mixed")
+        if sigs is None:
+            sigs = materialise(signatures(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "signatures")
+        more = _cross_pairs(mixed.join(sigs, "rep"), most)
         more = materialise(more.join(tested, ["u", "v"], "left_anti"), "pairs")
         links = materialise(verify(more, texts), "links")
         if links.take(1):

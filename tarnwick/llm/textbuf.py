@@ -41,8 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Split a string or binary column into (first row, bytes, offsets) of about ``max_bytes``.
+def blocks(column: pa.Array, max_bytes: int = 1 << 21, max_rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Split a string or binary column into (first row, bytes, offsets) of about ``max_bytes`` and at most ``max_rows`` rows.
 
     Nulls count as empty.  A text longer than the limit makes a block of its own.
     """
@@ -60,7 +60,7 @@ def blocks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, np
     at = 0
     while at < n:
         to = int(np.searchsorted(off, off[at] + max_bytes, side="right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, at + max_rows, max(at + 1, to))
         yield at, raw[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
 
