@@ -1,0 +1 @@
+"""Spark-native feature, sampling-diagnostics and evaluation engine."""

@@ -1,4 +1,6 @@
-"""Registry of the engine's queries and their reference SQL."""
+"""All queries of the engine."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import diagnostics, evaluation, histories  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
