@@ -1,0 +1,443 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy."""
+
+import base64
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tarnwick.llm import attention, langid, lm_scores, near_dups, packing, pieces, quality, rules, sharding, storage, subwords, textbuf, topk, warc
+from tarnwick.llm.components import connected_components
+
+SYLLABLES = ["ka", "mi", "to", "re", "su", "no", "la", "pe", "di", "vo"]
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, key string, label int"
+
+
+def prose(r, n, syllables=SYLLABLES):
+    return " ".join("".join(r.choice(syllables, r.integers(1, 4))) for _ in range(n))
+
+
+def documents(spark, rows):
+    """Documents with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, g, s, None, "x", "y", 3) for i, t, g, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, repeated, very long and tied rows."""
+    r = np.random.default_rng(5)
+    base = prose(r, 80)
+    rows = [(1, None, None, None), (2, "", "a", "s"), (3, " \n\t", "a", None), (4, base, "a", "s"), (4, base, "a", "s"), (5, base, "b", "s"), (None, base, "b", "s"), (6, "one two", "b", "s"),
+            (7, prose(r, 30000), "a", "s"), (8, "日本語 text ▁ 😀 <|endoftext|>", "a", "s"), (9, base + " more", "a", "s")]
+    return documents(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return documents(spark, [])
+
+
+def split(text):
+    return [w for w in (text or "").encode().lower().split()]
+
+
+def test_word_scan():
+    texts = [b"ab  c", b"", b"d\x0be", b"ab"]
+    (at, raw, off), = textbuf.blocks(pa.array(texts, pa.binary()))
+    start, end, first = textbuf.words(raw, off)
+    assert [bytes(raw[a:b]) for a, b in zip(start, end)] == [b"ab", b"c", b"d", b"e", b"ab"] and list(first) == [0, 2, 2, 4, 5]
+    h = textbuf.hashes(raw, start, end)
+    assert h[0] == h[4] and len(set(h.tolist())) == 4
+    assert [b[0] for b in textbuf.blocks(pa.array(["aaa", None, "bbbb"]), 3)] == [0, 2]
+
+
+# 1 quality
+
+
+def test_quality_learns_and_scores_everything(spark, odd, nothing):
+    r = np.random.default_rng(0)
+    rows = [(i, prose(r, 40) if i % 3 else " ".join(w.upper() + "!!" for w in prose(r, 40).split()), "a", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int")
+    out = quality.classify(documents(spark, rows), labels).toPandas()
+    held = out[out.held_out]
+    assert len(out) == 300 and ((held.doc_id % 3 > 0) == (held.predicted == 1)).all()
+    assert set(held.doc_id) == {i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2}
+    got = quality.classify(odd, labels).toPandas()
+    assert len(got) == odd.count() and got.score.between(0, 1).all()
+    assert quality.classify(nothing, labels).count() == 0
+    none = quality.classify(odd, labels.where("false")).toPandas()
+    assert (none.score == 0.5).all()
+
+
+# 2 archives
+
+
+@pytest.mark.parametrize("segment", [64, 200, 1 << 15])
+def test_archives_round_trip(spark, segment):
+    html = ["<p>é</p>" * 300, None, "", "x\r\n\r\nWARC/1.1\r\n", "<p>é</p>" * 300, "0\r\n\r\n", "x" * 5000]
+    rows = [(i + 10, f"http://e/{i}\n", h, "extra") for i, h in enumerate(html)] + [(None, None, "x" * 5000, "extra")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string")
+    path = storage.new_path(spark, "warc")
+    warc.write_archives(pages, path, segment_bytes=segment, records_per_file=3)
+    got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == len(rows)
+    first = {}
+    for i, _, h, _ in rows:
+        h = (h or "").encode()
+        first.setdefault(h, i)
+        r = got[i]
+        assert r["payload_bytes"] == len(h) and r["payload_digest"] == base64.b32encode(hashlib.sha1(h).digest()).decode()
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first[h] == i else ("revisit", first[h]))
+        assert r["payload"] is None or bytes(r["payload"]) == h
+
+
+def test_broken_archives():
+    with pytest.raises(ValueError):
+        warc._payload("response", [{"number": 2, "total": None, "block": b""}])
+    with pytest.raises(ValueError):
+        warc._payload("response", [{"number": 1, "total": None, "block": b"a"}, {"number": 2, "total": 9, "block": b"b"}])
+    with pytest.raises(ValueError):
+        warc.unchunked(b"3\r\nabcd\r\n0\r\n\r\n")
+    with pytest.raises(ValueError):
+        list(warc._parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n"))
+    assert warc.unchunked(warc.chunked(b"abc" * 5000)) == b"abc" * 5000
+
+
+def test_no_pages(spark):
+    path = storage.new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+# 3 shards
+
+
+def test_shards_of_equal_bytes(spark, odd, nothing):
+    r = np.random.default_rng(1)
+    hot = prose(r, 60)
+    rows = [(i, hot if i % 3 == 0 else prose(r, int(r.integers(0, 120))), "a", "s") for i in range(4000)]
+    docs = documents(spark, rows).withColumn("slot", F.lit("clash"))
+    out = sharding.histogram_sort(docs, shards=6, subranges=2, tolerance=0.01).toPandas()
+    assert sorted(out.doc_id) == list(range(4000))
+    size = out.text.map(len) + 8
+    by = size.groupby(out.shard).sum()
+    assert len(by) == 6 and by.max() - by.min() < 0.03 * by.mean()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert out.groupby("text").shard.nunique().drop(hot).max() <= 2
+    small = sharding.histogram_sort(odd).toPandas()
+    assert len(small) == odd.count()
+    for _, g in small.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert sharding.histogram_sort(nothing).count() == 0
+
+
+# 4 rules
+
+
+def test_base_statistics(spark, odd):
+    def slow(text):
+        text = text or ""
+        w = [x for x in "".join(c if c not in " \t\n\x0b\x0c\r" else " " for c in text).split(" ") if x]
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        many = {t for t in tri if tri.count(t) > 1} if len(w) < 500 else None
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        cover = None if many is None else len({j for i, t in enumerate(tri) if t in many for j in (i, i + 1, i + 2)})
+        return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), cover
+
+    more = documents(spark, [(20, "a b c a b c d\na b\na b\n\n#x|", "a", "s"), (21, "a a a a a", "a", "s"), (22, "a b c d e f g a b c", "a", "s")])
+    for r in rules.base_statistics(odd.union(more)).join(odd.union(more).select("doc_id", "text").distinct(), "doc_id").collect():
+        want = slow(r["text"])
+        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert got[:4] == want[:4] and want[4] in (None, got[4])
+        assert r["base_failed"] == (got[0] < 50 or 100 * got[4] > 50 * got[0])
+
+
+def slow_estimate(x):
+    """Concentration steps in numpy, by the same bins."""
+    floor = np.diag((rules.UNIT * np.array(rules.LEAST_DEVIATION)) ** 2)
+    med = np.median(x, axis=0)
+    starts = [(med, np.diag((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True))]
+    best = None
+    for mean, cov in starts:
+        for _ in range(rules.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+            bins = np.floor(rules.FINE * np.log1p(d))
+            values, counts = np.unique(bins, return_counts=True)
+            last = values[np.searchsorted(np.cumsum(counts), math.ceil(len(x) * rules.COVER))]
+            inner = x[bins <= last]
+            mean, cov = inner.mean(axis=0), np.cov(inner.T, bias=True)
+        det = np.linalg.slogdet(cov + floor)[1]
+        if best is None or det < best[0] - 1e-9:
+            best = det, mean, cov + floor
+    return best
+
+
+def test_outliers_against_numpy(spark, odd, nothing):
+    r = np.random.default_rng(2)
+    rows = [(i, prose(r, 60 + i % 50) + (" ###***" * 12 if i % 25 == 0 else ""), "ab"[i % 2], "s" if i % 4 < 3 else None) for i in range(600)]
+    out = rules.judge(documents(spark, rows)).toPandas().set_index("doc_id")
+    assert not out[out.index % 25 == 0].kept.any() and out[out.index % 25 != 0].kept.mean() > 0.98
+    stats = rules.vectors(rules.base_statistics(documents(spark, rows))).where("not base_failed").toPandas()
+    groups = {("a", "s"), ("a", None), ("b", "s"), ("b", None)}
+    for lang, source in groups:
+        g = stats[(stats.lang == lang) & (stats.source.isna() if source is None else stats.source == source)]
+        if len(g) < rules.LEAST:
+            continue
+        x = g[list(rules.STATS)].to_numpy(float)
+        _, mean, cov = slow_estimate(x)
+        want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean) / rules.consistency(rules.COVER)
+        assert np.allclose(out.loc[g.doc_id].distance, want, rtol=1e-6)
+    assert rules.judge(odd).count() == odd.count() and rules.judge(nothing).count() == 0
+
+
+# 5 language
+
+
+def test_code_lengths_against_a_tree():
+    r = np.random.default_rng(3)
+    texts = {"x": prose(r, 200), "y": prose(r, 200, ["zu", "qa", "we"])}
+    counts = {}
+    for k, t in texts.items():
+        g = langid.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        u, c = np.unique(g, return_counts=True)
+        counts[k] = (u, c.astype(float))
+    model = langid.build(counts)
+
+    def slow(lang, context, byte):
+        padded = b"\0\0\0" + texts[lang].encode()
+        for order in range(3, -1, -1):
+            c = context[3 - order :]
+            after = [padded[i] for i in range(3, len(padded)) if padded[i - order : i] == c]
+            if after and byte in after:
+                return math.log2((len(after) + len(set(after))) / after.count(byte)) + slow.cost
+            if after:
+                slow.cost += math.log2((len(after) + len(set(after))) / len(set(after)))
+        return slow.cost + 8
+
+    probe = b"\0\0\0kamito zuqa!"
+    g = langid.grams(np.frombuffer(probe[3:], np.uint8), np.array([0, len(probe) - 3]))
+    bits = model.bits(g)
+    for i in range(3, len(probe)):
+        for k, lang in enumerate(model.langs):
+            slow.cost = 0.0
+            assert bits[i - 3, k] == pytest.approx(slow(lang, probe[i - 3 : i], probe[i]), rel=1e-4)
+
+
+def test_language_of_everything(spark, odd, nothing):
+    r = np.random.default_rng(4)
+    kinds = {"x": SYLLABLES, "y": ["zu", "qa", "we", "hy"], "z": ["ör", "äl", "ün"]}
+    rows = [(i, prose(r, 30, kinds["xyz"[i % 3]]), "xyz"[i % 3], "s") for i in range(150)]
+    out = langid.identify(documents(spark, rows)).toPandas().set_index("doc_id")
+    assert all(out.lang_pred[i] == "xyz"[i % 3] for i in range(150)) and out.held_out.sum() > 10
+    got = langid.identify(odd).toPandas()
+    assert len(got) == odd.count() and set(got[got.doc_id.isin([1, 2, 3])].lang_pred) == {"und"} and got.score.between(0, 1).all()
+    assert langid.identify(nothing).count() == 0
+    assert set(langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).toPandas().lang_pred) == {"und"}
+
+
+# 6 language model
+
+
+def test_windows_against_one_text_at_a_time():
+    r = np.random.default_rng(0)
+    counts = r.integers(0, 9, lm_scores.IDS)
+    voc = attention.Vocabulary.of(counts)
+    assert np.isclose(np.bincount(voc.klass, weights=np.exp(voc.log_share)), 1).all()
+    w = attention.fresh(voc, 1)
+    texts = [r.integers(0, 100, n).astype("<u2") for n in (0, 1, 15, 16, 17, 33, 70)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = attention.score_stream(w, voc, np.concatenate(texts), off, lm_scores.START_ID, at_once=3)
+    for t, s in zip(texts, got, strict=True):
+        want, whole = 0.0, np.concatenate([[lm_scores.START_ID], t]).astype(int)
+        for i in range(len(t)):
+            first = max(0, i // attention.STRIDE * attention.STRIDE - (attention.WINDOW - attention.STRIDE))
+            x = w["e"][voc.row[whole[first : i + 1]]]
+            a = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T * attention.WIDTH**-0.5 + w["near"][np.arange(len(x))[::-1]])
+            h = x[-1] + (a @ (x @ w["v"])) / a.sum() @ w["o"]
+            y = h + np.maximum(h @ w["a"] + w["a0"], 0) @ w["b"]
+            z = y @ w["u"] + w["u0"]
+            want += z[voc.klass[t[i]]] - np.log(np.exp(z).sum()) + voc.log_share[t[i]]
+        assert s == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_gradients():
+    r = np.random.default_rng(0)
+    w = {k: x.astype(float) for k, x in attention.fresh().items()}
+    rows, target = r.integers(0, 50, (3, attention.WINDOW)), r.integers(0, attention.CLASSES, (3, attention.WINDOW))
+    _, g = attention.gradients(w, rows, target)
+    for k, x in w.items():
+        at = (int(rows[0, 3]), 5) if k == "e" else tuple(int(r.integers(0, n)) for n in x.shape)
+        old, loss = x[at], []
+        for d in (1e-5, -1e-5):
+            x[at] = old + d
+            loss.append(attention.gradients(w, rows, target)[0])
+        x[at] = old
+        assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-8)
+
+
+def test_base_scores(spark, odd, nothing):
+    out = lm_scores.score(odd).toPandas()
+    docs = odd.select("doc_id", "text").toPandas()
+    learn = [(i, t) for i, t in zip(docs.doc_id, docs.text) if i == i and zlib.crc32(str(int(i)).encode()) % 7 != 2]
+    counts: dict = {}
+    for _, t in learn:
+        for w in [*split(t), None]:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((len(split(t)) + 1, sum(counts.get(w, 0) > 0 for w in [*split(t), None]), round(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in [*split(t), None]), 6)) for t in docs.text)
+    assert sorted(zip(out.n_tokens, out.n_known, out.base_score.round(6))) == want
+    assert (out.train_tokens == n).all() and (out.score < 0).all() and len(out) == len(docs)
+    assert lm_scores.score(nothing).count() == 0
+
+
+# 7 near duplicates
+
+
+def slow_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = split(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_against_all_pairs(spark, odd, nothing):
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(12):
+        base = prose(r, int(r.integers(20, 120))).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(int(r.integers(0, 6))):
+                w[int(r.integers(0, len(w)))] = prose(r, 1)
+            rows.append((len(rows) * 7 % 1009, " ".join(w)))
+    got = {x["doc_id"]: x for x in near_dups.near_duplicates(documents(spark, [(i, t, "a", "s") for i, t in rows])).collect()}
+    want = slow_components(rows)
+    assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == want
+    assert all(x["kept"] == (i == want[i][1]) for i, x in got.items())
+    few = near_dups.near_duplicates(odd).collect()
+    assert len(few) == odd.count()
+    by = {x["doc_id"]: x for x in few}
+    assert by[5]["component_id"] == 4 and by[9]["component_id"] == 4 and by[None]["component_id"] is None and by[1]["kept"] and by[2]["component_id"] == 2
+    assert near_dups.near_duplicates(nothing).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    r = np.random.default_rng(7)
+    for n in (1, 3, 40, 700):
+        h = r.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = h[: int(1.5 * n) or 1], h[n // 2 :]
+        s = near_dups.fast_sketch(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, 1024)
+        assert (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+        true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+        assert (s[0] == s[1]).mean() == pytest.approx(true, abs=0.07)
+
+
+def test_long_chain_is_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5), (None, 3)], "u bigint, v bigint")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), 900: 900, 901: 900}
+
+
+# 8 pieces
+
+
+def test_pieces_without_dropout_are_the_library_s():
+    import sentencepiece
+
+    model, r = pieces.Model(), np.random.default_rng(8)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    plain, dropped = pieces.Encoder(model, 0.0, 2, 1), pieces.Encoder(model, 0.3, 2, 1)
+    texts = ["", " ", "  a  b\n\nc\td ", "日本語 😀 ́x", "x" * 2000, "▁a▁ ▁", prose(r, 200), "The quick brown fox's jumps."]
+    for k, t in enumerate(texts):
+        ids = np.frombuffer(plain.text(t.encode(), k), "<u4").tolist()
+        assert "▁" in t or ids == library.encode(t)
+        other = np.frombuffer(dropped.text(t.encode(), k), "<u4").tolist()
+        assert model.decode(ids).decode() == t and model.decode(other).decode() == t
+    assert len(other) > len(ids)
+
+
+def test_pieces_of_everything(spark, odd, nothing):
+    one = pieces.decode(pieces.encode(odd.repartition(1), keep=("doc_id", "text"))).toPandas()
+    two = pieces.decode(pieces.encode(odd.repartition(3), keep=("doc_id", "text"))).toPandas()
+    assert all((a or "").encode() == bytes(b) for a, b in zip(one.text, one.decoded, strict=True))
+    assert sorted(map(bytes, one.ids)) == sorted(map(bytes, two.ids))
+    assert pieces.encode(nothing).count() == 0
+
+
+# 9 search
+
+
+@pytest.mark.parametrize("block", [7, 50, 1000])
+def test_search_against_all_products(spark, block):
+    r = np.random.default_rng(9)
+    v = r.normal(size=(120, 20)) * r.lognormal(size=(120, 1))
+    v[40:80] = v[40]
+    rows = [(i * 5, x.tolist()) for i, x in enumerate(v)] + [(10000, None), (10001, [1.0, None]), (10100, [float("nan")] * 20), (10200, []), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x"))
+    got: dict = {}
+    for x in topk.top_k(df, block_rows=block, query_rows=3, head_rows=20).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], -x["score"], x["vec_id"]))
+    w = np.floor(1024 * v.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, 120, 20):
+        s = w @ w[q]
+        want = sorted((-int(s[i]), i * 5) for i in range(120) if i != q)[:10]
+        assert sorted(got[q * 5]) == [(k + 1, *x) for k, x in enumerate(want)]
+    assert set(got) == {q * 5 for q in range(0, 120, 20)}
+    assert topk.top_k(df.where("vec_id < 0")).count() == 0
+
+
+# 10 packing
+
+
+def test_word_memory_gives_the_tokenizer_s_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(subwords.tokenizer_path())
+    r = np.random.default_rng(1)
+    texts = ["", "it's  We'll\n<|endoftext|> é É ﬁ 12a3 x y ''s ́a ½ 😀!", prose(r, 300)]
+    got = subwords.Encoder(memory=50).texts([x.encode() for x in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing_uses_every_id_once(spark, odd, nothing):
+    r = np.random.default_rng(2)
+    docs = documents(spark, [(i, prose(r, int(r.integers(0, 1500))), "a", "s") for i in range(150)]).union(odd)
+    out = packing.pack_documents(docs).toPandas()
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g.offset) == list(np.cumsum(g.length) - g.length) and g.length.sum() <= packing.CAPACITY
+    fill = out.groupby("sequence_id").length.sum()
+    assert (len(fill) * packing.CAPACITY - fill.sum()) / fill.sum() < 0.03
+    encoder = subwords.Encoder()
+    texts = docs.select("doc_id", "text").toPandas()
+    want = sorted(zlib.crc32(x[a : a + 8192]) for t in texts.text for x in [encoder.texts([(t or "").encode()])[0] + b"\1\0\0\0"] for a in range(0, len(x), 8192))
+    assert sorted(out.ids_crc32) == want
+    assert packing.pack_documents(nothing).count() == 0
+
+
+def test_plan_covers_demand_near_the_bound():
+    r = np.random.default_rng(3)
+    sizes = np.unique(r.integers(1, 257, 120))
+    demand = r.integers(1, 400, len(sizes))
+    got = packing.plan(sizes, demand, 256)
+    assert all(p @ sizes <= 256 for p, _ in got) and (sum(n * p for p, n in got) >= demand).all()
+    assert sum(n for _, n in got) <= np.ceil(sizes @ demand / 256) * 1.02 + 5

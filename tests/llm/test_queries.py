@@ -1,0 +1,31 @@
+"""The operators' queries and the pipeline on the small tables, against SQL where it can express them."""
+
+import pytest
+from compare import same_rows
+from conftest import DATA
+
+import corpus_pipeline
+from tarnwick.llm.queries import ORACLE_SQL, QUERIES
+
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_as_sql(name, spark, duck):
+    same_rows(QUERIES[name](spark, str(DATA)), duck, ORACLE_SQL[name])
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    left = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(DATA)).cache()
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        assert 0 < docs.count() <= left
+        left = docs.count()
+    packed = corpus_pipeline.run(spark, str(DATA)).toPandas()
+    assert set(packed.doc_id) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    good = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
+    first = corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{DATA}/documents.parquet"), str(DATA))
+    lost = spark.read.parquet(f"{DATA}/documents.parquet").join(good, "doc_id", "left_semi").join(first.select("doc_id"), "doc_id", "left_anti")
+    assert lost.count() <= 0.03 * good.count()
