@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ DECODED = T.StructType([
 FEATURE_MEAN, FEATURE_SPAN, FEATURE_FRAMES = -7.2, 4.43 * 2, 512
 
 
+@lru_cache(8)
 def mel_filters(n_fft: int, rate: int, n_mels: int, low: float = 20.0, high: float = 0.0) -> np.ndarray:
     """Triangles in mel space over the bins [n_mels, n_fft // 2 + 1]; the last bin gets nothing."""
     top = high + rate / 2 if high <= 0 else high
@@ -70,22 +73,30 @@ def array_udf(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
     return run
 
 
+@lru_cache(8)
+def _phases(source: int, target: int, half_width: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The steps of a rational resampler, and for each phase its first sample and its taps of a windowed sinc."""
+    g = math.gcd(source, target)
+    up, down = target // g, source // g
+    cut = 0.95 * min(1.0, up / down)
+    reach = int(np.ceil(half_width / cut))
+    place = np.arange(up) * down / up
+    first = np.floor(place).astype(int)
+    gap = (place - first)[:, None] - np.arange(-reach + 1, reach + 1)
+    taps = np.sinc(cut * gap) * np.cos(np.pi * gap / (2 * reach + 2)) ** 2
+    return up, down, first, (taps / taps.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
 def resample(x: np.ndarray, source: int, target: int, half_width: int = 32) -> np.ndarray:
-    """Band-limited resampling by a windowed sinc to ``round(len * target / source)`` samples."""
+    """Band-limited resampling by a windowed sinc to ``round(len * target / source)`` samples, phase by phase."""
     if source == target or not len(x):
         return x
-    n, ratio = int(len(x) * target / source + 0.5), target / source
-    cut = 0.95 * min(1.0, ratio)
-    reach = int(np.ceil(half_width / cut))
+    up, down, first, taps = _phases(source, target, half_width)
+    n, width = int(len(x) * target / source + 0.5), taps.shape[1]
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float32), (width // 2 - 1, width // 2 + down)), width)
     out = np.empty(n, np.float32)
-    padded = np.pad(x.astype(np.float64), reach)
-    for at in range(0, n, 8192):
-        place = np.arange(at, min(n, at + 8192)) / ratio
-        first = np.floor(place).astype(int)
-        offset = np.arange(-reach + 1, reach + 1)
-        gap = place[:, None] - (first[:, None] + offset)
-        taps = cut * np.sinc(cut * gap) * np.cos(np.pi * gap / (2 * reach + 2)) ** 2
-        out[at : at + len(place)] = (padded[first[:, None] + offset + reach] * taps).sum(axis=1)
+    for p in range(min(up, n)):
+        out[p::up] = view[first[p] :: down][: len(range(p, n, up))] @ taps[p]
     return out
 
 

@@ -123,3 +123,15 @@ def test_masks_and_blur():
 def test_masked_error(spark):
     row = spark.createDataFrame([([[1.0, -1.0], [5.0, 5.0]], [[2.0, 0.0], [1.0, 2.0]], [True, False])], "p array<array<double>>, q array<array<double>>, m array<boolean>")
     assert row.select(A.masked_error(F.col("p"), F.col("q"), F.col("m"))).first()[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_load_clips(spark):
+    from tarnwick.operators.loader import load_clips, with_crop_starts
+
+    x = (np.sin(np.arange(44100 * 6) / 20) * 20000).astype(np.int16)
+    rows = spark.createDataFrame([(1, 7, bytearray(wav(x, 44100))), (2, None, bytearray(b"RIFFjunk"))], "index bigint, label bigint, bytes binary")
+    got = {r["index"]: r for r in load_clips(rows, seed=3).collect()}
+    assert got[1]["ok"] and len(got[1]["features"]) == 512 * 128 and got[1]["label"] == 7
+    assert not got[2]["ok"] and got[2]["features"] is None
+    starts = [r["start"] for r in with_crop_starts(spark.range(50).withColumnRenamed("id", "index"), 5, 9).collect()]
+    assert min(starts) >= 0 and max(starts) <= 9 and len(set(starts)) > 5
