@@ -7,7 +7,7 @@ import subprocess
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -28,9 +28,9 @@ def provenance(df: DataFrame) -> DataFrame:
 def write_result(result: DataFrame, predictions: DataFrame | None, path: str, most: int = MOST_PREDICTIONS) -> None:
     """Append one result row; its predictions (example_id, y_true, y_pred, y_score) go in as lists while there are fewer than ``most``."""
     if predictions is not None and predictions.limit(most).count() < most:
-        lists = predictions.agg(*(F.transform(F.array_sort(F.collect_list(F.struct("example_id", c))), lambda x, c=c: x[c]).alias(f"pred_{c}") for c in ("y_true", "y_pred", "y_score")))
-        ids = predictions.agg(F.array_sort(F.collect_list("example_id")).alias("pred_example_ids"))
-        result = result.crossJoin(ids).crossJoin(lists)
+        listed = predictions.agg(F.array_sort(F.collect_list(F.struct("example_id", "y_true", "y_pred", "y_score"))).alias("p"))
+        lists = listed.select(F.col("p.example_id").alias("pred_example_ids"), *(F.col(f"p.{c}").alias(f"pred_{c}") for c in ("y_true", "y_pred", "y_score")))
+        result = result.crossJoin(lists)
     provenance(result).coalesce(1).write.mode("append").parquet(path)
 
 
@@ -64,15 +64,21 @@ def write_csv(rows: DataFrame, path: str, order: tuple[str, ...], columns: tuple
     rows.select(*(columns or rows.columns)).coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+def six_digits(c: Column) -> Column:
+    """A number to six significant digits without zeros at the end."""
+    full = F.format_string("%.6g", c.cast("double"))
+    return F.regexp_replace(F.regexp_replace(full, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
 def csv_lines(rows: DataFrame) -> DataFrame:
     """Rows as lines: numbers to six significant digits, lists joined by a bar, nulls empty."""
     cells = []
     for f in rows.schema:
         c = F.col(f.name)
         if f.dataType.typeName() == "array":
-            c = F.array_join(F.transform(c, lambda x: F.format_string("%.6g", x.cast("double"))), "|")
+            c = F.array_join(F.transform(c, six_digits), "|")
         elif f.dataType.typeName() in ("double", "float"):
-            c = F.format_string("%.6g", c.cast("double"))
+            c = six_digits(c)
         cells.append(F.when(F.col(f.name).isNull(), "").otherwise(c.cast("string")))
     return rows.select(F.concat_ws(",", *cells).alias("line"))
 
