@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import backbones as B
 from ..operators import evaluation as E
 from ..operators import sampling as S
 from .registry import query, table
@@ -124,3 +125,16 @@ def eval_accuracy(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     b = o.groupBy(F.expr("o_orderkey div 64").alias("batch")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("correct"), F.count("*").alias("total"), F.avg("o_totalprice").alias("loss"))
     return E.accuracy(b).select(F.round("accuracy", 6).alias("accuracy"), F.round("loss", 3).alias("loss"))
+
+
+@query()
+def linear_probe_cmap(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    weights = B.fit_linear(e.where("vec_id % 2 = 0"), DIM, CLASSES, rounds=15)
+    scored = B.linear_scores(e.where("vec_id % 2 = 1"), weights).withColumn("truth", F.col("label") == F.col("class_id"))
+    return E.mean_average_precision(E.average_precision(scored))
+
+
+@query("SELECT vec_id, 32 AS size FROM embeddings")
+def backbone_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(B.encoded("patch_mean", "small", "embedding")).alias("size"))

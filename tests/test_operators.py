@@ -125,3 +125,19 @@ def test_losses(spark):
 def test_schedules(spark):
     got = [r[0] for r in spark.range(6).select(T.wsd_rate(F.col("id") * 2, 1.0, 4, 2, 4)).collect()]
     assert got == pytest.approx([0, 0.5, 1, 1, 0.5, 0])
+
+
+def test_linear_probe_and_registry(spark):
+    from tarnwick.operators import backbones as B
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(200, 6))
+    rows = spark.createDataFrame([(v.tolist(), int(v[:3].argmax())) for v in x], "embedding array<double>, label int")
+    got = B.linear_scores(rows, B.fit_linear(rows, 6, 3, rounds=25)).groupBy("embedding", "label").agg(F.max_by("class_id", "score").alias("c"))
+    assert got.where("c = label").count() > 180
+    assert B.names() == ["identity", "patch_mean"]
+    with pytest.raises(KeyError):
+        B.loader("none")
+    with pytest.warns(UserWarning):
+        B.register("identity", B.loader("identity"))
+    assert len(rows.select(B.encoded("patch_mean", "a", "embedding")).first()[0]) == 32
