@@ -190,8 +190,8 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letter = np.array(batch["letter"].to_pylist(), bool)
-            for at, raw, off in blocks(batch["text"], 1 << 20):
+            letter = np.array(batch["__letter"].to_pylist(), bool)
+            for at, raw, off in blocks(batch["__text"], 1 << 20):
                 n = len(off) - 1
                 if model is None:
                     best, p = np.zeros(n, int), np.zeros(n)
@@ -205,8 +205,8 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, n) for c in keep), pred, pa.array(np.where(ok, p, 0.0))], names=[*keep, "lang_pred", "score"])
 
     schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return docs.select(*keep, "text", letter).mapInArrow(run, schema)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
+    return docs.select(*keep, F.col("text").alias("__text"), letter).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, max_docs: int = 1500, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -73,14 +73,14 @@ def featurise(docs: DataFrame, bits: int, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw, off in blocks(batch["text"]):
+            for at, raw, off in blocks(batch["__text"]):
                 idx, first = _features(raw, off, bits)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(idx))
                 n = len(off) - 1
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, n) for c in keep), lists], names=[*keep, "features"])
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", features array<int>"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, epochs: int = 3) -> Model:
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw, off in blocks(batch["text"]):
+            for at, raw, off in blocks(batch["__text"]):
                 idx, first = _features(raw, off, bits)
                 dot = sums(weights[idx], first) * (SCALE / np.maximum(np.diff(first), 1))
                 p = 1 / (1 + np.exp(-np.clip(dot + bias, -35, 35)))
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, n) for c in keep), pa.array(p)], names=[*keep, "score"])
 
     schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_docs: int = 6000, bits: int = 18, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
