@@ -10,7 +10,7 @@ below the splitters give each subrange its place, and so gapless slots.
 Equal texts stand next to each other; a group too large for a shard is split by id.  What the driver gets in
 a round is bounded by the number of splitters times the digits' values, not by the rows.
 
-Cases: a null text counts as an empty one; a null id is a value like any other.  Rows that agree
+Cases: columns named like the result's give way to them.  A null text counts as an empty one; a null id is a value like any other.  Rows that agree
 in text and id stay in one shard, in any order.  An empty table gives an empty result; fewer rows
 than shards leave shards empty.
 """
@@ -101,7 +101,7 @@ def histogram_sort(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
     first = [0, *(s.rows for s in splitters)]  # rows before each subrange
     before = [first[k] - first[k - k % subranges] for k in range(parts)]
-    moved = df.withColumn("__key", key).withColumn("__part", part_of("__key")).repartitionById(parts, "__part")
+    moved = df.drop("shard", "subrange", "slot").withColumn("__key", key).withColumn("__part", part_of("__key")).repartitionById(parts, "__part")
     place = F.row_number().over(Window.partitionBy("__part").orderBy("__key"))
     offset = F.element_at(F.array(*map(F.lit, before)), F.col("__part") + 1)
     return (
