@@ -375,6 +375,15 @@ def test_pieces_without_dropout_are_the_library_s():
     assert len(other) > len(ids)
 
 
+def test_lockstep_is_the_agenda():
+    model, r = pieces.Model(), np.random.default_rng(9)
+    chunks = [pieces.SPACE * int(r.integers(0, 2)) + "".join(r.choice(list("theindaouslr'E.,é日"), r.integers(1, 30))) for _ in range(400)]
+    keys = [int(k) for k in r.integers(0, 1 << 62, len(chunks))]
+    for dropout in (0.0, 0.2, 0.9):
+        got = model.encode_chunks(chunks, dropout, keys)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [model.encode_chunk(c, dropout, k) for c, k in zip(chunks, keys, strict=True)]
+
+
 def test_pieces_of_everything(spark, odd, nothing):
     one = pieces.decode(pieces.encode(odd.repartition(1), keep=("doc_id", "text"))).toPandas()
     two = pieces.decode(pieces.encode(odd.repartition(3), keep=("doc_id", "text"))).toPandas()
