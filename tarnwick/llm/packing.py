@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import materialise
-from .subwords import Encoder
+from .subwords import shared_encoder
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
 RANK_BLOCK = 100_000
@@ -40,7 +40,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, width = Encoder(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        encoder, end, width = shared_encoder(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         serial = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, len(batch), 128):

@@ -7,6 +7,7 @@ those of its words in turn.  Each task remembers the ids of words; the memory is
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -14,6 +15,8 @@ import regex
 MEMORY = 600_000
 #: Fixed value: the pattern by which the vocabulary file splits words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What may stand after a word of letters below LATIN without changing how the word is split.
+MARKS, LATIN = ".,;:!?%#*&$|", "\u0250"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -24,6 +27,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(2)
+def shared_encoder(path: str | None = None) -> Encoder:
+    """The encoder of this worker process: what it knows outlasts a task."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of words and texts as little-endian unsigned 32-bit bytes."""
 
@@ -33,6 +42,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.memory = memory
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -40,30 +50,47 @@ class Encoder:
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         split = [t.split() for t in texts]
-        return self.word_lists(split)
+        self._learn(list(set().union(*split)))
+        known = self.known
+        return [b"".join([known[w] for w in words]) for words in split]
 
-    def word_lists(self, split: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of words, joined."""
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        self._learn(words)
+        return [self.known[w] for w in words]
+
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.known) > self.memory:
             self.known.clear()
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.known)
-        self._learn(list(new))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+            self.parts.clear()
+        plain, odd = [], []
+        for w in words:
+            if w not in self.known:
+                text = w.decode("utf-8", "replace")
+                stem = text.rstrip(MARKS)
+                if not stem or stem.isalpha() and max(stem) < LATIN:
+                    plain.append((w, stem.lower(), text[len(stem) :]))
+                else:
+                    odd.append((w, text))
+        parts = self.parts
+        new = list({p for _, *pair in plain for p in pair if p and p not in parts})
+        parts.update(zip(new, self._encode(new, [1] * len(new)), strict=True))
+        self.known.update((w, parts[a] + parts[b] if a and b else parts[a or b]) for w, a, b in plain)
+        texts = [t for _, t in odd]
+        found = self._encode(texts, [len(PIECES.findall(unicodedata.normalize("NFC", t).lower())) for t in texts])
+        self.known.update(zip((w for w, _ in odd), found, strict=True))
 
-    def _learn(self, new: list[bytes], at_once: int = 1000) -> None:
-        for at in range(0, len(new), at_once):
-            part = new[at : at + at_once]
-            plain = [w.decode("utf-8", "replace") for w in part]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            pieces = np.array([len(PIECES.findall(unicodedata.normalize("NFC", w).lower())) for w in plain])
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == pieces.sum() and pieces.all() and len(ids) == ends[-1] + 1:
-                cuts = np.concatenate([[0], ends[np.cumsum(pieces) - 1] + 1])
-                found = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            else:  # special tokens or odd characters: word by word
-                found = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-            self.known.update(zip(part, found, strict=True))
+    def _encode(self, texts: list[str], pieces: list[int], at_once: int = 256) -> list[bytes]:
+        """Ids of texts without spaces, many to a call; ``pieces``: how many runs the tokenizer splits each into."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), at_once):
+            part, many = texts[at : at + at_once], np.array(pieces[at : at + at_once])
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])  # every run ends with a token of its own kind
+            if len(ends) == many.sum() and many.all() and len(ids) == ends[-1] + 1:
+                cuts = [0, *(4 * (ends[np.cumsum(many) - 1] + 1)).tolist()]
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:  # special tokens or odd characters: one by one
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
