@@ -87,16 +87,17 @@ def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, bits: int, alpha: f
     """Follow-the-regularised-leader with a learning rate of its own for each coordinate."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    sets = []
-    for idx in features:
+
+    def vector(idx):  # made anew in each epoch: only the feature numbers stay in memory
         u, c = np.unique(idx, return_counts=True)
-        sets.append((np.append(u, size), np.append(c * (SCALE / max(1, len(idx))), 1.0)))
+        return np.append(u, size), np.append(c * (SCALE / max(1, len(idx))), 1.0)
 
     def weights(i):
         return np.where(np.abs(z[i]) > l1, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2), 0.0)
 
     for _ in range(epochs):
-        for (i, x), y in zip(sets, labels, strict=True):
+        for idx, y in zip(features, labels, strict=True):
+            i, x = vector(idx)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
