@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH, HIDDEN, CLASSES = 16, 32, 64
+WIDTH, HIDDEN, CLASSES = 16, 32, 128
 WINDOW, STRIDE = 32, 16
 OWN_ROWS, SHARED_ROWS = 4096, 1024
 
@@ -51,8 +51,11 @@ def fresh(vocabulary: Vocabulary | None = None, seed: int = 7) -> dict[str, np.n
     }
 
 
-def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of classes ``target`` [B, T] after embedding rows ``rows`` [B, T], and its gradients."""
+def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, real: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of classes ``target`` [B, T] after embedding rows ``rows`` [B, T], and its gradients.
+
+    Where ``real`` is false, after a window's end, a place counts neither for the loss nor for the gradients.
+    """
     n, t = rows.shape
     scale = np.float32(WIDTH**-0.5)
     gap = np.arange(t)[:, None] - np.arange(t)
@@ -72,10 +75,16 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray) ->
     e = np.exp(z)
     total = e.sum(axis=2, keepdims=True)
     at = (np.arange(n)[:, None], np.arange(t), target)
-    loss = float((np.log(total[..., 0]) - z[at]).mean())
+    each = np.log(total[..., 0]) - z[at]
     dz = e / total
     dz[at] -= 1
-    dz /= n * t
+    if real is None or real.all():
+        loss = float(each.mean())
+        dz /= n * t
+    else:
+        many = int(real.sum())
+        loss = float(each[real].sum() / many)
+        dz *= (real / np.float32(many))[..., None].astype(dz.dtype)
     flat = lambda m: m.reshape(-1, m.shape[-1])
     g = {"u": flat(y).T @ flat(dz), "u0": flat(dz).sum(axis=0)}
     dy = dz @ w["u"].T

@@ -1,8 +1,8 @@
 """Language-model scores: corpus word counts for a unigram base, and a causal self-attention model.
 
 One pass splits and tokenises all texts and writes them as numbers, with counts of words and
-subword ids in the training texts, and training windows: each window of a training text is taken by a hash
-of its place at the rate ``share``, so what the model learns from grows with the corpus.  Workers
+subword ids in the training texts.  Every training text is cut into windows, of which the last may be
+short, so that each of its ids, the end id included, is a target once a round.  Workers
 train on their own windows from common weights, which are averaged after each round; at most
 ``WORKERS`` sets of weights of fixed size reach the driver.  Scoring is one pass over the written ids.
 
@@ -31,12 +31,11 @@ from .subwords import shared_encoder
 from .textbuf import mix
 
 START_ID, END_ID, IDS = 49406, 49407, 49408
-WORKERS, ROUNDS, BATCH, RATE = 256, 3, 32, 0.01
+WORKERS, ROUNDS, BATCH, RATE = 256, 4, 32, 0.01
 #: Windows for each worker before there is another; batches that a worker learns from in a round, in a few passes if it has fewer.
 WORKER_WINDOWS, LEAST_BATCHES, PASSES = 4096, 200, 3
-SHARE = 1 / 128
 BLOCK_WORDS = 400_000
-TEXT, WORD, ID, TRAIN = range(4)
+TEXT, WORD, ID = range(3)
 _ROWS = "kind int, block bigint, uid bigint, doc_id bigint, held_out boolean, number bigint, ids binary, words binary, word binary, n bigint"
 
 
@@ -86,15 +85,14 @@ def _binary(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def read_corpus(docs: DataFrame, tokenizer: str | None = None, share: float = SHARE) -> DataFrame:
-    """Rows of four kinds: texts as numbers, words of a block with their counts in training texts, ids with theirs, training windows."""
+def read_corpus(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Rows of three kinds: texts as numbers, words of a block with their counts in training texts, ids with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
         uid = TaskContext.get().partitionId() << 33
         names = [x.split()[0] for x in _ROWS.split(", ")]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        limit = np.uint64(int(share * (1 << 64)))
         end = np.zeros(1, np.int32)
 
         def rows(kind: int, many: int, **columns) -> pa.RecordBatch:
@@ -123,16 +121,6 @@ def read_corpus(docs: DataFrame, tokenizer: str | None = None, share: float = SH
                 if learn.any():
                     block.counts += np.bincount(np.concatenate([numbers[k] for k in np.flatnonzero(learn)]), minlength=len(block.counts))
                     id_counts += np.bincount(ids[np.repeat(learn, np.diff(spelled))], minlength=IDS)
-                    doc_id = np.where(learn, part["doc_id"].fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64).view(np.uint64)
-                    fit = np.where(learn, np.diff(spelled) // WINDOW, 0)
-                    of = np.repeat(np.arange(n), fit)
-                    start = (np.arange(len(of)) - np.repeat(np.cumsum(fit) - fit, fit)) * WINDOW
-                    taken = mix(doc_id[of] + mix(start.astype(np.uint64) + np.uint64(1))) <= limit
-                    windows = [
-                        (b"" if a else np.array([START_ID], "<u2").tobytes()) + ids[spelled[k] + a - (a > 0) : spelled[k] + a + WINDOW].tobytes() for k, a in zip(of[taken], start[taken], strict=True)
-                    ]
-                    if windows:
-                        yield rows(TRAIN, len(windows), ids=pa.array(windows, pa.binary()))
                 yield rows(
                     TEXT, n, block=pa.array(np.full(n, block.number)), uid=pa.array(np.arange(uid, uid + n)), doc_id=part["doc_id"], held_out=part["held_out"],
                     number=pa.array(size), ids=_binary(ids, spelled), words=_binary(np.concatenate(numbers), np.concatenate([[0], np.cumsum(size)])),
@@ -153,13 +141,44 @@ def read_corpus(docs: DataFrame, tokenizer: str | None = None, share: float = SH
     return source.mapInArrow(run, _ROWS)
 
 
+def training_windows(texts: DataFrame) -> DataFrame:
+    """(ids): the windows of all training texts, each the id before it (or the start id) and up to ``WINDOW`` targets.
+
+    Windows of 256 texts come mixed, in the order of a hash of document and place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.array([START_ID], "<u2").tobytes()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                raw = [lead + x for x in part["ids"].to_pylist()]
+                many = np.array([-(-(len(x) // 2 - 1) // WINDOW) for x in raw])
+                start = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * WINDOW
+                of = np.repeat(np.arange(len(raw)), many)
+                doc_id = part["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                order = np.argsort(mix(doc_id[of] + mix(start.astype(np.uint64) + np.uint64(1))), kind="stable")
+                ids = [raw[k][2 * a : 2 * (a + WINDOW + 1)] for k, a in zip(of[order].tolist(), start[order].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+
+    return texts.where("not held_out and doc_id is not null").select("doc_id", "ids").mapInArrow(run, "ids binary")
+
+
+def _stacked(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as rows, filled up at their ends, and which targets are real."""
+    many = np.array([len(x) for x in windows])
+    real = np.arange(WINDOW + 1) < many[:, None]
+    ids = np.full(real.shape, END_ID, "<u2")
+    ids[real] = np.concatenate(windows)
+    return ids, real[:, 1:]
+
+
 def train(windows: DataFrame, vocabulary: Vocabulary, workers: int = WORKERS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Average, after each round, what each of at most ``workers`` tasks learned from its own windows."""
     weights = fresh(vocabulary)
     names = list(weights)
-    windows = windows.select("ids")
     parts = max(1, min(workers, windows.count() // WORKER_WINDOWS))
-    dealt = windows.repartition(parts, F.xxhash64("ids"))
+    dealt = windows.coalesce(parts)  # a worker takes whole parts of the corpus: no round shuffles it
     for k in range(rounds):
         rate = RATE * (1 - k / rounds)
 
@@ -168,25 +187,26 @@ def train(windows: DataFrame, vocabulary: Vocabulary, workers: int = WORKERS, ro
             adam = Adam(w, rate)
             held: list[np.ndarray] = []
 
-            def learn(ids: np.ndarray) -> None:
-                _, g = gradients(w, vocabulary.row[ids[:, :-1]], vocabulary.klass[ids[:, 1:]])
+            def learn(ids: np.ndarray, real: np.ndarray) -> None:
+                _, g = gradients(w, vocabulary.row[ids[:, :-1]], vocabulary.klass[ids[:, 1:]], real)
                 adam.step(w, g)
 
-            first: list[np.ndarray] = []
+            first: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
                 held += [np.frombuffer(x, "<u2") for x in batch["ids"].to_pylist()]
                 while len(held) >= BATCH:
+                    stacked = _stacked(held[:BATCH])
                     if len(first) < LEAST_BATCHES:
-                        first.append(np.stack(held[:BATCH]))
-                    learn(np.stack(held[:BATCH]))
-                    seen += BATCH
+                        first.append(stacked)
+                    learn(*stacked)
+                    seen += int(stacked[1].sum())
                     held = held[BATCH:]
             if held:
-                first.append(np.stack(held))
-                learn(first[-1])
-                seen += len(held)
+                first.append(_stacked(held))
+                learn(*first[-1])
+                seen += int(first[-1][1].sum())
             for k in range(adam.t, min(LEAST_BATCHES, PASSES * len(first))):
-                learn(first[k % len(first)])
+                learn(*first[k % len(first)])
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([np.concatenate([w[n].ravel() for n in names]).tobytes()], pa.binary())], names=["seen", "weights"])
 
@@ -252,14 +272,14 @@ def base_scores(corpus: DataFrame) -> DataFrame:
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(score, schema)
 
 
-def score(docs: DataFrame, tokenizer: str | None = None, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
-    corpus = materialise(read_corpus(docs, tokenizer, share), "corpus")
+    corpus = materialise(read_corpus(docs, tokenizer), "corpus")
     got = corpus.where(f"kind = {ID}").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(IDS)
     counts[got["number"].to_numpy()] = got["n"].to_numpy()
     vocabulary = Vocabulary.of(counts)
-    weights = train(corpus.where(f"kind = {TRAIN}"), vocabulary)
     texts = corpus.where(f"kind = {TEXT}")
+    weights = train(training_windows(texts), vocabulary)
     scored = model_scores(texts, weights, vocabulary)
     return base_scores(corpus).join(scored, "uid").drop("uid")

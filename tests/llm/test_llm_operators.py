@@ -295,6 +295,35 @@ def test_base_scores(spark, odd, nothing):
     assert lm_scores.score(nothing).count() == 0
 
 
+def test_gradients_leave_out_what_follows_a_window():
+    r = np.random.default_rng(1)
+    w = {k: x.astype(float) for k, x in attention.fresh().items()}
+    rows, target = r.integers(0, 50, (1, attention.WINDOW)), r.integers(0, attention.CLASSES, (1, attention.WINDOW))
+    real = np.arange(attention.WINDOW)[None] < 9
+    loss, g = attention.gradients(w, rows, target, real)
+    want, short = attention.gradients(w, rows[:, :9], target[:, :9])
+    assert loss == pytest.approx(want) and all(np.allclose(g[k], short[k]) for k in w)
+
+
+def test_every_training_id_is_learned(spark, odd):
+    texts = lm_scores.read_corpus(odd).where(f"kind = {lm_scores.TEXT}")
+    learn = [np.frombuffer(x.ids, "<u2") for x in texts.where("not held_out and doc_id is not null").collect()]
+    windows = [np.frombuffer(x.ids, "<u2") for x in lm_scores.training_windows(texts).collect()]
+    targets = np.concatenate([x[1:] for x in windows])
+    assert any(len(x) % attention.WINDOW for x in learn) and max(map(len, windows)) == attention.WINDOW + 1
+    assert sorted(targets) == sorted(np.concatenate(learn))
+    assert sum(x[0] == lm_scores.START_ID for x in windows) == len(learn)
+
+
+def test_short_texts_are_learned(spark):
+    docs = documents(spark, [(i, "ka mi to", "a", "s") for i in range(400)] + [(i, "to re ka su", "a", "s") for i in range(400, 800)])
+    texts = lm_scores.read_corpus(docs).where(f"kind = {lm_scores.TEXT}")
+    counts = np.bincount(np.concatenate([np.frombuffer(x.ids, "<u2") for x in texts.where("not held_out").collect()]), minlength=lm_scores.IDS)
+    voc = attention.Vocabulary.of(counts)
+    before = lm_scores.model_scores(texts, attention.fresh(voc), voc).agg(F.sum("score")).first()[0]
+    assert lm_scores.score(docs).agg(F.sum("score")).first()[0] > 0.7 * before
+
+
 # 7 near duplicates
 
 
