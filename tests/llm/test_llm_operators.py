@@ -195,6 +195,25 @@ def test_outliers_against_numpy(spark, odd, nothing):
     assert rules.judge(odd).count() == odd.count() and rules.judge(nothing).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long words", "symbols", "repeated lines", "repeated words"])
+def test_outlier_in_one_statistic(spark, kind):
+    r = np.random.default_rng(3)
+
+    def planted():
+        words = prose(r, 120).split()
+        if kind == "long words":
+            return " ".join(w + "katore"[: 2 * (k % 2)] * 2 for k, w in enumerate(words))
+        if kind == "symbols":
+            return " ".join(w + "#" * (k % 5 == 0) for k, w in enumerate(words))
+        if kind == "repeated lines":
+            return "\n".join(x for k in range(0, 120, 3) for x in (" ".join(words[k : k + 3]), "kami"))
+        return " ".join(words + words[:30])
+
+    rows = [(i, prose(r, 100 + i % 50) if i < 300 else planted(), "a", "s") for i in range(304)]
+    out = rules.judge(documents(spark, rows)).toPandas().set_index("doc_id").sort_index()
+    assert not out.base_failed.any() and not out.loc[300:].kept.any() and out.loc[:299].kept.mean() > 0.98
+
+
 # 5 language
 
 
