@@ -2,12 +2,12 @@
 
 A public byte-pair model is applied by an agenda: of all neighbouring symbols whose union is a
 piece, the best-ranked and then leftmost is merged first.  Each candidate taken from the agenda is skipped
-for good when a hash keyed by seed, variant, chunk, place and piece falls below ``dropout``.  Without dropout the
+for good when a hash keyed by seed, document, occurrence, place and piece falls below ``dropout``.  Without dropout the
 ids are those of the model's own library.  The hash decides, so a run repeats on any partitioning.
 
-Texts are cut where no piece of the vocabulary can lie across (before a run of spaces, around line ends), and
-each occurrence of a chunk takes one of ``variants`` segmentations in turn, from a place that depends on
-the document; tasks remember a bounded number of chunks.
+Texts are cut where no piece of the vocabulary can lie across (before a run of spaces, around line ends).  Tasks
+remember the ids of a bounded number of chunks with the merges that lead to them; an occurrence takes these
+where its own key skips none of the merges, and is merged by itself where it skips one.
 
 Decoding is lossless for every text: characters that the vocabulary lacks become bytes, and so does
 the model's own space mark where a text holds it.
@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import HashTable
+from .textbuf import mix
 
 SPACE = "▁"
 CHUNKS = regex.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 MODEL = "piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED, MEMORY = 0.1, 2, 20, 600_000
+DROPOUT, SEED, MEMORY = 0.1, 20, 600_000
 _MASK = (1 << 64) - 1
 
 
@@ -85,8 +86,8 @@ class Model:
         if across:
             raise ValueError(f"pieces lie across chunks: {across[:3]}")
 
-    def encode_chunk(self, chunk: str, dropout: float, key: int) -> list[int]:
-        """Ids of one chunk; ``key`` and ``dropout`` decide which merges are skipped."""
+    def encode_chunk(self, chunk: str, dropout: float, key: int, taken: list[int] | None = None) -> list[int]:
+        """Ids of one chunk; ``key`` and ``dropout`` decide which merges are skipped.  Codes of the others go to ``taken``."""
         rank, n = self.rank, len(chunk)
         symbol: list[str | None] = list(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -103,6 +104,8 @@ class Model:
                 continue
             if limit and ((key ^ (piece * 0x9E3779B97F4A7C15) ^ (i * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & _MASK) >> 32 < limit:
                 continue
+            if taken is not None:
+                taken.append(((piece * 0x9E3779B97F4A7C15) ^ (i * 0xC2B2AE3D27D4EB4F)) & _MASK)
             joined = symbol[i] = left + symbol[j]
             symbol[j] = None
             k = after[i] = after[j]
@@ -122,8 +125,11 @@ class Model:
                     out.append(i)
         return out
 
-    def encode_chunks(self, chunks: list[str], dropout: float, keys: list[int]) -> list[bytes]:
-        """What :meth:`encode_chunk` gives, for many chunks in lockstep: each merges its best pair in every round."""
+    def encode_chunks(self, chunks: list[str], dropout: float, keys: list[int], taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+        """What :meth:`encode_chunk` gives, for many chunks in lockstep: each merges its best pair in every round.
+
+        Places of chunks and codes of their merges go to ``taken``.
+        """
         out: list[bytes] = [b""] * len(chunks)
         if not chunks:
             return out
@@ -132,7 +138,10 @@ class Model:
         ids = self.char_id[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
         slow = np.logical_or.reduceat(ids < 0, first) | (many > 64)  # characters that become bytes, and long chunks
         for i in np.flatnonzero(slow):
-            out[i] = np.array(self.encode_chunk(chunks[i], dropout, keys[i]), "<u4").tobytes()
+            codes: list[int] = []
+            out[i] = np.array(self.encode_chunk(chunks[i], dropout, int(keys[i]), codes), "<u4").tobytes()
+            if taken is not None:
+                taken.append((np.full(len(codes), i), np.array(codes, np.uint64)))
         width, all_keys = -(-many // 8), np.array(keys, np.uint64)
         for w in range(1, 9):
             at = np.flatnonzero((width == w) & ~slow)
@@ -141,11 +150,14 @@ class Model:
             col = np.arange(8 * w)
             inside = col < many[at][:, None]
             s = np.where(inside, ids[np.minimum(first[at][:, None] + col, len(ids) - 1)], -1)
-            for i, done in zip(at.tolist(), self._lockstep(s, all_keys[at], int(dropout * (1 << 32))), strict=True):
+            merges: list[tuple[np.ndarray, np.ndarray]] | None = None if taken is None else []
+            for i, done in zip(at.tolist(), self._lockstep(s, all_keys[at], int(dropout * (1 << 32)), merges), strict=True):
                 out[i] = done
+            if taken is not None:
+                taken += [(at[rows], codes) for rows, codes in merges]
         return out
 
-    def _lockstep(self, s: np.ndarray, keys: np.ndarray, limit: int) -> list[bytes]:
+    def _lockstep(self, s: np.ndarray, keys: np.ndarray, limit: int, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
         n, width = s.shape
         place = np.tile(np.arange(width), (n, 1))
         row, final = np.arange(n), np.full((n, width), -1, np.int64)
@@ -171,7 +183,10 @@ class Model:
             new = np.zeros(s.shape, np.int64)
             new[y, x] = piece
             s, place, keys, row, j = s[on], place[on], keys[on], row[on], j[on]
-            s[np.arange(len(s)), j] = new[on][np.arange(len(s)), j]
+            merged = new[on][np.arange(len(s)), j]
+            if taken is not None:
+                taken.append((row, (merged.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[np.arange(len(s)), j].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
+            s[np.arange(len(s)), j] = merged
             take = np.minimum(step + (step > j[:, None]), width - 1)
             s, place = np.take_along_axis(s, take, 1), np.take_along_axis(place, take, 1)
             s[:, -1] = -1
@@ -185,70 +200,118 @@ class Model:
         return b"".join([spell[i] for i in ids])[1:]
 
 
+class _Numbers(dict):
+    """Numbers chunks in order of first sight; ``new`` lists those not yet taken up."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks."""
 
-    def __init__(self, model: Model, dropout: float, variants: int, seed: int, memory: int = MEMORY):
+    def __init__(self, model: Model, dropout: float, seed: int, memory: int = MEMORY):
         self.model, self.dropout, self.seed, self.memory = model, dropout, seed, memory
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants if dropout else 1)]
         self.mark = np.array([model.byte_id[b] for b in SPACE.encode()], "<u4").tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.used = _Numbers(), [], 0
+        self.codes, self.first, self.many = np.empty(1 << 16, np.uint64), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def text(self, text: bytes, turn: int) -> bytes:
-        """Ids of one text; ``turn`` chooses its first chunk's variant."""
-        return self.texts([text], [turn])[0]
+    def text(self, text: bytes, key: int) -> bytes:
+        """Ids of one text; ``key`` stands for its document."""
+        return self.texts([text], [key])[0]
 
-    def texts(self, texts: list[bytes], turns: list[int]) -> list[bytes]:
+    def texts(self, texts: list[bytes], keys: list[int]) -> list[bytes]:
         """Ids of many texts."""
-        if sum(map(len, self.known)) > self.memory:
-            for k in self.known:
-                k.clear()
-        n = len(self.known)
-        split, new = [], [set() for _ in self.known]
-        for text, turn in zip(texts, turns, strict=True):
+        if len(self.known) > self.memory:
+            self._forget()
+        flat: list[str] = []
+        ends: list[list[int]] = []
+        for text in texts:
             parts = text.decode("utf-8", "surrogateescape").split(SPACE) if text else []
-            chunks = [CHUNKS.findall((p if k else " " + p).replace(" ", SPACE)) for k, p in enumerate(parts)]
-            split.append(chunks)
-            for part in chunks:
-                for v in range(n):
-                    new[v].update(part[(v - turn) % n :: n])
-        for v, wanted in enumerate(new):
-            self._learn(v, [c for c in wanted if c not in self.known[v]])
-        out = []
-        for chunks, turn in zip(split, turns, strict=True):
+            ends.append([])
+            for k, p in enumerate(parts):
+                flat += CHUNKS.findall((p if k else " " + p).replace(" ", SPACE))
+                ends[-1].append(len(flat))
+        numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self._learn(self.known.new)
+        self.known.new.clear()
+        ids = [self.ids[k] for k in numbers.tolist()]
+        if self.dropout and flat:
+            last = np.array([e[-1] if e else 0 for e in ends])
+            last = np.maximum.accumulate(last)
+            size = np.diff(last, prepend=0)
+            place = np.arange(len(flat)) - np.repeat(last - size, size)
+            own = mix(np.repeat(np.array(keys, np.uint64), size) + mix(place.astype(np.uint64) + np.uint64(self.seed + 1)))
+            self._drop(flat, ids, numbers, own)
+        out, at = [], 0
+        for e in ends:
             spelled = []
-            for part in chunks:
-                ids: list = [b""] * len(part)
-                for v in range(n):
-                    of = slice((v - turn) % n, None, n)
-                    ids[of] = map(self.known[v].__getitem__, part[of])
-                spelled.append(b"".join(ids))
+            for end in e:
+                spelled.append(b"".join(ids[at:end]))
+                at = end
             out.append(self.mark.join(spelled))
         return out
 
-    def _learn(self, variant: int, chunks: list[str]) -> None:
-        salt = self.seed * 1000003 + variant
+    def _drop(self, chunks: list[str], ids: list[bytes], numbers: np.ndarray, keys: np.ndarray) -> None:
+        """Put other ids where an occurrence's key skips a merge of its chunk."""
+        limit = np.uint64(int(self.dropout * (1 << 32)))
+        for a in range(0, len(chunks), 1 << 16):
+            part = numbers[a : a + (1 << 16)]
+            many = self.many[part]
+            of = np.repeat(np.arange(len(part)), many)
+            at = np.arange(len(of)) + np.repeat(self.first[part] - np.cumsum(many) + many, many)
+            h = (keys[a + of] ^ self.codes[at]) * np.uint64(0xD6E8FEB86659FD93)
+            other = a + np.unique(of[(h >> np.uint64(32)) < limit])
+            for b in range(0, len(other), 8192):
+                places = other[b : b + 8192].tolist()
+                done = self.model.encode_chunks([chunks[i] for i in places], self.dropout, keys[places])
+                for i, x in zip(places, done, strict=True):
+                    ids[i] = x
+
+    def _learn(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 8192):
-            part = chunks[at : at + 8192]
-            keys = [xxhash.xxh64_intdigest(c.encode("utf-8", "surrogateescape"), salt) for c in part]
-            self.known[variant].update(zip(part, self.model.encode_chunks(part, self.dropout, keys), strict=True))
+            part, base = chunks[at : at + 8192], len(self.ids)
+            taken: list[tuple[np.ndarray, np.ndarray]] = []
+            self.ids += self.model.encode_chunks(part, 0.0, [0] * len(part), taken)
+            of = np.concatenate([np.empty(0, np.int64), *(x for x, _ in taken)])
+            codes = np.concatenate([np.empty(0, np.uint64), *(x for _, x in taken)])[np.argsort(of, kind="stable")]
+            many = np.bincount(of, minlength=len(part))
+            end = base + len(part)
+            self.first, self.many, self.codes = _room(self.first, end), _room(self.many, end), _room(self.codes, self.used + len(codes))
+            self.many[base:end], self.first[base:end] = many, self.used + np.cumsum(many) - many
+            self.codes[self.used : self.used + len(codes)] = codes
+            self.used += len(codes)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or a longer copy with room for ``n`` items."""
+    return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 @lru_cache(2)
-def shared_encoder(model: str | None, dropout: float, variants: int, seed: int) -> Encoder:
+def shared_encoder(model: str | None, dropout: float, seed: int) -> Encoder:
     """The encoder of this worker process: what it knows outlasts a task."""
-    return Encoder(Model(model), dropout, variants, seed)
+    return Encoder(Model(model), dropout, seed)
 
 
-def encode(docs: DataFrame, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``ids``: little-endian unsigned 32-bit ids of the whole ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(model, dropout, variants, seed)
+        encoder = shared_encoder(model, dropout, seed)
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 texts = pc.fill_null(part["__text"], b"").to_pylist()
-                ids = encoder.texts(texts, [xxhash.xxh64_intdigest(str(d).encode(), seed) & 0xFFFF for d in part["doc_id"].to_pylist()])
+                ids = encoder.texts(texts, [xxhash.xxh64_intdigest(str(d).encode(), seed) for d in part["doc_id"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
     columns = list(dict.fromkeys([*keep, "doc_id"]))

@@ -440,6 +440,32 @@ def test_pieces_of_everything(spark, odd, nothing):
     assert pieces.encode(nothing).count() == 0
 
 
+def test_dropout_varies_with_document_and_occurrence(spark):
+    model = pieces.Model()
+    rows = spark.createDataFrame([(i, "wonderful information " * 50) for i in range(40)], "doc_id bigint, text string")
+    word = pieces.SPACE + "information"
+    plain = len(model.encode_chunk(word, 0.0, 0))
+    seen, kept, n = set(), 0, 0
+    for r in pieces.encode(rows).collect():
+        spelled = b"|".join(model.bytes_of[i] for i in np.frombuffer(r.ids, "<u4"))
+        for w in spelled.replace(b"| ", b"\n").split(b"\n"):
+            if w.replace(b"|", b"").strip() == b"information":
+                seen.add(w)
+                kept += w.count(b"|") + 1 == plain
+                n += 1
+    assert n == 2000 and len(seen) > 10 and 0.05 < kept / n < 0.95
+
+
+def test_remembered_chunks_are_the_agenda():
+    model, r = pieces.Model(), np.random.default_rng(4)
+    encoder, words = pieces.Encoder(model, 0.2, 3), ["the", "information", "wonderful", "日本語", "x" * 70]
+    text = " ".join(r.choice(words, 400))
+    chunks = pieces.CHUNKS.findall((" " + text).replace(" ", pieces.SPACE))
+    keys = textbuf.mix(np.full(len(chunks), 7, np.uint64) + textbuf.mix(np.arange(len(chunks), dtype=np.uint64) + np.uint64(4)))
+    want = [i for c, k in zip(chunks, keys.tolist(), strict=True) for i in model.encode_chunk(c, 0.2, k)]
+    assert np.frombuffer(encoder.text(text.encode(), 7), "<u4").tolist() == want
+
+
 # 9 search
 
 
