@@ -76,9 +76,10 @@ def mel_scale(spark, sf_dir):
     return spark.range(100).select(hz, F.round(A.mel(F.col("id") * 100), 6).alias("natural"), F.round(A.mel(F.col("id") * 100, False), 6).alias("decimal"))
 
 
-def tones(spark, sf_dir, n: int = 48, rate: int = 16000):
-    """Sine waves of one second, with a frequency and strength from an event."""
-    e = table(spark, sf_dir, "events").where(F.col("event_id") < n)
+def tones(spark, sf_dir, n: int | None = None, rate: int = 16000):
+    """Sine waves of one second, with a frequency and strength from an event; of all events, or of those below ``n``."""
+    e = table(spark, sf_dir, "events")
+    e = e if n is None else e.where(F.col("event_id") < n)
     t = F.sequence(F.lit(0), F.lit(rate - 1))
     wave = F.transform(t, lambda i: (F.sin(2 * np.pi * (200 + F.col("event_id") * 20) * i / rate) * (1 + F.col("value") % 5) / 8).cast("float"))
     return e.select("event_id", wave.alias("wave"))

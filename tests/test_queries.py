@@ -19,6 +19,12 @@ def test_runs(name, spark):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_stats_of_every_tone(spark):
+    out = QUERIES["fbank_stats"](spark, str(DATA)).select("event_id")
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id")
+    assert out.count() == events.count() and events.join(out, "event_id", "left_anti").count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
