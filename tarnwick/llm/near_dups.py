@@ -16,7 +16,7 @@ Two texts are linked when their sets of five-word shingles have a Jaccard index
     compared by finer sketches of 2048 coordinates, in blocks of bounded size.  First each document
     outside the bucket's largest component is verified against the few that agree with it best,
     and components are formed again; then all pairs that are left, and whose estimate is 0.715 or
-    more (four to five standard deviations below the threshold), are verified too.  Pairs within one
+    more (five standard deviations below the threshold), are verified too.  Pairs within one
     component need no test, as they can't change the result.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; fewer than five
@@ -40,8 +40,8 @@ from .textbuf import LOWER, blocks, hashes, mix, owners, words
 WIDTH, BANDS, BAND_ROWS = 5, 32, 4
 FINE = 2048
 BLOCK = 1024
-#: Of 4-bit coordinates: what pairs at a Jaccard index of 0.715 share on average.
-LEAST_AGREEMENT = 0.715 + 0.285 / 16
+#: Of 4-bit coordinates: what pairs at a Jaccard index of 0.70 share on average, 5 deviations below what those at 0.75 do.
+LEAST_AGREEMENT = 0.70 + 0.30 / 16
 PARTNERS = 3
 
 _ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], np.uint64)

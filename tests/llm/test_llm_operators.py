@@ -399,6 +399,11 @@ def test_sketch_fills_and_estimates():
         assert (s[0] == s[1]).mean() == pytest.approx(true, abs=0.07)
 
 
+def test_sketch_filter_is_five_deviations_below_the_threshold():
+    mean = 0.75 + 0.25 / 16
+    assert mean - near_dups.LEAST_AGREEMENT >= 5 * math.sqrt(mean * (1 - mean) / near_dups.FINE)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5), (None, 3)], "u bigint, v bigint")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
