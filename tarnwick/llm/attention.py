@@ -1,7 +1,9 @@
-"""A small causal self-attention model in numpy: one block, relative positions, classes of ids as output.
+"""A small causal self-attention model in numpy: one block, relative positions, groups and classes of ids as output.
 
-The probability of an id is that of its class, from the model, times the id's share of its class, from
-smoothed corpus counts.  Ids are put into classes of about equal mass by descending count.
+The probability of an id is that of its group, times that of its class in the group, both from the
+model, times the id's share of its class, from smoothed corpus counts.  Ids that mostly begin a word, end one,
+or stand inside have groups of their own; within these they are put into classes of about equal mass by descending count.
+Weights are views of one flat array, so that they are averaged and stepped as a whole.
 """
 
 from __future__ import annotations
@@ -10,9 +12,26 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH, HIDDEN, CLASSES = 16, 32, 128
+WIDTH, HIDDEN, GROUPS, EACH = 16, 32, 16, 16
+CLASSES = GROUPS * EACH
 WINDOW, STRIDE = 32, 16
 OWN_ROWS, SHARED_ROWS = 4096, 1024
+_MOST = 60.0  # logits beyond it are cut, so that no exponential overflows
+SHAPES = {
+    "e": (OWN_ROWS + SHARED_ROWS, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH), "near": (WINDOW,), "a": (WIDTH, HIDDEN), "a0": (HIDDEN,), "b": (HIDDEN, WIDTH),
+    "u": (WIDTH, GROUPS), "u0": (GROUPS,), "v": (GROUPS, WIDTH, EACH), "v0": (GROUPS, EACH),
+}
+_SIZES = {name: int(np.prod(s)) for name, s in SHAPES.items()}
+SIZE, _TABLE = sum(_SIZES.values()), _SIZES["e"]  # the embedding comes first
+
+
+def views(flat: np.ndarray, skip: int = 0) -> dict[str, np.ndarray]:
+    """The weights, without the first ``skip``, that lie in a flat array."""
+    out, at = {}, 0
+    for name in list(SHAPES)[skip:]:
+        out[name] = flat[at : at + _SIZES[name]].reshape(SHAPES[name])
+        at += _SIZES[name]
+    return out
 
 
 @dataclass
@@ -25,13 +44,20 @@ class Vocabulary:
     share: np.ndarray  # of each class
 
     @staticmethod
-    def of(counts: np.ndarray) -> Vocabulary:
+    def of(counts: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> Vocabulary:
+        """``first`` and ``last``: how many of an id's occurrences begin or end a word."""
         n = len(counts)
         smooth = counts.astype(float) + 1
         order = np.lexsort((np.arange(n), -counts))
-        mass = np.cumsum(smooth[order]) - smooth[order] / 2
-        klass = np.zeros(n, np.int32)
-        klass[order] = np.minimum((np.sqrt(mass / smooth.sum()) * CLASSES).astype(int), CLASSES - 1)
+        kind = np.zeros(n, int) if first is None or last is None else 2 * (2 * first > counts) + (2 * last > counts)
+        mass = np.bincount(kind, weights=smooth, minlength=4)
+        groups = np.maximum((mass / mass.sum() * GROUPS).astype(int), mass > 0)
+        groups[mass.argmax()] += GROUPS - groups.sum()
+        klass, at = np.zeros(n, np.int32), 0
+        for k in range(4):
+            ids = order[kind[order] == k]
+            klass[ids] = at * EACH + _equal_classes(smooth[ids], int(groups[k]) * EACH)
+            at += int(groups[k])
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         row = np.where(rank < OWN_ROWS, rank, OWN_ROWS + np.arange(n) % SHARED_ROWS)
@@ -39,90 +65,158 @@ class Vocabulary:
         return Vocabulary(row.astype(np.int32), klass, np.log(smooth / total[klass]).astype(np.float32), np.maximum(total, 0.5) / total.sum())
 
 
-def fresh(vocabulary: Vocabulary | None = None, seed: int = 7) -> dict[str, np.ndarray]:
+def _equal_classes(mass: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each item of descending ``mass``: a class is closed when it holds its share of what is left."""
+    out, k, held, left = np.zeros(len(mass), np.int32), 0, 0.0, float(mass.sum())
+    for i, m in enumerate(mass.tolist()):
+        out[i] = k
+        held += m
+        if held >= left / (classes - k) and k < classes - 1:
+            left -= held
+            k, held = k + 1, 0.0
+    return out
+
+
+def fresh(vocabulary: Vocabulary | None = None, seed: int = 7) -> np.ndarray:
     """Starting weights; the output starts at the classes' shares of the corpus."""
     r = np.random.default_rng(seed)
-    draw = lambda *shape, by=1.0: (r.standard_normal(shape) * by).astype(np.float32)
-    d = WIDTH
-    return {
-        "e": draw(OWN_ROWS + SHARED_ROWS, d, by=0.3), "q": draw(d, d, by=d**-0.5), "k": draw(d, d, by=d**-0.5), "v": draw(d, d, by=d**-0.5), "o": draw(d, d, by=d**-0.5),
-        "a": draw(d, HIDDEN, by=d**-0.5), "a0": np.zeros(HIDDEN, np.float32), "b": draw(HIDDEN, d, by=HIDDEN**-0.5), "u": draw(d, CLASSES, by=0.1),
-        "u0": np.zeros(CLASSES, np.float32) if vocabulary is None else np.log(vocabulary.share).astype(np.float32), "near": np.zeros(WINDOW, np.float32),
-    }
+    flat = np.zeros(SIZE, np.float32)
+    w = views(flat)
+    for name, by in (("e", 0.3), ("qkv", WIDTH**-0.5), ("o", WIDTH**-0.5), ("a", WIDTH**-0.5), ("b", HIDDEN**-0.5), ("u", 0.1), ("v", 0.1)):
+        w[name][:] = r.standard_normal(w[name].shape) * by
+    if vocabulary is not None:
+        share = vocabulary.share.reshape(GROUPS, EACH)
+        w["u0"][:] = np.log(share.sum(axis=1))
+        w["v0"][:] = np.log(share / share.sum(axis=1, keepdims=True))
+    return flat
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits, and the sum of each row."""
+    e = np.exp(np.minimum(z, _MOST, out=z))
+    return e, e @ np.ones(z.shape[-1], z.dtype)
 
 
-def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, real: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of classes ``target`` [B, T] after embedding rows ``rows`` [B, T], and its gradients.
+def _sorted_by_group(klass: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """``places`` in order of their class's group, the groups, the classes in them, and (group, from, to) of those that occur."""
+    group = (klass[places] // EACH).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    places, group = places[order], group[order].astype(np.int64)
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    runs = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+    return places, group, klass[places] % EACH, runs
 
+
+def _logits(w: dict[str, np.ndarray], y: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all groups, and of the classes of each row's own group."""
+    one, two = y @ w["u"], np.empty((len(y), EACH), y.dtype)
+    one += w["u0"]
+    for k, a, b in runs:
+        np.matmul(y[a:b], w["v"][k], out=two[a:b])
+        two[a:b] += w["v0"][k]
+    return one, two
+
+
+def gradients(w: dict[str, np.ndarray], rows: np.ndarray, klass: np.ndarray, real: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean loss of classes ``klass`` [B, T] after embedding rows ``rows`` [B, T], and its gradients.
+
+    They are those of all weights but the embedding, flat, and the embedding rows that occur with theirs.
     Where ``real`` is false, after a window's end, a place counts neither for the loss nor for the gradients.
     """
     n, t = rows.shape
-    scale = np.float32(WIDTH**-0.5)
+    d, kind = WIDTH, w["e"].dtype
+    scale = kind.type(d**-0.5)
     gap = np.arange(t)[:, None] - np.arange(t)
-    mask = np.where(gap >= 0, 0, -1e9).astype(np.float32)
-    x = w["e"][rows]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    s = q @ k.transpose(0, 2, 1) * scale + w["near"][np.maximum(gap, 0)] + mask
-    p = np.exp(s - s.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    c = p @ v
+    ones = np.ones((t, 1), kind)
+    x = w["e"].take(rows.ravel(), axis=0)
+    z = (x @ w["qkv"]).reshape(n, t, 3 * d)
+    q, k, v = z[..., :d], z[..., d : 2 * d], z[..., 2 * d :]
+    p = q @ k.transpose(0, 2, 1)
+    p *= scale
+    np.exp(np.minimum(p, _MOST, out=p), out=p)
+    p *= np.where(gap >= 0, np.exp(w["near"][np.maximum(gap, 0)]), 0).astype(kind)
+    p /= p @ ones
+    c = (p @ v).reshape(-1, d)
     h = x + c @ w["o"]
-    pre = h @ w["a"] + w["a0"]
-    f = np.maximum(pre, 0)
+    f = h @ w["a"]
+    f += w["a0"]
+    np.maximum(f, 0, out=f)
     y = h + f @ w["b"]
-    z = y @ w["u"] + w["u0"]
-    z -= z.max(axis=2, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(axis=2, keepdims=True)
-    at = (np.arange(n)[:, None], np.arange(t), target)
-    each = np.log(total[..., 0]) - z[at]
-    dz = e / total
-    dz[at] -= 1
-    if real is None or real.all():
-        loss = float(each.mean())
-        dz /= n * t
-    else:
-        many = int(real.sum())
-        loss = float(each[real].sum() / many)
-        dz *= (real / np.float32(many))[..., None].astype(dz.dtype)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"u": flat(y).T @ flat(dz), "u0": flat(dz).sum(axis=0)}
-    dy = dz @ w["u"].T
-    g["b"] = flat(f).T @ flat(dy)
-    dpre = (dy @ w["b"].T) * (pre > 0)
-    g["a"], g["a0"] = flat(h).T @ flat(dpre), flat(dpre).sum(axis=0)
-    dh = dy + dpre @ w["a"].T
-    g["o"] = flat(c).T @ flat(dh)
-    dc = dh @ w["o"].T
-    dp, dv = dc @ v.transpose(0, 2, 1), p.transpose(0, 2, 1) @ dc
-    ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-    g["near"] = np.bincount(np.maximum(gap, 0).ravel(), weights=np.where(gap >= 0, ds.sum(axis=0), 0).ravel(), minlength=WINDOW).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], rows.ravel(), flat(dx))
-    return loss, g
+
+    places, group, sub, runs = _sorted_by_group(klass.ravel(), np.arange(n * t) if real is None else np.flatnonzero(real))
+    many = len(places)
+    ys = y.take(places, axis=0)
+    one, two = _logits(w, ys, runs)
+    at = np.arange(many)
+    right = one[at, group] + two[at, sub]
+    (e1, s1), (e2, s2) = _exp(one), _exp(two)
+    loss = float((np.log(s1) + np.log(s2) - right).mean())
+    share = kind.type(1 / many)
+    e1 *= (share / s1)[:, None]
+    e2 *= (share / s2)[:, None]
+    e1[at, group] -= share
+    e2[at, sub] -= share
+
+    flat = np.zeros(SIZE - _TABLE, kind)
+    g = views(flat, skip=1)
+    g["u"][:], g["u0"][:] = ys.T @ e1, e1.sum(axis=0)
+    dys = e1 @ w["u"].T
+    for j, a, b in runs:
+        g["v"][j], g["v0"][j] = ys[a:b].T @ e2[a:b], e2[a:b].sum(axis=0)
+        dys[a:b] += e2[a:b] @ w["v"][j].T
+    dy = np.zeros_like(y)
+    dy[places] = dys
+    g["b"][:] = f.T @ dy
+    df = dy @ w["b"].T
+    df *= f > 0
+    g["a"][:], g["a0"][:] = h.T @ df, df.sum(axis=0)
+    dh = dy + df @ w["a"].T
+    g["o"][:] = c.T @ dh
+    dc = (dh @ w["o"].T).reshape(n, t, d)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= (ds * p) @ ones
+    ds *= p
+    g["near"][:] = np.bincount(np.maximum(gap, 0).ravel(), weights=np.where(gap >= 0, ds.sum(axis=0), 0).ravel(), minlength=WINDOW)
+    dz = np.empty((n, t, 3 * d), kind)
+    dz[..., 2 * d :] = p.transpose(0, 2, 1) @ dc
+    ds *= scale
+    dz[..., :d] = ds @ k
+    dz[..., d : 2 * d] = ds.transpose(0, 2, 1) @ q
+    dz = dz.reshape(-1, 3 * d)
+    g["qkv"][:] = x.T @ dz
+    dh += dz @ w["qkv"].T
+    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")
+    seen = rows.ravel()[order]
+    new = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+    return loss, flat, seen[new], np.add.reduceat(dh.take(order, axis=0), new, axis=0)
 
 
 class Adam:
-    """Adaptive moments, with state kept between calls."""
+    """Adaptive moments, with state kept between calls; those of an embedding row move when it occurs."""
 
-    def __init__(self, w: dict[str, np.ndarray], rate: float):
-        self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in w.items()}
-        self.s = {k: np.zeros_like(x) for k, x in w.items()}
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.flat, self.w, self.rate, self.t = flat, views(flat), rate, 0
+        self.m, self.s = np.zeros_like(flat), np.zeros_like(flat)
+        self.m_e, self.s_e = (x[:_TABLE].reshape(-1, WIDTH) for x in (self.m, self.s))
 
-    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def learn(self, rows: np.ndarray, klass: np.ndarray, real: np.ndarray | None = None) -> float:
+        """One step on a batch; its loss before the step."""
+        loss, dense, seen, table = gradients(self.w, rows, klass, real)
         self.t += 1
-        fix = np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k in w:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.s[k] += 0.01 * (g[k] * g[k] - self.s[k])
-            w[k] -= (self.rate * fix) * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)
+        rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        m, s = self.m[_TABLE:], self.s[_TABLE:]
+        m += np.float32(0.1) * (dense - m)
+        s += np.float32(0.01) * (dense * dense - s)
+        self.flat[_TABLE:] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+        m, s = self.m_e.take(seen, axis=0), self.s_e.take(seen, axis=0)
+        m += np.float32(0.1) * (table - m)
+        s += np.float32(0.01) * (table * table - s)
+        self.m_e[seen], self.s_e[seen] = m, s
+        self.w["e"][seen] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+        return loss
 
 
-def score_stream(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, off: np.ndarray, start_id: int, at_once: int = 2048) -> np.ndarray:
+def score_stream(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, off: np.ndarray, start_id: int, at_once: int = 512) -> np.ndarray:
     """Sum of natural-log probabilities of the ids of each text (``off``: where each begins, and the end).
 
     Windows of ``WINDOW`` ids overlap by ``WINDOW - STRIDE``; a window scores its last ``STRIDE`` ids, so every
@@ -139,43 +233,44 @@ def score_stream(w: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarr
     before[off[:-1][n > 0]] = start_id
     rows = np.zeros(lead + n_blocks * STRIDE, np.int32)
     rows[lead + place] = vocabulary.row[before]
-    target = np.zeros(n_blocks * STRIDE, np.int32)
-    target[place] = vocabulary.klass[ids]
+    klass = np.zeros(n_blocks * STRIDE, np.int32)
+    klass[place] = vocabulary.klass[ids]
+    real = np.zeros(n_blocks * STRIDE, bool)
+    real[place] = True
     head = np.zeros(n_blocks, bool)
     head[first[:-1][blocks > 0]] = True
     gap = (lead + np.arange(STRIDE))[:, None] - np.arange(WINDOW)
     near = np.where(gap >= 0, np.exp(w["near"][np.clip(gap, 0, WINDOW - 1)]), 0).astype(np.float32)
-    out = np.empty(n_blocks * STRIDE, np.float32)
-    qw = w["q"] * np.float32(WIDTH**-0.5)
-    ones, all_ones = np.ones((WINDOW, 1), np.float32), np.ones(CLASSES, np.float32)
-    u = np.concatenate([w["u"], w["u0"][None]])
+    out = np.zeros(n_blocks * STRIDE, np.float32)
+    qkv = w["qkv"].copy()
+    qkv[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+    ones = np.ones((WINDOW, 1), np.float32)
     for a in range(0, n_blocks, at_once):
         b = min(n_blocks, a + at_once)
         x = w["e"].take(rows[a * STRIDE : b * STRIDE + lead], axis=0)
-        k, v = x @ w["k"], x @ w["v"]
-        step, item = k.strides
-        shape, strides = (b - a, WINDOW, WIDTH), (STRIDE * step, step, item)
-        k, v = (np.lib.stride_tricks.as_strided(m, shape, strides) for m in (k, v))  # a window's rows, in place
-        x = x[lead:]
-        p = (x @ qw).reshape(b - a, STRIDE, WIDTH) @ k.transpose(0, 2, 1)
-        if p.max() > 60:
-            np.minimum(p, 60, out=p)
-        np.exp(p, out=p)
+        z = x @ qkv
+        step, item = z.strides
+        k, v = (np.lib.stride_tricks.as_strided(z[:, i * WIDTH :], (b - a, WINDOW, WIDTH), (STRIDE * step, step, item)) for i in (1, 2))  # a window's rows, in place
+        p = z[lead:, :WIDTH].reshape(b - a, STRIDE, WIDTH) @ k.transpose(0, 2, 1)
+        np.exp(np.minimum(p, _MOST, out=p), out=p)
         p *= near
         p[head[a:b], :, :lead] = 0
-        c = (p @ v) / (p @ ones)
-        h = np.ones((len(x), WIDTH + 1), np.float32)  # the last column carries the output's constant
-        h[:, :WIDTH] = x + c.reshape(-1, WIDTH) @ w["o"]
-        f = h[:, :WIDTH] @ w["a"]
+        c = p @ v
+        c /= p @ ones
+        h = x[lead:]
+        h += c.reshape(-1, WIDTH) @ w["o"]
+        f = h @ w["a"]
         f += w["a0"]
         np.maximum(f, 0, out=f)
-        h[:, :WIDTH] += f @ w["b"]
-        z = h @ u
-        if z.max() > 80:
-            np.minimum(z, 80, out=z)
-        t = z[np.arange(len(z)), target[a * STRIDE : b * STRIDE]]
-        np.exp(z, out=z)
-        out[a * STRIDE : b * STRIDE] = t - np.log(z @ all_ones)
+        h += f @ w["b"]
+        part = slice(a * STRIDE, b * STRIDE)
+        places, group, sub, runs = _sorted_by_group(klass[part], np.flatnonzero(real[part]))
+        one, two = _logits(w, h.take(places, axis=0), runs)
+        at = np.arange(len(places))
+        right = one[at, group] + two[at, sub]
+        (_, s1), (_, s2) = _exp(one), _exp(two)
+        s1 *= s2
+        out[part][places] = right - np.log(s1)
     each = out[place].astype(np.float64) + vocabulary.log_share[ids]
     total = np.zeros(len(ids) + 1)
     np.cumsum(each, out=total[1:])

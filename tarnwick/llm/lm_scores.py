@@ -1,17 +1,18 @@
 """Language-model scores: corpus word counts for a unigram base, and a causal self-attention model.
 
-One pass splits and tokenises all texts and writes them as numbers, with counts of words and
-subword ids in the training texts.  Every training text is cut into windows, of which the last may be
-short, so that each of its ids, the end id included, is a target once a round.  Workers
-train on their own windows from common weights, which are averaged after each round; at most
-``WORKERS`` sets of weights of fixed size reach the driver.  Scoring is one pass over the written ids.
-
-Word counts are joined to blocks of texts, not to words in texts: a block holds at most ``BLOCK_WORDS``
-different words, and gets each of its words' counts once.
+1.  Texts are cut into blocks of about ``BLOCK_BYTES``.  A block numbers its words by descending count, and writes each
+    text as numbers and each different word once, with its count in the block's training texts.
+2.  Words are summed over blocks, and each different word of the corpus is spelled as subword ids once.
+3.  Counts and ids come back to the blocks, one row for each word of a block, which gives each text its base score and its ids.
+4.  Every training text is cut into windows, of which the last may be short, so that each of its ids, the end id
+    included, is a target once.  Workers learn from their own windows, dealt to ``ROUNDS`` rounds by hash, from common weights
+    that are averaged after each round.  Sums of whole numbers make the average independent of the order of workers.
+5.  Scoring is one pass over the ids.
 
 Cases: a null text counts as empty, and has the end token alone.  A null ``doc_id`` is not held out and
 is never learned from.  Repeated rows are scored each and all count in the statistics.  An empty table gives
-an empty result; without training texts all counts are 0 and the model keeps its starting weights.
+an empty result; without training texts all counts are 0 and the model keeps its starting weights.  A text longer than a
+block is a block of its own.  Words of a block are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,63 +21,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import WINDOW, Adam, Vocabulary, fresh, gradients, score_stream
+from .attention import SIZE, WINDOW, Adam, Vocabulary, fresh, score_stream, views
 from .storage import materialise
-from .subwords import shared_encoder
-from .textbuf import mix
+from .subwords import Encoder
+from .textbuf import LOWER, blocks, hashes, mix, words
 
 START_ID, END_ID, IDS = 49406, 49407, 49408
-WORKERS, ROUNDS, BATCH, RATE = 256, 4, 32, 0.01
-#: Windows for each worker before there is another; batches that a worker learns from in a round, in a few passes if it has fewer.
-WORKER_WINDOWS, LEAST_BATCHES, PASSES = 4096, 200, 3
-BLOCK_WORDS = 400_000
-TEXT, WORD, ID = range(3)
-_ROWS = "kind int, block bigint, uid bigint, doc_id bigint, held_out boolean, number bigint, ids binary, words binary, word binary, n bigint"
-
+ROUNDS, BATCH, RATE = 4, 64, 0.02
+#: Ids for each worker before there is another; batches that a worker learns from in a round, in a few passes if it has fewer.
+WORKER_IDS, LEAST_BATCHES, PASSES = 2_000_000, 200, 3
+BLOCK_BYTES, SPELL_WORDS = 1 << 25, 1 << 18
+FIXED = 256.0  # weights times ids are summed in whole 256ths
+TEXT, WORD = range(2)
+_ROWS = "kind int, block bigint, doc_id bigint, held_out boolean, learn boolean, number bigint, n bigint, numbers binary, word binary"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-class _Numbers(dict):
-    """Numbers words in order of first sight, from 1; ``new`` lists those not yet taken up."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        self.new.append(word)
-        return n
-
-
-class _Block:
-    """The words of a block of texts: numbers, ids (number 0 is the end), counts in training texts."""
-
-    def __init__(self, number: int):
-        self.number, self.known, self.counts = number, _Numbers(), np.zeros(1, np.int64)
-        self.ids, self.first, self.many = np.array([END_ID], "<u2"), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def take(self, split: list[list[bytes]], encoder) -> list[np.ndarray]:
-        """Numbers of the words of each text; new words are encoded."""
-        get = self.known.__getitem__
-        out = [np.fromiter(map(get, words), np.int32, len(words)) for words in split]
-        if new := self.known.new:
-            raw = encoder.words(new)
-            many = np.array([len(x) // 4 for x in raw])
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(many) - many])
-            self.many = np.concatenate([self.many, many])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4").astype("<u2")])
-            self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
-            new.clear()
-        return out
-
-    def spell(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of words, joined."""
-        many = self.many[numbers]
-        ends = np.cumsum(many)
-        return self.ids[np.repeat(self.first[numbers] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+def _rows(kind: int, many: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    columns["kind"] = pa.array(np.full(many, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(many, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
 def _binary(values: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -85,53 +53,91 @@ def _binary(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def read_corpus(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Rows of three kinds: texts as numbers, words of a block with their counts in training texts, ids with theirs."""
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary array in a row, and where each of its items begins (one more at the end)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = np.dtype(kind).itemsize
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), (off - off[0]) // size
+
+
+def _ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places of ``many`` neighbours from each of ``first`` on."""
+    ends = np.cumsum(many)
+    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Block:
+    """Texts as hashed words, until they are numbered."""
+
+    def __init__(self):
+        self.size = 0
+        self.raw, self.start, self.end, self.hash, self.many = [], [], [], [], []
+        self.texts: list[pa.RecordBatch] = []
+
+    def add(self, texts: pa.RecordBatch, raw: np.ndarray, off: np.ndarray) -> None:
+        low = LOWER[raw]
+        start, end, first = words(low, off)
+        self.raw.append(low)
+        self.start.append(start + self.size)
+        self.end.append(end + self.size)
+        self.hash.append(hashes(low, start, end))
+        self.many.append(np.diff(first))
+        self.texts.append(texts)
+        self.size += len(low)
+
+    def close(self, number: int) -> Iterator[pa.RecordBatch]:
+        if not self.texts:
+            return
+        texts = pa.Table.from_batches(self.texts).combine_chunks()
+        raw, start, end, h, many = (np.concatenate(x) for x in (self.raw, self.start, self.end, self.hash, self.many))
+        order = np.argsort(h)
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        of = np.cumsum(new) - 1
+        rank = np.argsort(-np.bincount(of), kind="stable") if len(h) else np.zeros(0, np.int64)  # the commonest word gets the least number
+        place = np.empty(len(rank), np.int32)
+        place[rank] = np.arange(len(rank), dtype=np.int32)
+        numbers = np.empty(len(h), "<u4")
+        numbers[order] = place[of]
+        one = order[new][rank]  # an occurrence of each word
+        learn = texts["learn"].combine_chunks().to_numpy(zero_copy_only=False)
+        counts = np.bincount(numbers[np.repeat(learn, many)], minlength=len(one))
+        first = np.concatenate([[0], np.cumsum(many)])
+        for at in range(0, len(many), 1024):
+            n = min(1024, len(many) - at)
+            part = texts.slice(at, n)
+            spelled = [numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(first[at : at + n].tolist(), first[at + 1 : at + n + 1].tolist(), strict=True)]
+            yield _rows(TEXT, n, block=pa.array(np.full(n, number)), n=pa.array(many[at : at + n]), numbers=pa.array(spelled, pa.binary()), **{c: part[c].combine_chunks() for c in ("doc_id", "held_out", "learn")})
+        for at in range(0, len(one), 1 << 16):
+            part = one[at : at + (1 << 16)]
+            size = end[part] - start[part]
+            word = _binary(raw[_ragged(start[part], size)], np.concatenate([[0], np.cumsum(size)]))
+            n = len(part)
+            yield _rows(WORD, n, block=pa.array(np.full(n, number)), number=pa.array(np.arange(at, at + n)), n=pa.array(counts[at : at + n]), word=word)
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    """The numbers of a text's words, which are written byte by byte: all lowest bytes first."""
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def read_corpus(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds: texts as numbers of their block's words, and these words with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer)
-        uid = TaskContext.get().partitionId() << 33
-        names = [x.split()[0] for x in _ROWS.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        end = np.zeros(1, np.int32)
-
-        def rows(kind: int, many: int, **columns) -> pa.RecordBatch:
-            columns["kind"] = pa.array(np.full(many, kind, np.int32))
-            return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(many, t) for c, t in zip(names, types, strict=True)], names=names)
-
-        def close(b: _Block) -> Iterator[pa.RecordBatch]:
-            words = list(b.known)
-            for at in range(0, len(words), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                n = len(words[part])
-                yield rows(WORD, n, block=pa.array(np.full(n, b.number)), number=pa.array(np.arange(at + 1, at + n + 1)), word=pa.array(words[part], pa.binary()), n=pa.array(b.counts[at + 1 : at + n + 1]))
-
-        block, id_counts = _Block(uid), np.zeros(IDS, np.int64)
+        number, block = TaskContext.get().partitionId() << 33, _Block()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                n = len(part)
-                learn = np.array(part["learn"].to_pylist(), bool)
-                numbers = block.take([t.lower().split() for t in pc.fill_null(part["text"], b"").to_pylist()], encoder)
-                ended = np.concatenate([x for y in numbers for x in (y, end)])
-                size = np.array([len(x) for x in numbers])
-                off = np.concatenate([[0], np.cumsum(size + 1)])
-                ids = block.spell(ended)
-                spelled = np.concatenate([[0], np.cumsum(block.many[ended])])[off]
-                if learn.any():
-                    block.counts += np.bincount(np.concatenate([numbers[k] for k in np.flatnonzero(learn)]), minlength=len(block.counts))
-                    id_counts += np.bincount(ids[np.repeat(learn, np.diff(spelled))], minlength=IDS)
-                yield rows(
-                    TEXT, n, block=pa.array(np.full(n, block.number)), uid=pa.array(np.arange(uid, uid + n)), doc_id=part["doc_id"], held_out=part["held_out"],
-                    number=pa.array(size), ids=_binary(ids, spelled), words=_binary(np.concatenate(numbers), np.concatenate([[0], np.cumsum(size)])),
-                )
-                uid += n
-                if len(block.known) > BLOCK_WORDS:
-                    yield from close(block)
-                    block = _Block(uid)
-        yield from close(block)
-        seen = np.flatnonzero(id_counts)
-        yield rows(ID, len(seen), number=pa.array(seen), n=pa.array(id_counts[seen]))
+            for at, raw, off in blocks(batch["text"]):
+                block.add(batch.slice(at, len(off) - 1), raw, off)
+                if block.size >= block_bytes:
+                    yield from block.close(number)
+                    number, block = number + 1, _Block()
+        yield from block.close(number)
 
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     source = docs.select(
@@ -141,145 +147,189 @@ def read_corpus(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return source.mapInArrow(run, _ROWS)
 
 
-def training_windows(texts: DataFrame) -> DataFrame:
-    """(ids): the windows of all training texts, each the id before it (or the start id) and up to ``WINDOW`` targets.
+def spelled_words(corpus: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(word, n, ids): each different word, its count in training texts, its subword ids as 16-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer, memory=200_000)
+        for batch in batches:
+            for at in range(0, len(batch), 8192):
+                part = batch.slice(at, 8192)
+                raw = encoder.words(part["word"].to_pylist())
+                ids = np.frombuffer(b"".join(raw), "<u4").astype("<u2")
+                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+                yield pa.RecordBatch.from_arrays([part["word"], part["n"], _binary(ids, off)], names=["word", "n", "ids"])
+
+    summed = corpus.where(f"kind = {WORD}").groupBy("word").agg(F.sum("n").alias("n"))
+    return summed.mapInArrow(run, "word binary, n bigint, ids binary")
 
-    Windows of 256 texts come mixed, in the order of a hash of document and place.
-    """
+
+def id_counts(spelled: DataFrame) -> np.ndarray:
+    """[3, ids]: how often each id occurs in training texts, begins a word, ends one.  Three numbers an id reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = np.array([START_ID], "<u2").tobytes()
+        total = np.zeros((3, IDS), np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                raw = [lead + x for x in part["ids"].to_pylist()]
-                many = np.array([-(-(len(x) // 2 - 1) // WINDOW) for x in raw])
-                start = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * WINDOW
-                of = np.repeat(np.arange(len(raw)), many)
-                doc_id = part["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                order = np.argsort(mix(doc_id[of] + mix(start.astype(np.uint64) + np.uint64(1))), kind="stable")
-                ids = [raw[k][2 * a : 2 * (a + WINDOW + 1)] for k, a in zip(of[order].tolist(), start[order].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
-
-    return texts.where("not held_out and doc_id is not null").select("doc_id", "ids").mapInArrow(run, "ids binary")
-
-
-def _stacked(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows as rows, filled up at their ends, and which targets are real."""
-    many = np.array([len(x) for x in windows])
-    real = np.arange(WINDOW + 1) < many[:, None]
-    ids = np.full(real.shape, END_ID, "<u2")
-    ids[real] = np.concatenate(windows)
-    return ids, real[:, 1:]
-
-
-def train(windows: DataFrame, vocabulary: Vocabulary, workers: int = WORKERS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Average, after each round, what each of at most ``workers`` tasks learned from its own windows."""
-    weights = fresh(vocabulary)
-    names = list(weights)
-    parts = max(1, min(workers, windows.count() // WORKER_WINDOWS))
-    dealt = windows.coalesce(parts)  # a worker takes whole parts of the corpus: no round shuffles it
-    for k in range(rounds):
-        rate = RATE * (1 - k / rounds)
-
-        def run(batches: Iterator[pa.RecordBatch], start=weights, rate=rate) -> Iterator[pa.RecordBatch]:
-            w, seen = {n: x.copy() for n, x in start.items()}, 0
-            adam = Adam(w, rate)
+            ids, off = _flat(batch["ids"], "<u2")
+            n, many = batch["n"].to_numpy(), np.diff(off)
+            some = many > 0
+            total[0] += np.bincount(ids, np.repeat(n, many), IDS).astype(np.int64)
+            total[1] += np.bincount(ids[off[:-1][some]], n[some], IDS).astype(np.int64)
+            total[2] += np.bincount(ids[off[1:][some] - 1], n[some], IDS).astype(np.int64)
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(x[seen]) for x in total)], names=["id", "n", "first", "last"])
+
+    parts = spelled.where("n > 0").select("n", "ids").mapInArrow(run, "id bigint, n bigint, first bigint, last bigint")
+    got = parts.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", "first", "last"))).toArrow()
+    out = np.zeros((3, IDS), np.int64)
+    out[:, got["id"].to_numpy()] = [got[c].to_numpy() for c in ("n", "first", "last")]
+    return out
+
+
+def base_scores(corpus: DataFrame, spelled: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, held_out, learn, n_tokens, n_known, train_tokens, base_score, ids) of each text, and how many are learned from."""
+    texts = corpus.where(f"kind = {TEXT}").select("block", "doc_id", "held_out", "learn", "n", "numbers")
+    seen, different = spelled.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    ends = texts.where("learn").count()
+    tokens, kinds = seen + ends, different + (ends > 0)
+    known = corpus.where(f"kind = {WORD}").select(F.col("block").alias("of_block"), "number", "word").join(spelled, "word").drop("word")
+    end_score = float(np.log10((ends + 1) / (tokens + kinds + 1)))
+
+    def score(t: pa.Table, c: pa.Table) -> pa.Table:
+        spell, first = _flat(c["ids"], "<u2")
+        spell = np.append(spell, np.uint16(END_ID))  # the end stands behind all words
+        at, n = np.full(c.num_rows + 1, len(spell) - 1), np.zeros(c.num_rows + 1, np.int64)
+        many, log = np.ones(c.num_rows + 1, np.int64), np.full(c.num_rows + 1, end_score)
+        number = c["number"].to_numpy()
+        at[number], many[number], n[number] = first[:-1], np.diff(first), c["n"].to_numpy()
+        n[-1] = ends
+        log[number] = np.log10((n[number] + 1) / (tokens + kinds + 1))
+        out, size = [], np.cumsum(t["n"].to_numpy() + 1)
+        lo = 0
+        while lo < t.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + SPELL_WORDS)))
+            part = t.slice(lo, hi - lo)
+            texts = [_numbers(x) for x in part["numbers"].to_pylist()]
+            end = np.array([c.num_rows], "<u4")
+            flat = np.concatenate([x for y in texts for x in (y, end)])
+            off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+            ids = spell[_ragged(at[flat], many[flat])]
+            base, hit = np.add.reduceat(log[flat], off[:-1]), np.add.reduceat((n[flat] > 0).astype(np.int64), off[:-1])
+            id_off = np.concatenate([[0], np.cumsum(many[flat])])[off]
+            out.append(pa.table({
+                "doc_id": part["doc_id"], "held_out": part["held_out"], "learn": part["learn"], "n_tokens": pa.array(np.diff(off)), "n_known": pa.array(hit),
+                "train_tokens": pa.array(np.full(len(texts), tokens, np.int64)), "base_score": pa.array(base), "ids": _binary(ids, id_off),
+            }))
+            lo = hi
+        return pa.concat_tables(out)
+
+    schema = "doc_id bigint, held_out boolean, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, ids binary"
+    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(score, schema), ends
+
+
+def windows(ids: np.ndarray, off: np.ndarray, doc_id: np.ndarray, turn: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets [n, WINDOW] and which targets are real, of the windows that a hash deals to round ``turn``, in the hash's order."""
+    n = np.diff(off)
+    many = -(-n // WINDOW)
+    of = np.repeat(np.arange(len(n)), many)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * WINDOW
+    h = mix(doc_id.astype(np.int64).view(np.uint64)[of] + mix(start.astype(np.uint64) + np.uint64(1)))
+    pick = np.flatnonzero((h >> np.uint64(32)) % np.uint64(rounds) == np.uint64(turn))
+    pick = pick[np.argsort(h[pick], kind="stable")]
+    of, start = of[pick], start[pick]
+    real = np.arange(WINDOW) < (n[of] - start)[:, None]
+    at = (off[of] + start)[:, None] + np.arange(WINDOW)
+    inputs = ids[np.maximum(np.minimum(at, len(ids)) - 1, 0)]
+    inputs[start == 0, 0] = START_ID
+    return inputs, np.where(real, ids[np.minimum(at, len(ids) - 1)], np.uint16(END_ID)), real
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int = WORKER_IDS, rounds: int = ROUNDS) -> np.ndarray:
+    """Average, after each round, what each task learned from its own windows of ``texts`` (doc_id, ids), ``ids`` in all."""
+    flat = fresh(vocabulary)
+    dealt = texts.select("doc_id", "ids").coalesce(max(1, ids // worker_ids))  # a worker takes whole parts of the corpus: no round shuffles it
+    for turn in range(rounds):
+        rate = RATE * (1 - turn / rounds)
+
+        def run(batches: Iterator[pa.RecordBatch], start=flat, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
+            adam, seen = Adam(start.copy(), rate), 0
             held: list[np.ndarray] = []
+            first: list[list[np.ndarray]] = []
 
-            def learn(ids: np.ndarray, real: np.ndarray) -> None:
-                _, g = gradients(w, vocabulary.row[ids[:, :-1]], vocabulary.klass[ids[:, 1:]], real)
-                adam.step(w, g)
+            def learn(part: list[np.ndarray]) -> None:
+                inputs, targets, real = part
+                adam.learn(vocabulary.row[inputs], vocabulary.klass[targets], real)
 
-            first: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
-                held += [np.frombuffer(x, "<u2") for x in batch["ids"].to_pylist()]
-                while len(held) >= BATCH:
-                    stacked = _stacked(held[:BATCH])
-                    if len(first) < LEAST_BATCHES:
-                        first.append(stacked)
-                    learn(*stacked)
-                    seen += int(stacked[1].sum())
-                    held = held[BATCH:]
-            if held:
-                first.append(_stacked(held))
-                learn(*first[-1])
-                seen += int(first[-1][1].sum())
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
+                    new = windows(*_flat(part["ids"], "<u2"), part["doc_id"].to_numpy(), turn, rounds)
+                    held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else list(new)
+                    whole = len(held[0]) // BATCH * BATCH
+                    for a in range(0, whole, BATCH):
+                        learn([x[a : a + BATCH] for x in held])
+                        if len(first) < LEAST_BATCHES:
+                            first.append([x[a : a + BATCH].copy() for x in held])
+                    seen += int(held[2][:whole].sum())
+                    held = [x[whole:] for x in held]
+            if held and len(held[0]):
+                learn(held)
+                seen += int(held[2].sum())
+                first.append(held)
             for k in range(adam.t, min(LEAST_BATCHES, PASSES * len(first))):
-                learn(*first[k % len(first)])
+                learn(first[k % len(first)])
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([np.concatenate([w[n].ravel() for n in names]).tobytes()], pa.binary())], names=["seen", "weights"])
+                whole = np.rint(adam.flat.astype(float) * (seen * FIXED)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["seen", "weights"])
 
-        got = dealt.mapInArrow(run, "seen bigint, weights binary").toArrow()
-        seen = got["seen"].to_numpy().astype(float)
-        if not len(seen):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, total = 0, np.zeros(SIZE, np.int64)
+            for batch in batches:
+                for n, x in zip(batch["seen"].to_pylist(), batch["weights"], strict=True):
+                    seen += n
+                    total += np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "weights"])
+
+        schema = "seen bigint, weights binary"
+        got = dealt.mapInArrow(run, schema).repartition(4).mapInArrow(add, schema).toArrow()  # four sums of fixed size reach the driver
+        seen = sum(got["seen"].to_pylist())
+        if not seen:
             break
-        order = sorted(range(len(seen)), key=lambda i: got["weights"][i].as_py()[:64])  # the same sum in any order of arrival
-        flat = sum(np.frombuffer(got["weights"][i].as_py(), np.float32) * np.float32(seen[i] / seen.sum()) for i in order)
-        at = 0
-        for n in names:
-            size = weights[n].size
-            weights = weights | {n: flat[at : at + size].reshape(weights[n].shape)}
-            at += size
-    return weights
+        total = sum(np.frombuffer(x, np.int64) for x in got["weights"].to_pylist())
+        flat = (total / (seen * FIXED)).astype(np.float32)
+    return flat
 
 
-def model_scores(texts: DataFrame, weights: dict[str, np.ndarray], vocabulary: Vocabulary) -> DataFrame:
-    """(uid, score): log10 probability of each text's ids."""
+def model_scores(texts: DataFrame, flat: np.ndarray, vocabulary: Vocabulary) -> DataFrame:
+    """``texts`` with ``score``, the log10 probability of ``ids``, in their place."""
+    keep = [c for c in texts.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = views(flat)
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                raw = part["ids"].to_pylist()
-                off = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])])
-                ids = np.frombuffer(b"".join(raw), "<u2")
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                ids, off = _flat(part["ids"], "<u2")
                 score = score_stream(weights, vocabulary, ids, off, START_ID) / np.log(10)
-                yield pa.RecordBatch.from_arrays([part["uid"], pa.array(score)], names=["uid", "score"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(score)], names=[*keep, "score"])
 
-    return texts.select("uid", "ids").mapInArrow(run, "uid bigint, score double")
+    schema = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
+    return texts.mapInArrow(run, schema)
 
 
-def base_scores(corpus: DataFrame) -> DataFrame:
-    """(uid, doc_id, held_out, n_tokens, n_known, train_tokens, base_score) of each text."""
-    words = corpus.where(f"kind = {WORD}").select("block", "number", "word", "n")
-    totals = materialise(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "word_counts")
-    texts = corpus.where(f"kind = {TEXT}").select("block", "uid", "doc_id", "held_out", "words")
-    seen, different = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = texts.where("not held_out and doc_id is not null").count()
-    tokens, kinds = seen + ends, different + (ends > 0)
-    numbers = words.select(F.col("block").alias("of_block"), "number", "word")
-    known = numbers.join(totals, "word").select("of_block", "number", "n")
-    end_score = float(np.log10((ends + 1) / (tokens + kinds + 1)))
-
-    def score(t: pa.Table, c: pa.Table) -> pa.Table:
-        raw = t["words"].to_pylist()
-        numbers = np.frombuffer(b"".join(raw), "<i4")
-        off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
-        counts = np.zeros(int(max([-1, numbers.max(initial=-1)])) + 1)
-        at = c["number"].to_numpy()
-        counts[at] = c["n"].to_numpy()
-        of = counts[numbers]
-        log = np.concatenate([[0.0], np.cumsum(np.log10((of + 1) / (tokens + kinds + 1)))])
-        hit = np.concatenate([[0], np.cumsum(of > 0)])
-        return pa.table({
-            "uid": t["uid"], "doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(np.diff(off) + 1),
-            "n_known": pa.array(hit[off[1:]] - hit[off[:-1]] + int(ends > 0), pa.int64()), "train_tokens": pa.array(np.full(len(raw), tokens, np.int64)),
-            "base_score": pa.array(log[off[1:]] - log[off[:-1]] + end_score),
-        })
-
-    schema = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
-    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(score, schema)
+def vocabulary_of(spelled: DataFrame, ends: int) -> tuple[Vocabulary, int]:
+    """The vocabulary that corpus counts fix, and the number of training ids."""
+    counts = id_counts(spelled)
+    counts[:, END_ID] = ends
+    return Vocabulary.of(*counts), int(counts[0].sum())
 
 
 def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
-    corpus = materialise(read_corpus(docs, tokenizer), "corpus")
-    got = corpus.where(f"kind = {ID}").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(IDS)
-    counts[got["number"].to_numpy()] = got["n"].to_numpy()
-    vocabulary = Vocabulary.of(counts)
-    texts = corpus.where(f"kind = {TEXT}")
-    weights = train(training_windows(texts), vocabulary)
-    scored = model_scores(texts, weights, vocabulary)
-    return base_scores(corpus).join(scored, "uid").drop("uid")
+    corpus = materialise(read_corpus(docs), "corpus")
+    spelled = materialise(spelled_words(corpus, tokenizer), "words")
+    found, ends = base_scores(corpus, spelled)
+    texts = materialise(found, "texts")
+    vocabulary, ids = vocabulary_of(spelled, ends)
+    flat = train(texts.where("learn"), vocabulary, ids)
+    return model_scores(texts.drop("learn"), flat, vocabulary)

@@ -78,9 +78,20 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, off)
 
 
-def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: equal bytes hash alike wherever they stand."""
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: equal bytes hash alike wherever they stand.
+
+    Spans follow each other; a long text is hashed in runs of about ``at_once`` bytes.
+    """
     n = len(raw)
+    if n > at_once and len(start) > 1:
+        out, a = np.empty(len(start), np.uint64), 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(start, start[a] + at_once)))
+            lo, hi = int(start[a]), int(end[b - 1])
+            out[a:b] = hashes(raw[lo:hi], start[a:b] - lo, end[a:b] - lo, max(at_once, hi - lo))
+            a = b
+        return out
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])

@@ -262,12 +262,25 @@ def test_language_of_everything(spark, odd, nothing):
 # 6 language model
 
 
+def slow_model(w, voc, x, target):
+    """log probability of ``target`` after the ids ``x``."""
+    d = attention.WIDTH
+    x = w["e"][voc.row[x]]
+    q, k, v = np.split(x @ w["qkv"], 3, axis=1)
+    a = np.exp(q[-1] @ k.T * d**-0.5 + w["near"][np.arange(len(x))[::-1]])
+    h = x[-1] + (a @ v) / a.sum() @ w["o"]
+    y = h + np.maximum(h @ w["a"] + w["a0"], 0) @ w["b"]
+    group, sub = divmod(int(voc.klass[target]), attention.EACH)
+    one, two = y @ w["u"] + w["u0"], y @ w["v"][group] + w["v0"][group]
+    return one[group] - np.log(np.exp(one).sum()) + two[sub] - np.log(np.exp(two).sum()) + voc.log_share[target]
+
+
 def test_windows_against_one_text_at_a_time():
     r = np.random.default_rng(0)
     counts = r.integers(0, 9, lm_scores.IDS)
-    voc = attention.Vocabulary.of(counts)
+    voc = attention.Vocabulary.of(counts, counts // 2 + r.integers(0, 2, lm_scores.IDS), counts // 2)
     assert np.isclose(np.bincount(voc.klass, weights=np.exp(voc.log_share)), 1).all()
-    w = attention.fresh(voc, 1)
+    w = attention.views(attention.fresh(voc, 1))
     texts = [r.integers(0, 100, n).astype("<u2") for n in (0, 1, 15, 16, 17, 33, 70)]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = attention.score_stream(w, voc, np.concatenate(texts), off, lm_scores.START_ID, at_once=3)
@@ -275,28 +288,43 @@ def test_windows_against_one_text_at_a_time():
         want, whole = 0.0, np.concatenate([[lm_scores.START_ID], t]).astype(int)
         for i in range(len(t)):
             first = max(0, i // attention.STRIDE * attention.STRIDE - (attention.WINDOW - attention.STRIDE))
-            x = w["e"][voc.row[whole[first : i + 1]]]
-            a = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T * attention.WIDTH**-0.5 + w["near"][np.arange(len(x))[::-1]])
-            h = x[-1] + (a @ (x @ w["v"])) / a.sum() @ w["o"]
-            y = h + np.maximum(h @ w["a"] + w["a0"], 0) @ w["b"]
-            z = y @ w["u"] + w["u0"]
-            want += z[voc.klass[t[i]]] - np.log(np.exp(z).sum()) + voc.log_share[t[i]]
+            want += slow_model(w, voc, whole[first : i + 1], int(t[i]))
         assert s == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_probabilities_of_all_ids_add_up():
+    r = np.random.default_rng(2)
+    counts = r.integers(0, 50, lm_scores.IDS)
+    voc = attention.Vocabulary.of(counts, r.integers(0, 50, lm_scores.IDS), r.integers(0, 50, lm_scores.IDS))
+    w = attention.views(attention.fresh(voc, 1))
+    off = np.arange(0, 2 * lm_scores.IDS + 2, 2)
+    ids = np.stack([np.full(lm_scores.IDS + 0, 5), np.arange(lm_scores.IDS)], axis=1).ravel().astype("<u2")
+    two = attention.score_stream(w, voc, ids, off[: lm_scores.IDS + 1], lm_scores.START_ID)
+    one = attention.score_stream(w, voc, ids[:1], np.array([0, 1]), lm_scores.START_ID)
+    assert np.exp(two - one[0]).sum() == pytest.approx(1, abs=0.02)  # classes without ids hold the rest
+
+
+def full_gradient(flat, rows, klass, real=None):
+    loss, dense, seen, table = attention.gradients(attention.views(flat), rows, klass, real)
+    g = np.concatenate([np.zeros(attention.SIZE - len(dense)), dense])
+    attention.views(g)["e"][seen] = table
+    return loss, g
+
+
 def test_gradients():
     r = np.random.default_rng(0)
-    w = {k: x.astype(float) for k, x in attention.fresh().items()}
-    rows, target = r.integers(0, 50, (3, attention.WINDOW)), r.integers(0, attention.CLASSES, (3, attention.WINDOW))
-    _, g = attention.gradients(w, rows, target)
-    for k, x in w.items():
-        at = (int(rows[0, 3]), 5) if k == "e" else tuple(int(r.integers(0, n)) for n in x.shape)
+    flat = attention.fresh().astype(float)
+    rows, klass = r.integers(0, 50, (3, attention.WINDOW)), r.integers(0, attention.CLASSES, (3, attention.WINDOW))
+    _, g = full_gradient(flat, rows, klass)
+    grads = attention.views(g)
+    for k, x in attention.views(flat).items():
+        at = (int(rows[0, 3]), 5) if k == "e" else (int(klass[0, 0]) // attention.EACH, *(0, 1)[: x.ndim - 1]) if k in ("v", "v0") else tuple(int(r.integers(0, n)) for n in x.shape)
         old, loss = x[at], []
         for d in (1e-5, -1e-5):
             x[at] = old + d
-            loss.append(attention.gradients(w, rows, target)[0])
+            loss.append(full_gradient(flat, rows, klass)[0])
         x[at] = old
-        assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-8)
+        assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(grads[k][at], rel=1e-3, abs=1e-8)
 
 
 def test_base_scores(spark, odd, nothing):
@@ -316,29 +344,42 @@ def test_base_scores(spark, odd, nothing):
 
 def test_gradients_leave_out_what_follows_a_window():
     r = np.random.default_rng(1)
-    w = {k: x.astype(float) for k, x in attention.fresh().items()}
-    rows, target = r.integers(0, 50, (1, attention.WINDOW)), r.integers(0, attention.CLASSES, (1, attention.WINDOW))
+    flat = attention.fresh().astype(float)
+    rows, klass = r.integers(0, 50, (1, attention.WINDOW)), r.integers(0, attention.CLASSES, (1, attention.WINDOW))
     real = np.arange(attention.WINDOW)[None] < 9
-    loss, g = attention.gradients(w, rows, target, real)
-    want, short = attention.gradients(w, rows[:, :9], target[:, :9])
-    assert loss == pytest.approx(want) and all(np.allclose(g[k], short[k]) for k in w)
+    loss, g = full_gradient(flat, rows, klass, real)
+    want, short = full_gradient(flat, rows[:, :9], klass[:, :9])
+    assert loss == pytest.approx(want) and np.allclose(g, short)
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_every_training_id_is_a_target_once(rounds):
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, 60000, n).astype("<u2") for n in (1, 10, 31, 32, 33, 64, 500)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = [lm_scores.windows(np.concatenate(texts), off, np.arange(len(texts)) - 2, k, rounds) for k in range(rounds)]
+    assert sorted(np.concatenate([targets[real] for _, targets, real in got])) == sorted(np.concatenate(texts))
+    pairs = sorted((int(a), int(b)) for inputs, targets, real in got for a, b in zip(inputs[real], targets[real], strict=True))
+    assert pairs == sorted((int(a), int(b)) for t in texts for a, b in zip([lm_scores.START_ID, *t[:-1]], t, strict=True))
 
 
-def test_every_training_id_is_learned(spark, odd):
-    texts = lm_scores.read_corpus(odd).where(f"kind = {lm_scores.TEXT}")
-    learn = [np.frombuffer(x.ids, "<u2") for x in texts.where("not held_out and doc_id is not null").collect()]
-    windows = [np.frombuffer(x.ids, "<u2") for x in lm_scores.training_windows(texts).collect()]
-    targets = np.concatenate([x[1:] for x in windows])
-    assert any(len(x) % attention.WINDOW for x in learn) and max(map(len, windows)) == attention.WINDOW + 1
-    assert sorted(targets) == sorted(np.concatenate(learn))
-    assert sum(x[0] == lm_scores.START_ID for x in windows) == len(learn)
+@pytest.mark.parametrize("block_bytes", [1, 300, 1 << 25])
+def test_ids_are_the_tokenizer_s(spark, odd, block_bytes):
+    corpus = storage.materialise(lm_scores.read_corpus(odd, block_bytes), "corpus")
+    found, ends = lm_scores.base_scores(corpus, storage.materialise(lm_scores.spelled_words(corpus), "words"))
+    encoder = subwords.Encoder()
+    want = [np.append(np.frombuffer(encoder.texts([(t or "").encode().lower()])[0], "<u4"), lm_scores.END_ID).tolist() for t in odd.toPandas().text]
+    got = found.collect()
+    assert sorted(np.frombuffer(x.ids, "<u2").tolist() for x in got) == sorted(want)
+    assert ends == sum(x.learn for x in got)
 
 
 def test_short_texts_are_learned(spark):
     docs = documents(spark, [(i, "ka mi to", "a", "s") for i in range(400)] + [(i, "to re ka su", "a", "s") for i in range(400, 800)])
-    texts = lm_scores.read_corpus(docs).where(f"kind = {lm_scores.TEXT}")
-    counts = np.bincount(np.concatenate([np.frombuffer(x.ids, "<u2") for x in texts.where("not held_out").collect()]), minlength=lm_scores.IDS)
-    voc = attention.Vocabulary.of(counts)
+    corpus = storage.materialise(lm_scores.read_corpus(docs), "corpus")
+    spelled = lm_scores.spelled_words(corpus)
+    texts, ends = lm_scores.base_scores(corpus, spelled)
+    voc, _ = lm_scores.vocabulary_of(spelled, ends)
     before = lm_scores.model_scores(texts, attention.fresh(voc), voc).agg(F.sum("score")).first()[0]
     assert lm_scores.score(docs).agg(F.sum("score")).first()[0] > 0.7 * before
 
