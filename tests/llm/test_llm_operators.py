@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import gzip
 import hashlib
 import math
 import zlib
@@ -97,16 +98,36 @@ def test_archives_round_trip(spark, segment):
 
 def test_broken_archives():
     with pytest.raises(ValueError):
-        warc._payload("response", [{"number": 2, "total": None, "block": b""}])
+        warc._joined([{"number": 2, "total": None, "block": b""}])
     with pytest.raises(ValueError):
-        warc._payload("response", [{"number": 1, "total": None, "block": b"a"}, {"number": 2, "total": 9, "block": b"b"}])
+        warc._joined([{"number": 1, "total": None, "block": b"a"}, {"number": 2, "total": 9, "block": b"b"}])
     with pytest.raises(ValueError):
         warc.unchunked(b"3\r\nabcd\r\n0\r\n\r\n")
-    with pytest.raises(ValueError):
-        list(warc._parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n"))
+    for broken in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n", b"WARC/1.1\r\nContent-Length: 1\r\n\r\nab\r\n\r\n", b"junk\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc._parse([broken]))
     assert warc.unchunked(warc.chunked(b"abc" * 5000)) == b"abc" * 5000
 
 
+def test_inflated_in_pieces():
+    data = b"".join(warc._record([("WARC-Type", "x"), ("WARC-Record-ID", f"<{k}>")], bytes([k]) * k * 40000) for k in range(60))
+    data = data.replace(b"WARC/1.1", b"\r\n\r\nWARC/1.1")[4:] + b"\r\n\r\n"
+    members = gzip.compress(data[:700000]) + gzip.compress(data[700000:])
+    for raw in (data, gzip.compress(data), members):
+        assert [(r[0], len(r[7])) for r in warc._parse(warc.inflated(raw))] == [(str(k), k * 40000) for k in range(60)]
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.inflated(members[:-20]))
+
+
+def test_pages_that_repeat_an_id(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "u", "c"), (3, "u", "b")]
+    path = storage.new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    sha = {base64.b32encode(hashlib.sha1(x.encode()).digest()).decode(): x for x in "abc"}
+    got = sorted((r["page_id"], sha[r["payload_digest"]], r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.read_archives(spark, path).collect())
+    assert got == [(1, "a", "response", 0, 1), (1, "a", "response", 0, 1), (1, "b", "response", 0, 1), (2, "a", "revisit", 1, 1), (2, "c", "response", 0, 1), (3, "b", "revisit", 1, 1)]
+
+
 def test_no_pages(spark):
     path = storage.new_path(spark, "warc")
     warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
