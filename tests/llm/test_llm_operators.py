@@ -555,6 +555,56 @@ def test_search_against_all_products(spark, block):
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def exact_answer(rows, k=10, every=100):
+    """The k best by whole numbers, for each row of the queries' ids."""
+    whole = [(i, [math.floor(1024 * x) if abs(x) < 2**42 else int(x) * 1024 for x in v]) for i, v in rows]
+    out = []
+    for i, q in whole:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:k]
+            out += [(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("block", [16, 8192])
+def test_search_with_very_long_vectors(spark, kind, block):
+    r = np.random.default_rng(11)
+    v = r.normal(size=(90, 8)).astype(np.float32).astype(float)
+    v[3, 2], v[10, 0], v[20, 5], v[21, 5], v[30, 7], v[40] = 1e6, 1e30, -1e30, 3e38, -1e6, 0
+    v[50:53, 1] = 2.0**50, 2.0**50 + 2**20, -(2.0**50)
+    if kind == "double":
+        v[60, 3], v[61, 3] = 1.7e308, -1.7e308
+    v = v.astype(np.float32).astype(float) if kind == "float" else v
+    rows = [(i * 10, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+    got = sorted(tuple(x) for x in topk.top_k(df, block_rows=block, query_rows=4, head_rows=12).collect())
+    assert got == exact_answer(rows)
+
+
+def test_search_with_repeated_ids(spark):
+    r = np.random.default_rng(12)
+    rows = [(int(i), r.normal(size=5).astype(np.float32).tolist()) for i in [*range(95, 130), 120, 120, 101, 101]]
+    df = spark.createDataFrame([*rows, (100, rows[9][1])], "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(x) for x in topk.top_k(df).collect())
+    assert got == exact_answer([*rows, (100, rows[9][1])]) and len(got) == 20
+
+
+def test_few_queries_meet_short_vectors(spark):
+    """Blocks of vectors too short to matter are not met."""
+    r = np.random.default_rng(13)
+    v = r.normal(size=(4000, 16)) * np.where(np.arange(4000) < 400, 50.0, 0.01)[:, None]
+    rows = [(i, x) for i, x in enumerate(v.astype(np.float32).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk.top_k(df, block_rows=100, query_rows=50, head_rows=200)
+    w = np.floor(1024 * v.astype(np.float32).astype(float))
+    for q in (0, 300, 3900):
+        s = w @ w[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(4000), -s))[:10].tolist()
+        assert [x["vec_id"] for x in got.where(f"query_id = {q}").orderBy("rank").collect()] == want
+
+
 # 10 packing
 
 
