@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .attention import SIZE, WINDOW, Adam, Vocabulary, fresh, score_stream, views
 from .storage import materialise
 from .subwords import Encoder
-from .textbuf import LOWER, blocks, hashes, mix, words
+from .textbuf import LOWER, binary, blocks, different, flat, hashes, mix, ragged, words
 
 START_ID, END_ID, IDS = 49406, 49407, 49408
 ROUNDS, BATCH, RATE = 4, 64, 0.02
@@ -47,29 +47,6 @@ def _rows(kind: int, many: int, /, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(many, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
-def _binary(values: np.ndarray, off: np.ndarray) -> pa.Array:
-    """A binary array of the runs of ``values`` between ``off``."""
-    ends = (off * values.itemsize).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
-
-
-def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a binary array in a row, and where each of its items begins (one more at the end)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = np.dtype(kind).itemsize
-    _, off, data = column.buffers()
-    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw.view(kind), (off - off[0]) // size
-
-
-def _ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Places of ``many`` neighbours from each of ``first`` on."""
-    ends = np.cumsum(many)
-    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class _Block:
     """Texts as hashed words, until they are numbered."""
 
@@ -94,17 +71,11 @@ class _Block:
             return
         texts = pa.Table.from_batches(self.texts).combine_chunks()
         raw, start, end, h, many = (np.concatenate(x) for x in (self.raw, self.start, self.end, self.hash, self.many))
-        order = np.argsort(h)
-        h = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        of = np.cumsum(new) - 1
-        rank = np.argsort(-np.bincount(of), kind="stable") if len(h) else np.zeros(0, np.int64)  # the commonest word gets the least number
-        place = np.empty(len(rank), np.int32)
-        place[rank] = np.arange(len(rank), dtype=np.int32)
-        numbers = np.empty(len(h), "<u4")
-        numbers[order] = place[of]
-        one = order[new][rank]  # an occurrence of each word
+        one, of, times = different(h)
+        rank = np.argsort(-times, kind="stable")  # the commonest word gets the least number
+        place = np.empty(len(rank), "<u4")
+        place[rank] = np.arange(len(rank))
+        numbers, one = place[of], one[rank]
         learn = texts["learn"].combine_chunks().to_numpy(zero_copy_only=False)
         counts = np.bincount(numbers[np.repeat(learn, many)], minlength=len(one))
         first = np.concatenate([[0], np.cumsum(many)])
@@ -116,7 +87,7 @@ class _Block:
         for at in range(0, len(one), 1 << 16):
             part = one[at : at + (1 << 16)]
             size = end[part] - start[part]
-            word = _binary(raw[_ragged(start[part], size)], np.concatenate([[0], np.cumsum(size)]))
+            word = binary(raw[ragged(start[part], size)], np.concatenate([[0], np.cumsum(size)]))
             n = len(part)
             yield _rows(WORD, n, block=pa.array(np.full(n, number)), number=pa.array(np.arange(at, at + n)), n=pa.array(counts[at : at + n]), word=word)
 
@@ -158,7 +129,7 @@ def spelled_words(corpus: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 raw = encoder.words(part["word"].to_pylist())
                 ids = np.frombuffer(b"".join(raw), "<u4").astype("<u2")
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
-                yield pa.RecordBatch.from_arrays([part["word"], part["n"], _binary(ids, off)], names=["word", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part["word"], part["n"], binary(ids, off)], names=["word", "n", "ids"])
 
     summed = corpus.where(f"kind = {WORD}").groupBy("word").agg(F.sum("n").alias("n"))
     return summed.mapInArrow(run, "word binary, n bigint, ids binary")
@@ -170,7 +141,7 @@ def id_counts(spelled: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, IDS), np.int64)
         for batch in batches:
-            ids, off = _flat(batch["ids"], "<u2")
+            ids, off = flat(batch["ids"], "<u2")
             n, many = batch["n"].to_numpy(), np.diff(off)
             some = many > 0
             total[0] += np.bincount(ids, np.repeat(n, many), IDS).astype(np.int64)
@@ -196,7 +167,7 @@ def base_scores(corpus: DataFrame, spelled: DataFrame) -> tuple[DataFrame, int]:
     end_score = float(np.log10((ends + 1) / (tokens + kinds + 1)))
 
     def score(t: pa.Table, c: pa.Table) -> pa.Table:
-        spell, first = _flat(c["ids"], "<u2")
+        spell, first = flat(c["ids"], "<u2")
         spell = np.append(spell, np.uint16(END_ID))  # the end stands behind all words
         at, n = np.full(c.num_rows + 1, len(spell) - 1), np.zeros(c.num_rows + 1, np.int64)
         many, log = np.ones(c.num_rows + 1, np.int64), np.full(c.num_rows + 1, end_score)
@@ -211,14 +182,14 @@ def base_scores(corpus: DataFrame, spelled: DataFrame) -> tuple[DataFrame, int]:
             part = t.slice(lo, hi - lo)
             texts = [_numbers(x) for x in part["numbers"].to_pylist()]
             end = np.array([c.num_rows], "<u4")
-            flat = np.concatenate([x for y in texts for x in (y, end)])
+            every = np.concatenate([x for y in texts for x in (y, end)])
             off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
-            ids = spell[_ragged(at[flat], many[flat])]
-            base, hit = np.add.reduceat(log[flat], off[:-1]), np.add.reduceat((n[flat] > 0).astype(np.int64), off[:-1])
-            id_off = np.concatenate([[0], np.cumsum(many[flat])])[off]
+            ids = spell[ragged(at[every], many[every])]
+            base, hit = np.add.reduceat(log[every], off[:-1]), np.add.reduceat((n[every] > 0).astype(np.int64), off[:-1])
+            id_off = np.concatenate([[0], np.cumsum(many[every])])[off]
             out.append(pa.table({
                 "doc_id": part["doc_id"], "held_out": part["held_out"], "learn": part["learn"], "n_tokens": pa.array(np.diff(off)), "n_known": pa.array(hit),
-                "train_tokens": pa.array(np.full(len(texts), tokens, np.int64)), "base_score": pa.array(base), "ids": _binary(ids, id_off),
+                "train_tokens": pa.array(np.full(len(texts), tokens, np.int64)), "base_score": pa.array(base), "ids": binary(ids, id_off),
             }))
             lo = hi
         return pa.concat_tables(out)
@@ -246,12 +217,12 @@ def windows(ids: np.ndarray, off: np.ndarray, doc_id: np.ndarray, turn: int, rou
 
 def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int = WORKER_IDS, rounds: int = ROUNDS) -> np.ndarray:
     """Average, after each round, what each task learned from its own windows of ``texts`` (doc_id, ids), ``ids`` in all."""
-    flat = fresh(vocabulary)
+    weights = fresh(vocabulary)
     dealt = texts.select("doc_id", "ids").coalesce(max(1, ids // worker_ids))  # a worker takes whole parts of the corpus: no round shuffles it
     for turn in range(rounds):
         rate = RATE * (1 - turn / rounds)
 
-        def run(batches: Iterator[pa.RecordBatch], start=flat, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=weights, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
             adam, seen = Adam(start.copy(), rate), 0
             held: list[np.ndarray] = []
             first: list[list[np.ndarray]] = []
@@ -263,7 +234,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int =
             for batch in batches:
                 for at in range(0, len(batch), 256):
                     part = batch.slice(at, 256)
-                    new = windows(*_flat(part["ids"], "<u2"), part["doc_id"].to_numpy(), turn, rounds)
+                    new = windows(*flat(part["ids"], "<u2"), part["doc_id"].to_numpy(), turn, rounds)
                     held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else list(new)
                     whole = len(held[0]) // BATCH * BATCH
                     for a in range(0, whole, BATCH):
@@ -296,21 +267,21 @@ def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int =
         if not seen:
             break
         total = sum(np.frombuffer(x, np.int64) for x in got["weights"].to_pylist())
-        flat = (total / (seen * FIXED)).astype(np.float32)
-    return flat
+        weights = (total / (seen * FIXED)).astype(np.float32)
+    return weights
 
 
-def model_scores(texts: DataFrame, flat: np.ndarray, vocabulary: Vocabulary) -> DataFrame:
+def model_scores(texts: DataFrame, weights: np.ndarray, vocabulary: Vocabulary) -> DataFrame:
     """``texts`` with ``score``, the log10 probability of ``ids``, in their place."""
     keep = [c for c in texts.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = views(flat)
+        w = views(weights)
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
-                ids, off = _flat(part["ids"], "<u2")
-                score = score_stream(weights, vocabulary, ids, off, START_ID) / np.log(10)
+                ids, off = flat(part["ids"], "<u2")
+                score = score_stream(w, vocabulary, ids, off, START_ID) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(score)], names=[*keep, "score"])
 
     schema = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
@@ -331,5 +302,5 @@ def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     found, ends = base_scores(corpus, spelled)
     texts = materialise(found, "texts")
     vocabulary, ids = vocabulary_of(spelled, ends)
-    flat = train(texts.where("learn"), vocabulary, ids)
-    return model_scores(texts.drop("learn"), flat, vocabulary)
+    weights = train(texts.where("learn"), vocabulary, ids)
+    return model_scores(texts.drop("learn"), weights, vocabulary)

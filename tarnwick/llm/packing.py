@@ -7,6 +7,9 @@ patterns are priced by a knapsack dynamic program over the dual values until non
 uses are rounded down, what is left is packed first-fit-decreasing, and pieces are dealt to the patterns' places
 by their rank within their class.
 
+Pieces shorter than ``SHORT`` ids would lose much by rounding: neighbours of them are first put into bundles of about
+``BUNDLE`` ids, which are packed as one.
+
 Ranks come from counts of blocks of bounded size, so no class has to fit a task.
 
 Cases: a null or empty text is its end id alone.  Repeated rows are packed each.  A null ``doc_id`` is a
@@ -19,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from pyspark.sql.window import Window
 
 from .storage import materialise
 from .subwords import shared_encoder
+from .textbuf import binary
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
+SHORT, BUNDLE = 64, 250
 RANK_BLOCK = 100_000
 
 
@@ -40,25 +44,24 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, width = shared_encoder(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        encoder = shared_encoder(tokenizer)
         serial = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                texts = pc.fill_null(part["text"], b"").to_pylist()
-                of, pieces, start, total = [], [], [], []
-                for k, ids in enumerate(encoder.texts(texts)):
-                    ids += end
-                    for a in range(0, len(ids), width):
-                        of.append(k)
-                        pieces.append(ids[a : a + width])
-                        start.append(a // 4)
-                        total.append(len(ids) // 4)
+            for at, ids, off in encoder.column(batch["text"]):
+                ends = off + np.arange(len(off))  # of each text, with its end id
+                out = np.full(ends[-1], END_ID, "<u4")
+                inside = np.ones(len(out), bool)
+                inside[ends[1:] - 1] = False
+                out[inside] = ids
+                total = np.diff(ends)
+                many = -(-total // capacity)
+                of = np.repeat(np.arange(len(total)), many)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * capacity
                 n = len(of)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(serial, serial + n)), part["doc_id"].take(pa.array(of, pa.int64())), pa.array(start, pa.int64()),
-                        pa.array([len(p) // 4 for p in pieces], pa.int64()), pa.array(total, pa.int64()), pa.array(pieces, pa.binary()),
+                        pa.array(np.arange(serial, serial + n)), batch["doc_id"].take(pa.array(at + of)), pa.array(start),
+                        pa.array(np.minimum(capacity, total[of] - start)), pa.array(total[of]), binary(out, np.append(ends[of] + start, len(out))),
                     ],
                     names=["piece", "doc_id", "start", "length", "doc_tokens", "ids"],
                 )
@@ -138,11 +141,32 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.
     return out
 
 
+def bundles(pieces: DataFrame, short: int = SHORT, bundle: int = BUNDLE, rank_block: int = RANK_BLOCK) -> DataFrame:
+    """``pieces`` plus ``item``: what a piece is packed with, itself or the first of its bundle of short pieces."""
+    small = pieces.where(F.col("length") < short)
+    blocks = max(1, -(-small.count() // rank_block))
+    small = small.withColumn("__block", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
+    before = F.sum("length").over(Window.partitionBy("__block").orderBy("piece")) - F.col("length")
+    small = small.withColumn("__bundle", F.floor(before / bundle))
+    small = small.withColumn("item", F.min("piece").over(Window.partitionBy("__block", "__bundle"))).drop("__block", "__bundle")
+    return pieces.where(F.col("length") >= short).withColumn("item", F.col("piece")).unionByName(small)
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, rank_block: int = RANK_BLOCK) -> DataFrame:
     """``pieces`` (piece, length, and any other columns) plus ``sequence_id`` and ``offset``.
 
     ``pieces`` must be a written table: it is read for the histogram and again for the ranks.
     """
+    bundled = bundles(pieces, min(SHORT, capacity // 8), min(BUNDLE, capacity // 8), rank_block)
+    items = materialise(bundled.groupBy("item").agg(F.sum("length").alias("length")), "items")
+    placed = pack_items(items, capacity, unit, rank_block)
+    order = Window.partitionBy("sequence_id").orderBy("place", "piece")
+    out = bundled.join(placed.select("item", "sequence_id", "place"), "item")
+    return out.withColumn("offset", F.sum("length").over(order) - F.col("length")).select(*pieces.columns, "sequence_id", "offset")
+
+
+def pack_items(pieces: DataFrame, capacity: int, unit: int, rank_block: int) -> DataFrame:
+    """``pieces`` (item, length) plus the ``sequence_id`` and the ``place`` that the patterns give them."""
     sized = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     histogram = {r["class"]: r["n"] for r in sized.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most capacity / unit rows
     sizes = np.array(sorted(histogram), np.int64)
@@ -161,16 +185,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, rank_blo
     table = spark.createDataFrame(places, "class int, lo bigint, hi bigint, each int, first bigint, at int")
 
     blocks = max(1, -(-sum(histogram.values()) // rank_block))
-    ranked = sized.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
+    ranked = sized.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     counts = ranked.groupBy("class", "block").agg(F.count("*").alias("n"))
     before = counts.select("class", "block", (F.sum("n").over(Window.partitionBy("class").orderBy("block")) - F.col("n")).alias("before"))
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("class", "block").orderBy("piece")))
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("class", "block").orderBy("item")))
     ranked = ranked.join(before, ["class", "block"]).withColumn("rank", F.col("before") + F.col("k") - 1)
     # of the table: a row for each class of each pattern, capacity / unit squared at most
     placed = ranked.join(F.broadcast(table), "class").where("rank >= lo and rank < hi")
-    placed = placed.withColumn("sequence_id", F.expr("first + (rank - lo) div each")).withColumn("place", F.expr("at + (rank - lo) % each"))
-    order = Window.partitionBy("sequence_id").orderBy("place")
-    return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).select(*pieces.columns, "sequence_id", "offset")
+    return placed.withColumn("sequence_id", F.expr("first + (rank - lo) div each")).withColumn("place", F.expr("at + (rank - lo) % each"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -1,17 +1,22 @@
 """Subword ids of whole texts by a public tokenizer, with a bounded memory of words already seen.
 
 The tokenizer drops white space, and no token of it crosses white space, so the ids of a text are
-those of its words in turn.  Each task remembers the ids of words; the memory is emptied at ``MEMORY`` words.
+those of its words in turn.  Words are told apart by 64-bit hashes within a block of texts, and each process
+remembers the ids of words; the memory is emptied at ``MEMORY`` words.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from .textbuf import blocks, different, hashes, ragged, words
+
 MEMORY = 600_000
 #: Fixed value: the pattern by which the vocabulary file splits words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -54,6 +59,17 @@ class Encoder:
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each block of a binary column: its first row, the ids of its texts in a row, where each text's begin (and the end)."""
+        for at, raw, off in blocks(texts):
+            start, end, first = words(raw, off)
+            one, number, _ = different(hashes(raw, start, end))
+            data = raw.tobytes()
+            spelled = self.words([data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
+            ids, many = np.frombuffer(b"".join(spelled), "<u4"), np.array([len(x) // 4 for x in spelled], np.int64)
+            times = many[number]
+            yield at, ids[ragged((np.cumsum(many) - many)[number], times)], np.concatenate([[0], np.cumsum(times)])[first]
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word."""
         self._learn(words)
@@ -68,7 +84,7 @@ class Encoder:
             if w not in self.known:
                 text = w.decode("utf-8", "replace")
                 stem = text.rstrip(MARKS)
-                if not stem or stem.isalpha() and max(stem) < LATIN:
+                if not stem or stem.isalpha() and max(stem) < LATIN and len(stem.lower()) == len(stem):  # a lower-cased dotted I ends with a mark
                     plain.append((w, stem.lower(), text[len(stem) :]))
                 else:
                     odd.append((w, text))

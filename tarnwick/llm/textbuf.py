@@ -108,3 +108,38 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def binary(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A binary array of the runs of ``values`` between ``off``."""
+    ends = (off * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary array in a row, and where each of its items begins (one more at the end)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = np.dtype(kind).itemsize
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), (off - off[0]) // size
+
+
+def ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places of ``many`` neighbours from each of ``first`` on."""
+    ends = np.cumsum(many)
+    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For hashes: an occurrence of each different one, the number of each, and how often each occurs."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    number = np.empty(len(s), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    at = np.flatnonzero(new)
+    return order[at], number, np.diff(np.append(at, len(s)))

@@ -1,11 +1,13 @@
 """The ten operators against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import functools
 import gzip
 import hashlib
 import math
 import zlib
 
+import hypothesis
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -607,6 +609,15 @@ def test_few_queries_meet_short_vectors(spark):
 
 # 10 packing
 
+SMALL_MEMORY = subwords.Encoder(memory=50)
+
+
+@functools.lru_cache(1)
+def subwords_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(subwords.tokenizer_path())
+
 
 def test_word_memory_gives_the_tokenizer_s_ids():
     from tokenizers import Tokenizer
@@ -618,6 +629,33 @@ def test_word_memory_gives_the_tokenizer_s_ids():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@hypothesis.settings(max_examples=300, deadline=None)
+@hypothesis.given(hypothesis.strategies.lists(hypothesis.strategies.text("abAZéßÉİıſŉǅŐκΣΐﬁß½²१٣日ー\u0307\u0301\u0300\u200d'.,;!?%#*&$|<>-_0 9\n\t\u00a0\u2003😀", max_size=12), max_size=8))
+def test_any_words_get_the_tokenizer_s_ids(texts):
+    whole = subwords_tokenizer()
+    want = [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    got: list = []
+    for _, ids, off in SMALL_MEMORY.column(pa.array([x.encode() for x in texts], pa.binary())):
+        got += [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
+    assert got == want
+
+
+def test_words_of_a_dotted_capital_i():
+    t = subwords_tokenizer()
+    for x in ("İ.", "İİ;", "aİ!", "İ", "İ.a İ."):
+        assert np.frombuffer(subwords.Encoder().texts([x.encode()])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_short_pieces_fill_sequences(spark):
+    docs = documents(spark, [(i, ["", None, "a", "a b c d"][i % 4], "a", "s") for i in range(4000)])
+    out = packing.pack_documents(docs).toPandas()
+    fill = out.groupby("sequence_id").length.sum()
+    assert len(out) == 4000 and len(fill) <= math.ceil(out.length.sum() / packing.CAPACITY * 1.05) and fill.max() <= packing.CAPACITY
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g.offset) == list(np.cumsum(g.length) - g.length)
+
+
 def test_packing_uses_every_id_once(spark, odd, nothing):
     r = np.random.default_rng(2)
     docs = documents(spark, [(i, prose(r, int(r.integers(0, 1500))), "a", "s") for i in range(150)]).union(odd)
