@@ -124,12 +124,9 @@ def spelled_words(corpus: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, memory=200_000)
         for batch in batches:
-            for at in range(0, len(batch), 8192):
-                part = batch.slice(at, 8192)
-                raw = encoder.words(part["word"].to_pylist())
-                ids = np.frombuffer(b"".join(raw), "<u4").astype("<u2")
-                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
-                yield pa.RecordBatch.from_arrays([part["word"], part["n"], binary(ids, off)], names=["word", "n", "ids"])
+            for at, ids, off in encoder.column(batch["word"]):
+                part = batch.slice(at, len(off) - 1)
+                yield pa.RecordBatch.from_arrays([part["word"], part["n"], binary(ids.astype("<u2"), off)], names=["word", "n", "ids"])
 
     summed = corpus.where(f"kind = {WORD}").groupBy("word").agg(F.sum("n").alias("n"))
     return summed.mapInArrow(run, "word binary, n bigint, ids binary")

@@ -1,8 +1,8 @@
-"""Subword ids of whole texts by a public tokenizer, with a bounded memory of words already seen.
+"""Subword ids of whole texts by a public tokenizer, with a bounded memory of what it has spelled.
 
 The tokenizer drops white space, and no token of it crosses white space, so the ids of a text are
-those of its words in turn.  Words are told apart by 64-bit hashes within a block of texts, and each process
-remembers the ids of words; the memory is emptied at ``MEMORY`` words.
+those of its words in turn.  A word of Latin letters and marks after them is spelled in two parts.  Parts are told apart by 64-bit hashes
+within a block of texts, and each process remembers the ids of at least the last ``MEMORY`` different ones.
 """
 
 from __future__ import annotations
@@ -15,13 +15,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .textbuf import blocks, different, hashes, ragged, words
+from .textbuf import LOWER, blocks, different, hashes, ragged, words
 
-MEMORY = 600_000
+MEMORY = 500_000
+BLOCK_BYTES = 1 << 22
 #: Fixed value: the pattern by which the vocabulary file splits words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What may stand after a word of letters below LATIN without changing how the word is split.
-MARKS, LATIN = ".,;:!?%#*&$|", "\u0250"
+#: What may stand after a word of letters without changing how the word is split.
+MARKS, MOST_MARKS = b".,;:!?%#*&$|", 8
+_MARK = np.isin(np.arange(256), list(MARKS))
+#: Bytes of letters A-Z, a-z and U+00C0 to U+023F; of these, multiplication and division signs are no letters, and a dotted I ends with a mark.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+_NOT_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -38,6 +44,27 @@ def shared_encoder(path: str | None = None) -> Encoder:
     return Encoder(path)
 
 
+def _parts(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with plain words in lower case; where each word's marks begin (its end, if it isn't plain); which words are plain."""
+    cut, left = end.copy(), np.arange(len(end))
+    for _ in range(MOST_MARKS + 1):  # a word with more marks isn't plain: one is left that is no letter
+        left = left[(cut[left] > start[left]) & _MARK[raw[cut[left] - 1]]]
+        cut[left] -= 1
+    wrong = ~_LETTER[raw]
+    at = np.flatnonzero((raw[:-1] == 0xC3) | (raw[:-1] == 0xC4))
+    for a, b in _NOT_LETTERS:
+        wrong[at[(raw[at] == a) & (raw[at + 1] == b)]] = True
+    total = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(wrong, out=total[1:])
+    plain = total[cut] == total[start]
+    cut = np.where(plain, cut, end)
+    low = LOWER[raw]
+    odd = np.flatnonzero(~plain)
+    at = ragged(start[odd], (end - start)[odd])
+    low[at] = raw[at]
+    return low, cut, plain
+
+
 class Encoder:
     """Ids of words and texts as little-endian unsigned 32-bit bytes."""
 
@@ -47,54 +74,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.memory = memory
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        split = [t.split() for t in texts]
-        self._learn(list(set().union(*split)))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [ids[a:b].tobytes() for _, ids, off in self.column(pa.array(texts, pa.binary())) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each block of a binary column: its first row, the ids of its texts in a row, where each text's begin (and the end)."""
-        for at, raw, off in blocks(texts):
+        for at, raw, off in blocks(texts, BLOCK_BYTES):
             start, end, first = words(raw, off)
-            one, number, _ = different(hashes(raw, start, end))
-            data = raw.tobytes()
-            spelled = self.words([data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
-            ids, many = np.frombuffer(b"".join(spelled), "<u4"), np.array([len(x) // 4 for x in spelled], np.int64)
+            low, cut, plain = _parts(raw, start, end)
+            # one or two parts for each word; what is told apart is the part and, by the last bit, whether it is plain
+            parts = np.stack([start, cut, cut, end], axis=1).reshape(-1, 2)
+            real = parts[:, 0] < parts[:, 1]
+            parts, kind = parts[real], np.repeat(plain, 2)[real]
+            one, number, _ = different((hashes(low, parts[:, 0], parts[:, 1]) & ~np.uint64(1)) | kind)
+            data = low.tobytes()
+            spelled = self._spell([data[a:b] for a, b in parts[one].tolist()], kind[one].tolist())
+            many = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
             times = many[number]
-            yield at, ids[ragged((np.cumsum(many) - many)[number], times)], np.concatenate([[0], np.cumsum(times)])[first]
-
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word."""
-        self._learn(words)
-        return [self.known[w] for w in words]
+            ids = np.frombuffer(b"".join(spelled), "<u4")[ragged((np.cumsum(many) - many)[number], times)]
+            before = np.concatenate([[0], np.cumsum(real)])[2 * first]  # parts before each text
+            yield at, ids, np.concatenate([[0], np.cumsum(times)])[before]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _spell(self, parts: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of each part; plain ones are one run of letters or marks."""
         if len(self.known) > self.memory:
-            self.known.clear()
-            self.parts.clear()
-        plain, odd = [], []
-        for w in words:
-            if w not in self.known:
-                text = w.decode("utf-8", "replace")
-                stem = text.rstrip(MARKS)
-                if not stem or stem.isalpha() and max(stem) < LATIN and len(stem.lower()) == len(stem):  # a lower-cased dotted I ends with a mark
-                    plain.append((w, stem.lower(), text[len(stem) :]))
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new: list[bytes] = []
+        many: list[int] = []
+        for w, one in zip(parts, plain, strict=True):
+            if w not in known:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
                 else:
-                    odd.append((w, text))
-        parts = self.parts
-        new = list({p for _, *pair in plain for p in pair if p and p not in parts})
-        parts.update(zip(new, self._encode(new, [1] * len(new)), strict=True))
-        self.known.update((w, parts[a] + parts[b] if a and b else parts[a or b]) for w, a, b in plain)
-        texts = [t for _, t in odd]
-        found = self._encode(texts, [len(PIECES.findall(unicodedata.normalize("NFC", t).lower())) for t in texts])
-        self.known.update(zip((w for w, _ in odd), found, strict=True))
+                    new.append(w)
+                    many.append(1 if one else -1)
+        texts = [w.decode("utf-8", "replace") for w in new]
+        runs = [n if n > 0 else len(PIECES.findall(unicodedata.normalize("NFC", t).lower())) for n, t in zip(many, texts, strict=True)]
+        known.update(zip(new, self._encode(texts, runs), strict=True))
+        return [known[w] for w in parts]
 
     def _encode(self, texts: list[str], pieces: list[int], at_once: int = 256) -> list[bytes]:
         """Ids of texts without spaces, many to a call; ``pieces``: how many runs the tokenizer splits each into."""
