@@ -6,8 +6,10 @@ for good when a hash keyed by seed, document, occurrence, place and piece falls
 ids are those of the model's own library.  The hash decides, so a run repeats on any partitioning.
 
 Texts are cut where no piece of the vocabulary can lie across (before a run of spaces, around line ends).  Tasks
-remember the ids of a bounded number of chunks with the merges that lead to them; an occurrence takes these
-where its own key skips none of the merges, and is merged by itself where it skips one.
+remember, for a bounded number of chunks, the merges that lead to their ids.  An occurrence whose own key skips none of them
+takes these ids.  Where it skips one, what follows is that of the same chunk without this merge: that is remembered too
+where several occurrences need it, so that an occurrence walks from one to the next until its key skips nothing more; any other occurrence is merged by itself.
+Chunks are told apart by 64-bit hashes within a batch of texts.
 
 Decoding is lossless for every text: characters that the vocabulary lacks become bytes, and so does
 the model's own space mark where a text holds it.
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import HashTable
-from .textbuf import mix
+from .textbuf import Numbered, blocks, different, hashes, mix, ragged
 
 SPACE = "▁"
 CHUNKS = regex.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 MODEL = "piece_bpe_32k.model"
-DROPOUT, SEED, MEMORY = 0.1, 20, 600_000
+DROPOUT, SEED, MEMORY = 0.1, 20, 400_000
+LONG, DEPTH = 64, 5
 _MASK = (1 << 64) - 1
+_MARK = SPACE.encode().decode("ascii", "surrogateescape")  # a space mark of the text's own, as characters that become bytes
 
 
 def model_path(name: str = MODEL) -> str:
@@ -47,6 +51,11 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _code(piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What stands for the merge to ``piece`` at ``place``."""
+    return (piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 class Model:
     """Pieces of a byte-pair model and what is needed to merge and to spell them."""
 
@@ -125,10 +134,11 @@ class Model:
                     out.append(i)
         return out
 
-    def encode_chunks(self, chunks: list[str], dropout: float, keys: list[int], taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+    def encode_chunks(self, chunks: list[str], dropout: float, keys: list[int], taken: list[tuple[np.ndarray, np.ndarray]] | None = None, bans: np.ndarray | None = None) -> list[bytes]:
         """What :meth:`encode_chunk` gives, for many chunks in lockstep: each merges its best pair in every round.
 
-        Places of chunks and codes of their merges go to ``taken``.
+        Places of chunks and codes of their merges go to ``taken``.  ``bans``: a row of codes of merges that each chunk must not make;
+        it needs chunks that are not :meth:`slow`.
         """
         out: list[bytes] = [b""] * len(chunks)
         if not chunks:
@@ -136,7 +146,7 @@ class Model:
         many = np.fromiter(map(len, chunks), np.int64, len(chunks))
         first = np.cumsum(many) - many
         ids = self.char_id[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
-        slow = np.logical_or.reduceat(ids < 0, first) | (many > 64)  # characters that become bytes, and long chunks
+        slow = np.logical_or.reduceat(ids < 0, first) | (many > LONG)  # characters that become bytes, and long chunks
         for i in np.flatnonzero(slow):
             codes: list[int] = []
             out[i] = np.array(self.encode_chunk(chunks[i], dropout, int(keys[i]), codes), "<u4").tobytes()
@@ -151,45 +161,78 @@ class Model:
             inside = col < many[at][:, None]
             s = np.where(inside, ids[np.minimum(first[at][:, None] + col, len(ids) - 1)], -1)
             merges: list[tuple[np.ndarray, np.ndarray]] | None = None if taken is None else []
-            for i, done in zip(at.tolist(), self._lockstep(s, all_keys[at], int(dropout * (1 << 32)), merges), strict=True):
+            for i, done in zip(at.tolist(), self._lockstep(s, all_keys[at], int(dropout * (1 << 32)), merges, None if bans is None else bans[at]), strict=True):
                 out[i] = done
             if taken is not None:
                 taken += [(at[rows], codes) for rows, codes in merges]
         return out
 
-    def _lockstep(self, s: np.ndarray, keys: np.ndarray, limit: int, taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+    def slow(self, chunks: list[str]) -> np.ndarray:
+        """Whether each chunk is merged by itself: it is long, or has characters that become bytes."""
+        many = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ids = self.char_id[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
+        return np.logical_or.reduceat(ids < 0, np.cumsum(many) - many) | (many > LONG)
+
+    def _lockstep(self, s: np.ndarray, keys: np.ndarray, limit: int, taken: list[tuple[np.ndarray, np.ndarray]] | None = None, bans: np.ndarray | None = None) -> list[bytes]:
+        """Merge the rows of ``s`` (ids, filled up with -1): in each round the best pair of every row that has one left.
+
+        Symbols stay in their places; ``after`` and ``before`` lead to the next and the last one that is alive.
+        """
         n, width = s.shape
-        place = np.tile(np.arange(width), (n, 1))
-        row, final = np.arange(n), np.full((n, width), -1, np.int64)
-        never = np.int64(1 << 60)
-        step = np.arange(width)
-        while len(s):
-            left, right = s[:, :-1], s[:, 1:]
-            y, x = np.nonzero(right >= 0)
-            found = self.pairs.find((left[y, x] << 16 | right[y, x]).astype(np.uint32))
+        s, final = s.ravel().copy(), np.full((n, width), -1, np.int64)
+        row, never = np.arange(n), np.int64(1 << 60)
+        place = np.tile(np.arange(width), n)
+        after, before = place + 1, place - 1
+        last = np.flatnonzero((s >= 0) & np.append(s[1:] < 0, True)) if width > 1 else np.flatnonzero(s >= 0)
+        after[last] = width
+        after[width - 1 :: width] = width
+        order, piece_at = np.full(n * width, never), np.zeros(n * width, np.int64)
+
+        def look(of: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            """Note the pairs that begin at ``at`` in rows ``of`` if they may be merged."""
+            found = self.pairs.find((left << 16 | right).astype(np.uint32))
             hit = found < self.pairs.n
-            y, x, piece = y[hit], x[hit], self.joined[found[hit]]
-            if limit:
-                h = (keys[y] ^ (piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[y, x].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
-                keep = (h >> np.uint64(32)) >= np.uint64(limit)
-                y, x, piece = y[keep], x[keep], piece[keep]
-            best = np.full(s.shape, never)
-            best[y, x] = self.order[piece]
-            j = best.argmin(axis=1)
-            on = best[np.arange(len(s)), j] < never
-            final[row[~on]] = s[~on]
-            if not on.any():
-                break
-            new = np.zeros(s.shape, np.int64)
-            new[y, x] = piece
-            s, place, keys, row, j = s[on], place[on], keys[on], row[on], j[on]
-            merged = new[on][np.arange(len(s)), j]
+            of, at, piece = of[hit], at[hit], self.joined[found[hit]]
+            if limit or bans is not None:
+                code = _code(piece, place[at])
+                keep = np.ones(len(at), bool)
+                if limit:
+                    keep = ((keys[of] ^ code) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) >= np.uint64(limit)
+                if bans is not None:
+                    keep &= (code[:, None] != bans[of]).all(axis=1)
+                at, piece = at[keep], piece[keep]
+            order[at], piece_at[at] = self.order[piece], piece
+
+        pair = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0) & (place[:-1] < width - 1))
+        look(pair // width, pair, s[pair], s[pair + 1])
+        while len(row):
+            at = order.reshape(-1, width).argmin(axis=1) + np.arange(len(row)) * width
+            on = order[at] < never
+            if on.mean() < 0.7:  # rows that are done leave
+                final[row[~on]] = s.reshape(-1, width)[~on]
+                s, order, piece_at, after, before, place = (x.reshape(-1, width)[on].ravel() for x in (s, order, piece_at, after, before, place))
+                row, keys, bans = row[on], keys[on], None if bans is None else bans[on]
+                if not len(row):
+                    break
+                at = order.reshape(-1, width).argmin(axis=1) + np.arange(len(row)) * width
+                of = np.arange(len(row))
+            else:
+                of = np.flatnonzero(on)
+                at = at[of]
+            base, merged = of * width, piece_at[at]
             if taken is not None:
-                taken.append((row, (merged.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[np.arange(len(s)), j].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
-            s[np.arange(len(s)), j] = merged
-            take = np.minimum(step + (step > j[:, None]), width - 1)
-            s, place = np.take_along_axis(s, take, 1), np.take_along_axis(place, take, 1)
-            s[:, -1] = -1
+                taken.append((row[of], _code(merged, place[at])))
+            gone = base + after[at]
+            beyond = after[gone]
+            s[at], s[gone], order[at], order[gone], after[at] = merged, -1, never, never, beyond
+            has = np.flatnonzero(beyond < width)
+            right = base[has] + beyond[has]
+            before[right] = place[at[has]]
+            look(of[has], at[has], merged[has], s[right])
+            has = np.flatnonzero(before[at] >= 0)
+            left = base[has] + before[at[has]]
+            order[left] = never
+            look(of[has], left, s[left], merged[has])
         many = (final >= 0).sum(axis=1)
         flat, ends = final[final >= 0].astype("<u4").tobytes(), np.concatenate([[0], 4 * np.cumsum(many)])
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -200,29 +243,23 @@ class Model:
         return b"".join([spell[i] for i in ids])[1:]
 
 
-class _Numbers(dict):
-    """Numbers chunks in order of first sight; ``new`` lists those not yet taken up."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
-
-
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks.
+
+    A node stands for a chunk and a few merges that it must not make; it holds the ids that the others lead to, the codes of these
+    merges, and for each of them the node without it, if there is one yet.
+    """
 
     def __init__(self, model: Model, dropout: float, seed: int, memory: int = MEMORY):
         self.model, self.dropout, self.seed, self.memory = model, dropout, seed, memory
-        self.mark = np.array([model.byte_id[b] for b in SPACE.encode()], "<u4").tobytes()
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids, self.used = _Numbers(), [], 0
-        self.codes, self.first, self.many = np.empty(1 << 16, np.uint64), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.known, self.bans = Numbered(), []
+        self.raw, self.text_first, self.text_many = _Row(np.uint8), _Row(np.int64), _Row(np.int32)
+        self.codes, self.child = _Row(np.uint64), _Row(np.int32)
+        self.first, self.many, self.slow = _Row(np.int64), _Row(np.int64), _Row(bool)
+        self.ids, self.id_first, self.id_many = _Row("<u4"), _Row(np.int64), _Row(np.int64)
 
     def text(self, text: bytes, key: int) -> bytes:
         """Ids of one text; ``key`` stands for its document."""
@@ -230,70 +267,143 @@ class Encoder:
 
     def texts(self, texts: list[bytes], keys: list[int]) -> list[bytes]:
         """Ids of many texts."""
-        if len(self.known) > self.memory:
+        if len(self.bans) > self.memory:
             self._forget()
-        flat: list[str] = []
-        ends: list[list[int]] = []
-        for text in texts:
-            parts = text.decode("utf-8", "surrogateescape").split(SPACE) if text else []
-            ends.append([])
-            for k, p in enumerate(parts):
-                flat += CHUNKS.findall((p if k else " " + p).replace(" ", SPACE))
-                ends[-1].append(len(flat))
-        numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        self._learn(self.known.new)
-        self.known.new.clear()
-        ids = [self.ids[k] for k in numbers.tolist()]
-        if self.dropout and flat:
-            last = np.array([e[-1] if e else 0 for e in ends])
-            last = np.maximum.accumulate(last)
-            size = np.diff(last, prepend=0)
-            place = np.arange(len(flat)) - np.repeat(last - size, size)
-            own = mix(np.repeat(np.array(keys, np.uint64), size) + mix(place.astype(np.uint64) + np.uint64(self.seed + 1)))
-            self._drop(flat, ids, numbers, own)
-        out, at = [], 0
-        for e in ends:
-            spelled = []
-            for end in e:
-                spelled.append(b"".join(ids[at:end]))
-                at = end
-            out.append(self.mark.join(spelled))
-        return out
-
-    def _drop(self, chunks: list[str], ids: list[bytes], numbers: np.ndarray, keys: np.ndarray) -> None:
-        """Put other ids where an occurrence's key skips a merge of its chunk."""
-        limit = np.uint64(int(self.dropout * (1 << 32)))
-        for a in range(0, len(chunks), 1 << 16):
-            part = numbers[a : a + (1 << 16)]
-            many = self.many[part]
-            of = np.repeat(np.arange(len(part)), many)
-            at = np.arange(len(of)) + np.repeat(self.first[part] - np.cumsum(many) + many, many)
-            h = (keys[a + of] ^ self.codes[at]) * np.uint64(0xD6E8FEB86659FD93)
-            other = a + np.unique(of[(h >> np.uint64(32)) < limit])
-            for b in range(0, len(other), 8192):
-                places = other[b : b + 8192].tolist()
-                done = self.model.encode_chunks([chunks[i] for i in places], self.dropout, keys[places])
-                for i, x in zip(places, done, strict=True):
-                    ids[i] = x
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 8192):
-            part, base = chunks[at : at + 8192], len(self.ids)
-            taken: list[tuple[np.ndarray, np.ndarray]] = []
-            self.ids += self.model.encode_chunks(part, 0.0, [0] * len(part), taken)
-            of = np.concatenate([np.empty(0, np.int64), *(x for x, _ in taken)])
-            codes = np.concatenate([np.empty(0, np.uint64), *(x for _, x in taken)])[np.argsort(of, kind="stable")]
-            many = np.bincount(of, minlength=len(part))
-            end = base + len(part)
-            self.first, self.many, self.codes = _room(self.first, end), _room(self.many, end), _room(self.codes, self.used + len(codes))
-            self.many[base:end], self.first[base:end] = many, self.used + np.cumsum(many) - many
-            self.codes[self.used : self.used + len(codes)] = codes
-            self.used += len(codes)
-
-
-def _room(x: np.ndarray, n: int) -> np.ndarray:
-    """``x``, or a longer copy with room for ``n`` items."""
-    return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
+        whole = [b" " + t if t else t for t in texts]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in whole])])
+        raw = np.frombuffer(b"".join(whole), np.uint8)
+        start = chunk_starts(raw, off)
+        if not len(start):
+            return [b""] * len(texts)
+        end = np.append(start[1:], len(raw))
+        first = np.searchsorted(start, off)
+        h = hashes(raw, start, end)
+        one, number, _ = different(h)
+        nodes = self.known.find(h[one])
+        new = one[nodes < 0]
+        nodes[nodes < 0] = np.arange(len(self.bans), len(self.bans) + len(new))
+        self.known.add(h[new], np.arange(len(self.bans), len(self.bans) + len(new), dtype=np.int32))
+        self._learn(raw, start[new], end[new])
+        nodes = nodes[number]
+        many = np.diff(first)
+        place = np.arange(len(start)) - np.repeat(first[:-1], many)
+        own = mix(np.repeat(np.array(keys, np.uint64), many) + mix(place.astype(np.uint64) + np.uint64(self.seed + 1)))
+        used = self.ids.n
+        alone: list[np.ndarray] = []
+        if self.dropout:
+            for a in range(0, len(nodes), 1 << 16):
+                nodes[a : a + (1 << 16)], lonely = self._walk(nodes[a : a + (1 << 16)], own[a : a + (1 << 16)])
+                alone.append(a + lonely)
+                used = self.ids.n
+        at, n = self.id_first.x[nodes], self.id_many.x[nodes]
+        if alone and len(places := np.concatenate(alone)):  # merged by themselves: their ids stand behind the remembered ones until the next call
+            spelled: list[bytes] = []
+            for a in range(0, len(places), 8192):
+                part = places[a : a + 8192]
+                spelled += self.model.encode_chunks(self._strings(nodes[part]), self.dropout, own[part])
+            size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+            at[places], n[places] = used + np.cumsum(size) - size, size
+            self.ids.add(np.frombuffer(b"".join(spelled), "<u4"))
+        ids = self.ids.x[ragged(at, n)]
+        self.ids.n = used
+        ends = (4 * np.concatenate([[0], np.cumsum(n)])[first]).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For occurrences at ``nodes`` the node at which their key skips nothing more, and those that must be merged by themselves."""
+        limit, times = np.uint64(int(self.dropout * (1 << 32))), np.uint64(0xD6E8FEB86659FD93)
+        nodes, alone, left = nodes.copy(), [], np.arange(len(nodes))
+        for depth in range(DEPTH):
+            many = self.many.x[nodes[left]]
+            of, at = np.repeat(np.arange(len(left)), many), ragged(self.first.x[nodes[left]], many)
+            hit = np.flatnonzero(((keys[left][of] ^ self.codes.x[at]) * times >> np.uint64(32)) < limit)
+            hit = hit[np.concatenate([[True], of[hit][1:] != of[hit][:-1]])] if len(hit) else hit  # the first merge that is skipped
+            left, at = left[of[hit]], at[hit]
+            if not len(left) or depth == DEPTH - 1:
+                break
+            missing = (self.child.x[at] < 0) & ~self.slow.x[nodes[left]]
+            wanted, times_wanted = np.unique(np.stack([at[missing], nodes[left][missing]]), axis=1, return_counts=True)
+            self._grow(*wanted[:, times_wanted > 1])
+            to = self.child.x[at]
+            alone.append(left[to < 0])
+            left, to = left[to >= 0], to[to >= 0]
+            nodes[left] = to
+        return nodes, np.concatenate([*alone, left])
+
+    def _grow(self, at: np.ndarray, parents: np.ndarray) -> None:
+        """New nodes: those of ``parents`` without the merges that stand at ``at``."""
+        if len(at):
+            base = len(self.bans)
+            bans = [(*self.bans[p], c) for p, c in zip(parents.tolist(), self.codes.x[at].tolist(), strict=True)]
+            self._add(self.text_first.x[parents], self.text_many.x[parents], bans)
+            self.child.x[at] = np.arange(base, base + len(at))
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        for at in range(0, len(start), 8192):
+            first, many = start[at : at + 8192], (end - start)[at : at + 8192]
+            base = self.raw.n
+            self.raw.add(raw[ragged(first, many)])
+            self._add(base + np.cumsum(many) - many, many, [()] * len(many))
+
+    def _strings(self, nodes: np.ndarray) -> list[str]:
+        return self._texts(self.text_first.x[nodes], self.text_many.x[nodes])
+
+    def _texts(self, first: np.ndarray, many: np.ndarray) -> list[str]:
+        data = self.raw.x[ragged(first, many)].tobytes()
+        ends = np.cumsum(many).tolist()
+        return [data[a:b].decode("utf-8", "surrogateescape").replace(SPACE, _MARK).replace(" ", SPACE) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _add(self, text_first: np.ndarray, text_many: np.ndarray, bans: list[tuple[int, ...]]) -> None:
+        chunks = self._texts(text_first, text_many)
+        width = max(map(len, bans))
+        table = np.array([(*b, *[0] * (width - len(b))) for b in bans], np.uint64).reshape(len(bans), width) if width else None
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        spelled = self.model.encode_chunks(chunks, 0.0, [0] * len(chunks), taken, table)
+        of = np.concatenate([np.empty(0, np.int64), *(x for x, _ in taken)])
+        codes = np.concatenate([np.empty(0, np.uint64), *(x for _, x in taken)])[np.argsort(of, kind="stable")]
+        many, size = np.bincount(of, minlength=len(chunks)), np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+        self.first.add(self.codes.n + np.cumsum(many) - many)
+        self.id_first.add(self.ids.n + np.cumsum(size) - size)
+        self.many.add(many)
+        self.id_many.add(size)
+        self.codes.add(codes)
+        self.child.add(np.full(len(codes), -1))
+        self.ids.add(np.frombuffer(b"".join(spelled), "<u4"))
+        self.slow.add(self.model.slow(chunks))
+        self.text_first.add(text_first)
+        self.text_many.add(text_many)
+        self.bans += bans
+
+
+class _Row:
+    """An array that grows at its end: the first ``n`` items of ``x``."""
+
+    def __init__(self, kind):
+        self.x, self.n = np.empty(1 << 14, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.x):
+            self.x = np.concatenate([self.x[: self.n], np.empty(2 * end - self.n, self.x.dtype)])
+        self.x[self.n : end] = values
+        self.n = end
+
+
+def chunk_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the bytes of texts: what ``CHUNKS`` finds, but a mark of the text's own is a chunk of its own."""
+    space, line = raw == 32, raw == 10
+    head = np.ones(len(raw), bool)  # no chunk goes on across what stands before
+    head[1:] = line[:-1]
+    head[off[:-1][np.diff(off) > 0]] = True
+    mark = np.flatnonzero(raw == 0xE2)
+    mark = mark[mark + 2 < len(raw)]
+    mark = mark[(raw[mark + 1] == 0x96) & (raw[mark + 2] == 0x81)]
+    head[np.minimum(mark + 3, len(raw) - 1)] |= mark + 3 < len(raw)
+    start = line | head
+    start[1:] |= space[1:] & ~space[:-1]
+    start[mark] = True
+    return np.flatnonzero(start)
 
 
 @lru_cache(2)
@@ -302,14 +412,20 @@ def shared_encoder(model: str | None, dropout: float, seed: int) -> Encoder:
     return Encoder(Model(model), dropout, seed)
 
 
+def _slices(column: pa.Array, at_once: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``at_once`` bytes."""
+    for at, _, off in blocks(column, at_once):
+        yield at, at + len(off) - 1
+
+
 def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``ids``: little-endian unsigned 32-bit ids of the whole ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(model, dropout, seed)
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
+            for at, to in _slices(batch["__text"]):
+                part = batch.slice(at, to - at)
                 texts = pc.fill_null(part["__text"], b"").to_pylist()
                 ids = encoder.texts(texts, [xxhash.xxh64_intdigest(str(d).encode(), seed) for d in part["doc_id"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])

@@ -143,3 +143,45 @@ def different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     at = np.flatnonzero(new)
     return order[at], number, np.diff(np.append(at, len(s)))
+
+
+class Numbered:
+    """Numbers of 64-bit hashes, in an open table that grows."""
+
+    def __init__(self):
+        self.n, self.bits = 0, 14
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.number = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        slot = self._slot(keys)
+        out = self.number[slot]
+        on = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            out[on] = self.number[slot]
+            more = (out[on] >= 0) & (self.key[slot] != keys[on])
+            on, slot = on[more], slot[more]
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Number different keys that have no number yet."""
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            old = self.number >= 0
+            keys, numbers = np.concatenate([self.key[old], keys]), np.concatenate([self.number[old], numbers])
+            self.n, self.bits = 0, int(4 * len(keys)).bit_length()
+            self._clear()
+        self.n += len(keys)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.number[slot] < 0
+            self.number[slot[free]], self.key[slot[free]] = numbers[left[free]], keys[left[free]]
+            lost = self.key[slot] != keys[left]
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)

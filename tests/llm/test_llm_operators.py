@@ -48,6 +48,15 @@ def split(text):
     return [w for w in (text or "").encode().lower().split()]
 
 
+def test_numbers_of_hashes():
+    r = np.random.default_rng(0)
+    keys = np.unique(r.integers(0, 1 << 63, 60000, dtype=np.uint64) * np.uint64(2))
+    table = textbuf.Numbered()
+    for a in range(0, len(keys), 7000):
+        table.add(keys[a : a + 7000], np.arange(a, min(a + 7000, len(keys)), dtype=np.int32))
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys + np.uint64(1)) == -1).all()
+
+
 def test_word_scan():
     texts = [b"ab  c", b"", b"d\x0be", b"ab"]
     (at, raw, off), = textbuf.blocks(pa.array(texts, pa.binary()))
