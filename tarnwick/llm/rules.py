@@ -5,14 +5,17 @@ rule (word length, symbols, repeated lines, repeated words) form a vector of who
 language and source the minimum-covariance-determinant estimate is found from two starts (medians with absolute
 deviations; mean and covariance) by concentration steps: Mahalanobis distances under the present estimate,
 counted in fine bins, give the half-space that holds ``COVER`` of the documents, whose mean and covariance are the
-next estimate.  The start with the smaller determinant wins, and texts beyond ``CUTOFF`` are rejected.
+next estimate, until no group changes.  The start with the smaller determinant wins, and texts beyond ``CUTOFF`` are rejected.
+
+Every group has an estimate of its own, whatever its size.  Its mean and covariance are those of its documents and of
+``PRIOR`` more that agree with the estimate of the whole language, which itself leans on that of all documents in the same way; so a group of
+a few texts is judged nearly by its language, and one of thousands by itself alone.
 
 A step is one join and one aggregation to bins; sums are of whole numbers, so the result depends
 neither on the order of rows nor on their partitioning.  A group of any size is reduced before it is shuffled.
 
 Cases: null text counts as empty and fails the base rule.  Null languages and sources are groups of
-their own.  Sources with fewer than ``LEAST`` texts in a language are pooled; a pool still smaller rejects nothing.
-A least variance in each direction keeps estimates of constant statistics from rejecting the first
+their own.  A least variance in each direction keeps estimates of constant statistics from rejecting the first
 text that differs.  Repeated rows count and are answered each; an empty table gives an empty result.
 """
 
@@ -31,7 +34,9 @@ STATS = ("x1", "x2", "x3", "x4")
 UNIT = 128.0  # vectors are whole numbers of 1 / UNIT
 #: Added before distances are divided by ``consistency(COVER)``; 0.06, 0.08, 0.08 and 0.12 beside a covariance made consistent.
 LEAST_DEVIATION = (0.0492, 0.0656, 0.0656, 0.0984)
-COVER, STEPS, LEAST = 0.75, 6, 40
+COVER, MOST_STEPS, PRIOR = 0.75, 40, 20.0
+#: Deviations that a table of very few documents is taken to have.
+PRIOR_DEVIATION = (0.2, 0.25, 0.25, 0.35)
 CUTOFF = 18.47  # the quantile 0.999 of chi-square with 4 degrees of freedom
 FINE = 32.0
 
@@ -95,16 +100,25 @@ def _sums() -> list[Column]:
     return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(4)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _pairs())]
 
 
-def _moments(sums: DataFrame, *keys: str) -> DataFrame:
-    """Mean and factored covariance (with the least variances) from sums."""
+def _estimates(sums: DataFrame, prior: DataFrame, *keys: str) -> DataFrame:
+    """Keys, mean m, covariance c and its factor l from sums of documents and the prior (grp, q: mean, r: covariance)."""
     n = F.col("n").cast("double")
-    mean = {f"m{i}": F.col(f"s{i}") / n for i in range(4)}
-    cov = {f"c{i}{j}": F.col(f"p{i}{j}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n) for i, j in _pairs()}
-    return _factored(sums.select(*keys, *(v.alias(k) for k, v in (mean | cov).items())), *keys)
+    mean = [F.col(f"s{i}") / n for i in range(4)]
+    cov = {f"v{i}{j}": F.col(f"p{i}{j}") / n - mean[i] * mean[j] for i, j in _pairs()}
+    return _with_prior(sums.select(*keys, n.alias("n"), *(mean[i].alias(f"g{i}") for i in range(4)), *(v.alias(k) for k, v in cov.items())), prior, *keys)
+
+
+def _with_prior(own: DataFrame, prior: DataFrame, *keys: str) -> DataFrame:
+    """The estimate of ``own`` (n, g: mean, v: covariance) and of ``PRIOR`` documents that agree with the prior."""
+    both, n = own.join(prior, "grp"), F.col("n")
+    mean = {f"m{i}": (n * F.col(f"g{i}") + PRIOR * F.col(f"q{i}")) / (n + PRIOR) for i in range(4)}
+    gap = [F.col(f"g{i}") - F.col(f"q{i}") for i in range(4)]
+    cov = {f"c{i}{j}": (n * F.col(f"v{i}{j}") + PRIOR * F.col(f"r{i}{j}") + n * PRIOR / (n + PRIOR) * gap[i] * gap[j]) / (n + PRIOR) for i, j in _pairs()}
+    return _factored(both.select(*keys, *(v.alias(k) for k, v in (mean | cov).items())), *keys)
 
 
 def _factored(params: DataFrame, *keys: str) -> DataFrame:
-    """The Cholesky factor l of the covariance c, and the log of its determinant."""
+    """``params`` with the Cholesky factor l of the covariance c and its least variances, and the log of its determinant."""
     for i in range(4):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (F.lit((UNIT * LEAST_DEVIATION[i]) ** 2) if i == j else F.lit(0.0))
@@ -112,7 +126,11 @@ def _factored(params: DataFrame, *keys: str) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
     logdet = sum(2 * F.log(f"l{i}{i}") for i in range(4))
-    return params.select(*keys, *(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in _pairs()), logdet.alias("logdet"))
+    return params.select(*keys, *_names("m"), *_names("c"), *_names("l"), logdet.alias("logdet"))
+
+
+def _names(kind: str) -> list[str]:
+    return [f"m{i}" for i in range(4)] if kind == "m" else [f"{kind}{i}{j}" for i, j in _pairs()]
 
 
 def distance() -> Column:
@@ -136,50 +154,64 @@ def consistency(cover: float) -> float:
     return cover / (1 - math.exp(-half) * (1 + half + half * half / 2))
 
 
-def _beside(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Rows with their group's estimate; the groups are languages and sources, null ones included."""
-    p = params.withColumnRenamed("lang", "lang_").withColumnRenamed("grp", "grp_")
-    return rows.join(p, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("grp").eqNullSafe(F.col("grp_")), "left").drop("lang_", "grp_")
-
-
-def estimate(rows: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFrame:
-    """The estimate of each (lang, grp) of ``rows`` by concentration steps from two starts."""
-    mean = _moments(rows.groupBy("lang", "grp").agg(*_sums()), "lang", "grp").withColumn("start", F.lit(1))
-    middle = materialise(rows.groupBy("lang", "grp").agg(*(F.percentile(x, 0.5).alias(f"m{i}") for i, x in enumerate(STATS))), "medians")
-    spread = _beside(rows, middle).groupBy("lang", "grp").agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(4)),
-        *((F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), 0.5) * 1.4826).alias(f"d{i}") for i, x in enumerate(STATS)),
-    )
-    cov = {f"c{i}{j}": F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0) for i, j in _pairs()}
-    now = materialise(mean.unionByName(_factored(spread.withColumns(cov), "lang", "grp").withColumn("start", F.lit(0))), "estimate")
-    key = ["lang", "grp", "start"]
-    for _ in range(steps):
-        bins = _beside(rows, now).withColumn("bin", F.floor(FINE * F.log1p(distance()))).groupBy(*key, "bin").agg(*_sums())
-        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("bin"))
-        total = F.sum("n").over(Window.partitionBy(*key))
-        inner = bins.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") - F.col("n") < F.ceil(F.col("total") * cover))
-        names = ["n", *(f"s{i}" for i in range(4)), *(f"p{i}{j}" for i, j in _pairs())]
-        now = materialise(_moments(inner.groupBy(*key).agg(*(F.sum(c).alias(c) for c in names)), *key), "estimate")
-    best = now.groupBy("lang", "grp").agg(F.min(F.struct("logdet", "start", *(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in _pairs()))).alias("b"))
-    return best.select("lang", "grp", *(f"b.m{i}" for i in range(4)), *(f"b.l{i}{j}" for i, j in _pairs()))
-
-
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
-    """doc_id, the base counts, ``base_failed``, ``distance`` (null: no estimate) and ``kept`` for every row of ``docs``."""
-    stats = materialise(vectors(base_statistics(docs)), "statistics")
+def medians(rows: DataFrame) -> DataFrame:
+    """(grp, n, med0 to med3): the middle of each statistic; whole numbers, so that a group's counts of values are few."""
+    return rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *(F.percentile(x, 0.5).alias(f"med{i}") for i, x in enumerate(STATS)))
+
+
+def estimate(rows: DataFrame, middle: DataFrame, prior: DataFrame, cover: float = COVER, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(grp, m, c, l) of each group of ``rows`` (grp, statistics) by concentration steps from two starts.
+
+    ``middle``: the groups' :func:`medians`.  ``prior``: (grp, q, r), mean and covariance that a group leans on.  Steps end when
+    no group's documents change.
+    """
+    key, sums = ["grp", "start"], ["n", *(f"s{i}" for i in range(4)), *(f"p{i}{j}" for i, j in _pairs())]
+    spread = rows.join(middle, "grp").groupBy("grp").agg(
+        F.first("n").alias("n"), *(F.first(f"med{i}").alias(f"g{i}") for i in range(4)),
+        *((F.percentile(F.abs(F.col(x) - F.col(f"med{i}")), 0.5) * 1.4826).alias(f"d{i}") for i, x in enumerate(STATS)),
+    )
+    flat = spread.select("grp", F.lit(0).alias("start"), "n", *(f"g{i}" for i in range(4)), *((F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _pairs()))
+    mean = rows.groupBy("grp").agg(*_sums()).withColumn("start", F.lit(1))
+    now = materialise(_estimates(mean, prior, *key).unionByName(_with_prior(flat, prior, *key)), "estimate")
+    last = None
+    for _ in range(most_steps):
+        bins = rows.join(now.select(*key, *_names("m"), *_names("l")), "grp").withColumn("bin", F.floor(FINE * F.log1p(distance()))).groupBy(*key, "bin").agg(*_sums())
+        w = Window.partitionBy(*key)
+        inner = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)}).where(F.col("upto") - F.col("n") < F.ceil(F.col("total") * cover))
+        held = materialise(inner.groupBy(*key).agg(*(F.sum(c).alias(c) for c in sums)), "held")
+        mark = held.agg(F.count("*"), F.bit_xor(F.xxhash64(*key, *sums))).first()
+        if mark == last:
+            break
+        last, now = mark, materialise(_estimates(held, prior, *key), "estimate")
+    columns = [*_names("m"), *_names("c"), *_names("l")]
+    best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start", *columns)).alias("b"))
+    return materialise(best.select("grp", *(f"b.{c}" for c in columns)), "estimate")
+
+
+def _leaning(groups: DataFrame, params: DataFrame) -> DataFrame:
+    """The prior of ``groups`` (grp, above): the estimate of the group above."""
+    above = params.select(F.col("grp").alias("above"), *(F.col(f"m{i}").alias(f"q{i}") for i in range(4)), *(F.col(f"c{i}{j}").alias(f"r{i}{j}") for i, j in _pairs()))
+    return materialise(groups.join(above, "above").drop("above"), "prior")
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """doc_id, the base counts, ``base_failed``, ``distance`` (null where the base rule failed) and ``kept`` for every row of ``docs``."""
+    levels = {"__all": F.lit("{}"), "__lang": F.to_json(F.struct("lang")), "__source": F.to_json(F.struct("lang", "source"))}
+    stats = materialise(vectors(base_statistics(docs)).withColumns(levels), "statistics")
     fit = stats.where("not base_failed")
-    sizes = fit.groupBy("lang", "source").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sizes = materialise(sizes.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), F.lit(True).alias("own")), "sizes")
-    same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    group = F.when(F.col("own"), F.struct(F.lit(True).alias("own"), F.col("source").alias("source"))).otherwise(F.struct(F.lit(False).alias("own"), F.lit(None).cast("string").alias("source")))
-    grouped = stats.join(sizes, same, "left").withColumn("grp", F.to_json(group)).drop("lang_", "source_", "own")
-    grouped = materialise(grouped, "statistics")
-    fit = grouped.where("not base_failed").select("lang", "grp", *STATS)
-    large = fit.groupBy("lang", "grp").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    params = materialise(estimate(fit), "estimate")
-    p = params.join(large.select(F.col("lang").alias("la"), F.col("grp").alias("ga")), F.col("lang").eqNullSafe(F.col("la")) & (F.col("grp") == F.col("ga")), "left_semi")
+    params, above = None, None
+    for level in levels:
+        rows = fit.select(F.col(level).alias("grp"), *STATS)
+        middle = materialise(medians(rows), "medians")
+        if params is None:
+            wide = [F.lit((UNIT * PRIOR_DEVIATION[i]) ** 2 if i == j else 0.0).alias(f"r{i}{j}") for i, j in _pairs()]
+            prior = middle.select("grp", *(F.col(f"med{i}").alias(f"q{i}") for i in range(4)), *wide)
+        else:
+            prior = _leaning(fit.select(F.col(level).alias("grp"), F.col(above).alias("above")).distinct(), params)
+        params, above = estimate(rows, middle, prior), level
+    beside = stats.join(params.select(F.col("grp").alias("__source"), *_names("m"), *_names("l")), "__source", "left")
     far = F.when(~F.col("base_failed"), distance() / consistency(COVER))
-    judged = _beside(grouped, p).withColumn("distance", far)
+    judged = beside.withColumn("distance", far)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
