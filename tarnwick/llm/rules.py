@@ -5,7 +5,7 @@ rule (word length, symbols, repeated lines, repeated words) form a vector of who
 language and source the minimum-covariance-determinant estimate is found from two starts (medians with absolute
 deviations; mean and covariance) by concentration steps: Mahalanobis distances under the present estimate,
 counted in fine bins, give the half-space that holds ``COVER`` of the documents, whose mean and covariance are the
-next estimate, until no group changes.  The start with the smaller determinant wins, and texts beyond ``CUTOFF`` are rejected.
+next estimate, until nothing new comes.  The start with the smaller determinant wins, and texts beyond ``CUTOFF`` are rejected.
 
 Every group has an estimate of its own, whatever its size.  Its mean and covariance are those of its documents and of
 ``PRIOR`` more that agree with the estimate of the whole language, which itself leans on that of all documents in the same way; so a group of
@@ -163,7 +163,7 @@ def estimate(rows: DataFrame, middle: DataFrame, prior: DataFrame, cover: float
     """(grp, m, c, l) of each group of ``rows`` (grp, statistics) by concentration steps from two starts.
 
     ``middle``: the groups' :func:`medians`.  ``prior``: (grp, q, r), mean and covariance that a group leans on.  Steps end when
-    no group's documents change.
+    all groups hold what they held after an earlier step.
     """
     key, sums = ["grp", "start"], ["n", *(f"s{i}" for i in range(4)), *(f"p{i}{j}" for i, j in _pairs())]
     spread = rows.join(middle, "grp").groupBy("grp").agg(
@@ -173,16 +173,16 @@ def estimate(rows: DataFrame, middle: DataFrame, prior: DataFrame, cover: float
     flat = spread.select("grp", F.lit(0).alias("start"), "n", *(f"g{i}" for i in range(4)), *((F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _pairs()))
     mean = rows.groupBy("grp").agg(*_sums()).withColumn("start", F.lit(1))
     now = materialise(_estimates(mean, prior, *key).unionByName(_with_prior(flat, prior, *key)), "estimate")
-    last = None
+    seen = set()
     for _ in range(most_steps):
         bins = rows.join(now.select(*key, *_names("m"), *_names("l")), "grp").withColumn("bin", F.floor(FINE * F.log1p(distance()))).groupBy(*key, "bin").agg(*_sums())
         w = Window.partitionBy(*key)
         inner = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)}).where(F.col("upto") - F.col("n") < F.ceil(F.col("total") * cover))
         held = materialise(inner.groupBy(*key).agg(*(F.sum(c).alias(c) for c in sums)), "held")
-        mark = held.agg(F.count("*"), F.bit_xor(F.xxhash64(*key, *sums))).first()
-        if mark == last:
+        now, mark = _estimates(held, prior, *key), held.agg(F.bit_xor(F.xxhash64(*key, *sums))).first()[0]
+        if mark in seen:
             break
-        last, now = mark, materialise(_estimates(held, prior, *key), "estimate")
+        seen.add(mark)
     columns = [*_names("m"), *_names("c"), *_names("l")]
     best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start", *columns)).alias("b"))
     return materialise(best.select("grp", *(f"b.{c}" for c in columns)), "estimate")
