@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import forget, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = materialise(large.where("u <> v").distinct(), "edges")
         small = large.join(_least(large), "u")  # every edge points down already
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(_least(large).withColumnRenamed("m", "v"))
-        now = materialise(small.where("u <> v").distinct(), "edges")
+        old, now = now, materialise(small.where("u <> v").distinct(), "edges")
+        forget(old)
+        forget(large)
         before, mark = mark, _mark(now)
         if mark == before:
             break

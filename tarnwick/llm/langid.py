@@ -5,7 +5,8 @@ byte's code length is that of escape method C: in a context seen ``n`` times wit
 bytes after it, a byte seen ``c`` times costs ``log2((n + t) / c)`` bits, and a new one costs
 ``log2((n + t) / t)`` bits to escape to the context one byte shorter; below order 0 all 256 bytes
 cost 8 bits.  A context never seen is left free of charge.  The language with the shortest code for
-the whole text wins; ``score`` is its posterior under equal priors.
+the whole text wins; ``score`` is its posterior under equal priors, and ``bits_per_byte`` and ``margin_per_byte`` are its mean
+code length and how much longer the next one's is, which do not saturate with a text's length.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0.  Equal code lengths go to the
 language first in order.  Without labelled texts every text is ``und``.  Repeated rows are each
@@ -151,6 +152,11 @@ def _union(arrays: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(arrays)).astype(np.uint32)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are at most ``SMALL``."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def train(docs: DataFrame, max_docs: int = 1500) -> Model | None:
     """Count grams on about ``max_docs`` labelled texts a language: those whose hashed ``doc_id`` is below a share.
 
@@ -158,11 +164,10 @@ def train(docs: DataFrame, max_docs: int = 1500) -> Model | None:
     by the bytes of the sample.
     """
     rows = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    ids = materialise(rows.select("doc_id", "lang").join(sizes, "lang").where(place < max_docs / F.col("n")).select("doc_id", "lang").distinct(), "sample")
-    few = ids.count() <= SMALL
-    sample = rows.join(F.broadcast(ids) if few else ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    ids = rows.select("doc_id", "lang").join(_small(sizes), "lang").where(place < max_docs / F.col("n")).select("doc_id", "lang").distinct()
+    sample = rows.join(_small(materialise(ids, "sample")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list] = {}
@@ -177,7 +182,7 @@ def train(docs: DataFrame, max_docs: int = 1500) -> Model | None:
             for x, parts in total.items():
                 total[x] = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
         for x, ((u, c),) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(u)), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
     got = sample.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
@@ -186,7 +191,7 @@ def train(docs: DataFrame, max_docs: int = 1500) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score`` for the whole ``text`` of every row."""
+    """The columns ``keep``, ``lang_pred``, ``score``, ``bits_per_byte`` and ``margin_per_byte`` for the whole ``text`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,17 +199,20 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             for at, raw, off in blocks(batch["__text"], 1 << 20):
                 n = len(off) - 1
                 if model is None:
-                    best, p = np.zeros(n, int), np.zeros(n)
+                    best, p, length, margin = np.zeros(n, int), *np.zeros((3, n))
                 else:
                     total = sums(model.bits(grams(LOWER[raw], off)), off)
                     best = total.argmin(axis=1)
+                    length = total.min(axis=1) / np.maximum(np.diff(off), 1)
+                    second = np.partition(total, 1, axis=1)[:, 1] if total.shape[1] > 1 else total[:, 0]
+                    margin = second / np.maximum(np.diff(off), 1) - length
                     p = 1 / np.exp2(np.minimum(total.min(axis=1, keepdims=True) - total, 0)).sum(axis=1)
                 ok = letter[at : at + n] & (model is not None)
                 names = [*(model.langs if model else []), "und"]
                 pred = pa.array([names[k] for k in np.where(ok, best, len(names) - 1)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, n) for c in keep), pred, pa.array(np.where(ok, p, 0.0))], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(at, n) for c in keep), pred, *(pa.array(np.where(ok, x, 0.0)) for x in (p, length, margin))], names=[*keep, "lang_pred", "score", "bits_per_byte", "margin_per_byte"])
 
-    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
+    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double, bits_per_byte double, margin_per_byte double"
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
     return docs.select(*keep, F.col("text").alias("__text"), letter).mapInArrow(run, schema)
 
@@ -213,4 +221,4 @@ def identify(docs: DataFrame, max_docs: int = 1500, keep: tuple[str, ...] = ("do
     """Learn from the rows that are not held out, then answer for every row."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     held = F.coalesce(crc == 0, F.lit(False))
-    return predict(docs, train(docs.where(crc != 0), max_docs), *keep).select(*keep, held.alias("held_out"), "lang_pred", "score")
+    return predict(docs, train(docs.where(crc != 0), max_docs), *keep).select(*keep, held.alias("held_out"), "lang_pred", "score", "bits_per_byte", "margin_per_byte")

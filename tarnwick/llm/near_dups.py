@@ -20,7 +20,8 @@ Two texts are linked when their sets of five-word shingles have a Jaccard index
     component need no test, as they can't change the result.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; fewer than five
-words make one shingle.  Repeated rows are answered alike.  A row with a null ``doc_id`` is linked
+words make one shingle.  Repeated rows are answered alike.  A ``doc_id`` with several texts is linked with whatever one of
+them is linked with; each row has its own text's size.  A row with a null ``doc_id`` is linked
 with nothing, has a null component and is kept.  An empty table gives an empty result.
 """
 
@@ -276,6 +277,11 @@ def _cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _of_repeated_ids(docs) if _repeats(docs) else _of_different_ids(docs)
+
+
+def _of_different_ids(docs: DataFrame) -> DataFrame:
     found = materialise(sketch(docs), "sketch")
     known = found.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "set_a", "set_b"]
@@ -291,11 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key")
     near = (F.col("rep") != F.col("hub")) & (4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n"))
     tested = materialise(star.where(near).select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct(), "pairs")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
-    if _repeats(known):  # one text for each representative
-        texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     final = connected_components(materialise(verify(tested, texts), "links"))
     sigs = None
     for most in (PARTNERS, None):
@@ -318,6 +320,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return answer.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(known: DataFrame) -> bool:
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with ``row``, a number of each row."""
+    return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _of_repeated_ids(docs: DataFrame) -> DataFrame:
+    """Every row is a document of its own, and those of one ``doc_id`` are linked."""
+    rows = numbered(docs)
+    known = rows.where("doc_id is not null").select("row", "doc_id")
+    found = materialise(_of_different_ids(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")), "parts")
+    of_id = found.where("n_shingles > 0").join(known, "row")
+    first = of_id.groupBy("doc_id").agg(F.min("part").alias("v"))
+    joined = connected_components(of_id.join(first, "doc_id").select(F.col("part").alias("u"), "v"))
+    of_id = of_id.join(joined.withColumnRenamed("node", "part"), "part", "left").select("doc_id", F.coalesce("component", "part").alias("component"))
+    least = materialise(of_id.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    of_id = materialise(of_id.join(least, "component").select("doc_id", F.col("least").alias("component_id")).distinct(), "components")
+    answer = found.select("row", "n_shingles").join(rows.select("row", "doc_id"), "row").drop("row").join(of_id, "doc_id", "left")
+    answer = answer.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return answer.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest ``doc_id`` stays, null last.
+
+    Every row counts as a document, rows that repeat an id or have none too: of those with equal ids one stays.  Rows without words all stay.
+    """
+    if not _repeats(docs) and not docs.where("doc_id is null").limit(1).count():
+        gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = _of_different_ids(rows.select(F.col("row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    of = materialise(found.join(rows.select("row", "doc_id"), "row"), "components")
+    stay = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = of.join(stay, "row", "left_anti").select("row")
+    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+
+
+def _repeats(docs: DataFrame) -> bool:
     """Whether a doc_id occurs in more than one row."""
-    return bool(known.groupBy("doc_id").count().where("count > 1").take(1))
+    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textbuf import LOWER, SPACE, blocks, hashes, mix, sums, words
 
@@ -107,10 +108,10 @@ def fit_ftrl(features: list[np.ndarray], labels: np.ndarray, bits: int, alpha: f
     return Model(w[:size].astype(np.float32), float(w[size]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 6000, bits: int = 18) -> Model:
-    """Fit on at most ``max_docs`` labelled documents: those whose ``doc_id`` hashes lowest.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 6000, max_bytes: int = 1 << 26, bits: int = 18) -> Model:
+    """Fit on at most ``max_docs`` labelled documents, those whose ``doc_id`` hashes lowest, and ``max_bytes`` of their texts.
 
-    The bound holds at every input size, so what reaches the driver is bounded too.
+    Texts of more than a 16th of ``max_bytes`` are left out.  The bounds hold at every input size, so what reaches the driver is bounded too.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -120,7 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+        .withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("size") <= max_bytes // 16)
     )
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of max_docs rows at most
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
     got = featurise(rows, bits, "doc_id", "y").toArrow()
     order = np.argsort(_id_order(got["doc_id"].to_numpy()))
     lists = got["features"].combine_chunks()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialise
+from .storage import forget, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 STATS = ("x1", "x2", "x3", "x4")
@@ -173,12 +173,14 @@ def estimate(rows: DataFrame, middle: DataFrame, prior: DataFrame, cover: float
     flat = spread.select("grp", F.lit(0).alias("start"), "n", *(f"g{i}" for i in range(4)), *((F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _pairs()))
     mean = rows.groupBy("grp").agg(*_sums()).withColumn("start", F.lit(1))
     now = materialise(_estimates(mean, prior, *key).unionByName(_with_prior(flat, prior, *key)), "estimate")
-    seen = set()
+    seen, old = set(), now
     for _ in range(most_steps):
         bins = rows.join(now.select(*key, *_names("m"), *_names("l")), "grp").withColumn("bin", F.floor(FINE * F.log1p(distance()))).groupBy(*key, "bin").agg(*_sums())
         w = Window.partitionBy(*key)
         inner = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)}).where(F.col("upto") - F.col("n") < F.ceil(F.col("total") * cover))
         held = materialise(inner.groupBy(*key).agg(*(F.sum(c).alias(c) for c in sums)), "held")
+        forget(old)
+        old = held
         now, mark = _estimates(held, prior, *key), held.agg(F.bit_xor(F.xxhash64(*key, *sums))).first()[0]
         if mark in seen:
             break

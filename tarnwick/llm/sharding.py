@@ -29,6 +29,7 @@ from .storage import materialise
 
 TEXT_DIGITS, ID_DIGITS = 12, 16
 FIRST_DIGITS, NEXT_DIGITS = 3, 2
+SUBRANGE_BYTES, MOST_SUBRANGES = 1 << 25, 256
 AFTER = "g"  # sorts after every hexadecimal digit
 
 
@@ -80,16 +81,18 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[Splitt
     return [found[k] for k in range(len(targets))]
 
 
-def histogram_sort(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 24, subranges: int = 8, tolerance: float = 0.001) -> DataFrame:
+def histogram_sort(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = 24, subranges: int | None = None, tolerance: float = 0.001) -> DataFrame:
     """All rows and columns of ``df`` plus ``shard``, ``subrange`` and ``slot`` (its place in the shard, from 0).
 
-    A row's size is the bytes of its text plus 8; ``tolerance`` is a share of the mean shard size.
+    A row's size is the bytes of its text plus 8; ``tolerance`` is a share of the mean shard size.  ``subranges`` of a shard are
+    sorted by tasks of their own: unless given, as many as make them about ``SUBRANGE_BYTES``, ``MOST_SUBRANGES`` at most.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 8
     key = sort_key(F.coalesce(F.col(text), F.lit("")), F.col(doc_id))
     keys = materialise(df.select(key.alias("key"), size.alias("size")), "keys")
-    parts = shards * subranges
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    subranges = subranges or max(1, min(MOST_SUBRANGES, -(-total // (shards * SUBRANGE_BYTES))))
+    parts = shards * subranges
     splitters = find_splitters(keys, parts, tolerance * total / shards)
     bounds = np.array([s.key for s in splitters], dtype="S32")
     if len(bounds) and (np.diff([s.rows for s in splitters]) < 0).any():

@@ -86,6 +86,42 @@ def test_quality_learns_and_scores_everything(spark, odd, nothing):
     assert (none.score == 0.5).all()
 
 
+def slow_ftrl(texts, labels, bits, alpha=1.0, beta=1.0, l1=0.02, l2=0.5, epochs=3):
+    """Follow the regularised leader one coordinate at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for idx, y in zip(texts, labels):
+            x = {int(i): c * quality.SCALE / len(idx) for i, c in collections.Counter(idx).items()} | {1 << bits: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g, w = (p - y) * v, weight(i)
+                step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - step * w
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    r = np.random.default_rng(16)
+    texts = [r.integers(0, 64, r.integers(1, 40)) for _ in range(60)]
+    labels = np.array([int((t < 20).mean() > 0.3) for t in texts])
+    model, want = quality.fit_ftrl(texts, labels, 6), slow_ftrl(texts, labels, 6)
+    assert model.bias == pytest.approx(want[64]) and np.allclose(model.weights, [want.get(i, 0.0) for i in range(64)], atol=1e-6)
+
+
+def test_training_bytes_are_bounded(spark):
+    r = np.random.default_rng(17)
+    docs = documents(spark, [(i, prose(r, 400 if i == 7 else 20), "a", "s") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    assert quality.train(docs, labels, max_bytes=0).weights.any() == False  # noqa: E712
+    a, b = quality.train(docs, labels, max_bytes=1 << 14), quality.train(docs.where("doc_id <> 7"), labels, max_bytes=1 << 14)
+    assert (a.weights == b.weights).all()
+
+
 # 2 archives
 
 
@@ -489,6 +525,27 @@ def test_near_duplicates_against_all_pairs(spark, odd, nothing):
     assert near_dups.near_duplicates(nothing).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    r = np.random.default_rng(14)
+    t, u, v = (prose(r, 40) for _ in range(3))
+    rows = [(1, t), (2, u), (2, t), (3, u), (4, v), (4, v), (5, v), (6, ""), (6, t), (7, None), (7, None), (None, u)]
+    got = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"] or 0, x["kept"]) for x in near_dups.near_duplicates(documents(spark, [(i, x, "a", "s") for i, x in rows])).collect())
+    n = {x: len(set(zip(*(x.split()[k:] for k in range(5))))) for x in (t, u, v)}
+    want = [(i or 0, n.get(x, 0), {2: 1, 3: 1, 5: 4, 6: 1}.get(i, i or 0), i in (1, 4, 7, None)) for i, x in rows]
+    assert got == sorted(want)
+
+
+def test_one_of_each(spark, nothing):
+    r = np.random.default_rng(15)
+    t, u = prose(r, 40), prose(r, 40)
+    left = lambda rows: sorted((x["doc_id"] or 0, x["text"] or "") for x in near_dups.one_of_each(documents(spark, [(i, x, "a", "s") for i, x in rows])).collect())
+    assert left([(3, t), (2, t), (5, u)]) == [(2, t), (5, u)]
+    assert left([(1, t), (1, t), (None, t)]) == [(1, t)]
+    assert left([(1, t), (1, u), (2, t), (None, u), (0, "")]) == sorted([(1, t), (1, u), (0, "")])
+    assert left([(None, t), (None, t), (None, None)]) == [(0, ""), (0, t)]
+    assert near_dups.one_of_each(nothing).count() == 0
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(7)
     for n in (1, 3, 40, 700):
