@@ -12,12 +12,10 @@ Two texts are linked when their sets of five-word shingles have a Jaccard index
 4.  Each bucket member is verified against the bucket's hub, the member that meets most others in
     all its buckets, on the full shingle sets (linear in the bucket's size), and components of the
     links are formed.
-5.  Where a bucket still holds several components, its pairs from different components are
-    compared by finer sketches of 2048 coordinates, in blocks of bounded size.  First each document
-    outside the bucket's largest component is verified against the few that agree with it best,
-    and components are formed again; then all pairs that are left, and whose estimate is 0.715 or
-    more (five standard deviations below the threshold), are verified too.  Pairs within one
-    component need no test, as they can't change the result.
+5.  Where a bucket still holds several components, all its pairs from different components are tested on the full shingle
+    sets, in blocks bounded in rows and bytes: common shingles are counted by products of matrices over the shingles that
+    both sides hold.  A block gives as few links as join its components.  Pairs within one component, or within the
+    largest one of a block, need no test, as they can't change the result.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; fewer than five
 words make one shingle.  Repeated rows are answered alike.  A ``doc_id`` with several texts is linked with whatever one of
@@ -36,14 +34,11 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialise
-from .textbuf import LOWER, blocks, hashes, mix, owners, words
+from .textbuf import LOWER, binary, blocks, flat, hashes, mix, owners, words
 
 WIDTH, BANDS, BAND_ROWS = 5, 32, 4
-FINE = 2048
-BLOCK = 1024
-#: Of 4-bit coordinates: what pairs at a Jaccard index of 0.70 share on average, 5 deviations below what those at 0.75 do.
-LEAST_AGREEMENT = 0.70 + 0.30 / 16
-PARTNERS = 3
+#: Rows of a block of a bucket, and bytes of their shingle sets; shingles that are counted at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 1 << 25, 2048
 
 _ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], np.uint64)
 
@@ -134,20 +129,19 @@ def sketch(docs: DataFrame) -> DataFrame:
     )
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(rep, sig): 4 bits of each of ``FINE`` coordinates, two to a byte."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(rep, shingles): the distinct shingle hashes of each text, 64 bits each, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw, off in blocks(batch["text"], max_rows=512):
+            for at, raw, off in blocks(batch["text"], max_rows=2048):
                 n = len(off) - 1
                 h, own = shingles(LOWER[raw], off)
-                bits = (fast_sketch(h, own, n, FINE) & np.uint64(15)).astype(np.uint8)
-                packed = bits[:, ::2] << 4 | bits[:, 1::2]
-                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(FINE // 2), n, [None, pa.py_buffer(packed.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), sig.cast(pa.binary())], names=["rep", "sig"])
+                h = h[np.lexsort((h, own))]
+                sizes = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), binary(h, sizes)], names=["rep", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep bigint, sig binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "rep bigint, shingles binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -188,8 +182,9 @@ def _mixed_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
     labelled = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("label")
     )
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"))
-    mixed = mixed.where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.sum("n").alias("size"))
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") * 8 / BLOCK_BYTES))
+    mixed = mixed.where("a < b").select("key", parts.cast("int").alias("nb"))
     wide = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return wide.select(
@@ -198,81 +193,100 @@ def _mixed_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def _agreement(sig: np.ndarray, x: np.ndarray, y: np.ndarray, at_once: int = 4096) -> np.ndarray:
-    """In how many coordinates the packed signatures of rows ``x`` and ``y`` agree."""
-    out = np.empty(len(x), np.int64)
-    for at in range(0, len(x), at_once):
-        d = sig[x[at : at + at_once]] ^ sig[y[at : at + at_once]]
-        out[at : at + at_once] = np.count_nonzero(d < 16, axis=1) + np.count_nonzero((d & 15) == 0, axis=1)
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of ``a`` shares with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    names, at_a = np.unique(np.concatenate(a), return_inverse=True)
+    all_b = np.concatenate(b)
+    if not len(names):
+        return out
+    at_b = np.minimum(np.searchsorted(names, all_b), len(names) - 1)
+    shared = names[at_b] == all_b
+    used = np.zeros(len(names), bool)
+    used[at_b[shared]] = True
+    column = np.cumsum(used) - 1
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    row_a, col_a = row_a[used[at_a]], column[at_a[used[at_a]]]
+    row_b, col_b = row_b[shared], column[at_b[shared]]
+    order_a, order_b = np.argsort(col_a, kind="stable"), np.argsort(col_b, kind="stable")
+    row_a, col_a, row_b, col_b = row_a[order_a], col_a[order_a], row_b[order_b], col_b[order_b]
+    for lo in range(0, int(used.sum()), COLUMNS):
+        one, two = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for m, row, col in ((one, row_a, col_a), (two, row_b, col_b)):
+            part = slice(*np.searchsorted(col, [lo, lo + COLUMNS]))
+            m[row[part], col[part] - lo] = 1
+        out += one @ two.T
     return out
 
 
-def _cross_pairs(rows: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of rows (key, i, j, rep, n, label, side, sig) of one block pair that differ in label and may be linked.
+def _links_of_block(rep: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join as many of a block's components as its pairs of rows do: each between a left and a right row."""
+    names, label, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    main = label == sizes.argmax()
+    left, right = (side == 0) | (side == 2), (side == 1) | (side == 2)
+    found = []
+    for a, b in ((left & ~main, right), (left & main, right & ~main)):
+        a, b = np.flatnonzero(a), np.flatnonzero(b)
+        for lo in range(0, len(a) if len(b) else 0, 256):
+            x = a[lo : lo + 256]
+            fit = (label[x][:, None] != label[b]) & (4 * np.minimum(n[x][:, None], n[b]) >= 3 * np.maximum(n[x][:, None], n[b]))
+            x, y = x[fit.any(axis=1)], b[fit.any(axis=0)]
+            if not len(x):
+                continue
+            both = common([sets[k] for k in x], [sets[k] for k in y]).astype(np.int64)
+            i, j = np.nonzero((100 * both >= 75 * (n[x][:, None] + n[y] - both)) & (label[x][:, None] != label[y]))
+            found.append(np.stack([x[i], y[j]]))
+    if not found:
+        return []
+    x, y = np.concatenate(found, axis=1)
+    pairs, first = np.unique(np.stack([np.minimum(label[x], label[y]), np.maximum(label[x], label[y])]), axis=1, return_index=True)
+    root, out = list(range(len(names))), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for (p, q), at in zip(pairs.T.tolist(), first.tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(rep[x[at]]), int(rep[y[at]])))
+    return out
 
-    ``most``: of each row outside the block pair's largest component, only so many pairs, those
-    that agree best; None: all pairs.
-    """
 
-    def of(group: dict[str, np.ndarray], out: list) -> None:
-        side = group["side"]
-        left = np.flatnonzero((side == 0) | (side == 2))
-        right = np.flatnonzero((side == 1) | (side == 2))
-        if not len(left) or not len(right):
-            return
-        sig, n, label, rep = group["sig"], group["n"], group["label"], group["rep"]
-        step = max(1, (1 << 18) // len(right))
-        for lo in range(0, len(left), step):
-            a = left[lo : lo + step]
-            ok = (label[a][:, None] != label[right]) & (4 * np.minimum(n[a][:, None], n[right]) >= 3 * np.maximum(n[a][:, None], n[right]))
-            x, y = np.nonzero(ok)
-            x, y = a[x], right[y]
-            agree = _agreement(sig, x, y)
-            fit = agree >= LEAST_AGREEMENT * FINE
-            x, y, agree = x[fit], y[fit], agree[fit]
-            if most and len(x):
-                names, sizes = np.unique(label, return_counts=True)
-                main = label == names[sizes.argmax()]
-                x, y = np.concatenate([x, y]), np.concatenate([y, x])
-                order = np.lexsort((rep[y], -np.concatenate([agree, agree]), x))
-                x, y = x[order], y[order]
-                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-                keep = (place < most) & ~main[x]
-                x, y = x[keep], y[keep]
-            out.append((np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])))
+def _cross_links(rows: DataFrame) -> DataFrame:
+    """(u, v): links between the components of each block pair, from rows (key, i, j, rep, n, label, side, shingles)."""
+    names = ["rep", "n", "label", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "rep", "n", "label", "side"]
-        rest: dict[str, np.ndarray] | None = None
-
-        def flush(data: dict[str, np.ndarray], final: bool) -> tuple[pa.RecordBatch, dict]:
-            change = (data["key"][1:] != data["key"][:-1]) | (data["i"][1:] != data["i"][:-1]) | (data["j"][1:] != data["j"][:-1])
-            cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(data["key"])]])
-            out: list = []
-            for lo, hi in zip(cuts[:-1], cuts[1:] if final else cuts[1:-1], strict=False):
-                of({k: v[lo:hi] for k, v in data.items()}, out)
-            u, v = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-            pair = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
-            return batch, {} if final else {k: x[cuts[-2] :] for k, x in data.items()}
+        held: list[list[np.ndarray]] = []
+        sets: list[np.ndarray] = []
+        block = None
+
+        def links() -> pa.RecordBatch:
+            out = _links_of_block(*(np.concatenate(x) for x in zip(*held, strict=True)), sets) if held else []
+            u, v = np.array(out, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            data = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
-            raw = batch["sig"]
-            off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-            data["sig"] = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(len(raw), FINE // 2)
-            if rest:
-                data = {k: np.concatenate([rest[k], data[k]]) for k in data}
-            found, rest = flush(data, False)
-            yield found
-        if rest:
-            yield flush(rest, True)[0]
-
-    held = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return held.mapInArrow(run, "u bigint, v bigint").distinct()
+            of = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")])
+            cuts = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
+            values, off = flat(batch["shingles"], "<u8")
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if block is not None and tuple(of[:, lo]) != block:
+                    yield links()
+                    held, sets = [], []
+                block = tuple(of[:, lo])
+                held.append([batch[c].to_numpy()[lo:hi] for c in names])
+                sets += [values[a:b] for a, b in zip(off[lo:hi].tolist(), off[lo + 1 : hi + 1].tolist(), strict=True)]
+        if held:
+            yield links()
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,17 +313,11 @@ def _of_different_ids(docs: DataFrame) -> DataFrame:
     tested = materialise(star.where(near).select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct(), "pairs")
     texts = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     final = connected_components(materialise(verify(tested, texts), "links"))
-    sigs = None
-    for most in (PARTNERS, None):
-        mixed = materialise(_mixed_blocks(members, final), "mixed")
-        if sigs is None:
-            sigs = materialise(signatures(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "signatures")
-        more = _cross_pairs(mixed.join(sigs, "rep"), most)
-        more = materialise(more.join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = materialise(verify(more, texts), "links")
-        if links.take(1):
-            final = connected_components(links.unionByName(final.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        tested = tested.unionByName(more)
+    mixed = materialise(_mixed_blocks(members, final), "mixed")
+    sets = materialise(shingle_sets(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sets")
+    links = materialise(_cross_links(mixed.join(sets, "rep")), "links")
+    if links.take(1):
+        final = connected_components(links.unionByName(final.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     of_class = reps.select(*same, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(*same, F.coalesce("component", "rep").alias("component"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import materialise
 from .textbuf import LOWER, SPACE, blocks, hashes, mix, sums, words
 
 SCALE = 16.0
@@ -123,14 +124,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
         .withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("size") <= max_bytes // 16)
     )
-    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of max_docs rows at most
-    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
-    got = featurise(rows, bits, "doc_id", "y").toArrow()
+    rows = materialise(rows, "sample")
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of max_docs narrow rows at most
+    taken = rows.select("doc_id", "size").withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id")
+    got = featurise(rows.join(F.broadcast(taken), "doc_id"), bits, "doc_id", "y").toArrow()
     order = np.argsort(_id_order(got["doc_id"].to_numpy()))
-    lists = got["features"].combine_chunks()
-    off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     y = got["y"].to_numpy()
-    return fit_ftrl([flat[off[k] : off[k + 1]] for k in order], y[order], bits)
+    # views of what was received, not copies
+    lists = [x.values.to_numpy()[a:b] for x in got["features"].chunks for off in [x.offsets.to_numpy()] for a, b in zip(off[:-1], off[1:], strict=True)]
+    model = fit_ftrl([lists[k] for k in order], y[order], bits)
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _id_order(ids: np.ndarray) -> np.ndarray:

@@ -557,9 +557,31 @@ def test_sketch_fills_and_estimates():
         assert (s[0] == s[1]).mean() == pytest.approx(true, abs=0.07)
 
 
-def test_sketch_filter_is_five_deviations_below_the_threshold():
-    mean = 0.75 + 0.25 / 16
-    assert mean - near_dups.LEAST_AGREEMENT >= 5 * math.sqrt(mean * (1 - mean) / near_dups.FINE)
+def test_links_of_blocks_join_what_all_pairs_join(monkeypatch):
+    monkeypatch.setattr(near_dups, "COLUMNS", 64)
+    r = np.random.default_rng(18)
+    base = [r.integers(0, 1 << 40, 60).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[r.random(60) < 0.93], r.integers(0, 1 << 40, r.integers(0, 8)).astype(np.uint64)])) for b in base for _ in range(12)]
+    n, rep = np.array([len(x) for x in sets]), np.arange(len(sets)) + 100
+    exact = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets])
+    assert (near_dups.common(sets[:9], sets) == exact[:9]).all()
+    for side in (np.full(48, 2), np.arange(48) % 2):
+        label = np.where(np.arange(48) % 12 < 7, np.arange(48) // 12, np.arange(48) + 50)
+        root = {x: x for x in label.tolist()}
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for i in range(48):
+            for j in range(48):
+                if i != j and (side[i], side[j]) in ((2, 2), (0, 1)) and 100 * exact[i, j] >= 75 * (n[i] + n[j] - exact[i, j]):
+                    root[find(int(label[i]))] = find(int(label[j]))
+        want = len({find(x) for x in root})
+        got = near_dups._links_of_block(rep, n, label, side, sets)
+        assert len(root) - len(got) == want  # a forest
+        for u, v in got:
+            i, j = u - 100, v - 100
+            assert 100 * exact[i, j] >= 75 * (n[i] + n[j] - exact[i, j]) and label[i] != label[j]
 
 
 def test_long_chain_is_one_component(spark):
