@@ -78,6 +78,33 @@ def active_segments(a: Column, active: Column, per_time: int = 8, samples: int =
     return F.flatten(F.transform(on, lambda t: F.slice(a, t * samples + 1, samples)))
 
 
+def visible(patches: Column, masked: Column) -> Column:
+    """The patches that are not masked, in their order."""
+    kept = F.filter(F.arrays_zip(patches.alias("p"), masked.alias("m")), lambda t: ~t["m"])
+    return F.transform(kept, lambda t: t["p"])
+
+
+def lowest(priorities: Column, n: int) -> Column:
+    """The places of the ``n`` least values, ascending; of equal ones the first."""
+    order = F.array_sort(F.transform(priorities, lambda p, i: F.struct(p.alias("p"), i.alias("i"))))
+    return F.array_sort(F.transform(F.slice(order, 1, n), lambda t: t["i"]))
+
+
+def mean_pool(tokens: Column, size: int) -> Column:
+    """The mean of an array of tokens of ``size`` values each."""
+    total = lambda k: F.aggregate(tokens, F.lit(0.0), lambda s, t: s + t[k])
+    return F.array(*(total(k) / F.size(tokens) for k in range(size)))
+
+
+def layer_norm(x: Column, eps: float = 1e-6) -> Column:
+    """Values less their mean, over their population deviation."""
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  a value that is computed once, not for each item
+    n = F.size(x)
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+    spread = lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / n + eps)
+    return once(mean, lambda m: once(spread(m), lambda d: F.transform(x, lambda v: (v - m) / d)))
+
+
 def mel(hz: Column, natural: bool = True) -> Column:
     """Mel of a frequency: 1127 ln(1 + f / 700), or 2595 log10(1 + f / 700)."""
     return F.lit(1127.0) * F.log1p(hz / 700) if natural else F.lit(2595.0) * F.log10(1 + hz / 700)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import math
-import wave
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -35,8 +34,11 @@ def mel_filters(n_fft: int, rate: int, n_mels: int, low: float = 20.0, high: flo
     return np.pad(np.maximum(0, np.minimum(rise, fall)), ((0, 0), (0, 1)))
 
 
-def log_mel(x: np.ndarray, rate: int = 32000, window_ms: float = 25, hop_ms: float = 10, n_mels: int = 128, low: float = 20.0, high: float = 0.0, emphasis: float = 0.97, dither: float = 0.0, remove_mean: bool = True, energy: bool = False, seed: int = 0) -> np.ndarray:
-    """Log-mel energies [frames, n_mels] of one waveform; with ``energy`` the frame's log energy comes first."""
+def log_mel(x: np.ndarray, rate: int = 32000, window_ms: float = 25, hop_ms: float = 10, n_mels: int = 128, low: float = 20.0, high: float = 0.0, emphasis: float = 0.97, dither: float = 0.0, remove_mean: bool = True, energy: bool = False, seed: int = 0, raw_energy: bool = True, energy_last: bool = False) -> np.ndarray:
+    """Log-mel energies [frames, n_mels] of one waveform; with ``energy`` the frame's log energy comes first, or last.
+
+    It is taken before the high frequencies are raised and the window is laid over, or after it without ``raw_energy``.
+    """
     window, hop = int(rate * window_ms / 1000), int(rate * hop_ms / 1000)
     if len(x) < window:
         return np.zeros((0, n_mels + energy), np.float32)
@@ -48,10 +50,45 @@ def log_mel(x: np.ndarray, rate: int = 32000, window_ms: float = 25, hop_ms: flo
     tiny = np.finfo(np.float32).eps
     loud = np.log(np.maximum((f * f).sum(axis=1), tiny))
     f -= emphasis * np.concatenate([f[:, :1], f[:, :-1]], axis=1)
+    f *= np.hanning(window)
+    if not raw_energy:
+        loud = np.log(np.maximum((f * f).sum(axis=1), tiny))
     n_fft = 1 << (window - 1).bit_length()
-    power = np.abs(np.fft.rfft(f * np.hanning(window), n_fft, axis=1)) ** 2
+    power = np.abs(np.fft.rfft(f, n_fft, axis=1)) ** 2
     out = np.log(np.maximum(power @ mel_filters(n_fft, rate, n_mels, low, high).T, tiny))
-    return (np.column_stack([loud, out]) if energy else out).astype(np.float32)
+    return (np.column_stack([out, loud] if energy_last else [loud, out]) if energy else out).astype(np.float32)
+
+
+def filter_spectrum(x: np.ndarray, active: np.ndarray, per_time: int = 8, samples: int = 5120, n_fft: int = 1024) -> np.ndarray:
+    """The samples of ``x`` with only the frequencies of active patches left, then of active times alone.
+
+    Patch i lies at time i div ``per_time`` and band i mod ``per_time``; bands have equal numbers of bins.  Frames of ``n_fft`` samples
+    overlap by half and are added up again under squared-cosine windows.
+    """
+    grid = np.asarray(active, bool).reshape(-1, per_time)
+    hop = n_fft // 2
+    padded = np.pad(x.astype(np.float64), (hop, n_fft))
+    n = 1 + (len(padded) - n_fft) // hop
+    window = np.sin(np.pi * (np.arange(n_fft) + 0.5) / n_fft)
+    spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][:n] * window, axis=1)
+    time = np.clip((np.arange(n) * hop) // samples, 0, len(grid) - 1)
+    band = np.minimum(np.arange(spectrum.shape[1]) * per_time // spectrum.shape[1], per_time - 1)
+    out = np.zeros(len(padded))
+    for k, frame in enumerate(np.fft.irfft(spectrum * grid[time][:, band], n_fft, axis=1) * window):
+        out[k * hop : k * hop + n_fft] += frame
+    out = out[hop : hop + len(x)]
+    return np.concatenate([np.zeros(0), *(out[t * samples : (t + 1) * samples] for t in np.flatnonzero(grid.any(axis=1)))]).astype(np.float32)
+
+
+def mel_by_frame(x: np.ndarray, rate: int = 32000, **options) -> np.ndarray:
+    """Log-mel energies [n_mels, frames]."""
+    return log_mel(x, rate, **options).T
+
+
+def mel_shape(n: int, rate: int = 32000, window_ms: float = 25, hop_ms: float = 10, n_mels: int = 128) -> tuple[int, int]:
+    """The shape that :func:`mel_by_frame` gives for ``n`` samples."""
+    window, hop = int(rate * window_ms / 1000), int(rate * hop_ms / 1000)
+    return n_mels, 0 if n < window else 1 + (n - window) // hop
 
 
 def clip_features(x: np.ndarray, rate: int = 32000, seconds: float = 5.0, center: bool = True, **options) -> np.ndarray:
@@ -100,8 +137,12 @@ def resample(x: np.ndarray, source: int, target: int, half_width: int = 32) -> n
     return out
 
 
-def pcm(raw: bytes, width: int) -> np.ndarray:
-    """Samples between -1 and 1 from little-endian PCM of 1 (unsigned), 2 or 4 bytes."""
+def pcm(raw: bytes, width: int, floating: bool = False) -> np.ndarray:
+    """Samples between -1 and 1 from little-endian PCM of 1 (unsigned), 2 or 4 bytes; floating-point ones as they are."""
+    if floating:
+        if width not in (4, 8):
+            raise ValueError(f"floating-point PCM of {width} bytes is not read")
+        return np.frombuffer(raw, f"<f{width}").astype(np.float32)
     if width == 1:
         return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     if width in (2, 4):
@@ -111,16 +152,42 @@ def pcm(raw: bytes, width: int) -> np.ndarray:
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
     """Interleaved samples, rate and channels of a WAV file; an empty one is an error."""
-    with wave.open(io.BytesIO(data)) as f:
-        x = pcm(f.readframes(f.getnframes()), f.getsampwidth())
-        if not len(x):
-            raise ValueError("no samples")
-        return x, f.getframerate(), f.getnchannels()
+    if data[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        body = data[at + 8 : at + 8 + size]
+        if name == b"fmt ":
+            tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            tag = int.from_bytes(body[24:26], "little") if tag == 0xFFFE else tag  # the real one of an extended head
+            form = tag, channels, rate, bits // 8
+        elif name == b"data" and form:
+            tag, channels, rate, width = form
+            if tag not in (1, 3):
+                raise ValueError(f"WAV format {tag} is not read")
+            x = pcm(body[: len(body) // width * width], width, tag == 3)
+            if not len(x):
+                raise ValueError("no samples")
+            return x, rate, channels
+        at += 8 + size + size % 2
+    raise ValueError("no samples")
 
 
 DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"RIFF": decode_wav}
 
 
+def audio_array(audio: dict) -> np.ndarray:
+    """Mono samples of an audio value: of its ``array``, or decoded from its ``bytes``; neither is an error."""
+    if audio.get("array") is not None:
+        x = np.asarray(audio["array"], np.float32)
+        return x.mean(axis=int(x.shape[0] > x.shape[1])).astype(np.float32) if x.ndim == 2 else x
+    if audio.get("bytes") is None:
+        raise ValueError("audio has neither an array nor bytes")
+    x, _, channels = decode(bytes(audio["bytes"]))
+    return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
+
+
 def decode(data: bytes) -> tuple[np.ndarray, int, int]:
     """Decode by the container's first four bytes; more containers can be added to ``DECODERS``."""
     kind = bytes(data[:4]).decode("latin-1")

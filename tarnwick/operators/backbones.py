@@ -91,6 +91,66 @@ def fit_linear(features: DataFrame, size: int, classes: int, rounds: int = 30, r
     return weights
 
 
+def gelu(x: np.ndarray) -> np.ndarray:
+    """The Gaussian error linear unit, by the usual approximation with a hyperbolic tangent."""
+    return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
+
+
+def _mlp(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Normalised input, hidden values before and after the unit, and logits."""
+    norm = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-6)
+    pre = norm @ w["a"] + w["a0"]
+    hidden = gelu(pre)
+    return norm, pre, hidden, hidden @ w["b"] + w["b0"]
+
+
+def fit_mlp(features: DataFrame, size: int, classes: int, hidden: int = 32, rounds: int = 60, rate: float = 0.02, seed: int = 1, vector: str = "embedding", label: str = "label") -> dict[str, np.ndarray]:
+    """Weights of independent logistic classifiers on one hidden layer over normalised vectors, by full-batch steps with adaptive moments.
+
+    A round is one job, as in :func:`fit_linear`: gradients of the weights' fixed size are summed by Spark.
+    """
+    r = np.random.default_rng(seed)
+    w = {"a": r.standard_normal((size, hidden)) / np.sqrt(size), "a0": np.zeros(hidden), "b": r.standard_normal((hidden, classes)) / np.sqrt(hidden), "b0": np.zeros(classes)}
+    rows = features.select(vector, F.col(label).cast("int").alias("y")).where(F.col(vector).isNotNull() & F.col("y").isNotNull())
+    total = rows.count()
+    rows = rows.coalesce(64)
+    m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    for t in range(1, rounds + 1 if total else 1):
+
+        def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            g = {k: np.zeros_like(x) for k, x in w.items()}
+            for batch in batches:
+                x = np.array(batch[vector].to_pylist(), float).reshape(len(batch), size)
+                norm, pre, up, z = _mlp(w, x)
+                dz = 1 / (1 + np.exp(-z)) - (np.arange(classes) == batch["y"].to_numpy()[:, None])
+                u = np.sqrt(2 / np.pi) * (pre + 0.044715 * pre**3)
+                slope = 0.5 * (1 + np.tanh(u)) + 0.5 * pre * (1 - np.tanh(u) ** 2) * np.sqrt(2 / np.pi) * (1 + 3 * 0.044715 * pre**2)
+                dp = (dz @ w["b"].T) * slope
+                for k, d in (("a", norm.T @ dp), ("a0", dp.sum(axis=0)), ("b", up.T @ dz), ("b0", dz.sum(axis=0))):
+                    g[k] += d
+            flat = np.concatenate([g[k].ravel() for k in w])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "g"])
+
+        got = rows.mapInArrow(run, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy() / total
+        at = 0
+        for k, x in w.items():
+            g = got[at : at + x.size].reshape(x.shape)
+            at += x.size
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.95 * s[k] + 0.05 * g * g
+            w = w | {k: w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.95**t)) + 1e-8)}
+    return w
+
+
+def mlp_scores(features: DataFrame, weights: dict[str, np.ndarray], vector: str = "embedding") -> DataFrame:
+    """Each row with every class and its ``score`` under an MLP probe."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def logits(x: pd.Series) -> pd.Series:
+        return pd.Series(list(_mlp(weights, np.stack(x.to_list()).astype(float))[3])) if len(x) else pd.Series([], dtype=object)
+
+    return features.select("*", F.posexplode(logits(vector)).alias("class_id", "score"))
+
+
 def linear_scores(features: DataFrame, weights: np.ndarray, vector: str = "embedding") -> DataFrame:
     """Each row with every class and its ``score`` under a linear probe."""
     table = F.array(*(F.array(*map(F.lit, w.tolist())) for w in weights))

@@ -111,8 +111,10 @@ def l2_norms(leaves: DataFrame) -> DataFrame:
 def sigreg(features: DataFrame, directions: DataFrame, knots: int = 17, reach: float = 3.0, vector: str = "embedding") -> DataFrame:
     """(projection, statistic): how far projected vectors are from a standard normal, by their characteristic function.
 
-    ``directions`` (projection, direction) are few and broadcast; cosines and sines are averaged at each knot.
+    ``directions`` (projection, direction) are counted and must be at most ``MOST_CLASSES``, which are broadcast; cosines and sines are averaged at each knot.
     """
+    if directions.count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} directions")
     t = [reach * k / (knots - 1) for k in range(knots)]
     p = features.crossJoin(F.broadcast(directions)).select("projection", dot(F.col(vector), F.col("direction")).alias("x"))
     means = p.groupBy("projection").agg(*(F.avg(F.cos(F.col("x") * k)).alias(f"c{i}") for i, k in enumerate(t)), *(F.avg(F.sin(F.col("x") * k)).alias(f"s{i}") for i, k in enumerate(t)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from .sampling import crop_start, wrapping_arithmetic
+from .sampling import INDEX_MULTIPLIER, _signed, crop_start, crop_start_of, mixed, unsigned_order, wrapping_arithmetic
 
 
 def with_crop_starts(rows: DataFrame, seed: int, spare: int) -> DataFrame:
@@ -21,19 +21,50 @@ def with_crop_starts(rows: DataFrame, seed: int, spare: int) -> DataFrame:
     return out
 
 
-def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: int | None = None, n_mels: int = 128) -> DataFrame:
+def sent_rows(rows: DataFrame, seed: int, epoch: int, limit: int | None = None) -> DataFrame:
+    """``rows`` (shard, index) in the order of one epoch, with ``place``-making columns ``turn``: shards by a mixing of seed, epoch and number, then index.
+
+    ``limit``: only the first so many, whether they can be decoded or not.
+    """
+    with wrapping_arithmetic(rows.sparkSession):
+        out = rows.withColumn("turn", mixed(F.lit(seed + epoch).bitwiseXOR(F.col("shard") * F.lit(_signed(INDEX_MULTIPLIER)))))
+        out.schema  # resolved while arithmetic wraps
+    out = out.orderBy(*unsigned_order(F.col("turn")), "index")
+    return out if limit is None else out.limit(limit)
+
+
+def epoch_crops(rows: DataFrame, seed: int, epochs: int, spare: int) -> DataFrame:
+    """``rows`` once for each ``epoch``, with the ``start`` of its crop: every epoch draws anew."""
+    every = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    with wrapping_arithmetic(rows.sparkSession):
+        out = every.withColumn("start", crop_start(F.col("index") + F.col("epoch") + seed, F.col("index"), F.lit(spare).cast("bigint")))
+        out.schema
+    return out
+
+
+def check_indices(rows: DataFrame, indices: list[int], tries: int = 3) -> DataFrame:
+    """(index, attempt, error) for each attempt at decoding one of ``indices`` that fails."""
+    again = rows.where(F.col("index").isin(indices)).select("index", "bytes", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("attempt"))
+    tried = again.withColumn("d", S.decode_audio("bytes"))
+    return tried.where(~F.col("d.ok")).select("index", "attempt", F.col("d.error").alias("error"))
+
+
+def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: int | None = None, n_mels: int = 128, epoch: int = 0, limit: int | None = None) -> DataFrame:
     """(index, label, ok, error, features) of (index, label, bytes): decoded, mixed, resampled, cropped, as 512 frames.
 
-    A longer recording is cropped at a place drawn from ``seed`` and its index, or in the middle without a
-    seed.  A recording that can't be decoded gets ``ok`` false and the error.
+    A longer recording is cropped at the place that :func:`with_crop_starts` gives for ``seed`` + ``epoch``, or in the middle without a
+    seed.  A recording that can't be decoded gets ``ok`` false and the error.  ``limit``: only the first rows in the epoch's order
+    of shards (needs ``shard``), counted before they are decoded.
     """
+    if limit is not None:
+        rows = sent_rows(rows, seed or 0, epoch, limit)
     n = int(rate * seconds)
 
     def clip(data: bytes, index: int) -> np.ndarray:
         x, source, channels = S.decode(data)
         x = S.resample(x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), source, rate)
         spare = max(0, len(x) - n)
-        start = spare // 2 if seed is None else int(np.random.default_rng([seed, index]).integers(spare + 1))
+        start = spare // 2 if seed is None else crop_start_of(seed + epoch + index, index, spare)
         return S.clip_features(x[start : start + n], rate, seconds, n_mels=n_mels)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,6 +22,31 @@ def grid(spark: SparkSession, **lists: list) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A frame without rows, but with its columns and their types."""
+    return spark.createDataFrame([], schema)
+
+
+def with_names(rows: DataFrame, names: DataFrame, label: str, name: str, most: int = 100_000) -> DataFrame:
+    """``rows`` with ``name`` of their ``label`` from a dictionary of both columns; an unknown or null label has none.
+
+    A dictionary of at most ``most`` rows is broadcast.
+    """
+    held = names.select(label, name)
+    return rows.join(F.broadcast(held) if held.count() <= most else held, label, "left")
+
+
+def experiment_key(checkpoint: Column, organisation: Column, model: Column, own: str = "local") -> tuple[Column, Column]:
+    """Organisation and model name of an experiment: those of its checkpoint's path where it has one."""
+    has = F.coalesce(checkpoint != "", F.lit(False))
+    return F.when(has, own).otherwise(organisation), F.when(has, last_part(F.rtrim(checkpoint, F.lit("/")))).otherwise(model)
+
+
+def as_json(df: DataFrame, *columns: str) -> Column:
+    """Columns of a configuration as one JSON text; nulls are left out."""
+    return F.to_json(F.struct(*(columns or df.columns)))
+
+
 def latest(results: DataFrame, key: tuple[str, ...], order: str, *values: str) -> DataFrame:
     """One row for each key: the values of the row with the largest ``order``."""
     return results.groupBy(*key).agg(*(F.max_by(v, order).alias(v) for v in values))
@@ -104,7 +129,7 @@ def report(results: DataFrame, tasks: list[str], rows: tuple[str, ...] = ("model
     """A row for each model, classifier and training size, a column for each task: the last value written, ``-`` if none."""
     table = results.groupBy(*rows).pivot("task_name", tasks).agg(F.max_by(value, order))
     size = F.when(F.col("n_train") == -1, "all").otherwise(F.col("n_train").cast("string"))
-    shown = {t: F.coalesce(F.format_string("%.2f", F.col(t) * 100), F.lit("-")) for t in tasks}
+    shown = {t: F.when(F.col(t).isNull(), "-").otherwise(F.format_string("%.2f", F.col(t) * 100)) for t in tasks}  # a formatted null is no null
     return table.withColumns(shown | {"n_train": size})
 
 

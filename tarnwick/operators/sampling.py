@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import written
+
 
 def stratified_sample(rows: DataFrame, n: int, seed: int, label: str = "label", key: str = "id") -> DataFrame:
     """The ids (distinct) of ``n`` rows of each class, all of a class with fewer; ``label`` may be an array of classes."""
@@ -35,9 +37,10 @@ def shard_offsets(counts: DataFrame) -> DataFrame:
 def assign_batches(rows: DataFrame, size: int, order: tuple[str, ...], blocks: int = 64) -> DataFrame:
     """``rows`` plus ``batch_id`` and ``slot``: runs of ``size`` rows in total order, the last one short.
 
-    Rows are numbered within ranges of the order and the ranges' counts are summed, so no task sorts all rows.
+    Rows are numbered within ranges of the order and the ranges' counts are summed, so no task sorts all rows.  The ranges are
+    written once, as their sampled bounds differ between evaluations.
     """
-    ranged = rows.repartitionByRange(blocks, *order).withColumn("__p", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(blocks, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     w = Window.partitionBy("__p").orderBy(*order)
     local = ranged.withColumn("__k", F.row_number().over(w))
     counts = local.groupBy("__p").agg(F.count("*").alias("__n"))
@@ -91,6 +94,20 @@ def unsigned_remainder(z: Column, m: Column) -> Column:
 INDEX_MULTIPLIER = 0xD6E8FEB86659FD93
 
 
+def unsigned_order(z: Column) -> tuple[Column, Column]:
+    """What to order by for the order of ``z`` read as unsigned."""
+    return z < 0, z
+
+
+def crop_start_of(seed: int, index: int, max_start: int) -> int:
+    """What :func:`crop_start` gives, for one row."""
+    full = (1 << 64) - 1
+    z = ((seed ^ (index * INDEX_MULTIPLIER)) + 0x9E3779B97F4A7C15) & full
+    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & full
+    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
+    return (z ^ (z >> 31)) % (max_start + 1)
+
+
 def crop_start(seed: Column, index: Column, max_start: Column) -> Column:
     """Start of a row's random crop, 0 to ``max_start``; build it within :func:`wrapping_arithmetic`."""
     return unsigned_remainder(mixed(seed.bitwiseXOR(index * F.lit(_signed(INDEX_MULTIPLIER)))), max_start + 1)

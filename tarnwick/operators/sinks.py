@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import platform
+import shutil
 import subprocess
 import sys
 import time
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+#: Fixed value: predictions are kept in a result up to this many.
 MOST_PREDICTIONS = 50_000
 
 
@@ -21,10 +24,23 @@ def provenance(df: DataFrame) -> DataFrame:
         dirty = subprocess.run(["git", "status", "--porcelain"], capture_output=True, text=True, timeout=10).stdout.strip()
     except OSError:
         commit = dirty = ""
-    more = {"argv": " ".join(sys.argv), "git_commit": commit + "-dirty" * bool(dirty), "posix": time.time(), "hostname": platform.node()}
+    more = {"argv": " ".join(sys.argv), "git_commit": commit + "-dirty" * bool(dirty), "posix": time.time(), "hostname": platform.node(), "gpu_name": _gpu_name()}
     return df.withColumns({k: F.lit(v) for k, v in more.items()})
 
 
+def _gpu_name() -> str | None:
+    """What the driver's accelerator is called, if its tool is there."""
+    if not shutil.which("nvidia-smi"):
+        return None
+    found = subprocess.run(["nvidia-smi", "--query-gpu=name", "--format=csv,noheader"], capture_output=True, text=True, timeout=10).stdout.split("\n")
+    return found[0].strip() or None
+
+
+def log_metrics(rows: DataFrame, path: str) -> None:
+    """Append rows of metrics (run_id, step, any others) to a history of JSON lines; values that are null are left out."""
+    rows.write.mode("append").json(path)
+
+
 def write_result(result: DataFrame, predictions: DataFrame | None, path: str, most: int = MOST_PREDICTIONS) -> None:
     """Append one result row; its predictions (example_id, y_true, y_pred, y_score) go in as lists while there are fewer than ``most``."""
     if predictions is not None and predictions.limit(most).count() < most:
@@ -67,7 +83,7 @@ def write_csv(rows: DataFrame, path: str, order: tuple[str, ...], columns: tuple
 def six_digits(c: Column) -> Column:
     """A number to six significant digits without zeros at the end."""
     full = F.format_string("%.6g", c.cast("double"))
-    return F.regexp_replace(F.regexp_replace(full, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(c.isNull(), "").otherwise(F.regexp_replace(F.regexp_replace(full, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:
@@ -83,17 +99,29 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",", *cells).alias("line"))
 
 
-def save_checkpoint(state: DataFrame, path: str, step: int, every: int = 1, keep: int = 5) -> bool:
-    """Write a step's state unless it is there or off the interval, and delete all but the last ``keep`` steps."""
+def _summary(state: DataFrame) -> DataFrame:
+    """(component, n, l2): how many values a state (component, values) has, and their Euclidean length."""
+    squares = F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return state.groupBy("component").agg(F.sum(F.size("values")).cast("bigint").alias("n"), F.sqrt(F.sum(squares)).alias("l2"))
+
+
+def save_checkpoint(state: DataFrame, path: str, step: int, every: int = 1, keep: int = 5, config: dict | None = None) -> bool:
+    """Write a step's state unless it is there or off the interval, and delete all but the last ``keep`` steps.
+
+    With ``config`` it is written too, with counts and norms of the state's components, for :func:`load_checkpoint` to check.
+    """
     spark = state.sparkSession
     steps = checkpoint_steps(spark, path)
     if step in steps or step % every:
         return False
+    if config is not None:
+        _summary(state).withColumn("config", F.lit(json.dumps(config, sort_keys=True))).coalesce(1).write.mode("overwrite").parquet(f"{path}/checks-{step}")
     state.write.parquet(f"{path}/step={step}")
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for old in sorted([*steps, step])[:-keep]:
-        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/step={old}"), True)
+        for name in (f"step={old}", f"checks-{old}"):
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
     return True
 
 
@@ -106,7 +134,19 @@ def checkpoint_steps(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(s.getPath().getName().removeprefix("step=")) for s in files.listStatus(root) if s.getPath().getName().startswith("step="))
 
 
-def load_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
-    """The state of the last saved step, with its ``step``."""
+def load_checkpoint(spark: SparkSession, path: str, config: dict | None = None, tolerance: float = 1e-6) -> DataFrame | None:
+    """The state of the last saved step, with its ``step``.
+
+    With ``config`` it must be the one that was saved, and the state's counts and norms those of then.
+    """
     steps = checkpoint_steps(spark, path)
+    if steps and config is not None:
+        saved = spark.read.parquet(f"{path}/checks-{steps[-1]}")
+        if {r["config"] for r in saved.select("config").distinct().collect()} - {json.dumps(config, sort_keys=True)}:
+            raise ValueError("the checkpoint was saved under another configuration")
+        now = _summary(spark.read.parquet(f"{path}/step={steps[-1]}")).select("component", F.col("n").alias("n_now"), F.col("l2").alias("l2_now"))
+        same = F.col("n").eqNullSafe(F.col("n_now")) & (F.abs(F.col("l2") - F.col("l2_now")) <= tolerance * F.greatest(F.col("l2"), F.lit(1.0)))
+        wrong = saved.join(now, "component", "full").where(~F.coalesce(same, F.lit(False))).select("component").limit(5).collect()
+        if wrong:
+            raise ValueError(f"counts or norms differ from those saved: {[r['component'] for r in wrong]}")
     return spark.read.parquet(f"{path}/step={steps[-1]}").withColumn("step", F.lit(steps[-1])) if steps else None

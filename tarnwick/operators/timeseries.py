@@ -31,6 +31,23 @@ def transitions(history: DataFrame, pause: float, value: str = "loss") -> DataFr
     return rows.select("run", "step_before", "step", "before", F.col(value).alias("after"), (F.col(value) - F.col("before")).alias("change"))
 
 
+def strict_transitions(history: DataFrame, pause: float, values: tuple[str, ...], zero_is_missing: tuple[str, ...] = ()) -> DataFrame:
+    """What :func:`transitions` gives for several values; a 0 of a value in ``zero_is_missing`` counts as none."""
+    for v in zero_is_missing:
+        history = history.withColumn(v, F.nullif(F.col(v), F.lit(0.0)))
+    w = Window.partitionBy("run").orderBy("ts", "step")
+    rows = history.withColumns({"step_before": F.lag("step").over(w), "ts_before": F.lag("ts").over(w), **{f"{v}_before": F.lag(v).over(w) for v in values}})
+    rows = rows.where((F.col("step") <= F.col("step_before")) & (F.col("ts") - F.col("ts_before") > pause))
+    each = [c for v in values for c in (F.col(f"{v}_before"), F.col(v).alias(f"{v}_after"), (F.col(v) - F.col(f"{v}_before")).alias(f"{v}_change"))]
+    return rows.select("run", "step_before", "step", *each)
+
+
+def smoothed_deltas(history: DataFrame, at: DataFrame, alpha: float, value: str = "loss") -> DataFrame:
+    """:func:`before_after` of a value and of its smoothed course."""
+    rows = ema(history, alpha, value=value)
+    return before_after(rows, at, (value, "ema"))
+
+
 def anomalies(history: DataFrame, gap: int, jump: float, value: str = "loss") -> DataFrame:
     """Rows whose step is more than ``gap`` after the one before, or whose value differs by more than ``jump``."""
     w = Window.partitionBy("run").orderBy("step", "ts")

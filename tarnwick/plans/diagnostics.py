@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 N, SIZE, SHARDS, WINDOW = 16, 150, 16, 10
 
@@ -116,6 +116,17 @@ def batch_metrics(spark, sf_dir):
     return rows.select("step", "n_unique", "sliding_unique", *(F.round(c, 6).alias(c) for c in ("chi2_mod", "entropy", "fraction")))
 
 
-@query()
+_PARTS = {
+    "n_unique": "n_unique", "chi2_mod": "chi2", "acf_mod": "acf", "chi2_div": "chi2", "acf_div": "acf", "chi2_hash": "chi2", "acf_hash": "acf", "chi2_shard": "chi2", "acf_shard": "acf",
+    "overlap_exact": "overlap", "overlap_bucket": "overlap", "sliding_unique": "n_unique", "batch_entropy": "entropy, fraction",
+}
+_ALL = " JOIN ".join(f"(SELECT step, {', '.join(f'{c} AS {n}' for c, n in _NAMES)} FROM ({ORACLE_SQL[q]}))" + (" USING (step)" if k else "") for k, (q, _NAMES) in enumerate(
+    (q, [(c, c) for c in cols.split(", ")] if ", " in cols else [(cols, "overlap" if q == "overlap_exact" else q)]) for q, cols in _PARTS.items()
+))
+
+
+@query(f"SELECT * FROM {_ALL}")
 def batch_metrics_all(spark, sf_dir):
-    return D.batch_metrics(batches(spark, sf_dir), N, SIZE, SHARDS, WINDOW)
+    rows = D.batch_metrics(batches(spark, sf_dir), N, SIZE, SHARDS, WINDOW)
+    exact = ("step", "n_unique", "overlap", "overlap_bucket", "sliding_unique")
+    return rows.select(*(c if c in exact else F.round(c, 6).alias(c) for c in rows.columns))

@@ -135,6 +135,14 @@ def linear_probe_cmap(spark, sf_dir):
     return E.mean_average_precision(E.average_precision(scored))
 
 
+@query()
+def mlp_probe_cmap(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    weights = B.fit_mlp(e.where("vec_id % 2 = 0"), DIM, CLASSES, rounds=15)
+    scored = B.mlp_scores(e.where("vec_id % 2 = 1"), weights).withColumn("truth", F.col("label") == F.col("class_id"))
+    return E.mean_average_precision(E.average_precision(scored))
+
+
 @query("SELECT vec_id, 32 AS size FROM embeddings")
 def backbone_sizes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(B.encoded("patch_mean", "small", "embedding")).alias("size"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import augment as G
 from ..functions import signal as S
-from ..operators import sampling
+from ..operators import loader, sampling
 from .registry import query, table
 
 
@@ -27,14 +27,14 @@ _MOD = "18446744073709551616::UHUGEINT"
 _MUL = "(({a} % 4294967296::UHUGEINT) * {b} + ((({a} >> 32) * ({b} % 4294967296::UHUGEINT)) % 4294967296::UHUGEINT) * 4294967296::UHUGEINT) % " + _MOD
 
 
-@query(f"""WITH s0 AS (SELECT event_id, event_id::UHUGEINT AS i, (7 + event_id)::UHUGEINT AS seed FROM events WHERE event_id < 2000),
+@query(f"""WITH s0 AS (SELECT event_id, event_id::UHUGEINT AS i, (7 + event_id)::UHUGEINT AS seed FROM events),
 s1 AS (SELECT event_id, (xor(seed, {_MUL.format(a='i', b='15485863658909301139::UHUGEINT')}) + 11400714819323198485::UHUGEINT) % {_MOD} AS z FROM s0),
 s2 AS (SELECT event_id, {_MUL.format(a='xor(z, z >> 30)', b='13787848793156543929::UHUGEINT')} AS z FROM s1),
 s3 AS (SELECT event_id, {_MUL.format(a='xor(z, z >> 27)', b='10723151780598845931::UHUGEINT')} AS z FROM s2)
 SELECT event_id, CAST(xor(z, z >> 31) % 48001::UHUGEINT AS BIGINT) AS start FROM s3""".replace("15485863658909301139", str(sampling.INDEX_MULTIPLIER)))
 def random_crop_start(spark, sf_dir):
     with sampling.wrapping_arithmetic(spark):
-        e = table(spark, sf_dir, "events").where("event_id < 2000")
+        e = table(spark, sf_dir, "events")
         start = sampling.crop_start(F.col("event_id") + 7, F.col("event_id"), F.lit(48000).cast("bigint"))
         out = e.select("event_id", start.alias("start"))
         out.schema  # resolve while arithmetic wraps
@@ -76,10 +76,10 @@ def mel_scale(spark, sf_dir):
     return spark.range(100).select(hz, F.round(A.mel(F.col("id") * 100), 6).alias("natural"), F.round(A.mel(F.col("id") * 100, False), 6).alias("decimal"))
 
 
-def tones(spark, sf_dir, n: int | None = None, rate: int = 16000):
-    """Sine waves of one second, with a frequency and strength from an event; of all events, or of those below ``n``."""
-    e = table(spark, sf_dir, "events")
-    e = e if n is None else e.where(F.col("event_id") < n)
+def tones(spark, sf_dir, rate: int = 16000):
+    """Sine waves of one second, with a frequency and strength from an event."""
+    # rows are small and waves are long: a small file's rows are spread before they grow
+    e = table(spark, sf_dir, "events").select("event_id", "value").repartition(4 * spark.sparkContext.defaultParallelism)
     t = F.sequence(F.lit(0), F.lit(rate - 1))
     wave = F.transform(t, lambda i: (F.sin(2 * np.pi * (200 + F.col("event_id") * 20) * i / rate) * (1 + F.col("value") % 5) / 8).cast("float"))
     return e.select("event_id", wave.alias("wave"))
@@ -92,15 +92,15 @@ def fbank_stats(spark, sf_dir):
     return out.select("event_id", F.size("m").alias("n"), F.array_max("m").alias("top"), F.array_min("m").alias("low"))
 
 
-@query("SELECT event_id, 512 * 128 AS n FROM events WHERE event_id < 8")
+@query("SELECT event_id, 512 * 128 AS n FROM events")
 def clip_feature_size(spark, sf_dir):
     f = S.array_udf(lambda x: S.clip_features(x, 32000))
-    return tones(spark, sf_dir, 8).select("event_id", F.size(f("wave")).alias("n"))
+    return tones(spark, sf_dir).select("event_id", F.size(f("wave")).alias("n"))
 
 
-@query("SELECT event_id, 22050 AS n FROM events WHERE event_id < 16")
+@query("SELECT event_id, 22050 AS n FROM events")
 def resample_len(spark, sf_dir):
-    w = tones(spark, sf_dir, 16, 16000)
+    w = tones(spark, sf_dir)
     return w.select("event_id", F.size(S.resample_to("wave", F.lit(16000), F.lit(22050))).alias("n"))
 
 
@@ -133,3 +133,81 @@ def augment_sizes(spark, sf_dir):
 def augment_solarize(spark, sf_dir):
     out = G.augmented([G.solarize(0.1, 1.0)], 8, 8)("embedding", F.lit(0))
     return table(spark, sf_dir, "embeddings").select("vec_id", out.alias("v"))
+
+
+def _mixing(seed: str, index: str, source: str) -> str:
+    """SQL tables s0 to s3 of which the last has z, the 64-bit mixing of (seed xor index * multiplier), beside the columns of ``source``."""
+    return f"""s0 AS (SELECT *, ({index})::UHUGEINT AS i, ({seed})::UHUGEINT AS seed FROM {source}),
+s1 AS (SELECT *, (xor(seed, {_MUL.format(a='i', b=f'{sampling.INDEX_MULTIPLIER}::UHUGEINT')}) + 11400714819323198485::UHUGEINT) % {_MOD} AS z1 FROM s0),
+s2 AS (SELECT *, {_MUL.format(a='xor(z1, z1 >> 30)', b='13787848793156543929::UHUGEINT')} AS z2 FROM s1),
+s3 AS (SELECT *, {_MUL.format(a='xor(z2, z2 >> 27)', b='10723151780598845931::UHUGEINT')} AS z3 FROM s2), mixed AS (SELECT *, xor(z3, z3 >> 31) AS z FROM s3)"""
+
+
+@query(f"""WITH e AS (SELECT event_id, epoch FROM events, (SELECT unnest(range(3))::INT AS epoch)), {_mixing('7 + event_id + epoch', 'event_id', 'e')}
+SELECT event_id, epoch, CAST(z % 48001::UHUGEINT AS BIGINT) AS start FROM mixed""")
+def epoch_crops(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("index"))
+    return loader.epoch_crops(rows, 7, 3, 48000).withColumnRenamed("index", "event_id")
+
+
+@query(f"""WITH r AS (SELECT event_id, event_id // 1000 AS shard FROM events), {_mixing('7 + 2', 'shard', 'r')}
+SELECT event_id, shard FROM mixed ORDER BY z, event_id LIMIT 2500""")
+def loader_limit(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("index"), F.expr("event_id div 1000").alias("shard"))
+    return loader.sent_rows(rows, 7, 2, 2500).select(F.col("index").alias("event_id"), "shard")
+
+
+@query("SELECT vec_id, list_concat(list_concat(embedding[9:16], embedding[25:32]), embedding[49:64]) AS px FROM embeddings")
+def visible_patches(spark, sf_dir):
+    patches = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))
+    masked = F.array(*(F.lit(k in (0, 2, 4, 5)) for k in range(8)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(A.visible(patches, masked)).alias("px"))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+r AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS k FROM v)
+SELECT vec_id, list(CAST(i AS INT) ORDER BY i) AS chosen FROM r WHERE k <= 12 GROUP BY vec_id""")
+def exact_mask(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.lowest(F.col("embedding"), 12).alias("chosen"))
+
+
+@query("SELECT vec_id, list_transform(range(8), lambda k: round(list_avg(list_transform(range(8), lambda t: embedding[t * 8 + k + 1]::DOUBLE)), 6)) AS pooled FROM embeddings")
+def mean_pool(spark, sf_dir):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, 8), lambda x: x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.mean_pool(tokens, 8), lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS s FROM v GROUP BY vec_id)
+SELECT vec_id, list(round((x - m) / sqrt(s + 1e-6::DOUBLE), 5) ORDER BY i) AS normal FROM v JOIN m USING (vec_id) GROUP BY vec_id""")
+def layer_norm(spark, sf_dir):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.layer_norm(x), lambda v: F.round(v, 5)).alias("normal"))
+
+
+@query("SELECT vec_id, list_reduce(list_transform(range(8), lambda r: list_transform(range(8), lambda c: embedding[r * 8 + 8 - c])), lambda a, b: list_concat(a, b)) AS v FROM embeddings")
+def augment_flip(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", G.augmented([G.flip(1.0)], 8, 8)("embedding", F.xxhash64("vec_id")).alias("v"))
+
+
+@query("SELECT vec_id, true AS rows_whole_or_zero, true AS columns_whole_or_zero, true AS cropped_inside FROM embeddings")
+def augment_laws(spark, sf_dir):
+    """Masks leave a line as it is or empty it, and a crop moves values by at most its padding."""
+    seed = lambda name: F.xxhash64(F.lit(name), "vec_id")
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", G.augmented([G.freq_mask(3)], 8, 8)("embedding", seed("f")).alias("f"), G.augmented([G.time_mask(3)], 8, 8)("embedding", seed("t")).alias("t"),
+        G.augmented([G.random_crop(1)], 8, 8)("embedding", seed("c")).alias("c"),
+    )
+    line = lambda a, at: F.transform(F.array(*map(F.lit, at)), lambda i: a[i])
+    whole = lambda a, at: (line(F.col(a), at) == line(F.col("embedding"), at)) | F.forall(line(F.col(a), at), lambda x: x == 0)
+    every = lambda tests: F.forall(F.array(*tests), lambda x: x)
+    moved = []
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            source = [(r + dy) * 8 + c + dx if 0 <= r + dy < 8 and 0 <= c + dx < 8 else -1 for r in range(8) for c in range(8)]
+            want = F.array(*(F.lit(0.0).cast("float") if k < 0 else F.col("embedding")[k] for k in source))
+            moved.append(F.col("c") == want)
+    return e.select(
+        "vec_id", every([whole("f", range(8 * r, 8 * r + 8)) for r in range(8)]).alias("rows_whole_or_zero"),
+        every([whole("t", range(c, 64, 8)) for c in range(8)]).alias("columns_whole_or_zero"), F.exists(F.array(*moved), lambda x: x).alias("cropped_inside"),
+    )

@@ -106,3 +106,28 @@ def wsd_lr(spark, sf_dir):
 @query(f"""WITH {HISTORY} SELECT DISTINCT step, round(CASE WHEN step < 100 THEN 0.001::DOUBLE * step / 100.0 ELSE 0.001::DOUBLE * 0.5 * (1 + cos(pi() * least((step - 100) / 600.0, 1.0))) END, 9) AS rate FROM history""")
 def cosine_lr(spark, sf_dir):
     return history(spark, sf_dir).select("step").distinct().select("step", F.round(T.cosine_rate(F.col("step"), 0.001, 100, 700), 9).alias("rate"))
+
+
+_BOTH = f"""{HISTORY.replace('value AS loss', "value AS loss, CASE WHEN event_id % 4 = 0 THEN 0 ELSE value / 2 END AS entropy")}"""
+
+
+@query(f"""WITH {_BOTH}, h AS (SELECT *, nullif(entropy, 0) AS e FROM history), l AS (SELECT *, lag(step) OVER w AS step_before, lag(ts) OVER w AS ts_before, lag(loss) OVER w AS lb, lag(e) OVER w AS eb FROM h
+WINDOW w AS (PARTITION BY run ORDER BY ts, step))
+SELECT run, step_before, step, round(lb, 6) AS loss_before, round(loss, 6) AS loss_after, round(loss - lb, 6) AS loss_change, round(eb, 6) AS entropy_before, round(e, 6) AS entropy_after, round(e - eb, 6) AS entropy_change
+FROM l WHERE step <= step_before AND ts - ts_before > 60""")
+def strict_transitions(spark, sf_dir):
+    rows = history(spark, sf_dir).withColumn("entropy", F.when(F.col("id") % 4 == 0, F.lit(0.0)).otherwise(F.col("loss") / 2))
+    out = T.strict_transitions(rows, 60, ("loss", "entropy"), zero_is_missing=("entropy",))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("before", "after", "change")) and c != "step_before"})
+
+
+@query(f"""WITH RECURSIVE {HISTORY}, {_AT}, {_ema_sql('run', 'history')}, s AS (SELECT h.run, h.step, h.ts, e.ema FROM history h JOIN e USING (run, id)),
+x AS (SELECT a.run, a.mark AS "at", max(CASE WHEN step < mark THEN step END) AS step_before, min(CASE WHEN step >= mark THEN step END) AS step_after,
+  arg_max(CASE WHEN step < mark THEN ema END, CASE WHEN step < mark THEN step * 1e11::DOUBLE + ts END) AS b, arg_min(CASE WHEN step >= mark THEN ema END, CASE WHEN step >= mark THEN step * 1e11::DOUBLE + ts END) AS f
+  FROM s JOIN marks a ON s.run = a.run GROUP BY ALL)
+SELECT run, "at", round(b, 6) AS ema_before, round(f, 6) AS ema_after, round(f - b, 6) AS ema_delta FROM x WHERE step_before IS NOT NULL AND step_after IS NOT NULL""")
+def smoothed_deltas(spark, sf_dir):
+    rows = history(spark, sf_dir)
+    at = rows.select("run").distinct().withColumn("at", F.explode(F.array(*map(F.lit, (0, 100, 350, 699)))))
+    out = T.smoothed_deltas(rows, at, 0.1)
+    return out.select("run", "at", *(F.round(c, 6).alias(c) for c in ("ema_before", "ema_after", "ema_delta")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import sampling as S
+from ..sources import shards
 from .registry import query, table
 
 
@@ -90,9 +91,9 @@ def left_join_runs(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left").drop("o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def anti_join_pending(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return R.pending(table(spark, sf_dir, "customer").select("c_custkey"), done, ("c_custkey",))
 
 
@@ -104,11 +105,11 @@ def semi_join_selected(spark, sf_dir):
 
 _RESULTS = """results AS (SELECT 'task' || (o_orderkey % 8) AS task_name, 'org' || (o_custkey % 2) AS model_org, 'ckpt' || (o_custkey % 3) AS model_ckpt,
   CASE o_orderstatus WHEN 'F' THEN 'centroid' WHEN 'O' THEN 'linear' ELSE 'mlp' END AS clf, CASE WHEN o_custkey % 4 = 3 THEN -1 ELSE o_custkey % 4 END AS n_train,
-  o_totalprice / 1000000 AS cmap, o_orderkey AS file_name FROM orders WHERE o_orderkey % 8 <> 7 OR o_orderkey < 3000)"""
+  o_totalprice / 1000000 AS cmap, o_orderkey AS file_name FROM orders)"""
 
 
 def results(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 8 <> 7 or o_orderkey < 3000")
+    o = table(spark, sf_dir, "orders")
     k, u = F.col("o_orderkey"), F.col("o_custkey")
     clf = F.when(F.col("o_orderstatus") == "F", "centroid").when(F.col("o_orderstatus") == "O", "linear").otherwise("mlp")
     return o.select(
@@ -175,13 +176,13 @@ def training_size(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.when(n > 0, n * F.countDistinct("o_orderstatus")).otherwise(F.count("*")).alias("size"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS step, sum(l_quantity) AS norm FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1),
-l AS (SELECT l_orderkey AS step, list(l_quantity ORDER BY l_partkey, l_suppkey, l_extendedprice) AS logged FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1)
+@query("""WITH c AS (SELECT l_orderkey AS step, sum(l_quantity) AS norm FROM lineitem GROUP BY 1),
+l AS (SELECT l_orderkey AS step, list(l_quantity ORDER BY l_partkey, l_suppkey, l_extendedprice) AS logged FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
 SELECT c.step, norm, logged[1] AS first_logged, norm - logged[1] AS delta, logged FROM c LEFT JOIN l ON c.step = l.step""")
 def ckpt_vs_log_delta(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem")
-    checkpoints = x.where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("step")).agg(F.sum("l_quantity").alias("norm"))
-    log = x.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("step"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("line"), F.col("l_quantity").alias("value"))
+    checkpoints = x.groupBy(F.col("l_orderkey").alias("step")).agg(F.sum("l_quantity").alias("norm"))
+    log = x.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("step"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("line"), F.col("l_quantity").alias("value"))
     return R.checkpoint_deltas(checkpoints, log)
 
 
@@ -206,9 +207,10 @@ def set_union(spark, sf_dir):
     return _ids(spark, sf_dir, "orders", "o_custkey").union(_ids(spark, sf_dir, "customer", "c_custkey")).distinct()
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def set_difference(spark, sf_dir):
-    return _ids(spark, sf_dir, "customer", "c_custkey").subtract(_ids(spark, sf_dir, "orders", "o_custkey"))
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id"))
+    return _ids(spark, sf_dir, "customer", "c_custkey").subtract(large)
 
 
 @query("SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders")
@@ -243,6 +245,33 @@ def exclude_bad(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id").join(F.broadcast(bad), "event_id", "left_anti")
 
 
-@query("SELECT event_id, epoch, view FROM events, (SELECT unnest(range(2))::INT AS epoch), (SELECT unnest(range(3))::INT AS view) WHERE event_id < 500")
+@query("SELECT event_id, epoch, view FROM events, (SELECT unnest(range(2))::INT AS epoch), (SELECT unnest(range(3))::INT AS view)")
 def epochs_and_views(spark, sf_dir):
-    return S.views(S.epoch_rows(table(spark, sf_dir, "events").where("event_id < 500").select("event_id"), 2), 3)
+    return S.views(S.epoch_rows(table(spark, sf_dir, "events").select("event_id"), 2), 3)
+
+
+@query("SELECT vec_id, n_name FROM (SELECT vec_id, CASE WHEN label > 2 THEN label END AS label FROM embeddings) LEFT JOIN nation ON label = n_nationkey")
+def label_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") > 2, F.col("label")).cast("bigint").alias("label"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("label"), "n_name")
+    return R.with_names(rows, names, "label", "n_name").select("vec_id", "n_name")
+
+
+@query("SELECT o_orderstatus AS split, count(*) AS n, count(DISTINCT o_orderpriority) AS n_classes FROM orders GROUP BY 1")
+def split_sizes(spark, sf_dir):
+    return shards.split_sizes(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority").withColumnRenamed("o_orderstatus", "split")
+
+
+@query("""SELECT s_suppkey, CASE WHEN path <> '' THEN 'local' ELSE 'org' END AS organisation, CASE WHEN path <> '' THEN s_name ELSE 'base' END AS model
+FROM (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN 'runs/a/' || s_name || '/' ELSE 'runs/' || s_name END AS path FROM supplier)""")
+def experiment_keys(spark, sf_dir):
+    k = F.col("s_suppkey") % 3
+    path = F.when(k == 0, "").when(k == 1, F.concat(F.lit("runs/a/"), "s_name", F.lit("/"))).otherwise(F.concat(F.lit("runs/"), "s_name"))
+    organisation, model = R.experiment_key(path, F.lit("org"), F.lit("base"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", organisation.alias("organisation"), model.alias("model"))
+
+
+@query("""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS config FROM nation""")
+def config_json(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("gone"))
+    return n.select("n_nationkey", R.as_json(n).alias("config"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import folder
 from ..streaming import stateful
 from .registry import query, table
 
@@ -15,9 +13,8 @@ LANES = 4
 
 
 def scratch(spark) -> str:
-    """A new folder in the session's shared one, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    """A new folder for a stream's input, output and state."""
+    return folder(spark, "streams")
 
 
 def event_stream(spark, sf_dir):

@@ -23,9 +23,24 @@ def first_match(spark: SparkSession, path: str, pattern: str, last: bool = False
 
 
 def history(spark: SparkSession, path: str, metrics: tuple[str, ...] = ("loss", "entropy"), schema: str = HISTORY) -> DataFrame:
-    """JSON-lines history rows that have a step and a metric; a missing step falls back to the counter."""
-    rows = spark.read.schema(schema).json(path).withColumn("step", F.coalesce("step", "_step"))
-    return rows.where(F.col("step").isNotNull() & F.coalesce(*(F.col(m) for m in metrics)).isNotNull())
+    """JSON-lines history rows that have a step and a metric; a missing step falls back to the counter.
+
+    Where there are none, all columns are scanned: the wanted ones may stand under ``summary``.
+    """
+
+    def known(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("step", F.coalesce("step", "_step"))
+        return rows.where(F.col("step").isNotNull() & F.coalesce(*(F.col(m) for m in metrics)).isNotNull())
+
+    rows = known(spark.read.schema(schema).json(path))
+    if rows.limit(1).count():
+        return rows
+    # nothing under the wanted names: every column that is there, with the wanted ones where they exist under a run's summary
+    full = spark.read.json(path)
+    inner = {f.name for f in full.schema["summary"].dataType} if "summary" in full.columns and hasattr(full.schema["summary"].dataType, "fields") else set()
+    wanted = [(c.split()[0], c.split()[1]) for c in schema.split(", ")]
+    pick = lambda c: F.col(c) if c in full.columns else F.col(f"summary.{c}") if c in inner else F.lit(None)
+    return known(full.select(*(pick(c).cast(t).alias(c) for c, t in wanted)))
 
 
 def summaries(spark: SparkSession, path: str, schema: str, default_optimizer: str = "adam") -> DataFrame:

@@ -66,9 +66,14 @@ class ShardSource(DataSource):
         return ShardReader(self.options)
 
 
+def split_sizes(rows: DataFrame, split: str, label: str) -> DataFrame:
+    """(split, n, n_classes): rows and different labels of each split, null labels counting as rows only."""
+    return rows.groupBy(split).agg(F.count("*").alias("n"), F.countDistinct(label).alias("n_classes"))
+
+
 def read_shards(spark: SparkSession, uri: str, label: str = "label") -> DataFrame:
     """Rows of all shards with ``index``, their place over all shards in order of name."""
     spark.dataSource.register(ShardSource)
     rows = spark.read.format("shards").option("label", label).load(uri)
     offsets = shard_offsets(rows.groupBy("shard").agg(F.count("*").alias("n"))).drop("n")
-    return rows.join(F.broadcast(offsets), "shard").withColumn("index", F.col("first_index") + F.col("position")).drop("first_index")
+    return rows.join(offsets, "shard").withColumn("index", F.col("first_index") + F.col("position")).drop("first_index")

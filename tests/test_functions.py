@@ -1,6 +1,8 @@
 import io
 import wave
 
+import struct
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -75,6 +77,7 @@ def test_decode(spark):
 
 
 def column(spark, values, make):
+    values = [float(v) for v in values]
     return spark.createDataFrame([(values,)], "a array<float>").select(make(F.col("a"))).first()[0]
 
 
@@ -135,3 +138,51 @@ def test_load_clips(spark):
     assert not got[2]["ok"] and got[2]["features"] is None
     starts = [r["start"] for r in with_crop_starts(spark.range(50).withColumnRenamed("id", "index"), 5, 9).collect()]
     assert min(starts) >= 0 and max(starts) <= 9 and len(set(starts)) > 5
+
+
+def test_floating_point_wav():
+    x = np.array([0.25, -0.5, 1.5], "<f4")
+    head = struct.pack("<HHIIHH", 3, 1, 16000, 64000, 4, 32)
+    data = b"RIFF\0\0\0\0WAVE" + b"LIST\3\0\0\0abc\0" + b"fmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", x.nbytes) + x.tobytes()
+    got, rate, channels = S.decode(data)
+    assert got.tolist() == x.tolist() and (rate, channels) == (16000, 1)
+    with pytest.raises(ValueError):
+        S.decode(data.replace(struct.pack("<H", 3), struct.pack("<H", 7), 1))
+    assert S.audio_array({"array": [0.5, 1.0]}).tolist() == [0.5, 1.0] and S.audio_array({"bytes": data}).tolist() == x.tolist()
+    assert S.audio_array({"array": [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]}).tolist() == [0.5, 0.5, 1.0]
+    with pytest.raises(ValueError):
+        S.audio_array({"path": "x"})
+
+
+def test_energy_places_and_layout():
+    x = np.random.default_rng(1).standard_normal(16000).astype(np.float32)
+    plain = S.log_mel(x, 16000, n_mels=23)
+    first, last, damped = (S.log_mel(x, 16000, n_mels=23, energy=True, **o) for o in ({}, {"energy_last": True}, {"raw_energy": False}))
+    assert (first[:, 1:] == plain).all() and (last[:, :-1] == plain).all() and (first[:, 0] == last[:, -1]).all()
+    assert (damped[:, 0] < first[:, 0]).all() and S.mel_by_frame(x, 16000, n_mels=23).shape == S.mel_shape(16000, 16000, n_mels=23) == plain.T.shape
+
+
+def test_spectrum_of_active_patches():
+    t = np.arange(5120 * 4)
+    low, high = np.sin(2 * np.pi * t * 10 / 1024), np.sin(2 * np.pi * t * 400 / 1024)
+    every = np.ones((4, 8), bool)
+    assert np.abs(S.filter_spectrum(low + high, every) - (low + high))[600:-600].max() < 1e-5
+    lower = every.copy()
+    lower[:, 4:] = False
+    assert np.abs(S.filter_spectrum(low + high, lower) - low)[600:-600].max() < 1e-3
+    half = every.copy()
+    half[2:] = False
+    assert len(S.filter_spectrum(low, half)) == 2 * 5120
+
+
+def test_crops_follow_one_law(spark):
+    from tarnwick.operators.loader import check_indices, sent_rows, with_crop_starts
+    from tarnwick.operators.sampling import crop_start_of
+
+    rows = spark.range(200).withColumnRenamed("id", "index")
+    assert {r["index"]: r["start"] for r in with_crop_starts(rows, 5, 9).collect()} == {i: crop_start_of(5 + i, i, 9) for i in range(200)}
+    sent = sent_rows(rows.withColumn("shard", F.col("index") % 7), 3, 1, 60).collect()
+    assert len(sent) == 60 and len({r["shard"] for r in sent}) == 3
+    assert [r["index"] for r in sent] == [i for s in dict.fromkeys(r["shard"] for r in sent) for i in range(s, 200, 7)][:60]
+    bad = spark.createDataFrame([(1, bytearray(b"junk")), (2, bytearray(wav(np.ones(4, np.int16)))), (3, bytearray(b""))], "index bigint, bytes binary")
+    assert sorted((r["index"], r["attempt"]) for r in check_indices(bad, [1, 2], 2).collect()) == [(1, 1), (1, 2)]

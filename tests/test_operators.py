@@ -141,3 +141,62 @@ def test_linear_probe_and_registry(spark):
     with pytest.warns(UserWarning):
         B.register("identity", B.loader("identity"))
     assert len(rows.select(B.encoded("patch_mean", "a", "embedding")).first()[0]) == 32
+
+
+def test_batches_without_a_reused_exchange(spark):
+    from tarnwick.operators.sampling import assign_batches
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(1_000_000).select("id", F.xxhash64("id").alias("h"))
+        sizes = assign_batches(rows, 64, ("h", "id")).groupBy("batch_id").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert [(r["count"], r["n"]) for r in sizes] == [(64, 15625)]
+
+
+def test_report_of_missing_cells(spark):
+    from tarnwick.operators.relational import report
+
+    rows = spark.createDataFrame([("a", "m", "linear", -1, 0.5, 1), ("b", "m", "linear", 5, 0.25, 2), ("b", "m", "linear", 5, 0.75, 3)], "task_name string, model_ckpt string, clf string, n_train int, cmap double, file_name int")
+    got = {r["n_train"]: (r["a"], r["b"]) for r in report(rows, ["a", "b"]).collect()}
+    assert got == {"all": ("50.00", "-"), "5": ("-", "75.00")}
+
+
+def test_lines_with_nulls_in_lists(spark):
+    from tarnwick.operators.sinks import csv_lines
+
+    rows = spark.createDataFrame([(1, 0.5, [1.0, None, 2.5]), (2, None, None)], "a int, b double, c array<double>")
+    assert sorted(r["line"] for r in csv_lines(rows).collect()) == ["1,0.5,1||2.5", "2,,"]
+
+
+def test_checks_of_a_checkpoint(spark, tmp_path):
+    from tarnwick.operators.sinks import load_checkpoint, log_metrics, save_checkpoint
+    from tarnwick.sources.logs import history
+
+    path = f"file://{tmp_path}/saved"
+    state = spark.createDataFrame([("w", [3.0, 4.0]), ("b", [1.0])], "component string, values array<double>")
+    assert save_checkpoint(state, path, 5, config={"a": 1}) and not save_checkpoint(state, path, 5, config={"a": 1})
+    assert load_checkpoint(spark, path, {"a": 1}).count() == 2
+    with pytest.raises(ValueError):
+        load_checkpoint(spark, path, {"a": 2})
+    spark.createDataFrame([("w", [3.0, 5.0]), ("b", [1.0])], "component string, values array<double>").write.mode("overwrite").parquet(f"{path}/step=5")
+    with pytest.raises(ValueError):
+        load_checkpoint(spark, path, {"a": 1})
+    log = f"file://{tmp_path}/log"
+    for step in (1, 2):
+        log_metrics(spark.createDataFrame([("r", step, 0.5 / step)], "run_id string, step bigint, loss double"), log)
+    assert sorted((r["step"], r["loss"]) for r in history(spark, log).collect()) == [(1, 0.5), (2, 0.25)]
+    spark.createDataFrame([("r", 3, (0.125,))], "run_id string, step bigint, summary struct<loss:double>").write.json(f"file://{tmp_path}/other")
+    assert [(r["step"], r["loss"]) for r in history(spark, f"file://{tmp_path}/other").collect()] == [(3, 0.125)]
+
+
+def test_mlp_probe_learns_what_is_not_linear(spark):
+    from tarnwick.operators import backbones as B
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 4))
+    rows = spark.createDataFrame([(v.tolist(), int(v[0] * v[1] > 0)) for v in x], "embedding array<double>, label int")
+    weights = B.fit_mlp(rows, 4, 2, hidden=24, rounds=80, rate=0.05)
+    scored = B.mlp_scores(rows, weights).where("class_id = 1").select(((F.col("score") > 0).cast("int") == F.col("label")).cast("int").alias("ok"))
+    assert scored.agg(F.avg("ok")).first()[0] > 0.7
