@@ -57,3 +57,51 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+_W = r"[^\x20\x09-\x0D]+"
+
+RULES_BASE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_W}')) AS l
+  FROM documents
+), x AS (
+  SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d
+), y AS (
+  SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), z AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM y WHERE c IS NOT NULL
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM z, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+#: The checksum of a number's digits, bit by bit: a byte is taken in, then eight steps follow (-1 each).
+_STEP = "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+_DIGITS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+CRC32 = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {_DIGITS}), {_STEP}), 4294967295)"
+
+LM_BASE = rf"""
+WITH d AS (
+  SELECT doc_id, {CRC32} % 7 = 2 AS held_out, regexp_extract_all(coalesce({_LOWER}, ''), '{_W}') AS w FROM documents
+), x AS (
+  SELECT doc_id, held_out, unnest(w) AS a FROM d
+), c AS (
+  SELECT a, count(*) AS n FROM x WHERE NOT held_out GROUP BY a
+), e AS (
+  SELECT count(*) AS ends FROM d WHERE NOT held_out
+), s AS (
+  SELECT ends, ends + (SELECT sum(n) FROM c) AS tokens, (SELECT count(*) FROM c) + 1 AS kinds FROM e
+), p AS (
+  SELECT doc_id, sum(log10((coalesce(n, 0) + 1) / CAST(tokens + kinds + 1 AS DOUBLE))) AS b, count(n) AS k FROM x LEFT JOIN c USING (a), s GROUP BY doc_id
+)
+SELECT doc_id, held_out, CAST(len(w) + 1 AS BIGINT) AS n_tokens, coalesce(k, 0) + 1 AS n_known, CAST(tokens AS BIGINT) AS train_tokens,
+  round(coalesce(b, 0) + log10((ends + 1) / CAST(tokens + kinds + 1 AS DOUBLE)), 5) AS base_score
+FROM d LEFT JOIN p USING (doc_id), s
+"""
+
+SHARD_LAYOUT = "SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, true AS in_a_shard, true AS gapless FROM documents"

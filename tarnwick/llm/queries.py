@@ -66,6 +66,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def rules_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4."""
+    return rules.base_statistics(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6."""
+    corpus = storage.materialise(lm_scores.read_corpus(table(spark, sf_dir, "documents")), "corpus")
+    found, _ = lm_scores.base_scores(corpus, storage.materialise(lm_scores.spelled_words(corpus), "words"))
+    return found.drop("learn", "ids").withColumn("base_score", F.round("base_score", 5))
+
+
+def shard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: sizes, and that each shard's slots run from 0 without a gap."""
+    rows = op3_sharding(spark, sf_dir).select("doc_id", "size", "shard", "slot")
+    of = rows.groupBy("shard").agg((F.countDistinct("slot") == F.count("*")).alias("different"), (F.max("slot") + 1 == F.count("*")).alias("dense"), F.min("slot").alias("least"))
+    return rows.join(of, "shard").select("doc_id", "size", F.col("shard").between(0, 23).alias("in_a_shard"), (F.col("different") & F.col("dense") & (F.col("least") == 0)).alias("gapless"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
@@ -77,10 +96,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_packing": op10_packing,
+    "rules_base_counts": rules_base_counts,
+    "lm_base_scores": lm_base_scores,
+    "shard_layout": shard_layout,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": oracles.WARC,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_exact_top_k": oracles.TOP_K,
+    "rules_base_counts": oracles.RULES_BASE,
+    "lm_base_scores": oracles.LM_BASE,
+    "shard_layout": oracles.SHARD_LAYOUT,
 }

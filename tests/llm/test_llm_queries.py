@@ -15,6 +15,17 @@ def test_same_as_sql(name, spark, duck):
     same_rows(QUERIES[name](spark, str(DATA)), duck, ORACLE_SQL[name])
 
 
+def test_checksums_of_sql():
+    import zlib
+
+    import duckdb
+
+    from tarnwick.llm.oracles import CRC32
+
+    got = duckdb.sql(f"SELECT doc_id, {CRC32} AS c FROM (SELECT unnest([0, 7, 12, 123456789, 9999999999]) AS doc_id)").fetchall()
+    assert all(c == zlib.crc32(str(i).encode()) for i, c in got)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     left = docs.count()
