@@ -59,8 +59,8 @@ class _Block:
         low = LOWER[raw]
         start, end, first = words(low, off)
         self.raw.append(low)
-        self.start.append(start + self.size)
-        self.end.append(end + self.size)
+        self.start.append((start + self.size).astype(np.int32))
+        self.end.append((end + self.size).astype(np.int32))
         self.hash.append(hashes(low, start, end))
         self.many.append(np.diff(first))
         self.texts.append(texts)
@@ -70,12 +70,21 @@ class _Block:
         if not self.texts:
             return
         texts = pa.Table.from_batches(self.texts).combine_chunks()
-        raw, start, end, h, many = (np.concatenate(x) for x in (self.raw, self.start, self.end, self.hash, self.many))
+        many = np.concatenate(self.many)
+        h = np.concatenate(self.hash)
+        self.hash.clear()
         one, of, times = different(h)
+        del h
         rank = np.argsort(-times, kind="stable")  # the commonest word gets the least number
         place = np.empty(len(rank), "<u4")
         place[rank] = np.arange(len(rank))
         numbers, one = place[of], one[rank]
+        del of
+        start, end = np.concatenate(self.start)[one].astype(np.int64), np.concatenate(self.end)[one].astype(np.int64)
+        self.start.clear()
+        self.end.clear()
+        raw = np.concatenate(self.raw)
+        self.raw.clear()
         learn = texts["learn"].combine_chunks().to_numpy(zero_copy_only=False)
         counts = np.bincount(numbers[np.repeat(learn, many)], minlength=len(one))
         first = np.concatenate([[0], np.cumsum(many)])
@@ -85,10 +94,10 @@ class _Block:
             spelled = [numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(first[at : at + n].tolist(), first[at + 1 : at + n + 1].tolist(), strict=True)]
             yield _rows(TEXT, n, block=pa.array(np.full(n, number)), n=pa.array(many[at : at + n]), numbers=pa.array(spelled, pa.binary()), **{c: part[c].combine_chunks() for c in ("doc_id", "held_out", "learn")})
         for at in range(0, len(one), 1 << 16):
-            part = one[at : at + (1 << 16)]
+            part = slice(at, at + (1 << 16))
             size = end[part] - start[part]
             word = binary(raw[ragged(start[part], size)], np.concatenate([[0], np.cumsum(size)]))
-            n = len(part)
+            n = len(size)
             yield _rows(WORD, n, block=pa.array(np.full(n, number)), number=pa.array(np.arange(at, at + n)), n=pa.array(counts[at : at + n]), word=word)
 
 
