@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import arrow_rows, materialise
 from .textbuf import LOWER, binary, blocks, flat, hashes, mix, owners, words
 
 WIDTH, BANDS, BAND_ROWS = 5, 32, 4
@@ -314,8 +314,9 @@ def _of_different_ids(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     final = connected_components(materialise(verify(tested, texts), "links"))
     mixed = materialise(_mixed_blocks(members, final), "mixed")
-    sets = materialise(shingle_sets(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sets")
-    links = materialise(_cross_links(mixed.join(sets, "rep")), "links")
+    with arrow_rows(docs.sparkSession, 256):  # a row holds a whole set
+        sets = materialise(shingle_sets(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sets")
+        links = materialise(_cross_links(mixed.join(sets, "rep")), "links")
     if links.take(1):
         final = connected_components(links.unionByName(final.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 

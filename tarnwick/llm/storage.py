@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,18 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs that run pass at most ``rows`` rows to Python at a time: for rows of many kilobytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a frame that :func:`materialise` gave, when nothing reads it any more."""
     _delete(df.sparkSession, df._written_at)
