@@ -17,7 +17,7 @@ import regex
 
 from .textbuf import LOWER, blocks, different, hashes, ragged, words
 
-MEMORY = 500_000
+MEMORY = 250_000
 BLOCK_BYTES = 1 << 22
 #: Fixed value: the pattern by which the vocabulary file splits words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
