@@ -105,3 +105,83 @@ FROM d LEFT JOIN p USING (doc_id), s
 """
 
 SHARD_LAYOUT = "SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, true AS in_a_shard, true AS gapless FROM documents"
+
+MIXING = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w, 2 * CAST(source_size AS DOUBLE) AS cap FROM s
+), l AS (
+  SELECT *, (CAST((SELECT sum(source_size) FROM s) AS DOUBLE) * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, least(cap, (SELECT max(level) FROM l) * w) AS target FROM l
+), b AS (
+  SELECT *, CAST(floor(target + CAST(0.5 AS DOUBLE)) AS BIGINT) AS budget FROM t
+), p AS (
+  SELECT d.doc_id, d.size, source_size, target, budget, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + least(greatest(budget - epochs * source_size - before, 0), size) AS BIGINT) AS taken FROM p
+"""
+
+HARD_NEGATIVES = """
+WITH t AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM t a JOIN t c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), r AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+#: The checksum of the bytes of a text, given as a list of numbers: a byte is taken in, then eight steps follow (-1 each).
+_BYTES_CRC32 = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(bytes, lambda c: [c, -1, -1, -1, -1, -1, -1, -1, -1]))), {_STEP}), 4294967295)"
+
+SPELLING = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[a-z\x{{C0}}-\x{{FF}}]+') AS w FROM documents
+), o AS (
+  SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x
+  FROM (SELECT doc_id, unnest(w) AS run FROM d) WHERE length(run) >= 5 GROUP BY doc_id, run
+), b AS (
+  SELECT run, k, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS bytes FROM o
+), h AS (
+  SELECT run, k, {_BYTES_CRC32} AS h FROM b
+), c AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word, k FROM h
+), v AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), e AS (
+  SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i + 2 AS INTEGER)) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)
+), y AS (
+  SELECT a.word, b.word AS near, b.n FROM e a JOIN e b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.less = v.word
+  UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.less = v.word
+), z AS (
+  SELECT word, count(*) AS n_near FROM y GROUP BY word
+), f AS (
+  SELECT y.word, near AS form, y.n AS form_n FROM y JOIN v USING (word) WHERE y.n >= 2 * v.n
+  QUALIFY y.n = max(y.n) OVER (PARTITION BY y.word) AND row_number() OVER (PARTITION BY y.word ORDER BY y.n DESC, near) = 1
+), r AS (
+  SELECT word, word AS root FROM v UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root
+), l AS (
+  SELECT word, root FROM r WHERE root NOT IN (SELECT word FROM f)
+)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM v JOIN l USING (word) LEFT JOIN z USING (word) LEFT JOIN f USING (word)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm_scores, near_dups, oracles, packing, pieces, quality, rules, sharding, storage, topk, warc
+from . import langid, lm_scores, mixing, near_dups, negatives, oracles, packing, pieces, quality, rules, sharding, spelling, storage, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), slips=97))
+
+
 def rules_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op4."""
     return rules.base_statistics(table(spark, sf_dir, "documents")).drop("lang", "source")
@@ -96,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
     "rules_base_counts": rules_base_counts,
     "lm_base_scores": lm_base_scores,
     "shard_layout": shard_layout,
@@ -105,6 +121,9 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": oracles.WARC,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_exact_top_k": oracles.TOP_K,
+    "op11_mixing": oracles.MIXING,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_spelling_variants": oracles.SPELLING,
     "rules_base_counts": oracles.RULES_BASE,
     "lm_base_scores": oracles.LM_BASE,
     "shard_layout": oracles.SHARD_LAYOUT,
