@@ -12,7 +12,7 @@
 Cases: a null text counts as empty, and has the end token alone.  A null ``doc_id`` is not held out and
 is never learned from.  Repeated rows are scored each and all count in the statistics.  An empty table gives
 an empty result; without training texts all counts are 0 and the model keeps its starting weights.  A text longer than a
-block is a block of its own.  Words of a block are told apart by 64-bit hashes.
+block is a block of its own.  Words are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .attention import SIZE, WINDOW, Adam, Vocabulary, fresh, score_stream, views
 from .storage import materialise
 from .subwords import Encoder
-from .textbuf import LOWER, binary, blocks, different, flat, hashes, mix, ragged, words
+from .textbuf import LOWER, binary, blocks, distinct, flat, hashes, mix, ragged, words
 
 START_ID, END_ID, IDS = 49406, 49407, 49408
 ROUNDS, BATCH, RATE = 4, 64, 0.02
@@ -73,18 +73,19 @@ class _Block:
         many = np.concatenate(self.many)
         h = np.concatenate(self.hash)
         self.hash.clear()
-        one, of, times = different(h)
+        start, end = np.concatenate(self.start).astype(np.int64), np.concatenate(self.end).astype(np.int64)
+        self.start.clear()
+        self.end.clear()
+        raw = np.concatenate(self.raw)
+        self.raw.clear()
+        one, of, times = distinct(raw, start, end, h=h)
         del h
         rank = np.argsort(-times, kind="stable")  # the commonest word gets the least number
         place = np.empty(len(rank), "<u4")
         place[rank] = np.arange(len(rank))
         numbers, one = place[of], one[rank]
         del of
-        start, end = np.concatenate(self.start)[one].astype(np.int64), np.concatenate(self.end)[one].astype(np.int64)
-        self.start.clear()
-        self.end.clear()
-        raw = np.concatenate(self.raw)
-        self.raw.clear()
+        start, end = start[one], end[one]
         learn = texts["learn"].combine_chunks().to_numpy(zero_copy_only=False)
         counts = np.bincount(numbers[np.repeat(learn, many)], minlength=len(one))
         first = np.concatenate([[0], np.cumsum(many)])

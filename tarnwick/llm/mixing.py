@@ -26,7 +26,7 @@ from .storage import materialise
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SEED = "mix"
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8192
 #: The table of sources is broadcast up to this many; beyond it a shuffled join follows, whose hot keys Spark splits.
 MOST_SOURCES = 65_536
 WORD = r"[^\x20\x09-\x0D]+"

@@ -2,6 +2,8 @@
 
 Two texts are linked when their sets of five-word shingles have a Jaccard index of at least 0.75.
 
+Shingles are told apart by two unlike 64-bit hashes of their words' bytes.
+
 1.  Each text gets a sketch of 128 coordinates.  In round i of the sketching every shingle is hashed
     to one bin, and fills it if it has the least value of those sent there and the bin is still
     empty; from round 128 on, all shingles go to the one bin whose turn it is, so that every
@@ -43,16 +45,27 @@ BLOCK, BLOCK_BYTES, COLUMNS = 1024, 1 << 25, 2048
 _ODD = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], np.uint64)
 
 
-def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, in a row, and the text that each belongs to."""
+def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, in a row, as two unlike 64-bit hashes each, and the text that each belongs to."""
     start, end, first = words(raw, off)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = hashes(raw, start, end)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, own = _joined(hashes(raw, start, end), first)
+    two, _ = _joined(hashes(raw, start, end, second=True), first)
+    key = mix(out ^ mix(own.astype(np.uint64) + np.uint64(0x51ED27)))
+    order = np.argsort(key)
+    key, other = key[order], two[order]
+    keep = np.ones(len(out), bool)
+    keep[order[1:][(key[1:] == key[:-1]) & (other[1:] == other[:-1])]] = False
+    return out[keep], two[keep], own[keep]
+
+
+def _joined(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles from those of their words, and the text that each belongs to."""
     counts = np.diff(first)
     total = np.full(len(h), np.uint64(WIDTH), np.uint64)
     for k in range(WIDTH):
-        total[: len(h) - k] += h[k:] * _ODD[k]
+        total[: max(0, len(h) - k)] += h[k:] * _ODD[k]
     at = np.arange(len(h)) - np.repeat(first[:-1], counts)
     full = at + WIDTH <= np.repeat(counts, counts)
     own = owners(first)
@@ -64,13 +77,7 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             whole += h[first[docs] + k] * _ODD[k]
         total[first[docs]] = whole
         full[first[docs]] = True
-    out, own = mix(total[full]), own[full]
-    key = mix(out ^ mix(own.astype(np.uint64) + np.uint64(0x51ED27)))
-    order = np.argsort(key)
-    key = key[order]
-    keep = np.ones(len(out), bool)
-    keep[order[1:][key[1:] == key[:-1]]] = False
-    return out[keep], own[keep]
+    return mix(total[full]), own[full]
 
 
 def fast_sketch(h: np.ndarray, own: np.ndarray, n_docs: int, coords: int) -> np.ndarray:
@@ -98,20 +105,20 @@ def fast_sketch(h: np.ndarray, own: np.ndarray, n_docs: int, coords: int) -> np.
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): set size, a 128-bit sum of the set, keys of the bands."""
+    """(doc_id, n_shingles, set_a, set_b, bands): set size, sums of the set's two kinds of hashes, keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
             for at, raw, off in blocks(batch["text"], max_rows=8192):
                 n = len(off) - 1
-                h, own = shingles(LOWER[raw], off)
+                h, two, own = shingles(LOWER[raw], off)
                 size = np.bincount(own, minlength=n)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 sums = []
-                for salt in (np.uint64(1), np.uint64(2)):
+                for x in (h, two):
                     run_sum = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(mix(h * np.uint64(3) + salt), out=run_sum[1:])
+                    np.cumsum(mix(x * np.uint64(3) + np.uint64(1)), out=run_sum[1:])
                     sums.append((run_sum[ends[1:]] - run_sum[ends[:-1]]).view(np.int64))
                 coords = fast_sketch(h, own, n, BANDS * BAND_ROWS)
                 keys = np.zeros((n, BANDS), np.uint64)
@@ -136,7 +143,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at, raw, off in blocks(batch["text"], max_rows=2048):
                 n = len(off) - 1
-                h, own = shingles(LOWER[raw], off)
+                h, _, own = shingles(LOWER[raw], off)
                 h = h[np.lexsort((h, own))]
                 sizes = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), binary(h, sizes)], names=["rep", "shingles"])
@@ -156,11 +163,12 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for (lo, raw_u, off_u), (_, raw_v, off_v) in _side_by_side(batch["text_u"], batch["text_v"]):
                 at, n = lo, len(off_u) - 1
                 sides = [shingles(LOWER[raw], off) for raw, off in ((raw_u, off_u), (raw_v, off_v))]
-                size = [np.bincount(own, minlength=n) for _, own in sides]
-                key = np.concatenate([mix(h ^ mix(own.astype(np.uint64) + np.uint64(0x7A3D))) for h, own in sides])
-                own = np.concatenate([own for _, own in sides])
+                size = [np.bincount(own, minlength=n) for _, _, own in sides]
+                key = np.concatenate([mix(h ^ mix(own.astype(np.uint64) + np.uint64(0x7A3D))) for h, _, own in sides])
+                two, own = (np.concatenate(x) for x in list(zip(*sides, strict=True))[1:])
                 order = np.argsort(key)
-                same = key[order][1:] == key[order][:-1]
+                key, other = key[order], two[order]
+                same = (key[1:] == key[:-1]) & (other[1:] == other[:-1])
                 common = np.bincount(own[order[1:][same]], minlength=n)
                 keep[at : at + n] = (100 * common >= 75 * (size[0] + size[1] - common)) & (common > 0)
             mask = pa.array(keep)
@@ -316,7 +324,8 @@ def _of_different_ids(docs: DataFrame) -> DataFrame:
     mixed = materialise(_mixed_blocks(members, final), "mixed")
     with arrow_rows(docs.sparkSession, 256):  # a row holds a whole set
         sets = materialise(shingle_sets(texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sets")
-        links = materialise(_cross_links(mixed.join(sets, "rep")), "links")
+        links = materialise(_cross_links(mixed.join(sets, "rep")), "crossing")
+    links = materialise(verify(links, texts), "links")
     if links.take(1):
         final = connected_components(links.unionByName(final.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 

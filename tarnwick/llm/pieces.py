@@ -9,7 +9,7 @@ Texts are cut where no piece of the vocabulary can lie across (before a run of s
 remember, for a bounded number of chunks, the merges that lead to their ids.  An occurrence whose own key skips none of them
 takes these ids.  Where it skips one, what follows is that of the same chunk without this merge: that is remembered too
 where several occurrences need it, so that an occurrence walks from one to the next until its key skips nothing more; any other occurrence is merged by itself.
-Chunks are told apart by 64-bit hashes within a batch of texts.
+Chunks are told apart by their bytes; hashes only find them.
 
 Decoding is lossless for every text: characters that the vocabulary lacks become bytes, and so does
 the model's own space mark where a text holds it.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import HashTable
-from .textbuf import Numbered, blocks, different, hashes, mix, ragged
+from .textbuf import Numbered, agree, blocks, distinct, mix, ragged, span_hashes
 
 SPACE = "▁"
 CHUNKS = regex.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -256,6 +256,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known, self.bans = Numbered(), []
+        self.odd: dict[bytes, int] = {}  # nodes of chunks whose hash is another's
         self.raw, self.text_first, self.text_many = _Row(np.uint8), _Row(np.int64), _Row(np.int32)
         self.codes, self.child = _Row(np.uint64), _Row(np.int32)
         self.first, self.many, self.slow = _Row(np.int64), _Row(np.int64), _Row(bool)
@@ -277,14 +278,8 @@ class Encoder:
             return [b""] * len(texts)
         end = np.append(start[1:], len(raw))
         first = np.searchsorted(start, off)
-        h = hashes(raw, start, end)
-        one, number, _ = different(h)
-        nodes = self.known.find(h[one])
-        new = one[nodes < 0]
-        nodes[nodes < 0] = np.arange(len(self.bans), len(self.bans) + len(new))
-        self.known.add(h[new], np.arange(len(self.bans), len(self.bans) + len(new), dtype=np.int32))
-        self._learn(raw, start[new], end[new])
-        nodes = nodes[number]
+        one, number, _ = distinct(raw, start, end)
+        nodes = self._nodes(raw, start[one], end[one])[number]
         many = np.diff(first)
         place = np.arange(len(start)) - np.repeat(first[:-1], many)
         own = mix(np.repeat(np.array(keys, np.uint64), many) + mix(place.astype(np.uint64) + np.uint64(self.seed + 1)))
@@ -310,6 +305,26 @@ class Encoder:
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
+    def _nodes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The nodes of different chunks without bans, new ones where there are none."""
+        h = span_hashes(raw, start, end)
+        nodes = self.known.find(h)
+        have = np.flatnonzero(nodes >= 0)
+        first, many = self.text_first.x[nodes[have]], self.text_many.x[nodes[have]].astype(np.int64)
+        ends = np.cumsum(many)
+        other = have[~agree(raw, start[have], end[have], self.raw.x[ragged(first, many)], ends - many, ends)]
+        _, least = np.unique(h, return_index=True)
+        twice = np.setdiff1d(np.flatnonzero(nodes < 0), least)  # two new chunks of one hash
+        rest = [raw[start[i] : end[i]].tobytes() for i in np.concatenate([other, twice]).tolist()]
+        nodes[np.concatenate([other, twice])] = [self.odd.get(x, -1) for x in rest]
+        new = np.flatnonzero(nodes < 0)
+        nodes[new] = np.arange(len(self.bans), len(self.bans) + len(new))
+        self.odd |= dict(zip(rest, nodes[np.concatenate([other, twice])].tolist(), strict=True))
+        plain = np.setdiff1d(new, np.concatenate([other, twice]), assume_unique=True)
+        self.known.add(h[plain], nodes[plain].astype(np.int32))
+        self._learn(raw, start[new], end[new])
+        return nodes
+
     def _walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For occurrences at ``nodes`` the node at which their key skips nothing more, and those that must be merged by themselves."""
         limit, times = np.uint64(int(self.dropout * (1 << 32))), np.uint64(0xD6E8FEB86659FD93)

@@ -1,7 +1,7 @@
 """Subword ids of whole texts by a public tokenizer, with a bounded memory of what it has spelled.
 
 The tokenizer drops white space, and no token of it crosses white space, so the ids of a text are
-those of its words in turn.  A word of Latin letters and marks after them is spelled in two parts.  Parts are told apart by 64-bit hashes
+those of its words in turn.  A word of Latin letters and marks after them is spelled in two parts.  Parts are told apart by their bytes
 within a block of texts, and each process remembers the ids of at least the last ``MEMORY`` different ones.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .textbuf import LOWER, blocks, different, hashes, ragged, words
+from .textbuf import LOWER, blocks, distinct, ragged, words
 
 MEMORY = 250_000
 BLOCK_BYTES = 1 << 22
@@ -88,11 +88,11 @@ class Encoder:
         for at, raw, off in blocks(texts, BLOCK_BYTES):
             start, end, first = words(raw, off)
             low, cut, plain = _parts(raw, start, end)
-            # one or two parts for each word; what is told apart is the part and, by the last bit, whether it is plain
+            # one or two parts for each word; what is told apart is the part and whether it is plain
             parts = np.stack([start, cut, cut, end], axis=1).reshape(-1, 2)
             real = parts[:, 0] < parts[:, 1]
             parts, kind = parts[real], np.repeat(plain, 2)[real]
-            one, number, _ = different((hashes(low, parts[:, 0], parts[:, 1]) & ~np.uint64(1)) | kind)
+            one, number, _ = distinct(low, parts[:, 0].copy(), parts[:, 1].copy(), kind)
             data = low.tobytes()
             spelled = self._spell([data[a:b] for a, b in parts[one].tolist()], kind[one].tolist())
             many = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4

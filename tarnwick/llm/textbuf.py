@@ -17,19 +17,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E6D62D06F6A9A9B)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0], _powers[1]
+#: Masks of the lowest 0 to 8 bytes of a 64-bit number.
+_LOWEST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_SIZE, _PLACE, _SECOND = np.uint64(0x9E6D62D06F6A9A9B), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,24 +68,62 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, off)
 
 
-def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+def eights(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans as 64-bit numbers, eight to one and the last filled up with zeros; where each span's begin (one more at the end).
+
+    With its length, a span's numbers are its bytes: two spans are equal if both agree.
+    """
+    many = (end - start + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(many)])
+    at = np.repeat(start - 8 * first[:-1], many) + 8 * np.arange(first[-1])
+    whole = np.zeros(len(raw) // 8 + 2, "<u8")
+    whole.view(np.uint8)[: len(raw)] = raw
+    slot, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    value = whole[slot] >> shift
+    value |= (whole[slot + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+    value &= _LOWEST[np.minimum(np.repeat(end, many) - at, 8)]
+    return value, first
+
+
+def _runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans that follow each other in runs of about ``at_once`` bytes: numbers of the spans, their bytes, starts and ends."""
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + at_once)))
+        lo, hi = int(start[a]), int(end[b - 1])
+        yield a, b, raw[lo:hi], start[a:b] - lo, end[a:b] - lo
+        a = b
+
+
+def _hash(value: np.ndarray, first: np.ndarray, size: np.ndarray, second: bool = False) -> np.ndarray:
+    many = np.diff(first)
+    place = np.zeros(len(value), np.uint64)
+    far = ragged(first[:-1][many > 1], many[many > 1])
+    place[far] = (far - np.repeat(first[:-1][many > 1], many[many > 1])).astype(np.uint64) * _PLACE
+    value = mix(value + mix(place))
+    if second:
+        value = mix(value * _SECOND + _PLACE)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64) * _SIZE)
+
+
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 1 << 22, second: bool = False) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: equal bytes hash alike wherever they stand.
 
+    Every eight bytes are mixed with their place in the span on their own, then summed and mixed with the length: no bytes that
+    only change places, and no pattern of repeats, cancel out.  ``second``: of another function, which shares no collisions with the first.
     Spans follow each other; a long text is hashed in runs of about ``at_once`` bytes.
     """
-    n = len(raw)
-    if n > at_once and len(start) > 1:
-        out, a = np.empty(len(start), np.uint64), 0
-        while a < len(start):
-            b = max(a + 1, int(np.searchsorted(start, start[a] + at_once)))
-            lo, hi = int(start[a]), int(end[b - 1])
-            out[a:b] = hashes(raw[lo:hi], start[a:b] - lo, end[a:b] - lo, max(at_once, hi - lo))
-            a = b
-        return out
-    power, inverse = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+    out = np.empty(len(start), np.uint64)
+    for a, b, part, lo, hi in _runs(raw, start, end, at_once):
+        out[a:b] = _hash(*eights(part, lo, hi), hi - lo, second)
+    return out
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What :func:`hashes` gives, of spans in any order."""
+    return _hash(*eights(raw, start, end), end - start)
 
 
 def owners(first: np.ndarray) -> np.ndarray:
@@ -145,6 +173,67 @@ def different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[at], number, np.diff(np.append(at, len(s)))
 
 
+def _equal(value: np.ndarray, first: np.ndarray, theirs: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether spans of one length have equal numbers: those from ``first`` on (one more at the end) and those of ``theirs`` from ``other`` on."""
+    many = np.diff(first)
+    out = many == 0
+    one = np.flatnonzero(many == 1)
+    out[one] = value[first[one]] == theirs[other[one]]
+    long = np.flatnonzero(many > 1)
+    wrong = np.concatenate([[0], np.cumsum(value[ragged(first[long], many[long])] != theirs[ragged(other[long], many[long])])])
+    ends = np.cumsum(many[long])
+    out[long] = wrong[ends] == wrong[ends - many[long]]
+    return out
+
+
+def agree(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, o_start: np.ndarray, o_end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``raw`` has the bytes of the span of ``other`` in its place."""
+    out = end - start == o_end - o_start
+    on = np.flatnonzero(out)
+    value, first = eights(raw, start[on], end[on])
+    theirs, at = eights(other, o_start[on], o_end[on])
+    out[on] = _equal(value, first, theirs, at[:-1])
+    return out
+
+
+def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray | None = None, h: np.ndarray | None = None, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`different` gives, for the bytes of spans (and their ``kind``) rather than for their hashes ``h``.
+
+    Hashes only sort: every span is compared with the one that stands for it, and what differs gets a number of its own.
+    Spans follow each other.
+    """
+    packed = eights(raw, start, end) if len(raw) <= at_once else None
+    if h is None:
+        h = hashes(raw, start, end, at_once) if packed is None else _hash(*packed, end - start)
+    one, number, times = different(h if kind is None else h ^ kind.astype(np.uint64))
+    rep = one[number]
+    same = end - start == (end - start)[rep]
+    if kind is not None:
+        same &= kind == kind[rep]
+    if packed is not None and same.all():
+        same = _equal(*packed, packed[0], packed[1][rep])
+    else:
+        theirs, first = eights(raw, start[one], end[one])
+        for a, b, part, lo, hi in _runs(raw, start, end, at_once):
+            on = np.flatnonzero(same[a:b])
+            same[a + on] = _equal(*eights(part, lo[on], hi[on]), theirs, first[number[a:b][on]])
+    lost = np.flatnonzero(~same)
+    if not len(lost):
+        return one, number, times
+    own: dict[tuple, int] = {}
+    ones, counts = list(one), times.tolist()
+    for i in lost.tolist():
+        key = (raw[start[i] : end[i]].tobytes(), None if kind is None else int(kind[i]))
+        counts[number[i]] -= 1
+        if key not in own:
+            own[key] = len(ones)
+            ones.append(i)
+            counts.append(0)
+        number[i] = own[key]
+        counts[own[key]] += 1
+    return np.array(ones), number, np.array(counts)
+
+
 class Numbered:
     """Numbers of 64-bit hashes, in an open table that grows."""
 
