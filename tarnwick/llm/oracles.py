@@ -185,3 +185,9 @@ WITH RECURSIVE d AS (
 )
 SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM v JOIN l USING (word) LEFT JOIN z USING (word) LEFT JOIN f USING (word)
 """
+
+SHARD_GROUPS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size FROM documents),
+g AS (SELECT doc_id, count(*) OVER t AS n, sum(size) OVER t AS bytes, sum(size) OVER () AS total FROM d WINDOW t AS (PARTITION BY text))
+SELECT doc_id, CASE WHEN bytes * 24 <= total THEN n END AS together, CAST(bytes AS BIGINT) AS bytes FROM g
+"""

@@ -98,6 +98,17 @@ def shard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(of, "shard").select("doc_id", "size", F.col("shard").between(0, 23).alias("in_a_shard"), (F.col("different") & F.col("dense") & (F.col("least") == 0)).alias("gapless"))
 
 
+def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3's groups: how many rows with its text a row's shard holds, where the group is not larger than a shard."""
+    rows = sharding.histogram_sort(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = storage.materialise(rows.select("doc_id", F.sha2("text", 256).alias("of"), (F.octet_length("text").cast("bigint") + 8).alias("size"), "shard"), "shards")
+    here = rows.groupBy("of", "shard").agg(F.count("*").alias("together"), F.sum("size").alias("part"))
+    whole = here.groupBy("of").agg(F.sum("part").alias("bytes"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    out = rows.join(here, ["of", "shard"]).join(whole, "of")
+    return out.select("doc_id", F.when(F.col("bytes") * 24 <= total, F.col("together")).alias("together"), "bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
@@ -115,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_base_counts": rules_base_counts,
     "lm_base_scores": lm_base_scores,
     "shard_layout": shard_layout,
+    "shard_groups": shard_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +139,5 @@ ORACLE_SQL: dict[str, str] = {
     "rules_base_counts": oracles.RULES_BASE,
     "lm_base_scores": oracles.LM_BASE,
     "shard_layout": oracles.SHARD_LAYOUT,
+    "shard_groups": oracles.SHARD_GROUPS,
 }

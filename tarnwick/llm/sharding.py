@@ -7,7 +7,8 @@ a splitter still lies, with finer boundaries, until every splitter is within the
 all rows move once.  Shards are cut into subranges, so that no task gets a whole shard; the counts
 below the splitters give each subrange its place, and so gapless slots.
 
-Equal texts stand next to each other; a group too large for a shard is split by id.  What the driver gets in
+Equal texts stand next to each other and lie in one shard: a boundary of shards goes to the nearer end of the group it falls in, even
+beyond the tolerance.  Only a group of more bytes than a shard is split, by id; subranges inside a shard may split any group.  What the driver gets in
 a round is bounded by the number of splitters times the digits' values, not by the rows.
 
 Cases: columns named like the result's give way to them.  A null text counts as an empty one; a null id is a value like any other.  Rows that agree
@@ -48,8 +49,11 @@ def sort_key(text: Column, doc_id: Column) -> Column:
     return F.concat(F.substring(digits(text), 1, TEXT_DIGITS), F.substring(digits(doc_id), 1, ID_DIGITS))
 
 
-def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[Splitter]:
-    """``parts - 1`` splitters of ``keys`` (key, size) into runs of equal size, each within ``tolerance`` of its target."""
+def find_splitters(keys: DataFrame, parts: int, tolerance: float, subranges: int = 1) -> list[Splitter]:
+    """``parts - 1`` splitters of ``keys`` (key, size) into runs of equal size, each within ``tolerance`` of its target.
+
+    Every ``subranges``-th bounds a shard, and splits no group of equal texts that is not larger than a shard.
+    """
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     targets = [total * k / parts for k in range(1, parts)]
     found: dict[int, Splitter] = {}
@@ -57,7 +61,7 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[Splitt
     at = {k: ("", 0, 0) for k in range(len(targets))}
     length, full = 0, TEXT_DIGITS + ID_DIGITS
     while at:
-        more = min(full, length + (NEXT_DIGITS if length else FIRST_DIGITS))
+        more = min(full if length >= TEXT_DIGITS else TEXT_DIGITS, length + (NEXT_DIGITS if length else FIRST_DIGITS))
         probed = keys.where(F.substring("key", 1, length).isin(sorted({p for p, _, _ in at.values()}))) if length else keys
         counts = probed.groupBy(F.substring("key", 1, more).alias("p")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).toPandas()
         counts = counts.sort_values("p", ignore_index=True)
@@ -73,11 +77,21 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[Splitt
             edges = [(name[i], i), (name[i] + AFTER, i + 1)]
             near = min(edges, key=lambda e: abs(below + size[e[1]] - size[lo] - targets[k]))
             s, n = int(below + size[near[1]] - size[lo]), int(below_rows + number[near[1]] - number[lo])
-            if abs(s - targets[k]) <= tolerance or more == full:
+            of_shard = (k + 1) % subranges == 0
+            whole = of_shard and more == TEXT_DIGITS and size[i + 1] - size[i] <= total * subranges / parts
+            # the ends of an interval of text digits are ends of groups; of id digits only where the group is too large
+            if abs(s - targets[k]) <= tolerance or whole or more == full:
                 found[k] = Splitter(near[0], s, n)
             else:
                 still[k] = (name[i], int(below + size[i] - size[lo]), int(below_rows + number[i] - number[lo]))
         at, length = still, more
+    for k in range(len(targets)):  # a shard's bound may have gone past the bounds inside
+        if (k + 1) % subranges:
+            low, high = found.get(k - k % subranges - 1), found.get(k - k % subranges + subranges - 1)
+            if low and found[k].key < low.key:
+                found[k] = low
+            if high and found[k].key > high.key:
+                found[k] = high
     return [found[k] for k in range(len(targets))]
 
 
@@ -93,7 +107,7 @@ def histogram_sort(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     subranges = subranges or max(1, min(MOST_SUBRANGES, -(-total // (shards * SUBRANGE_BYTES))))
     parts = shards * subranges
-    splitters = find_splitters(keys, parts, tolerance * total / shards)
+    splitters = find_splitters(keys, parts, tolerance * total / shards, subranges)
     bounds = np.array([s.key for s in splitters], dtype="S32")
     if len(bounds) and (np.diff([s.rows for s in splitters]) < 0).any():
         raise AssertionError("splitters out of order")
