@@ -166,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, rank_blo
 
 
 def pack_items(pieces: DataFrame, capacity: int, unit: int, rank_block: int) -> DataFrame:
-    """``pieces`` (item, length) plus the ``sequence_id`` and the ``place`` that the patterns give them."""
+    """(item, sequence_id, place) of ``pieces`` (item, length): where the patterns put them.  No class has 2 ** 44 pieces."""
     sized = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     histogram = {r["class"]: r["n"] for r in sized.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most capacity / unit rows
     sizes = np.array(sorted(histogram), np.int64)
@@ -181,8 +181,16 @@ def pack_items(pieces: DataFrame, capacity: int, unit: int, rank_block: int) ->
                 taken[size] += n * uses
                 at += n
         first += uses
-    spark = pieces.sparkSession
-    table = spark.createDataFrame(places, "class int, lo bigint, hi bigint, each int, first bigint, at int")
+    # where a class's ranks change pattern: a row for each class of each pattern, capacity / unit squared at most
+    cut = np.array(sorted(places), np.int64).reshape(-1, 6)
+    of_class, lo, each, start, at = cut[:, 0], cut[:, 1], cut[:, 3], cut[:, 4], cut[:, 5]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = batch["rank"].to_numpy()
+            k = np.searchsorted((of_class << 44) | lo, (batch["class"].to_numpy().astype(np.int64) << 44) | rank, side="right") - 1
+            turn, place = np.divmod(rank - lo[k], each[k])
+            yield pa.RecordBatch.from_arrays([batch["item"], pa.array(start[k] + turn), pa.array(at[k] + place)], names=["item", "sequence_id", "place"])
 
     blocks = max(1, -(-sum(histogram.values()) // rank_block))
     ranked = sized.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
@@ -190,9 +198,7 @@ def pack_items(pieces: DataFrame, capacity: int, unit: int, rank_block: int) ->
     before = counts.select("class", "block", (F.sum("n").over(Window.partitionBy("class").orderBy("block")) - F.col("n")).alias("before"))
     ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("class", "block").orderBy("item")))
     ranked = ranked.join(before, ["class", "block"]).withColumn("rank", F.col("before") + F.col("k") - 1)
-    # of the table: a row for each class of each pattern, capacity / unit squared at most
-    placed = ranked.join(F.broadcast(table), "class").where("rank >= lo and rank < hi")
-    return placed.withColumn("sequence_id", F.expr("first + (rank - lo) div each")).withColumn("place", F.expr("at + (rank - lo) % each"))
+    return ranked.select("item", "class", F.col("rank").cast("bigint").alias("rank")).mapInArrow(deal, "item bigint, sequence_id bigint, place bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
