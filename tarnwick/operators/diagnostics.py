@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ordered
+
 METHODS = ("mod", "div", "hash")
 MULTIPLIER = 2654435761
 
@@ -76,14 +78,14 @@ def sliding_distinct(batches: DataFrame, window: int) -> DataFrame:
     """(step, n_unique): different indices in the last ``window`` steps.
 
     An index enters at a step and leaves ``window`` steps later, unless it comes again before; the
-    running sum over entries and leavings is the count, so no set is ever held.  Only the table of steps is summed in order.
+    running sum over entries and leavings is the count, so no set is ever held.  The table of steps is summed in ranges.
     """
     seen = batches.select("step", "index").distinct()
     again = F.lead("step").over(Window.partitionBy("index").orderBy("step"))
     spans = seen.withColumn("until", F.least(F.coalesce(again, F.col("step") + window), F.col("step") + window))
     moves = spans.select("step", F.lit(1).alias("d")).unionByName(spans.select(F.col("until").alias("step"), F.lit(-1).alias("d")))
     by_step = moves.groupBy("step").agg(F.sum("d").alias("d"))
-    running = by_step.select("step", F.sum("d").over(Window.orderBy("step")).alias("n_unique"))
+    running = ordered.running_sums(by_step, {"n_unique": "d"}, ("step",)).drop("d")
     return running.join(batches.select("step").distinct(), "step", "left_semi")
 
 

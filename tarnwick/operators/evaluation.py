@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import ordered
 
 #: A table of class vectors is broadcast only up to this many classes.
 MOST_CLASSES = 4096
@@ -49,14 +50,13 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def average_precision(scores: DataFrame, score: str = "score", truth: str = "truth", by: str = "class_id") -> DataFrame:
+def average_precision(scores: DataFrame, score: str = "score", truth: str = "truth", by: str = "class_id", range_rows: int = ordered.RANGE_ROWS) -> DataFrame:
     """(class_id, ap, n_positive): the sum of precision times gain in recall over falling thresholds.
 
-    Rows with equal scores share a threshold, so they are summed before the running totals; classes without positives are left out.
+    Rows with equal scores share a threshold, so they are summed before the running totals, which ranges of thresholds share; classes without positives are left out.
     """
     at = scores.groupBy(by, score).agg(F.sum(F.col(truth).cast("bigint")).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.withColumns({"ctp": F.sum("tp").over(w), "cn": F.sum("n").over(w)})
+    run = ordered.running_sums(at, {"ctp": "tp", "cn": "n"}, (F.desc(score),), (by,), range_rows)
     out = run.groupBy(by).agg(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("s"), F.sum("tp").alias("n_positive")).where("n_positive > 0")
     return out.select(by, (F.col("s") / F.col("n_positive")).alias("ap"), "n_positive")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..scratch import written
+from . import ordered
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int, label: str = "label", key: str = "id") -> DataFrame:
@@ -30,23 +30,17 @@ def shuffled_order(rows: DataFrame, seed: int, epoch: int, key: str) -> DataFram
 
 def shard_offsets(counts: DataFrame) -> DataFrame:
     """(shard, n, first_index): running sums of shard sizes, a table of one row a shard."""
-    w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("shard", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint").alias("first_index"))
+    sums = ordered.running_sums(counts.select("shard", "n"), {"end": "n"}, ("shard",))
+    return sums.select("shard", "n", (F.col("end") - F.col("n")).cast("bigint").alias("first_index"))
 
 
-def assign_batches(rows: DataFrame, size: int, order: tuple[str, ...], blocks: int = 64) -> DataFrame:
+def assign_batches(rows: DataFrame, size: int, order: tuple[str, ...], range_rows: int = ordered.RANGE_ROWS) -> DataFrame:
     """``rows`` plus ``batch_id`` and ``slot``: runs of ``size`` rows in total order, the last one short.
 
-    Rows are numbered within ranges of the order and the ranges' counts are summed, so no task sorts all rows.  The ranges are
-    written once, as their sampled bounds differ between evaluations.
+    Rows are numbered in ranges of the order, as many as their number asks for, so no task sorts all rows.
     """
-    ranged = written(rows.repartitionByRange(blocks, *order).withColumn("__p", F.spark_partition_id()), "ranges")
-    w = Window.partitionBy("__p").orderBy(*order)
-    local = ranged.withColumn("__k", F.row_number().over(w))
-    counts = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    first = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__first"))
-    place = F.col("__first") + F.col("__k") - 1
-    return local.join(F.broadcast(first), "__p").withColumns({"batch_id": F.floor(place / size), "slot": place % size}).drop("__p", "__k", "__first")
+    place = ordered.numbered(rows, order, name="__place", range_rows=range_rows)
+    return place.withColumns({"batch_id": F.floor(F.col("__place") / size), "slot": F.col("__place") % size}).drop("__place")
 
 
 def epoch_rows(rows: DataFrame, epochs: int) -> DataFrame:

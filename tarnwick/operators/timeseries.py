@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 8192
+from ..scratch import written
+from . import ordered
+
+#: Rows of a run that one task smooths or rolls over.
+BLOCK = 1 << 18
 
 
 def segments(history: DataFrame, run: str = "run", order: str = "ts", step: str = "step") -> DataFrame:
@@ -56,53 +60,75 @@ def anomalies(history: DataFrame, gap: int, jump: float, value: str = "loss") ->
 
 
 def _smoothed(values: np.ndarray, alpha: float) -> np.ndarray:
-    out, last = np.empty(len(values)), 0.0
-    for i, v in enumerate(values):
-        last = out[i] = alpha * v + (1 - alpha) * last
-    return out
+    out, last = [], 0.0
+    for v in values.tolist():
+        last = alpha * v + (1 - alpha) * last
+        out.append(last)
+    return np.array(out)
+
+
+def _schema(rows: DataFrame, more: str, drop: tuple[str, ...] = ()) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in drop), more])
 
 
 def ema(history: DataFrame, alpha: float, keys: tuple[str, ...] = ("run",), order: tuple[str, ...] = ("step", "ts"), value: str = "loss", block: int = BLOCK) -> DataFrame:
     """``history`` plus ``ema``: e0 = v0, then alpha * v + (1 - alpha) * e before it.
 
-    The recurrence is linear, so blocks of a run are smoothed on their own and each block's start is
-    carried on from the ends of those before it: no task holds a whole run.
+    The recurrence is linear, so blocks of ``block`` rows of a run are smoothed on their own, and what a block starts from is
+    carried on from the ends of those before it, one row a block: no task holds a whole run.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = history.withColumn("__at", F.row_number().over(w) - 1).withColumn("__block", F.floor(F.col("__at") / block))
-    kind = rows.schema
+    rows = ordered.blocks(history, order, keys, block)
 
     def own(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__at", ignore_index=True)
-        return part.assign(__own=_smoothed(part[value].to_numpy(float), alpha), __k=np.arange(1, len(part) + 1))
+        part = part.sort_values(ordered.AT, ignore_index=True)
+        return part.assign(__own=_smoothed(part[value].to_numpy(float), alpha))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", __own double, __k int"
-    smoothed = rows.groupBy(*keys, "__block").applyInPandas(own, schema)
-    ends = smoothed.groupBy(*keys, "__block").agg(
-        F.max_by("__own", "__k").alias("end"), F.max("__k").alias("size"), F.min_by(value, "__k").cast("double").alias("first")
+    smoothed = rows.groupBy(*keys, ordered.BLOCK).applyInPandas(own, _schema(rows, "__own double"))
+    smoothed = written(smoothed, "smoothed")
+    ends = smoothed.groupBy(*keys, ordered.BLOCK).agg(
+        F.max_by("__own", ordered.AT).alias("end"), F.count("*").alias("size"), F.min_by(value, ordered.AT).cast("double").alias("first")
     )
-    chain = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__block", "end", "size", "first"))).alias("b"))
-    start = F.struct(F.col("b")[0]["first"].alias("now"), F.array().cast("array<double>").alias("all"))
-    step = lambda a, x: F.struct((x["end"] + F.pow(F.lit(1 - alpha), x["size"]) * a["now"]).alias("now"), F.concat(a["all"], F.array(a["now"])).alias("all"))
-    carried = chain.select(*keys, F.posexplode(F.aggregate("b", start, step)["all"]).alias("__block", "carry"))
-    carried = carried.withColumn("__block", F.col("__block").cast("bigint"))
-    both = smoothed.join(carried, [*keys, "__block"])
-    return both.withColumn("ema", F.col("__own") + F.pow(F.lit(1 - alpha), F.col("__k")) * F.col("carry")).drop("__at", "__block", "__own", "__k", "carry")
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(ordered.BLOCK, ignore_index=True)
+        carry, now = [], part["first"].iloc[0]
+        for end, size in zip(part["end"], part["size"], strict=True):
+            carry.append(now)
+            now = end + (1 - alpha) ** size * now
+        return part.assign(carry=carry).drop(columns=["end", "size", "first"])
+
+    carried = ends.groupBy(*keys).applyInPandas(chain, _schema(ends, "carry double", ("end", "size", "first")))
+    both = ordered.joined(smoothed, carried, (*keys, ordered.BLOCK))
+    power = F.pow(F.lit(1 - alpha), F.col(ordered.AT) % block + 1)
+    return both.withColumn("ema", F.col("__own") + power * F.col("carry")).drop(ordered.AT, ordered.BLOCK, ordered.HOME, "__own", "carry")
 
 
-def _trailing(keys: tuple[str, ...], order: tuple[str, ...], width: int):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(width - 1), 0)
+def _rolled(history: DataFrame, width: int, keys: tuple[str, ...], order: tuple[str, ...], value: str, block: int, columns: dict) -> DataFrame:
+    """``history`` plus ``columns``, functions of a frame of the last ``width`` values: each block of a run also gets the rows before it that its frames reach."""
+    rows = ordered.blocks(history, order, keys, max(block, width), width - 1)
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(ordered.AT, ignore_index=True)
+        frames = part[value].astype(float).rolling(width, min_periods=1)
+        part = part.assign(**{name: f(frames) for name, f in columns.items()})
+        return part[part[ordered.HOME] == part[ordered.BLOCK]].drop(columns=[ordered.AT, ordered.HOME, ordered.BLOCK])
 
-def rolling_quantiles(history: DataFrame, width: int, low: float, high: float, keys=("run",), order=("step", "ts"), value: str = "loss") -> DataFrame:
-    """``history`` plus ``low`` and ``high``: interpolated quantiles of the last ``width`` values."""
-    w = _trailing(keys, order, width)
-    return history.withColumns({"low": F.percentile(value, low).over(w), "high": F.percentile(value, high).over(w)})
+    drop = (ordered.AT, ordered.HOME, ordered.BLOCK)
+    out = rows.groupBy(*keys, ordered.BLOCK).applyInPandas(run, _schema(rows, ", ".join(f"{c} double" for c in columns), drop))
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in columns})
+
+
+def rolling_quantiles(history: DataFrame, width: int, low: float, high: float, keys=("run",), order=("step", "ts"), value: str = "loss", block: int = BLOCK) -> DataFrame:
+    """``history`` plus ``low`` and ``high``: interpolated quantiles of the last ``width`` values, nulls and NaN left out.
+
+    A frame is an ordered list into which one value goes and from which one leaves for each row.
+    """
+    return _rolled(history, width, keys, order, value, block, {"low": lambda f: f.quantile(low), "high": lambda f: f.quantile(high)})
 
 
-def rolling_std(history: DataFrame, width: int, keys=("run",), order=("step", "ts"), value: str = "loss") -> DataFrame:
-    """``history`` plus ``std``: population deviation of the last ``width`` values."""
-    return history.withColumn("std", F.stddev_pop(value).over(_trailing(keys, order, width)))
+def rolling_std(history: DataFrame, width: int, keys=("run",), order=("step", "ts"), value: str = "loss", block: int = BLOCK) -> DataFrame:
+    """``history`` plus ``std``: population deviation of the last ``width`` values, nulls and NaN left out."""
+    return _rolled(history, width, keys, order, value, block, {"std": lambda f: f.std(ddof=0)})
 
 
 def ema_band(history: DataFrame, alpha: float, width: int, value: str = "loss") -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators import ordered
 from ..scratch import folder
 from ..streaming import stateful
 from .registry import query, table
@@ -39,9 +39,8 @@ def stream_sliding_unique(spark, sf_dir):
     moves = stateful.run_available(stateful.distinct_moves(steps, 10), scratch(spark))
     seen = table(spark, sf_dir, "events").select(F.expr("event_id div 100").alias("step"), F.col("user_id").alias("index"))
     last = seen.groupBy("index").agg((F.max("step") + 10).alias("step")).select("step", F.lit(-1).cast("bigint").alias("d"))
-    by_step = moves.unionByName(last).groupBy("step").agg(F.sum("d").alias("d"))
-    running = by_step.select("step", F.sum("d").over(Window.orderBy("step")).alias("n_unique"))
     # steps without a move keep the sum before them
-    wanted = seen.select("step").distinct().join(running, "step", "left")
-    filled = F.last("n_unique", ignorenulls=True).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    return wanted.select("step", filled.alias("n_unique"))
+    wanted = seen.select("step", F.lit(0).cast("bigint").alias("d")).distinct()
+    by_step = moves.unionByName(last).unionByName(wanted).groupBy("step").agg(F.sum("d").alias("d"))
+    running = ordered.running_sums(by_step, {"n_unique": "d"}, ("step",))
+    return running.join(wanted.select("step"), "step", "left_semi").select("step", "n_unique")
