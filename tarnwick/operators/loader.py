@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
+from ..sources.shards import read_shards
 from .sampling import INDEX_MULTIPLIER, _signed, crop_start, crop_start_of, mixed, unsigned_order, wrapping_arithmetic
 
 
@@ -53,7 +54,7 @@ def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: i
     """(index, label, ok, error, features) of (index, label, bytes): decoded, mixed, resampled, cropped, as 512 frames.
 
     A longer recording is cropped at the place that :func:`with_crop_starts` gives for ``seed`` + ``epoch``, or in the middle without a
-    seed.  A recording that can't be decoded gets ``ok`` false and the error.  ``limit``: only the first rows in the epoch's order
+    seed.  A recording that can't be decoded gets ``ok`` false and the error; a row that comes with an ``error`` (of its shard) keeps it.  ``limit``: only the first rows in the epoch's order
     of shards (needs ``shard``), counted before they are decoded.
     """
     if limit is not None:
@@ -72,7 +73,10 @@ def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: i
             for at in range(0, len(part), 32):
                 piece = part.iloc[at : at + 32]
                 out = []
-                for data, index in zip(piece["bytes"], piece["index"], strict=True):
+                for data, index, error in zip(piece["bytes"], piece["index"], piece["error"], strict=True):
+                    if error is not None:
+                        out.append((False, error, None))
+                        continue
                     try:
                         out.append((True, None, clip(data, int(index)).ravel()))
                     except Exception as e:  # what a decoder raises on broken bytes is open
@@ -80,4 +84,18 @@ def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: i
                 ok, error, features = zip(*out, strict=True)
                 yield pd.DataFrame({"index": piece["index"], "label": piece["label"], "ok": ok, "error": error, "features": features})
 
-    return rows.select("index", "label", "bytes").mapInPandas(run, "index bigint, label bigint, ok boolean, error string, features array<float>")
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string").alias("error")
+    return rows.select("index", "label", "bytes", error).mapInPandas(run, "index bigint, label bigint, ok boolean, error string, features array<float>")
+
+
+def load_shards(spark: SparkSession, uri: str, label: str = "label", split: str | None = None, subset: str | None = None, exclude: tuple[int, ...] = (), **how) -> tuple[DataFrame, Observation]:
+    """:func:`load_clips` of the shards of a split, in which bad recordings and unreadable shards become rows with an error, and what was met.
+
+    The observation has ``good``, ``bad_rows`` and ``bad_shards`` once an action on the rows has ended.
+    """
+    rows = read_shards(spark, uri, label, split, subset, exclude, bad="rows")
+    rows = rows.select("index", "label", "shard", F.col("audio.bytes").alias("bytes"), "error")
+    seen = Observation()
+    out = load_clips(rows, **how)
+    whole = F.col("index").isNotNull()  # an unreadable shard's row has none
+    return out.observe(seen, F.count_if(F.col("ok")).alias("good"), F.count_if(~F.col("ok") & whole).alias("bad_rows"), F.count_if(~whole).alias("bad_shards")), seen

@@ -1,10 +1,14 @@
+import io
 import json
+import wave
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.operators import sinks
+from tarnwick.operators.loader import load_shards
 from tarnwick.sources import logs, shards
 from tarnwick.streaming import stateful
 
@@ -29,6 +33,108 @@ def test_shard_of_another_type(spark, tmp_path):
         shards.read_shards(spark, f"file://{tmp_path}").collect()
 
 
+def sound(n=400):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(8000)
+        f.writeframes((np.sin(np.arange(n)) * 9000).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def splits(path):
+    for split, shard, ids in (("train", "a", (1, 2)), ("train", "b", (3, 4, 5)), ("test", "a", (6,))):
+        (path / f"split={split}").mkdir(exist_ok=True)
+        write_shard(path / f"split={split}/{shard}.arrow", [(str(i).encode(), "p", i) for i in ids])
+
+
+def test_filters_reach_the_shards(spark, tmp_path):
+    splits(tmp_path)
+    uri = f"file://{tmp_path}"
+    rows = shards.read_shards(spark, uri, split="train", exclude=(0, 3))
+    assert [(r["index"], r["label"], r["split"]) for r in rows.orderBy("index").collect()] == [(1, 2, "train"), (2, 3, "train"), (4, 5, "train")]
+    for wrong in ((-1,), (0, 5)):
+        with pytest.raises(ValueError, match="out of range"):
+            shards.read_shards(spark, uri, split="train", exclude=wrong)
+    some = shards.read_shards(spark, uri, where=(("index", ">=", 1), ("position", "<", 2), ("path", "in", ["split=train/a.arrow", "split=train/b.arrow"])))
+    assert [r["index"] for r in some.orderBy("index").collect()] == [1, 2, 3, 4]
+    everything = shards.read_shards(spark, uri)
+    test, train = (everything.where(f"split = '{x}'").select("index") for x in ("test", "train"))
+    assert everything.count() == 6 == test.union(train).distinct().count() == test.union(train).count()
+
+
+def without_first(path):
+    (path / "split=train/a.arrow").write_bytes(b"no stream")
+
+
+ALIKE = [("shard", "in", [0, 2]), ("split", "=", "test"), ("index", ">", 2), ("index", "not in", [1, 2, 0]), ("index", "=", 4), ("path", "=", "split=train/b.arrow"), ("index", "<=", 0), ("index", "<", 1)]
+
+
+def test_excluded_shards_are_never_opened(spark, tmp_path):
+    splits(tmp_path)
+    uri, opened = f"file://{tmp_path}", shards.ShardReader({"path": f"file://{tmp_path}"})
+    first = {"split=test/a.arrow": (0, 1), "split=train/a.arrow": (1, 2), "split=train/b.arrow": (3, 3)}
+    assert [p.name for p in opened.partitions()] == list(first)
+    for where in ALIKE:
+        names = [p.name for p in shards.ShardReader({"path": uri, "first": json.dumps(first), "where": json.dumps([where])}).partitions()]
+        assert names and "split=train/a.arrow" not in names
+    for where, left in ((("index", "=", 1), 1), (("index", ">=", 2), 2), (("index", "not in", [1]), 3), (("position", ">", 1), 1)):
+        assert len(shards.ShardReader({"path": uri, "first": json.dumps(first), "where": json.dumps([where])}).partitions()) == left
+    without_first(tmp_path)
+    assert shards.read_shards(spark, uri, split="test").count() == 1
+    with pytest.raises(Exception):
+        shards.read_shards(spark, uri)
+
+
+def test_filters_that_spark_pushes(spark, tmp_path):
+    splits(tmp_path)
+    without_first(tmp_path)
+    spark.dataSource.register(shards.ShardSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda: spark.read.format("shards").option("push", "true").load(f"file://{tmp_path}")
+        for alike, n in (("shard <> 1", 4), ("split = 'test'", 1), ("shard IN (0, 2) AND position > 0", 2), ("path > 'split=train/a.arrow' AND label <> 4", 2), ("NOT split = 'train'", 1)):
+            assert load().where(alike).count() == n
+        with pytest.raises(Exception):
+            load().where("position > 5").count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_bad_shards_are_rows_and_counted(spark, tmp_path):
+    good = sound()
+    write_shard(tmp_path / "a.arrow", [(good, "p", 1), (b"broken", "p", 2), (good, "p", 3)])
+    write_shard(tmp_path / "b.arrow", [(good, "p", 4)])
+    whole = (tmp_path / "b.arrow").read_bytes()
+    (tmp_path / "c.arrow").write_bytes(whole[: len(whole) - 300])  # cut off
+    (tmp_path / "d.arrow").write_bytes(b"")
+    write_shard(tmp_path / "e.arrow", [(good, "p", "x")], pa.string())
+    with pytest.raises(Exception):
+        shards.read_shards(spark, f"file://{tmp_path}").count()
+    rows = shards.read_shards(spark, f"file://{tmp_path}", bad="rows")
+    found = rows.where("error is not null").orderBy("path").collect()
+    assert [(r["path"], r["position"], r["index"], r["label"]) for r in found] == [(f"{x}.arrow", 0, None, None) for x in "cde"]
+    clips, seen = load_shards(spark, f"file://{tmp_path}", rate=8000, seconds=0.2, exclude=(3,))
+    out = clips.toPandas()
+    assert sorted(out[out.ok].label) == [1, 3] and seen.get == {"good": 2, "bad_rows": 1, "bad_shards": 3}
+    assert "broken" in (tmp_path / "a.arrow").read_bytes().decode("latin1") and out[~out.ok].error.notna().all()
+
+
+def test_stream_of_shards(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    uri, rows = f"file://{tmp_path}/in", lambda: sorted(r["label"] for r in spark.read.parquet(f"file://{tmp_path}/out/data").collect())
+    write_shard(tmp_path / "in/m.arrow", [(b"1", "a", 1), (b"2", "b", 2)])
+    stateful.run_available(shards.stream_shards(spark, uri), f"file://{tmp_path}/out")
+    assert rows() == [1, 2]
+    write_shard(tmp_path / "in/a.arrow", [(b"3", "a", 3)])  # before the first in order
+    write_shard(tmp_path / "in/z.arrow", [(b"4", "a", 4)])
+    write_shard(tmp_path / "in/_part.arrow", [(b"5", "a", 5)])
+    for _ in range(2):  # started anew from its checkpoint, it reads no shard twice
+        stateful.run_available(shards.stream_shards(spark, uri), f"file://{tmp_path}/out")
+        assert rows() == [1, 2, 3, 4]
+
+
 def test_logs_and_history(spark, tmp_path):
     (tmp_path / "x.log").write_text("start\nstep=1 norm=2.5\nnoise\nstep=3 norm=4.0\n")
     got = [(r["step"], r["value"]) for r in logs.log_values(spark, str(tmp_path / "x.log"), r"step=(\d+) norm=([\d.]+)").orderBy("line").collect()]
