@@ -52,11 +52,15 @@ def lag1_correlation(hist: DataFrame, n: int) -> DataFrame:
 
     1 for the first step and where a histogram is constant.
     """
-    own = hist.groupBy("step").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss"))
-    before = hist.select((F.col("step") + 1).alias("step"), "bucket", F.col("n").alias("m"))
-    cross = hist.join(before, ["step", "bucket"]).groupBy("step").agg(F.sum(F.col("n") * F.col("m")).alias("sp"))
+    before = hist.select((F.col("step") + 1).alias("step"), "bucket", F.col("n").alias("before"))
+    return correlation_of_pairs(hist.join(before, ["step", "bucket"], "left"), n)
+
+
+def correlation_of_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """:func:`lag1_correlation` of (step, bucket, n, before), where ``before`` is the bucket's count at the step before, null or 0 for none."""
+    own = pairs.groupBy("step").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss"), F.sum(F.col("n") * F.col("before")).alias("sp"))
     last = own.select((F.col("step") + 1).alias("step"), F.col("s").alias("t"), F.col("ss").alias("tt"))
-    rows = own.join(last, "step", "left").join(cross, "step", "left")
+    rows = own.join(last, "step", "left")
     top = F.coalesce("sp", F.lit(0)) - F.col("s") * F.col("t") / float(n)
     low = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / float(n), F.lit(0.0)) * F.greatest(F.col("tt") - F.col("t") * F.col("t") / float(n), F.lit(0.0)))
     return rows.select("step", F.when(F.col("t").isNull() | (low < 1e-10), 1.0).otherwise(top / F.greatest(low, F.lit(1e-10))).alias("acf"))

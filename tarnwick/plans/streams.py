@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import diagnostics as D
 from ..operators import ordered
 from ..scratch import folder
 from ..streaming import stateful
-from .registry import query, table
-
-LANES = 4
+from .diagnostics import SIZE, N, batches
+from .registry import ORACLE_SQL, query, table
 
 
 def scratch(spark) -> str:
@@ -21,15 +21,41 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
-@query("SELECT event_id AS id FROM events")
+CAPACITY, LEAST = 64, 32
+
+
+@query(f"""WITH l AS (SELECT event_id, event_id % (SELECT greatest(1, -(-count(*) // 25000)) FROM events) AS lane FROM events)
+SELECT event_id AS id, CAST(lane AS BIGINT) AS lane, true AS bounded, true AS after_least, CAST(count(*) OVER (PARTITION BY lane) AS BIGINT) AS given FROM l""")
 def stream_shuffle(spark, sf_dir):
+    """Every row once, with its lane and how many different turns the lane had.
+
+    ``bounded``: no more rows than the capacity were held when it came in; ``after_least``: a lane's first row was one of those that came in before its first turn could be.
+    """
     path = scratch(spark)
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % LANES).alias("lane"), F.lit(False).alias("last"))
+    events = table(spark, sf_dir, "events")
+    lanes = stateful.lanes_of(events.count())
+    rows = events.select(F.col("event_id").alias("id"), (F.col("event_id") % lanes).alias("lane"), F.lit(False).alias("last"))
     rows.write.parquet(f"{path}/in/0")
-    ends = spark.range(LANES).select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("lane"), F.lit(True).alias("last"))
+    ends = spark.range(lanes).select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("lane"), F.lit(True).alias("last"))
     ends.write.parquet(f"{path}/in/1")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in/*")
-    return stateful.run_available(stateful.shuffle_buffer(stream, 64, 5), path).select("id")
+    given = stateful.run_available(stateful.shuffle_buffer(stream, CAPACITY, 5, least=LEAST), path)
+    turns = given.groupBy("lane").agg(F.countDistinct("turn").alias("given"))
+    first = (F.col("turn") > 0) | (F.col("arrived") < CAPACITY)
+    return given.join(turns, "lane").select("id", "lane", (F.col("turn") > F.col("arrived") - CAPACITY).alias("bounded"), first.alias("after_least"), "given")
+
+
+@query(ORACLE_SQL["acf_mod"])
+def stream_acf(spark, sf_dir):
+    path = scratch(spark)
+    rows = batches(spark, sf_dir).select("step", D.bucket(F.col("index"), N, "mod", SIZE).cast("bigint").alias("bucket"), F.lit(False).alias("last"))
+    rows.repartitionByRange(4, "step").write.parquet(f"{path}/in/0")
+    ends = spark.range(N).select(F.lit(None).cast("bigint").alias("step"), F.col("id").alias("bucket"), F.lit(True).alias("last"))
+    ends.write.parquet(f"{path}/in/1")
+    for part in (0, 1):  # two runs: the second goes on from the first one's state
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in/[0-{part}]")
+        pairs = stateful.run_available(stateful.lagged_counts(stream), path)
+    return D.correlation_of_pairs(pairs, N).withColumn("acf", F.round("acf", 6))
 
 
 @query("""WITH b AS (SELECT DISTINCT event_id // 100 AS step, user_id AS index FROM events)

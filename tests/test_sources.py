@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.operators import sinks
+from tarnwick.operators import diagnostics, sinks
 from tarnwick.operators.loader import load_shards
 from tarnwick.sources import logs, shards
 from tarnwick.streaming import stateful
@@ -170,11 +170,57 @@ def test_csv_and_checkpoints(spark, tmp_path):
     assert sinks.load_checkpoint(spark, path).first()["step"] == 6
 
 
-def test_shuffle_buffer_is_a_permutation(spark, tmp_path):
-    rows = spark.range(300).select("id", (F.col("id") % 2).alias("lane"), F.lit(False).alias("last"))
-    rows.write.parquet(str(tmp_path / "in/0"))
-    spark.range(2).select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("lane"), F.lit(True).alias("last")).write.parquet(str(tmp_path / "in/1"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*"))
-    out = stateful.run_available(stateful.shuffle_buffer(stream, 16, 3), str(tmp_path / "out")).orderBy("lane", "turn").collect()
-    assert sorted(r["id"] for r in out) == list(range(300))
-    assert [r["id"] for r in out if r["lane"] == 0] != list(range(0, 300, 2))
+LANE = "id bigint, lane bigint, last boolean"
+
+
+def feed(spark, path, ids, lane=0, last=False):
+    """A file of a lane's rows, and perhaps of its end."""
+    rows = [(i, lane, False) for i in ids] + [(None, lane, True)] * last
+    spark.createDataFrame(rows, LANE).coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+
+def given(spark, path, **how):
+    stream = spark.readStream.schema(LANE).parquet(f"{path}/in")
+    return stateful.run_available(stateful.shuffle_buffer(stream, 16, 3, **how), f"{path}/out").orderBy("lane", "turn").toPandas()
+
+
+def test_shuffle_buffer_waits_is_bounded_and_drains(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    feed(spark, path, range(7))
+    assert len(given(spark, path, least=8)) == 0  # not filled yet
+    feed(spark, path, range(7, 40))
+    out = given(spark, path, least=8)
+    assert len(out) == 32  # eight stay
+    feed(spark, path, [40])
+    assert len(given(spark, path, least=8)) == 33  # it has been filled: no wait
+    feed(spark, path, range(41, 60))
+    feed(spark, path, range(100, 103), lane=1)
+    feed(spark, path, range(103, 105), lane=1, last=True)
+    feed(spark, path, [], last=True)
+    out = given(spark, path, least=8)
+    one, two = out[out.lane == 0], out[out.lane == 1]
+    assert sorted(one.id) == list(range(60)) and one.turn.tolist() == list(range(60)) and sorted(two.id) == list(range(100, 105))
+    assert sorted(one.arrived) == list(range(60)) and (one.turn > one.arrived - 16).all() and (one.id != one.turn).any()
+    assert one.id.tolist()[:33] == given(spark, path, least=8).query("lane == 0").id.tolist()[:33]  # nothing is given twice
+    with pytest.raises(ValueError):
+        stateful.shuffle_buffer(spark.createDataFrame([], LANE), 4, 1, least=5)
+
+
+def test_lagged_counts_go_on_after_a_restart(spark, tmp_path):
+    r = np.random.default_rng(0)
+    steps = np.sort(np.append(r.integers(0, 30, 400), [5] * 30))
+    steps = steps[(steps < 9) | (steps > 11)]  # a gap of steps
+    rows = [(int(s), int(b), False) for s, b in zip(steps, r.integers(0, 4, len(steps)))]
+    cut = next(i for i, x in enumerate(rows) if x[0] == 17) + 3  # within a step
+    path = f"file://{tmp_path}"
+    for k, part in enumerate((rows[:cut], rows[cut:], [(None, b, True) for b in range(4)])):
+        spark.createDataFrame(part, "step bigint, bucket bigint, last boolean").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("step bigint, bucket bigint, last boolean").parquet(f"{path}/in")
+        pairs = stateful.run_available(stateful.lagged_counts(stream), f"{path}/out")
+    count = {}
+    for s, b, _ in rows:
+        count[s, b] = count.get((s, b), 0) + 1
+    assert {(x["step"], x["bucket"]): (x["n"], x["before"]) for x in pairs.collect()} == {(s, b): (n, count.get((s - 1, b), 0)) for (s, b), n in count.items()}
+    hist = spark.createDataFrame([(s, b, n) for (s, b), n in count.items()], "step bigint, bucket bigint, n bigint")
+    acf = lambda x: {q["step"]: round(q["acf"], 9) for q in x.collect()}
+    assert acf(diagnostics.correlation_of_pairs(pairs, 4)) == acf(diagnostics.lag1_correlation(hist, 4))
