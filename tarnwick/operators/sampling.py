@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,84 @@ def assign_batches(rows: DataFrame, size: int, order: tuple[str, ...], range_row
     return place.withColumns({"batch_id": F.floor(F.col("__place") / size), "slot": F.col("__place") % size}).drop("__place")
 
 
+PRIME, FEISTEL_ROUNDS = (1 << 31) - 1, 4
+#: Walks of a cycle at most: places outside are fewer than a side of the square, and a walk goes on outside with a chance of one over that side.
+MOST_WALKS = 64
+
+
+def _round_keys(seed: int, epoch: int) -> list[tuple[int, int, int]]:
+    """Three numbers below ``PRIME`` for each round."""
+    z, out = (seed * 0x9E3779B97F4A7C15 + epoch * 0xD1B54A32D192ED03) % (1 << 64), []
+    for _ in range(3 * FEISTEL_ROUNDS):
+        z = (z + 0x9E3779B97F4A7C15) % (1 << 64)
+        x = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % (1 << 64)
+        out.append((x ^ (x >> 31)) % (PRIME - 1) + 1)
+    return list(zip(out[::3], out[1::3], out[2::3], strict=True))
+
+
+def _sides(n: int) -> tuple[int, int]:
+    """Two sides of the smallest near-square that holds ``n`` places."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def permuted(index: int, n: int, seed: int, epoch: int) -> int:
+    """What :func:`epoch_place` gives, for one row."""
+    a, b = _sides(n)
+    for _ in range(MOST_WALKS):
+        left, right = index // b, index % b
+        for k, (x, y, z) in enumerate(_round_keys(seed, epoch)):
+            t = ((right if k % 2 == 0 else left) + x) % PRIME
+            t = (t * t % PRIME * y + z) % PRIME
+            t = t * t % PRIME
+            if k % 2 == 0:
+                left = (left + t) % a
+            else:
+                right = (right + t) % b
+        index = left * b + right
+        if index < n:
+            break
+    return index
+
+
+def epoch_place(index: Column, n: int, seed: int, epoch: int) -> Column:
+    """The place, 0 to ``n`` - 1, of row ``index`` of ``n`` in an epoch: another permutation for each seed and epoch, without a shuffle.
+
+    A keyed network on a near-square of at least ``n`` places adds to one coordinate a mixing of the other, in turn, which can be undone; a place
+    of ``n`` or more is permuted again until it is below, so that no two rows share one.  An index that is not below ``n`` has no place.
+    """
+    if n > 1 << 60:
+        raise ValueError("an epoch has 2 ** 60 rows at most")
+    a, b = _sides(n)
+    whole = lambda x: F.lit(x).cast("bigint")
+
+    def step(at: Column) -> Column:
+        pair = F.struct(F.call_function("div", at, whole(b)).alias("l"), F.pmod(at, whole(b)).alias("r"))
+        keys = F.array(*(F.struct(whole(k % 2).alias("k"), whole(x).alias("x"), whole(y).alias("y"), whole(z).alias("z")) for k, (x, y, z) in enumerate(_round_keys(seed, epoch))))
+
+        def mix(p: Column, q: Column) -> Column:
+            t = F.pmod(F.when(q["k"] == 0, p["r"]).otherwise(p["l"]) + q["x"], whole(PRIME))
+            t = F.pmod(F.pmod(t * t, whole(PRIME)) * q["y"] + q["z"], whole(PRIME))
+            t = F.pmod(t * t, whole(PRIME))
+            return F.struct(
+                F.when(q["k"] == 0, F.pmod(p["l"] + t, whole(a))).otherwise(p["l"]).alias("l"), F.when(q["k"] == 0, p["r"]).otherwise(F.pmod(p["r"] + t, whole(b))).alias("r")
+            )
+
+        return F.aggregate(keys, pair, mix, lambda p: p["l"] * whole(b) + p["r"])
+
+    first = step(index.cast("bigint"))
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(MOST_WALKS)), first, lambda at, _: F.when(at < n, at).otherwise(step(at)))
+    # nearly every row needs one step
+    return F.when((index >= 0) & (index < n), F.when(first < n, first).otherwise(walked))
+
+
+def mini_batches(rows: DataFrame, index: str, n: int, size: int, seed: int, epoch: int) -> DataFrame:
+    """``rows``, whose ``index`` is dense from 0 to ``n`` - 1, plus ``batch_id`` and ``slot`` in an epoch's permutation; the last batch is short."""
+    place = epoch_place(F.col(index), n, seed, epoch)
+    return rows.withColumn("__place", place).withColumns({"batch_id": F.expr(f"__place div {size}"), "slot": F.expr(f"__place % {size}")}).drop("__place")
+
+
 def epoch_rows(rows: DataFrame, epochs: int) -> DataFrame:
     """Every row once for each epoch."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -250,6 +250,27 @@ def epochs_and_views(spark, sf_dir):
     return S.views(S.epoch_rows(table(spark, sf_dir, "events").select("event_id"), 2), 3)
 
 
+def _permuted_once(source: str, seed: int, epoch: int) -> str:
+    """SQL of one pass of the permutation over ``source`` (id, n, a, b, place), as nested selects."""
+    p = S.PRIME
+    sql = f"(SELECT *, place // b AS l, place % b AS r FROM {source})"
+    for k, (x, y, z) in enumerate(S._round_keys(seed, epoch)):
+        side, other, m = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        sql = f"(SELECT *, ({other} + {x}) % {p} AS t FROM {sql})"
+        sql = f"(SELECT * REPLACE ((t * t % {p} * {y} + {z}) % {p} AS t) FROM {sql})"
+        sql = f"(SELECT * EXCLUDE (t) REPLACE (({side} + t * t % {p}) % {m} AS {side}) FROM {sql})"
+    return f"SELECT id, n, a, b, l * b + r AS place FROM {sql}"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT n, a, CAST(-(-n // a) AS BIGINT) AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) + 1 AS BIGINT) AS a FROM (SELECT count(*) AS n FROM events))),
+e AS (SELECT event_id AS id, n, a, b, event_id AS place FROM events, s),
+w AS ({_permuted_once('e', 7, 2)} UNION ALL {_permuted_once('(SELECT * FROM w WHERE place >= n)', 7, 2)})
+SELECT id AS event_id, place // 64 AS batch_id, place % 64 AS slot FROM w WHERE place < n""")
+def epoch_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id")
+    return S.mini_batches(rows, "event_id", rows.count(), 64, 7, 2)
+
+
 @query("SELECT vec_id, n_name FROM (SELECT vec_id, CASE WHEN label > 2 THEN label END AS label FROM embeddings) LEFT JOIN nation ON label = n_nationkey")
 def label_names(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") > 2, F.col("label")).cast("bigint").alias("label"))
