@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .flac import decode_flac
+
 FLOATS = T.ArrayType(T.FloatType())
 DECODED = T.StructType([
     T.StructField("samples", FLOATS), T.StructField("rate", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType()),
@@ -59,25 +61,68 @@ def log_mel(x: np.ndarray, rate: int = 32000, window_ms: float = 25, hop_ms: flo
     return (np.column_stack([out, loud] if energy_last else [loud, out]) if energy else out).astype(np.float32)
 
 
-def filter_spectrum(x: np.ndarray, active: np.ndarray, per_time: int = 8, samples: int = 5120, n_fft: int = 1024) -> np.ndarray:
-    """The samples of ``x`` with only the frequencies of active patches left, then of active times alone.
+#: The clip that is filtered (samples, rate), its transform (bins, hop, window), and its grid of patches.
+FILTER_SAMPLES, FILTER_RATE, FILTER_FFT, FILTER_HOP, FILTER_WINDOW, FILTER_LOW = 160_000, 32_000, 1024, 320, 800, 20.0
+FILTER_TIMES, FILTER_BANDS, FILTER_FRAMES = 32, 8, 16
+
+
+def _periodic_hann(window: int, n_fft: int) -> np.ndarray:
+    """A Hann window of ``window`` samples in the middle of ``n_fft``."""
+    left = (n_fft - window) // 2
+    return np.pad(0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window), (left, n_fft - window - left))
+
+
+def stft(x: np.ndarray, n_fft: int, hop: int, window: int) -> np.ndarray:
+    """Spectra [frames, n_fft // 2 + 1] of frames around every ``hop``-th sample, under a Hann window; the ends are reflected."""
+    padded = np.pad(np.asarray(x, np.float64), n_fft // 2, mode="reflect")
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
+    return np.fft.rfft(frames * _periodic_hann(window, n_fft), axis=1)
+
+
+def istft(spectra: np.ndarray, n_fft: int, hop: int, window: int, length: int) -> np.ndarray:
+    """The signal of :func:`stft`: frames under the window again, added up, and divided by the sum of the squared windows there."""
+    w = _periodic_hann(window, n_fft)
+    frames = np.fft.irfft(spectra, n_fft, axis=1) * w
+    total, weight = np.zeros(n_fft + hop * (len(frames) - 1)), np.zeros(n_fft + hop * (len(frames) - 1))
+    many = -(-n_fft // hop)  # frames that lie over a sample
+    for k in range(many):  # each many-th frame: these do not overlap by more than their hop's rest
+        for at, frame in zip(range(k * hop, len(total) - n_fft + 1, many * hop), frames[k::many], strict=True):
+            total[at : at + n_fft] += frame
+            weight[at : at + n_fft] += w * w
+    out = total[n_fft // 2 :][:length] / np.maximum(weight[n_fft // 2 :][:length], 1e-11)
+    return np.pad(out, (0, length - len(out)))
+
+
+def mel_band_edges(bands: int = FILTER_BANDS, low: float = FILTER_LOW, high: float = FILTER_RATE / 2) -> np.ndarray:
+    """The frequencies that cut ``low`` to ``high`` in bands equally wide on the decimal mel scale."""
+    mel = np.linspace(2595 * np.log10(1 + low / 700), 2595 * np.log10(1 + high / 700), bands + 1)
+    return 700 * (10 ** (mel / 2595) - 1)
+
+
+def patch_mask(active: np.ndarray, frames: int) -> np.ndarray:
+    """Which bins of which frames [frames, bins] lie in an active patch: patch i is at time i div 8, band i mod 8; frames past the last time are in none."""
+    grid = np.asarray(active, bool).reshape(FILTER_TIMES, FILTER_BANDS)
+    hz, edges = np.linspace(0, FILTER_RATE / 2, FILTER_FFT // 2 + 1), mel_band_edges()
+    band = np.searchsorted(edges, hz, side="right") - 1  # a band has its lower edge, not its upper one
+    time = np.arange(frames) // FILTER_FRAMES
+    inside = (time < FILTER_TIMES)[:, None] & ((band >= 0) & (band < FILTER_BANDS))
+    return grid[np.minimum(time, FILTER_TIMES - 1)][:, np.clip(band, 0, FILTER_BANDS - 1)] & inside
+
 
-    Patch i lies at time i div ``per_time`` and band i mod ``per_time``; bands have equal numbers of bins.  Frames of ``n_fft`` samples
-    overlap by half and are added up again under squared-cosine windows.
+def filter_audio(x: np.ndarray, active: np.ndarray, spectrum: bool = True) -> np.ndarray:
+    """The times of ``x`` with an active patch of 256, one after the other; with ``spectrum`` only the mel bands of active patches are left in them.
+
+    ``x``, at 32 kHz, is filled up with zeros or cut to five seconds first.
     """
-    grid = np.asarray(active, bool).reshape(-1, per_time)
-    hop = n_fft // 2
-    padded = np.pad(x.astype(np.float64), (hop, n_fft))
-    n = 1 + (len(padded) - n_fft) // hop
-    window = np.sin(np.pi * (np.arange(n_fft) + 0.5) / n_fft)
-    spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][:n] * window, axis=1)
-    time = np.clip((np.arange(n) * hop) // samples, 0, len(grid) - 1)
-    band = np.minimum(np.arange(spectrum.shape[1]) * per_time // spectrum.shape[1], per_time - 1)
-    out = np.zeros(len(padded))
-    for k, frame in enumerate(np.fft.irfft(spectrum * grid[time][:, band], n_fft, axis=1) * window):
-        out[k * hop : k * hop + n_fft] += frame
-    out = out[hop : hop + len(x)]
-    return np.concatenate([np.zeros(0), *(out[t * samples : (t + 1) * samples] for t in np.flatnonzero(grid.any(axis=1)))]).astype(np.float32)
+    if len(active) != FILTER_TIMES * FILTER_BANDS:
+        raise ValueError(f"{FILTER_TIMES * FILTER_BANDS} patches are needed")
+    x = np.pad(np.asarray(x, np.float64)[:FILTER_SAMPLES], (0, max(0, FILTER_SAMPLES - len(x))))
+    if spectrum:
+        s = stft(x, FILTER_FFT, FILTER_HOP, FILTER_WINDOW)
+        x = istft(s * patch_mask(active, len(s)), FILTER_FFT, FILTER_HOP, FILTER_WINDOW, len(x))
+    step = FILTER_FRAMES * FILTER_HOP
+    times = np.flatnonzero(np.asarray(active, bool).reshape(FILTER_TIMES, FILTER_BANDS).any(axis=1))
+    return np.concatenate([np.zeros(0), *(x[t * step : (t + 1) * step] for t in times)]).astype(np.float32)
 
 
 def mel_by_frame(x: np.ndarray, rate: int = 32000, **options) -> np.ndarray:
@@ -100,40 +145,88 @@ def clip_features(x: np.ndarray, rate: int = 32000, seconds: float = 5.0, center
     return (m - FEATURE_MEAN) / FEATURE_SPAN
 
 
-def array_udf(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
-    """A column function that applies ``f`` to waveforms (and more columns), giving flat float arrays."""
+def array_udf(f: Callable[..., np.ndarray], kind: str = "float") -> Callable[..., Column]:
+    """A column function that applies ``f`` to waveforms (and more columns) of the type ``kind``, giving flat arrays of it."""
+    number = {"float": np.float32, "double": np.float64}[kind]
 
-    @F.pandas_udf(FLOATS)
+    @F.pandas_udf(f"array<{kind}>")
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if row[0] is None else np.asarray(f(np.asarray(row[0], np.float32), *row[1:]), np.float32).ravel() for row in zip(*columns, strict=True)])
+        return pd.Series([None if row[0] is None else np.asarray(f(np.asarray(row[0], number), *row[1:]), number).ravel() for row in zip(*columns, strict=True)])
 
     return run
 
 
+#: Taps of the resampler, places between two samples for which they are tabled, and the share of the lower rate's band that passes.
+SINC_TAPS, SINC_PLACES, SINC_CUT = 256, 256, 0.95
+
+
+def blackman_harris(n: int) -> np.ndarray:
+    """A four-term Blackman-Harris window over ``n`` places, periodic."""
+    a = 2 * np.pi * np.arange(n) / n
+    return 0.35875 - 0.48829 * np.cos(a) + 0.14128 * np.cos(2 * a) - 0.01168 * np.cos(3 * a)
+
+
+@lru_cache(16)
+def sinc_table(ratio: float) -> np.ndarray:
+    """Taps [SINC_PLACES + 1, SINC_TAPS] for output at each place between two samples, under a squared Blackman-Harris window; a low-pass below the lower rate."""
+    cut = SINC_CUT * min(1.0, ratio)
+    n = SINC_TAPS * SINC_PLACES
+    at = np.arange(n) - n / 2
+    taps = blackman_harris(n) ** 2 * np.sinc(at * cut / SINC_PLACES)
+    taps = np.append(taps / (taps.sum() / SINC_PLACES), 0.0)
+    # row p: the taps of the samples from SINC_TAPS / 2 - 1 before to SINC_TAPS / 2 after, for an output p places behind a sample
+    place = SINC_PLACES * np.arange(1, SINC_TAPS + 1)[None, :] - np.arange(SINC_PLACES + 1)[:, None]
+    return taps[place]
+
+
+def _taps_at(time: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each output time, in samples of the input: its first sample, and its taps between those of the two nearest places."""
+    table = sinc_table(ratio)
+    whole = np.floor(time)
+    place = (time - whole) * SINC_PLACES
+    low = np.minimum(place.astype(np.int64), SINC_PLACES - 1)
+    share = (place - low)[:, None]
+    return whole.astype(np.int64) - (SINC_TAPS // 2 - 1), (1 - share) * table[low] + share * table[low + 1]
+
+
 @lru_cache(8)
-def _phases(source: int, target: int, half_width: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """The steps of a rational resampler, and for each phase its first sample and its taps of a windowed sinc."""
+def _cycle(source: int, target: int, kind: str) -> tuple[int, int, np.ndarray] | None:
+    """Outputs and inputs after which a rational ratio's places repeat, and the matrix from these inputs (and those that the taps reach) to the outputs."""
     g = math.gcd(source, target)
     up, down = target // g, source // g
-    cut = 0.95 * min(1.0, up / down)
-    reach = int(np.ceil(half_width / cut))
-    place = np.arange(up) * down / up
-    first = np.floor(place).astype(int)
-    gap = (place - first)[:, None] - np.arange(-reach + 1, reach + 1)
-    taps = np.sinc(cut * gap) * np.cos(np.pi * gap / (2 * reach + 2)) ** 2
-    return up, down, first, (taps / taps.sum(axis=1, keepdims=True)).astype(np.float32)
+    if up * (down + SINC_TAPS) > 1 << 20:
+        return None
+    first, taps = _taps_at(np.arange(up) * (down / up), target / source)
+    out = np.zeros((down + SINC_TAPS, up), kind)
+    rows = first[:, None] + SINC_TAPS // 2 - 1 + np.arange(SINC_TAPS)
+    out[rows, np.arange(up)[:, None]] = taps
+    return up, down, out
 
 
-def resample(x: np.ndarray, source: int, target: int, half_width: int = 32) -> np.ndarray:
-    """Band-limited resampling by a windowed sinc to ``round(len * target / source)`` samples, phase by phase."""
+def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
+    """Band-limited resampling to ``round(len * target / source)`` samples; output k lies at the time of input k * source / target.
+
+    Each output is a sum of ``SINC_TAPS`` samples with taps that are interpolated between tabled places.  A ratio of small numbers is one
+    product of matrices, any other goes in runs.  Sums have double precision for samples in double precision, single for all others.
+    """
     if source == target or not len(x):
         return x
-    up, down, first, taps = _phases(source, target, half_width)
-    n, width = int(len(x) * target / source + 0.5), taps.shape[1]
-    view = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float32), (width // 2 - 1, width // 2 + down)), width)
-    out = np.empty(n, np.float32)
-    for p in range(min(up, n)):
-        out[p::up] = view[first[p] :: down][: len(range(p, n, up))] @ taps[p]
+    kind = "f8" if x.dtype == np.float64 else "f4"
+    n, before = int(len(x) * target / source + 0.5), SINC_TAPS // 2 - 1
+    if (cycle := _cycle(source, target, kind)) is not None:
+        up, down, matrix = cycle
+        runs = -(-n // up)
+        padded = np.zeros(runs * down + SINC_TAPS, kind)
+        some = min(len(x), len(padded) - before)
+        padded[before : before + some] = x[:some]
+        view = np.lib.stride_tricks.sliding_window_view(padded, down + SINC_TAPS)[::down]
+        return (view @ matrix).ravel()[:n]
+    out = np.empty(n, kind)
+    padded = np.pad(x.astype(kind), (before, SINC_TAPS))
+    view = np.lib.stride_tricks.sliding_window_view(padded, SINC_TAPS)
+    for a in range(0, n, 4096):
+        first, taps = _taps_at(np.arange(a, min(n, a + 4096)) * (source / target), target / source)
+        out[a : a + 4096] = np.einsum("ij,ij->i", view[np.minimum(first + before, len(view) - 1)], taps)
     return out
 
 
@@ -174,7 +267,7 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
     raise ValueError("no samples")
 
 
-DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"RIFF": decode_wav}
+DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"RIFF": decode_wav, "fLaC": decode_flac}
 
 
 def audio_array(audio: dict) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -70,38 +71,76 @@ def framing(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", A.frames(F.col("embedding"), 8, 8).alias("f"))
 
 
-@query("SELECT k * 100 AS hz, round(1127 * ln(1 + k * 100 / 700.0), 6) AS natural, round(2595 * log10(1 + k * 100 / 700.0), 6) AS decimal FROM (SELECT unnest(range(100)) AS k)")
+@query("""SELECT p_partkey, round(1127 * ln(1 + p_retailprice::DOUBLE * 10 / 700), 6) AS natural, round(2595 * log10(1 + p_retailprice::DOUBLE * 10 / 700), 6) AS decimal FROM part""")
 def mel_scale(spark, sf_dir):
-    hz = (F.col("id") * 100).alias("hz")
-    return spark.range(100).select(hz, F.round(A.mel(F.col("id") * 100), 6).alias("natural"), F.round(A.mel(F.col("id") * 100, False), 6).alias("decimal"))
+    hz = F.col("p_retailprice").cast("double") * 10
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(A.mel(hz), 6).alias("natural"), F.round(A.mel(hz, False), 6).alias("decimal"))
 
 
-def tones(spark, sf_dir, rate: int = 16000):
-    """Sine waves of one second, with a frequency and strength from an event."""
+def tones(spark, sf_dir):
+    """(event_id, hz, strength) of every event: what :func:`wave` makes a sine of one second of."""
     # rows are small and waves are long: a small file's rows are spread before they grow
     e = table(spark, sf_dir, "events").select("event_id", "value").repartition(4 * spark.sparkContext.defaultParallelism)
-    t = F.sequence(F.lit(0), F.lit(rate - 1))
-    wave = F.transform(t, lambda i: (F.sin(2 * np.pi * (200 + F.col("event_id") * 20) * i / rate) * (1 + F.col("value") % 5) / 8).cast("float"))
-    return e.select("event_id", wave.alias("wave"))
+    return e.select("event_id", (200 + F.col("event_id") * 20).cast("double").alias("hz"), ((1 + F.col("value") % 5) / 8).cast("double").alias("strength"))
+
+
+def wave(hz: float, strength: float, rate: int = 16000) -> np.ndarray:
+    return (np.sin(2 * np.pi * hz * np.arange(rate) / rate) * strength).astype(np.float32)
+
+
+def of_tones(f, kind: str):
+    """A column of what ``f`` gives for the wave of each (hz, strength); waves are made where they are used, one at a time."""
+
+    @F.pandas_udf(kind)
+    def run(hz: pd.Series, strength: pd.Series) -> pd.Series:
+        out = [f(wave(*x)) for x in zip(hz, strength, strict=True)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in kind.split(", ")]) if "," in kind else pd.Series(out)
+
+    return run("hz", "strength")
 
 
 @query()
 def fbank_stats(spark, sf_dir):
-    mels = S.array_udf(lambda x: S.log_mel(x, 16000, n_mels=64))
-    out = tones(spark, sf_dir).select("event_id", mels("wave").alias("m"))
-    return out.select("event_id", F.size("m").alias("n"), F.array_max("m").alias("top"), F.array_min("m").alias("low"))
+    def stats(x):
+        m = S.log_mel(x, 16000, n_mels=64)
+        return m.size, m.max(), m.min()
+
+    return tones(spark, sf_dir).select("event_id", of_tones(stats, "n int, top float, low float").alias("m")).select("event_id", "m.*")
 
 
 @query("SELECT event_id, 512 * 128 AS n FROM events")
 def clip_feature_size(spark, sf_dir):
-    f = S.array_udf(lambda x: S.clip_features(x, 32000))
-    return tones(spark, sf_dir).select("event_id", F.size(f("wave")).alias("n"))
+    return tones(spark, sf_dir).select("event_id", of_tones(lambda x: S.clip_features(x, 32000).size, "int").alias("n"))
 
 
 @query("SELECT event_id, 22050 AS n FROM events")
 def resample_len(spark, sf_dir):
-    w = tones(spark, sf_dir)
-    return w.select("event_id", F.size(S.resample_to("wave", F.lit(16000), F.lit(22050))).alias("n"))
+    return tones(spark, sf_dir).select("event_id", of_tones(lambda x: len(S.resample(x, 16000, 22050)), "int").alias("n"))
+
+
+_PLACE = "(256 * (j - CAST(floor(t) AS BIGINT) + 127 + 1) - ({p}))"
+_TAP = """CASE WHEN {q} BETWEEN 0 AND 65535 THEN power(0.35875::DOUBLE - 0.48829::DOUBLE * cos(2 * pi() * {q} / 65536.0::DOUBLE) + 0.14128::DOUBLE * cos(4 * pi() * {q} / 65536.0::DOUBLE)
+  - 0.01168::DOUBLE * cos(6 * pi() * {q} / 65536.0::DOUBLE), 2) * CASE WHEN {q} = 32768 THEN 1 ELSE sin(pi() * ({q} - 32768) * c / 256) / (pi() * ({q} - 32768) * c / 256) END ELSE 0 END"""
+
+
+def _resampled(source: int, target: int, n: int = 64) -> str:
+    """SQL of each vector's samples resampled by a direct sum of tabled taps."""
+    out = int(n * target / source + 0.5)
+    return f"""WITH c AS (SELECT 0.95::DOUBLE * least(1, {target} / {source}::DOUBLE) AS c), w AS (SELECT sum({_TAP.format(q='q')}) / 256 AS total FROM c, (SELECT unnest(range(65536)) AS q)),
+k AS (SELECT k, k * ({source} / {target}::DOUBLE) AS t FROM (SELECT unnest(range({out})) AS k)), p AS (SELECT *, least(CAST(floor((t - floor(t)) * 256) AS BIGINT), 255) AS p FROM k),
+j AS (SELECT k, t, p, (t - floor(t)) * 256 - p AS share, j FROM p, (SELECT unnest(range({n})) AS j)),
+m AS (SELECT k, j, share, c, {_PLACE.format(p='p')} AS a, {_PLACE.format(p='p + 1')} AS b FROM j, c WHERE j BETWEEN floor(t) - 127 AND floor(t) + 128),
+taps AS (SELECT k, j, ((1 - share) * ({_TAP.format(q='a')}) + share * ({_TAP.format(q='b')})) / total AS tap FROM m, w),
+v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
+SELECT vec_id, list(y ORDER BY k) AS y FROM (SELECT vec_id, k, round(sum(x * tap), 7) + 0.0 AS y FROM v JOIN taps USING (j) GROUP BY vec_id, k) GROUP BY vec_id"""
+
+
+for _source, _target in ((16000, 22050), (44100, 32003)):
+
+    @query(_resampled(_source, _target), f"resample_{_source}_{_target}")
+    def _resample(spark, sf_dir, source=_source, target=_target):
+        exact = S.array_udf(lambda x: S.resample(x, source, target), "double")
+        return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(exact("embedding"), lambda y: F.round(y, 7) + F.lit(0.0)).alias("y"))
 
 
 @query("SELECT vec_id, CAST(floor(64 * (vec_id % 10) / 10.0) AS BIGINT) AS masked FROM embeddings")

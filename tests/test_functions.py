@@ -65,6 +65,26 @@ def test_resample_length_and_tone():
     assert S.resample(x, 8000, 8000) is x
 
 
+@pytest.mark.parametrize("source, target", [(8000, 16000), (44100, 32000), (44100, 32003), (48000, 32000), (22050, 7919)])
+def test_resample_against_a_direct_sum(source, target):
+    x = np.random.default_rng(0).standard_normal(700)
+    n, cut = 256 * 256, 0.95 * min(1, target / source)
+    q = np.arange(n)
+    window = 0.35875 - 0.48829 * np.cos(2 * np.pi * q / n) + 0.14128 * np.cos(4 * np.pi * q / n) - 0.01168 * np.cos(6 * np.pi * q / n)
+    table = np.append(window**2 * np.sinc((q - n // 2) * cut / 256), 0)
+    table /= table.sum() / 256
+    want = np.zeros(int(len(x) * target / source + 0.5))
+    for k in range(len(want)):
+        t = k * source / target
+        i, p = int(t), min(int((t - int(t)) * 256), 255)
+        share = (t - i) * 256 - p
+        for m in range(256):
+            if 0 <= (j := i - 127 + m) < len(x):
+                want[k] += x[j] * ((1 - share) * table[256 * (m + 1) - p] + share * table[256 * (m + 1) - p - 1])
+    assert np.allclose(S.resample(x, source, target), want, atol=1e-12)
+    assert np.allclose(S.resample(x.astype(np.float32), source, target), want, atol=1e-4)
+
+
 def test_decode(spark):
     x = np.array([0, 16384, -32768, 100], np.int16)
     rows = spark.createDataFrame([(1, bytearray(wav(x, channels=2))), (2, bytearray(b"junk")), (3, bytearray(wav(x[:0])))], "id int, data binary")
@@ -162,17 +182,42 @@ def test_energy_places_and_layout():
     assert (damped[:, 0] < first[:, 0]).all() and S.mel_by_frame(x, 16000, n_mels=23).shape == S.mel_shape(16000, 16000, n_mels=23) == plain.T.shape
 
 
-def test_spectrum_of_active_patches():
-    t = np.arange(5120 * 4)
-    low, high = np.sin(2 * np.pi * t * 10 / 1024), np.sin(2 * np.pi * t * 400 / 1024)
-    every = np.ones((4, 8), bool)
-    assert np.abs(S.filter_spectrum(low + high, every) - (low + high))[600:-600].max() < 1e-5
-    lower = every.copy()
-    lower[:, 4:] = False
-    assert np.abs(S.filter_spectrum(low + high, lower) - low)[600:-600].max() < 1e-3
-    half = every.copy()
-    half[2:] = False
-    assert len(S.filter_spectrum(low, half)) == 2 * 5120
+def slow_filter(x, active):
+    """Patch by patch, bin by bin, frame by frame."""
+    x = np.pad(x[:160000], (0, max(0, 160000 - len(x))))
+    w = np.zeros(1024)
+    w[112:912] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(800) / 800)
+    padded = np.concatenate([x[512:0:-1], x, x[-2:-514:-1]])
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    span, out, weight = mel(16000) - mel(20), np.zeros(len(padded)), np.zeros(len(padded))
+    freqs = np.linspace(0, 16000, 513)
+    for t in range(501):
+        mask = np.zeros(513, bool)
+        for k in range(8):
+            if t // 16 < 32 and active[t // 16 * 8 + k]:
+                mask |= (freqs >= hz(mel(20) + k / 8 * span)) & (freqs < hz(mel(20) + (k + 1) / 8 * span))
+        at = slice(t * 320, t * 320 + 1024)
+        out[at] += np.fft.irfft(np.fft.rfft(padded[at] * w) * mask) * w
+        weight[at] += w * w
+    y = (out / np.maximum(weight, 1e-11))[512 : 512 + 160000]
+    times = sorted({i // 8 for i in np.flatnonzero(active)})
+    return np.concatenate([np.zeros(0), *(y[t * 5120 : (t + 1) * 5120] for t in times)])
+
+
+@pytest.mark.parametrize("n", [160_000, 90_000, 170_000])
+def test_filter_of_mel_patches(n):
+    r = np.random.default_rng(n)
+    x = r.standard_normal(n)
+    for active in (r.random(256) < 0.2, np.arange(256) == 77, np.arange(256) >= 248, np.zeros(256, bool)):
+        got, want = S.filter_audio(x, active), slow_filter(x, active)
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-5)
+    whole = np.pad(x[:160000], (0, max(0, 160000 - n)))
+    assert np.allclose(S.filter_audio(x, np.arange(256) == 9, spectrum=False), whole[5120:10240], atol=1e-6)
+    back = S.istft(S.stft(x, 1024, 320, 800), 1024, 320, 800, n)
+    assert np.allclose(back[:-512], x[:-512], atol=1e-9)
+    with pytest.raises(ValueError):
+        S.filter_audio(x, np.ones(8))
 
 
 def test_crops_follow_one_law(spark):
