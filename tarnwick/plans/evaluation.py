@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import backbones as B
 from ..operators import evaluation as E
+from ..operators import probes as P
 from ..operators import sampling as S
 from .registry import query, table
 
@@ -143,6 +145,39 @@ def mlp_probe_cmap(spark, sf_dir):
     return E.mean_average_precision(E.average_precision(scored))
 
 
+_NORMAL = """v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+s AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS d FROM v GROUP BY vec_id), x AS (SELECT vec_id, i, (x - m) / sqrt(d + 1e-6::DOUBLE) * (1 + i / 128.0::DOUBLE) + i / 640.0::DOUBLE AS x FROM v JOIN s USING (vec_id))"""
+
+
+@query(f"""WITH {_NORMAL} SELECT vec_id, CAST(c AS INTEGER) AS class_id, round(sum(x * sin(c * 64 + i) / 8) + c / 10.0::DOUBLE, 6) AS score FROM x, (SELECT unnest(range({CLASSES})) AS c) GROUP BY vec_id, c""")
+def linear_probe_scores(spark, sf_dir):
+    """A linear probe's logits under fixed weights."""
+    i, c = np.arange(DIM), np.arange(CLASSES)
+    w = {"scale": 1 + i / 128, "shift": i / 640, "w": np.sin(c[:, None] * 64 + i) / 8, "b": c / 10}
+    out = P.scores(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), w)
+    return out.select("vec_id", "class_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_NORMAL}, h AS (SELECT vec_id, k, sum(x * cos(k * 64 + i) / 8) + k / 64.0::DOUBLE AS z FROM x, (SELECT unnest(range(8)) AS k) GROUP BY vec_id, k),
+a AS (SELECT vec_id, k, 0.5::DOUBLE * z * (1 + (1 - 2 / (exp(2 * sqrt(2 / pi()) * (z + 0.044715::DOUBLE * z * z * z)) + 1))) AS a FROM h)
+SELECT vec_id, CAST(c AS INTEGER) AS class_id, round(sum(a * sin(c * 8 + k)) + c / 10.0::DOUBLE, 6) AS score FROM a, (SELECT unnest(range({CLASSES})) AS c) GROUP BY vec_id, c""")
+def mlp_probe_scores(spark, sf_dir):
+    """A probe's logits with one hidden layer of eight under fixed weights."""
+    i, c, k = np.arange(DIM), np.arange(CLASSES), np.arange(8)
+    w = {"scale": 1 + i / 128, "shift": i / 640, "w1": np.cos(k[:, None] * 64 + i) / 8, "b1": k / 64, "w": np.sin(c[:, None] * 8 + k), "b": c / 10}
+    out = P.scores(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), w)
+    return out.select("vec_id", "class_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def probe_by_batches_cmap(spark, sf_dir):
+    """A linear probe after one epoch of mini-batches, judged on the other half of the vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    weights = P.fit(e.where("vec_id % 2 = 0"), P.linear_probe(DIM, CLASSES), "vec_id", epochs=1, batch=128, rate=0.02)
+    scored = P.scores(e.where("vec_id % 2 = 1"), weights).withColumn("truth", F.col("label") == F.col("class_id"))
+    return E.mean_average_precision(E.average_precision(scored))
+
+
 @query("SELECT vec_id, 32 AS size FROM embeddings")
 def backbone_sizes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(B.encoded("patch_mean", "small", "embedding")).alias("size"))
