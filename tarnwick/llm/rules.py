@@ -11,8 +11,10 @@ Every group has an estimate of its own, whatever its size.  Its mean and covaria
 ``PRIOR`` more that agree with the estimate of the whole language, which itself leans on that of all documents in the same way; so a group of
 a few texts is judged nearly by its language, and one of thousands by itself alone.
 
-A step is one join and one aggregation to bins; sums are of whole numbers, so the result depends
+Vectors are whole numbers and most statistics are mostly zero, so texts are first counted by vector: all steps run on different vectors with
+their counts.  A step is one join and one aggregation to bins; sums are of whole numbers, so the result depends
 neither on the order of rows nor on their partitioning.  A group of any size is reduced before it is shuffled.
+Should steps still change something after ``MOST_STEPS``, a warning says so and the last estimate is used.
 
 Cases: null text counts as empty and fails the base rule.  Null languages and sources are groups of
 their own.  A least variance in each direction keeps estimates of constant statistics from rejecting the first
@@ -22,6 +24,7 @@ text that differs.  Repeated rows count and are answered each; an empty table gi
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +99,14 @@ def _pairs() -> list[tuple[int, int]]:
 
 
 def _sums() -> list[Column]:
-    x = [F.col(c) for c in STATS]
-    return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(4)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _pairs())]
+    """Sums over texts of rows of vectors with their ``times``."""
+    x, k = [F.col(c) for c in STATS], F.col("times")
+    return [F.sum(k).alias("n"), *(F.sum(k * x[i]).alias(f"s{i}") for i in range(4)), *(F.sum(k * x[i] * x[j]).alias(f"p{i}{j}") for i, j in _pairs())]
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``times``, how many texts a row stands for: 1 where it isn't there yet."""
+    return rows if "times" in rows.columns else rows.withColumn("times", F.lit(1).cast("bigint"))
 
 
 def _estimates(sums: DataFrame, prior: DataFrame, *keys: str) -> DataFrame:
@@ -156,19 +165,20 @@ def consistency(cover: float) -> float:
 
 def medians(rows: DataFrame) -> DataFrame:
     """(grp, n, med0 to med3): the middle of each statistic; whole numbers, so that a group's counts of values are few."""
-    return rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *(F.percentile(x, 0.5).alias(f"med{i}") for i, x in enumerate(STATS)))
+    return counted(rows).groupBy("grp").agg(F.sum("times").cast("double").alias("n"), *(F.percentile(x, 0.5, F.col("times")).alias(f"med{i}") for i, x in enumerate(STATS)))
 
 
 def estimate(rows: DataFrame, middle: DataFrame, prior: DataFrame, cover: float = COVER, most_steps: int = MOST_STEPS) -> DataFrame:
-    """(grp, m, c, l) of each group of ``rows`` (grp, statistics) by concentration steps from two starts.
+    """(grp, m, c, l) of each group of ``rows`` (grp, statistics, and perhaps ``times``) by concentration steps from two starts.
 
     ``middle``: the groups' :func:`medians`.  ``prior``: (grp, q, r), mean and covariance that a group leans on.  Steps end when
     all groups hold what they held after an earlier step.
     """
+    rows = counted(rows)
     key, sums = ["grp", "start"], ["n", *(f"s{i}" for i in range(4)), *(f"p{i}{j}" for i, j in _pairs())]
     spread = rows.join(middle, "grp").groupBy("grp").agg(
         F.first("n").alias("n"), *(F.first(f"med{i}").alias(f"g{i}") for i in range(4)),
-        *((F.percentile(F.abs(F.col(x) - F.col(f"med{i}")), 0.5) * 1.4826).alias(f"d{i}") for i, x in enumerate(STATS)),
+        *((F.percentile(F.abs(F.col(x) - F.col(f"med{i}")), 0.5, F.col("times")) * 1.4826).alias(f"d{i}") for i, x in enumerate(STATS)),
     )
     flat = spread.select("grp", F.lit(0).alias("start"), "n", *(f"g{i}" for i in range(4)), *((F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _pairs()))
     mean = rows.groupBy("grp").agg(*_sums()).withColumn("start", F.lit(1))
@@ -185,6 +195,8 @@ def estimate(rows: DataFrame, middle: DataFrame, prior: DataFrame, cover: float
         if mark in seen:
             break
         seen.add(mark)
+    else:
+        warnings.warn(f"estimates still change after {most_steps} steps", RuntimeWarning, stacklevel=2)
     columns = [*_names("m"), *_names("c"), *_names("l")]
     best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start", *columns)).alias("b"))
     return materialise(best.select("grp", *(f"b.{c}" for c in columns)), "estimate")
@@ -200,10 +212,11 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, the base counts, ``base_failed``, ``distance`` (null where the base rule failed) and ``kept`` for every row of ``docs``."""
     levels = {"__all": F.lit("{}"), "__lang": F.to_json(F.struct("lang")), "__source": F.to_json(F.struct("lang", "source"))}
     stats = materialise(vectors(base_statistics(docs)).withColumns(levels), "statistics")
-    fit = stats.where("not base_failed")
+    fit = stats.where("not base_failed").groupBy(*levels, *STATS).agg(F.count("*").alias("times"))
+    fit = materialise(fit, "vectors")
     params, above = None, None
     for level in levels:
-        rows = fit.select(F.col(level).alias("grp"), *STATS)
+        rows = fit.select(F.col(level).alias("grp"), *STATS, "times")
         middle = materialise(medians(rows), "medians")
         if params is None:
             wide = [F.lit((UNIT * PRIOR_DEVIATION[i]) ** 2 if i == j else 0.0).alias(f"r{i}{j}") for i, j in _pairs()]
