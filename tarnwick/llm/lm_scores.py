@@ -5,8 +5,10 @@
 2.  Words are summed over blocks, and each different word of the corpus is spelled as subword ids once.
 3.  Counts and ids come back to the blocks, one row for each word of a block, which gives each text its base score and its ids.
 4.  Every training text is cut into windows, of which the last may be short, so that each of its ids, the end id
-    included, is a target once.  Workers learn from their own windows, dealt to ``ROUNDS`` rounds by hash, from common weights
-    that are averaged after each round.  Sums of whole numbers make the average independent of the order of workers.
+    included, is a target once in a pass.  Workers learn from their own windows, dealt to ``ROUNDS`` rounds by hash, from common weights
+    that are averaged after each round.  A worker goes over the windows of a round once if it has ``LEAST_BATCHES`` batches of them; with fewer it begins anew until it has
+    learned from as many, ``PASSES`` times at most, so that a corpus of a few hundred thousand ids is not left half learned.
+    Sums of whole numbers make the average independent of the order of workers, and are added in a tree.
 5.  Scoring is one pass over the ids.
 
 Cases: a null text counts as empty, and has the end token alone.  A null ``doc_id`` is not held out and
@@ -34,6 +36,8 @@ START_ID, END_ID, IDS = 49406, 49407, 49408
 ROUNDS, BATCH, RATE = 4, 64, 0.02
 #: Ids for each worker before there is another; batches that a worker learns from in a round, in a few passes if it has fewer.
 WORKER_IDS, LEAST_BATCHES, PASSES = 2_000_000, 200, 3
+#: Sums of weights that one task adds.
+FAN = 16
 BLOCK_BYTES, SPELL_WORDS = 1 << 25, 1 << 18
 FIXED = 256.0  # weights times ids are summed in whole 256ths
 TEXT, WORD = range(2)
@@ -222,12 +226,12 @@ def windows(ids: np.ndarray, off: np.ndarray, doc_id: np.ndarray, turn: int, rou
     return inputs, np.where(real, ids[np.minimum(at, len(ids) - 1)], np.uint16(END_ID)), real
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int = WORKER_IDS, rounds: int = ROUNDS) -> np.ndarray:
-    """Average, after each round, what each task learned from its own windows of ``texts`` (doc_id, ids), ``ids`` in all."""
-    weights = fresh(vocabulary)
-    dealt = texts.select("doc_id", "ids").coalesce(max(1, ids // worker_ids))  # a worker takes whole parts of the corpus: no round shuffles it
-    for turn in range(rounds):
-        rate = RATE * (1 - turn / rounds)
+def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int = WORKER_IDS, rounds: int = ROUNDS, passes: int = 1) -> np.ndarray:
+    """Average, after each round, what each task learned from its own windows of ``texts`` (doc_id, ids), ``ids`` in all; ``passes``: over all windows."""
+    weights, workers = fresh(vocabulary), max(1, ids // worker_ids)
+    dealt = texts.select("doc_id", "ids").coalesce(workers)  # a worker takes whole parts of the corpus: no round shuffles it
+    for done in range(rounds * passes):
+        turn, rate = done % rounds, RATE * (1 - done / (rounds * passes))
 
         def run(batches: Iterator[pa.RecordBatch], start=weights, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
             adam, seen = Adam(start.copy(), rate), 0
@@ -268,8 +272,12 @@ def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int =
                     total += np.frombuffer(x.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "weights"])
 
-        schema = "seen bigint, weights binary"
-        got = dealt.mapInArrow(run, schema).repartition(4).mapInArrow(add, schema).toArrow()  # four sums of fixed size reach the driver
+        schema, left = "seen bigint, weights binary", workers
+        sums = dealt.mapInArrow(run, schema)
+        while left > FAN:  # sums of sums: no task adds more than about FAN of them, and FAN sums of fixed size reach the driver
+            left = -(-left // FAN)
+            sums = sums.repartition(left).mapInArrow(add, schema)
+        got = sums.toArrow()
         seen = sum(got["seen"].to_pylist())
         if not seen:
             break
@@ -302,12 +310,12 @@ def vocabulary_of(spelled: DataFrame, ends: int) -> tuple[Vocabulary, int]:
     return Vocabulary.of(*counts), int(counts[0].sum())
 
 
-def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str | None = None, passes: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
     corpus = materialise(read_corpus(docs), "corpus")
     spelled = materialise(spelled_words(corpus, tokenizer), "words")
     found, ends = base_scores(corpus, spelled)
     texts = materialise(found, "texts")
     vocabulary, ids = vocabulary_of(spelled, ends)
-    weights = train(texts.where("learn"), vocabulary, ids)
+    weights = train(texts.where("learn"), vocabulary, ids, passes=passes)
     return model_scores(texts.drop("learn"), weights, vocabulary)

@@ -1,48 +1,17 @@
-"""Intermediate tables in the folder that all executors share.
-
-The folder is the session's ``spark.checkpoint.dir``.  Where that is unset (tests, a laptop) a
-temporary folder is made and set once for the session.
-"""
+"""Intermediate tables in the folder that all executors share; see :mod:`tarnwick.scratch`."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; made only where the session names none."""
-    found = spark.conf.get(SETTING, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarnwick/{name}-{uuid.uuid4().hex}"
-
+from pyspark.sql import SparkSession
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of the files.
+from ..scratch import clear, forget, shared_dir
+from ..scratch import folder as new_path
+from ..scratch import written as materialise
 
-    This cuts the lineage: a lost executor costs the running tasks only.  Files stay until
-    :func:`clear` or the owner of the folder removes them, because scans of them are lazy.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
+__all__ = ["arrow_rows", "clear", "forget", "materialise", "new_path", "shared_dir"]
 
 
 @contextmanager
@@ -55,18 +24,3 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a frame that :func:`materialise` gave, when nothing reads it any more."""
-    _delete(df.sparkSession, df._written_at)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this library in the session's shared folder."""
-    _delete(spark, f"{shared_dir(spark)}/tarnwick")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
