@@ -20,6 +20,28 @@ def _zoom(x: np.ndarray, h: int, w: int) -> np.ndarray:
     return (x[np.ix_(y0, z0)] * (1 - b) + x[np.ix_(y0, z1)] * b) * (1 - a) + (x[np.ix_(y1, z0)] * (1 - b) + x[np.ix_(y1, z1)] * b) * a
 
 
+def resized(x: np.ndarray, top: int, left: int, height: int, width: int) -> np.ndarray:
+    """A part of ``x`` drawn out to its whole size, linearly between values."""
+    return _zoom(x[top : top + height, left : left + width], *x.shape)
+
+
+def adjusted(x: np.ndarray, brightness: float, contrast: float) -> np.ndarray:
+    """Values times ``brightness``, then their distance from the mean times ``contrast``."""
+    x = x * brightness
+    return (x - x.mean()) * contrast + x.mean()
+
+
+def blurred(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian means of neighbours up to four deviations away; edges are reflected."""
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    for axis in (0, 1):
+        pad = [(reach, reach) if a == axis else (0, 0) for a in (0, 1)]
+        x = np.apply_along_axis(np.convolve, axis, np.pad(x, pad, mode="symmetric"), kernel, "valid")
+    return x
+
+
 def random_crop(padding: int = 4) -> Step:
     def step(x, r):
         y, z = r.integers(0, 2 * padding + 1, 2)
@@ -64,33 +86,18 @@ def resized_crop(low: float = 0.08, high: float = 1.0, narrow: float = 0.75, wid
             area, aspect = h * w * r.uniform(low, high), np.exp(r.uniform(np.log(narrow), np.log(wide)))
             ch, cw = int(round(np.sqrt(area / aspect))), int(round(np.sqrt(area * aspect)))
             if 0 < ch <= h and 0 < cw <= w:
-                y, z = r.integers(0, h - ch + 1), r.integers(0, w - cw + 1)
-                return _zoom(x[y : y + ch, z : z + cw], h, w)
+                return resized(x, r.integers(0, h - ch + 1), r.integers(0, w - cw + 1), ch, cw)
         return x
 
     return step
 
 
 def jitter(brightness: float = 0.8, contrast: float = 0.8) -> Step:
-    def step(x, r):
-        x = x * r.uniform(max(0, 1 - brightness), 1 + brightness)
-        return (x - x.mean()) * r.uniform(max(0, 1 - contrast), 1 + contrast) + x.mean()
-
-    return step
+    return lambda x, r: adjusted(x, r.uniform(max(0, 1 - brightness), 1 + brightness), r.uniform(max(0, 1 - contrast), 1 + contrast))
 
 
 def blur(low: float = 0.1, high: float = 2.0) -> Step:
-    def step(x, r):
-        sigma = r.uniform(low, high)
-        reach = int(4 * sigma + 0.5)
-        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-        kernel /= kernel.sum()
-        for axis in (0, 1):
-            pad = [(reach, reach) if a == axis else (0, 0) for a in (0, 1)]
-            x = np.apply_along_axis(np.convolve, axis, np.pad(x, pad, mode="symmetric"), kernel, "valid")
-        return x
-
-    return step
+    return lambda x, r: blurred(x, r.uniform(low, high))
 
 
 def solarize(threshold: float = 0.5, p: float = 0.2) -> Step:
@@ -105,11 +112,12 @@ def apply_steps(x: np.ndarray, steps: list[Step], seed: int) -> np.ndarray:
     return x
 
 
-def augmented(steps: list[Step], height: int, width: int) -> Callable[[Column, Column], Column]:
-    """A column function of (flat row-major array, whole-number seed)."""
+def augmented(steps: list[Step], height: int, width: int, kind: str = "float") -> Callable[[Column, Column], Column]:
+    """A column function of (flat row-major array, whole-number seed), giving arrays of ``kind``."""
+    number = {"float": np.float32, "double": np.float64}[kind]
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{kind}>")
     def run(values: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else apply_steps(np.asarray(v, float).reshape(height, width), steps, int(s)).astype(np.float32).ravel() for v, s in zip(values, seeds, strict=True)])
+        return pd.Series([None if v is None else apply_steps(np.asarray(v, float).reshape(height, width), steps, int(s)).astype(number).ravel() for v, s in zip(values, seeds, strict=True)])
 
     return run

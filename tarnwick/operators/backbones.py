@@ -35,19 +35,22 @@ def loader(name: str) -> Callable[[str], Callable[[np.ndarray], np.ndarray]]:
     return _LOADERS[name]
 
 
-def _patch_mean(checkpoint: str) -> Callable[[np.ndarray], np.ndarray]:
-    """A seeded linear projection of patches of 16 values, averaged over the patches."""
-    r = np.random.default_rng(sum(map(ord, checkpoint)))
-    weights = r.standard_normal((16, 32)) / 4
+def patch_projection(weights: Callable[[str], np.ndarray]) -> Callable[[str], Callable[[np.ndarray], np.ndarray]]:
+    """A loader of linear projections of patches, averaged over the patches; ``weights`` gives [values of a patch, size] for a checkpoint's name."""
 
-    def encode(x: np.ndarray) -> np.ndarray:
-        x = np.pad(x, ((0, 0), (0, -x.shape[1] % 16)))
-        return x.reshape(len(x), -1, 16).mean(axis=1) @ weights
+    def load(checkpoint: str) -> Callable[[np.ndarray], np.ndarray]:
+        w = weights(checkpoint)
 
-    return encode
+        def encode(x: np.ndarray) -> np.ndarray:
+            x = np.pad(x, ((0, 0), (0, -x.shape[1] % len(w))))
+            return x.reshape(len(x), -1, len(w)).mean(axis=1) @ w
 
+        return encode
 
-register("patch_mean", _patch_mean)
+    return load
+
+
+register("patch_mean", patch_projection(lambda checkpoint: np.random.default_rng(sum(map(ord, checkpoint))).standard_normal((16, 32)) / 4))
 register("identity", lambda checkpoint: lambda x: x)
 
 

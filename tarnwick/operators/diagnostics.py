@@ -98,6 +98,29 @@ def expected_distinct(size: Column, draws: Column) -> Column:
     return size * (1 - F.pow(1 - 1 / size, draws))
 
 
+def expected_least(rate: Column) -> Column:
+    """Expected smaller one of two independent Poisson counts of one ``rate``: the sum over m of the squared chance of m or more."""
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("upto"), F.lit(0.0).alias("total"))
+    step = lambda a, m: F.struct(
+        (a["p"] * rate / m).alias("p"), (a["upto"] + a["p"] * rate / m).alias("upto"), (a["total"] + F.pow(F.greatest(1 - a["upto"], F.lit(0.0)), 2)).alias("total")
+    )
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["total"])
+
+
+def expected_metrics(batches: DataFrame, size: int, shards: int, window: int, overlap_buckets: int = 4096) -> DataFrame:
+    """What each measure of :func:`batch_metrics` is expected to be for a step's number of rows, were they drawn independently from ``size``.
+
+    chi2_normal: of a chi-square over its degrees of freedom; acf: of every lag-1 correlation.
+    """
+    b, n = F.col("b").cast("double"), float(size)
+    return batches.groupBy("step").agg(F.count("*").alias("b")).select(
+        "step", F.lit(1.0).alias("chi2_normal"), F.lit(0.0).alias("acf"), F.lit(float(shards - 1)).alias("chi2_shard"), (n * (1 - F.exp(-b / n))).alias("n_unique"), (b * b / n).alias("overlap"),
+        (overlap_buckets * expected_least(b / overlap_buckets)).alias("overlap_bucket"), (n * (1 - F.exp(-window * b / n))).alias("sliding_unique"),
+        expected_distinct(F.lit(n), window * b).alias("sliding_exact"),
+    )
+
+
 def label_entropy(batches: DataFrame, label: str = "target") -> DataFrame:
     """(step, entropy, fraction): natural-log entropy of labels, and its share of the binary log of the batch size."""
     counts = batches.groupBy("step", label).agg(F.count("*").alias("n"))

@@ -37,11 +37,20 @@ def norm(a: Column) -> Column:
 def class_scores(features: DataFrame, class_vectors: DataFrame, vector: str = "embedding", scale: float = 10.0) -> DataFrame:
     """Each row of ``features`` with every class: ``score`` is the scaled cosine similarity.
 
-    Class vectors are few: they are counted, and broadcast only up to ``MOST_CLASSES``.
+    Class vectors are few: they are counted, and broadcast up to ``MOST_CLASSES``.  Beyond that they make blocks of as many, and each row is sent
+    once to each block.
     """
-    n = class_vectors.count()
+    parts = -(-class_vectors.count() // MOST_CLASSES)
     scaled = class_vectors.withColumn("__norm", norm(F.col("centroid")))
-    pairs = features.withColumn("__own", norm(F.col(vector))).crossJoin(F.broadcast(scaled) if n <= MOST_CLASSES else scaled)
+    rows = features.withColumn("__own", norm(F.col(vector)))
+    if parts <= 1:
+        pairs = rows.crossJoin(F.broadcast(scaled))
+    else:
+        # a block's rows are dealt to 64 parts, each of which holds a copy of the block's classes
+        deal = F.pmod(F.xxhash64(vector), F.lit(64)).alias("__deal")
+        scaled = scaled.withColumn("__block", F.pmod(F.xxhash64("class_id"), F.lit(parts))).withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")))
+        rows = rows.withColumn("__deal", deal).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+        pairs = rows.join(scaled, ["__block", "__deal"]).drop("__block", "__deal")
     return pairs.withColumn("score", scale * dot(F.col(vector), F.col("centroid")) / (F.col("__own") * F.col("__norm"))).drop("centroid", "__norm", "__own")
 
 
@@ -87,6 +96,7 @@ def accuracy(batches: DataFrame) -> DataFrame:
     return batches.agg((F.sum("correct") / F.greatest(F.sum("total"), F.lit(1))).alias("accuracy"), (F.sum("loss") / F.greatest(F.count("*"), F.lit(1))).alias("loss"))
 
 
+#: The defaults of the asymmetric loss.
 def asymmetric_loss(p: Column, y: Column, minus: float = 4.0, plus: float = 1.0, clip: float = 0.05, eps: float = 1e-8) -> Column:
     """Loss of a probability that focuses negatives by ``minus`` and positives by ``plus``, with shifted negatives."""
     q = F.least(1 - p + clip, F.lit(1.0))
@@ -108,6 +118,21 @@ def l2_norms(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("component").agg(F.sqrt(F.sum(squares)).alias("l2"))
 
 
+def optimizer_stats(leaves: DataFrame, by: str = "state") -> DataFrame:
+    """(state, l2, abs_mean, abs_max, counts) of leaves (state, component, values, count): floating-point ``values``, or a whole number alone.
+
+    ``counts``: the whole numbers in order of component.  A state without floating-point values has nulls; one without whole numbers an empty list.
+    """
+    x = F.transform("values", lambda v: F.abs(v.cast("double")))
+    own = leaves.select(by, "component", "count", F.size("values").alias("n"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v).alias("a"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v).alias("q"), F.array_max(x).alias("top"))
+    some = F.when(F.col("values_n") > 0, F.col("values_n"))
+    numbers = F.array_sort(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("component", "count"))))  # a state has a few scalars
+    rows = own.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("values_n"), F.sum("a").alias("a"), F.sum("q").alias("q"), F.max("top").alias("top"), numbers.alias("numbers"))
+    return rows.select(
+        by, F.when(some.isNotNull(), F.sqrt("q")).alias("l2"), (F.col("a") / some).alias("abs_mean"), F.when(some.isNotNull(), F.col("top")).alias("abs_max"), F.transform("numbers", lambda s: s["count"]).alias("counts")
+    )
+
+
 def sigreg(features: DataFrame, directions: DataFrame, knots: int = 17, reach: float = 3.0, vector: str = "embedding") -> DataFrame:
     """(projection, statistic): how far projected vectors are from a standard normal, by their characteristic function.
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
+from ..functions.augment import Step, apply_steps
 from ..sources.shards import read_shards
-from .sampling import INDEX_MULTIPLIER, _signed, crop_start, crop_start_of, mixed, unsigned_order, wrapping_arithmetic
+from .sampling import INDEX_MULTIPLIER, crop_start, crop_start_of, mixed, signed, unsigned_order, wrapping_arithmetic
 
 
 def with_crop_starts(rows: DataFrame, seed: int, spare: int) -> DataFrame:
@@ -28,7 +29,7 @@ def sent_rows(rows: DataFrame, seed: int, epoch: int, limit: int | None = None)
     ``limit``: only the first so many, whether they can be decoded or not.
     """
     with wrapping_arithmetic(rows.sparkSession):
-        out = rows.withColumn("turn", mixed(F.lit(seed + epoch).bitwiseXOR(F.col("shard") * F.lit(_signed(INDEX_MULTIPLIER)))))
+        out = rows.withColumn("turn", mixed(F.lit(seed + epoch).bitwiseXOR(F.col("shard") * F.lit(signed(INDEX_MULTIPLIER)))))
         out.schema  # resolved while arithmetic wraps
     out = out.orderBy(*unsigned_order(F.col("turn")), "index")
     return out if limit is None else out.limit(limit)
@@ -50,12 +51,13 @@ def check_indices(rows: DataFrame, indices: list[int], tries: int = 3) -> DataFr
     return tried.where(~F.col("d.ok")).select("index", "attempt", F.col("d.error").alias("error"))
 
 
-def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: int | None = None, n_mels: int = 128, epoch: int = 0, limit: int | None = None) -> DataFrame:
+def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: int | None = None, n_mels: int = 128, epoch: int = 0, limit: int | None = None, augmentations: list[Step] | None = None) -> DataFrame:
     """(index, label, ok, error, features) of (index, label, bytes): decoded, mixed, resampled, cropped, as 512 frames.
 
     A longer recording is cropped at the place that :func:`with_crop_starts` gives for ``seed`` + ``epoch``, or in the middle without a
     seed.  A recording that can't be decoded gets ``ok`` false and the error; a row that comes with an ``error`` (of its shard) keeps it.  ``limit``: only the first rows in the epoch's order
-    of shards (needs ``shard``), counted before they are decoded.
+    of shards (needs ``shard``), counted before they are decoded.  ``augmentations``: steps that standardised features go through, drawn anew for
+    each recording and epoch.
     """
     if limit is not None:
         rows = sent_rows(rows, seed or 0, epoch, limit)
@@ -66,7 +68,8 @@ def load_clips(rows: DataFrame, rate: int = 32000, seconds: float = 5.0, seed: i
         x = S.resample(x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), source, rate)
         spare = max(0, len(x) - n)
         start = spare // 2 if seed is None else crop_start_of(seed + epoch + index, index, spare)
-        return S.clip_features(x[start : start + n], rate, seconds, n_mels=n_mels)
+        features = S.clip_features(x[start : start + n], rate, seconds, n_mels=n_mels)
+        return apply_steps(features, augmentations, crop_start_of((seed or 0) + epoch + index, index, (1 << 62) - 1)) if augmentations else features
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -143,15 +143,16 @@ def wrapping_arithmetic(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
+    """``x``, below 2 ** 64, as a signed 64-bit number."""
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def mixed(z: Column) -> Column:
     """One step of the splitmix64 generator from state ``z``; build it within :func:`wrapping_arithmetic`."""
-    z = z + F.lit(_signed(0x9E3779B97F4A7C15))
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 30)) * F.lit(_signed(0xBF58476D1CE4E5B9))
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 27)) * F.lit(_signed(0x94D049BB133111EB))
+    z = z + F.lit(signed(0x9E3779B97F4A7C15))
+    z = z.bitwiseXOR(F.shiftrightunsigned(z, 30)) * F.lit(signed(0xBF58476D1CE4E5B9))
+    z = z.bitwiseXOR(F.shiftrightunsigned(z, 27)) * F.lit(signed(0x94D049BB133111EB))
     return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
 
 
@@ -183,4 +184,4 @@ def crop_start_of(seed: int, index: int, max_start: int) -> int:
 
 def crop_start(seed: Column, index: Column, max_start: Column) -> Column:
     """Start of a row's random crop, 0 to ``max_start``; build it within :func:`wrapping_arithmetic`."""
-    return unsigned_remainder(mixed(seed.bitwiseXOR(index * F.lit(_signed(INDEX_MULTIPLIER)))), max_start + 1)
+    return unsigned_remainder(mixed(seed.bitwiseXOR(index * F.lit(signed(INDEX_MULTIPLIER)))), max_start + 1)

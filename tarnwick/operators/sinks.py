@@ -137,10 +137,13 @@ def checkpoint_steps(spark: SparkSession, path: str) -> list[int]:
 def load_checkpoint(spark: SparkSession, path: str, config: dict | None = None, tolerance: float = 1e-6) -> DataFrame | None:
     """The state of the last saved step, with its ``step``.
 
-    With ``config`` it must be the one that was saved, and the state's counts and norms those of then.
+    With ``config`` it must be the one that was saved, and the state's counts and norms those of then; a step that was saved without one raises ValueError.
     """
     steps = checkpoint_steps(spark, path)
     if steps and config is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/checks-{steps[-1]}")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            raise ValueError(f"step {steps[-1]} was saved without a configuration")
         saved = spark.read.parquet(f"{path}/checks-{steps[-1]}")
         if {r["config"] for r in saved.select("config").distinct().collect()} - {json.dumps(config, sort_keys=True)}:
             raise ValueError("the checkpoint was saved under another configuration")

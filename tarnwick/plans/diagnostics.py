@@ -96,6 +96,16 @@ def expected_unique(spark, sf_dir):
     return sizes.select("step", F.round(D.expected_distinct(F.lit(float(SIZE)), WINDOW * F.col("b")), 6).alias("expected"))
 
 
+@query(f"""WITH {BATCHES}, s AS (SELECT step, count(*)::DOUBLE AS b, count(*) / 4096.0::DOUBLE AS l FROM batches GROUP BY step), r AS (SELECT DISTINCT b, l FROM s),
+p AS (SELECT b, k + 1 AS m, 1 - sum(exp(-l + k * ln(l) - lgamma(k + 1))) OVER (PARTITION BY b ORDER BY k) AS beyond FROM r, (SELECT unnest(range(60)) AS k)),
+o AS (SELECT b, sum(power(greatest(beyond, 0), 2)) AS least FROM p GROUP BY b)
+SELECT step, 1.0::DOUBLE AS chi2_normal, 0.0::DOUBLE AS acf, {SHARDS - 1}.0::DOUBLE AS chi2_shard, round({SIZE} * (1 - exp(-b / {SIZE})), 6) AS n_unique, round(b * b / {SIZE}, 6) AS overlap, round(4096 * least, 6) AS overlap_bucket,
+  round({SIZE} * (1 - exp(-{WINDOW} * b / {SIZE})), 6) AS sliding_unique, round({SIZE} * (1 - power(1 - 1 / {SIZE}.0::DOUBLE, {WINDOW} * b)), 6) AS sliding_exact FROM s JOIN o USING (b)""")
+def expected_metrics(spark, sf_dir):
+    rows = D.expected_metrics(batches(spark, sf_dir), SIZE, SHARDS, WINDOW)
+    return rows.select("step", *(F.round(c, 6).alias(c) for c in rows.columns if c != "step"))
+
+
 _ENTROPY = f"""WITH {BATCHES}, c AS (SELECT step, target, count(*) AS n FROM batches GROUP BY ALL),
 p AS (SELECT step, n / sum(n) OVER (PARTITION BY step) AS p, sum(n) OVER (PARTITION BY step) AS b FROM c)
 SELECT step, round(sum(-p * ln(p + 1e-10::DOUBLE)), 6) AS entropy,

@@ -105,6 +105,18 @@ def opt_stats(spark, sf_dir):
     return x.agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("l2"), F.round(F.avg(F.abs("x")), 6).alias("abs_mean"), F.round(F.max(F.abs("x")), 6).alias("abs_max"))
 
 
+@query(f"""WITH {LONG}, f AS (SELECT label % 4 AS state, sqrt(sum(x * x)) AS l2, avg(abs(x)) AS m, max(abs(x)) AS t FROM long WHERE label % 4 < 3 GROUP BY 1),
+c AS (SELECT r_regionkey % 5 AS state, list(r_regionkey * 7 ORDER BY r_regionkey) AS counts FROM (SELECT r_regionkey FROM region WHERE r_regionkey > 1 UNION ALL SELECT r_regionkey + 5 FROM region WHERE r_regionkey > 1) GROUP BY 1)
+SELECT CAST(state AS BIGINT) AS state, round(l2, 6) AS l2, round(m, 6) AS abs_mean, round(t, 6) AS abs_max, coalesce(counts, []) AS counts FROM f FULL JOIN c USING (state)""")
+def optimizer_stats(spark, sf_dir):
+    """States 0 to 2 hold vectors, 2 to 4 whole numbers."""
+    none = F.lit(None)
+    e = table(spark, sf_dir, "embeddings").where("label % 4 < 3").select((F.col("label") % 4).cast("bigint").alias("state"), F.col("vec_id").alias("component"), F.col("embedding").alias("values"), none.cast("bigint").alias("count"))
+    r = table(spark, sf_dir, "region").where("r_regionkey > 1").select(F.explode(F.array(F.col("r_regionkey").cast("bigint"), F.col("r_regionkey").cast("bigint") + 5)).alias("k"))
+    out = E.optimizer_stats(e.unionByName(r.select((F.col("k") % 5).alias("state"), F.col("k").alias("component"), none.cast("array<float>").alias("values"), (F.col("k") * 7).alias("count"))))
+    return out.select("state", *(F.round(c, 6).alias(c) for c in ("l2", "abs_mean", "abs_max")), "counts")
+
+
 _KNOTS = ", ".join(str(3.0 * k / 16) for k in range(17))
 
 
@@ -178,6 +190,16 @@ def probe_by_batches_cmap(spark, sf_dir):
     return E.mean_average_precision(E.average_precision(scored))
 
 
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1) % 16 AS i FROM embeddings), m AS (SELECT vec_id, i, avg(x) AS x FROM v GROUP BY ALL),
+o AS (SELECT vec_id, j, round(sum(x * cos(i * 8 + j)) + 0.0, 6) AS x FROM m, (SELECT unnest(range(8)) AS j) GROUP BY ALL) SELECT vec_id, list(x ORDER BY j) AS encoded FROM o GROUP BY vec_id""")
+def backbone_values(spark, sf_dir):
+    """An encoder with fixed weights, by name: patches of 16 values projected to 8 and averaged."""
+    if "waves" not in B.names():
+        B.register("waves", B.patch_projection(lambda checkpoint: np.cos(np.arange(16)[:, None] * 8 + np.arange(8))))
+    out = table(spark, sf_dir, "embeddings").select("vec_id", B.encoded("waves", "any", "embedding").alias("e"))
+    return out.select("vec_id", F.transform("e", lambda x: F.round(x + F.lit(0.0), 6)).alias("encoded"))
+
+
 @query("SELECT vec_id, 32 AS size FROM embeddings")
 def backbone_sizes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(B.encoded("patch_mean", "small", "embedding")).alias("size"))

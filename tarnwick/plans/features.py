@@ -174,6 +174,44 @@ def augment_solarize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", out.alias("v"))
 
 
+_PIXELS = "v AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))"
+_IMAGE = "list(round(x, 5) + 0.0 ORDER BY r, c) AS v"
+
+
+def _augmented(spark, sf_dir, *steps):
+    out = G.augmented(list(steps), 8, 8, "double")("embedding", F.lit(0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(out, lambda x: F.round(x, 5) + F.lit(0.0)).alias("v"))
+
+
+@query(f"""WITH {_PIXELS}, m AS (SELECT vec_id, avg(x * 1.3::DOUBLE) AS m FROM v GROUP BY vec_id), a AS (SELECT vec_id, r, c, (x * 1.3::DOUBLE - m) * 0.6::DOUBLE + m AS x FROM v JOIN m USING (vec_id))
+SELECT vec_id, {_IMAGE} FROM a GROUP BY vec_id""")
+def augment_adjusted(spark, sf_dir):
+    return _augmented(spark, sf_dir, lambda x, r: G.adjusted(x, 1.3, 0.6))
+
+
+@query(f"""WITH {_PIXELS}, k AS (SELECT d, exp(-0.5::DOUBLE * power(d / 0.7::DOUBLE, 2)) / sum(exp(-0.5::DOUBLE * power(d / 0.7::DOUBLE, 2))) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS d)),
+g AS (SELECT i, CASE WHEN i + d < 0 THEN -i - d - 1 WHEN i + d > 7 THEN 15 - i - d ELSE i + d END AS j, w FROM k, (SELECT unnest(range(8)) AS i)),
+a AS (SELECT vec_id, i AS r, c, sum(x * w) AS x FROM v JOIN g ON r = j GROUP BY ALL), b AS (SELECT vec_id, r, i AS c, sum(x * w) AS x FROM a JOIN g ON c = j GROUP BY ALL)
+SELECT vec_id, {_IMAGE} FROM b GROUP BY vec_id""")
+def augment_blurred(spark, sf_dir):
+    return _augmented(spark, sf_dir, G.blur(0.7, 0.7))
+
+
+@query(f"""WITH {_PIXELS}, g AS (SELECT i, n, i * (n - 1) / 7.0::DOUBLE AS y FROM (SELECT unnest(range(8)) AS i), (SELECT unnest([5, 4]) AS n)),
+w AS (SELECT n, i, j, CASE WHEN j = floor(y) THEN 1 - (y - floor(y)) ELSE y - floor(y) END AS w FROM g, (SELECT unnest(range(5)) AS j) WHERE j < n AND j IN (floor(y), floor(y) + 1)),
+a AS (SELECT vec_id, i AS r, c, sum(x * w) AS x FROM v JOIN w ON n = 5 AND r = j + 1 GROUP BY ALL), b AS (SELECT vec_id, r, i AS c, sum(x * w) AS x FROM a JOIN w ON n = 4 AND c = j + 2 GROUP BY ALL)
+SELECT vec_id, {_IMAGE} FROM b GROUP BY vec_id""")
+def augment_resized(spark, sf_dir):
+    return _augmented(spark, sf_dir, lambda x, r: G.resized(x, 1, 2, 5, 4))
+
+
+@query(f"""WITH {_PIXELS}, f AS (SELECT vec_id, r, 7 - c AS c, CASE WHEN x > 0.05::DOUBLE THEN 1 - x ELSE x END AS x FROM v), m AS (SELECT vec_id, avg(x * 0.5::DOUBLE) AS m FROM f GROUP BY vec_id),
+a AS (SELECT vec_id, r, c, (x * 0.5::DOUBLE - m) * 2 + m AS x FROM f JOIN m USING (vec_id))
+SELECT vec_id, {_IMAGE} FROM a GROUP BY vec_id""")
+def augment_in_turn(spark, sf_dir):
+    return _augmented(spark, sf_dir, G.flip(1.0), G.solarize(0.05, 1.0), lambda x, r: G.adjusted(x, 0.5, 2.0))
+
+
 def _mixing(seed: str, index: str, source: str) -> str:
     """SQL tables s0 to s3 of which the last has z, the 64-bit mixing of (seed xor index * multiplier), beside the columns of ``source``."""
     return f"""s0 AS (SELECT *, ({index})::UHUGEINT AS i, ({seed})::UHUGEINT AS seed FROM {source}),
