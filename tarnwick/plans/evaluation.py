@@ -106,7 +106,7 @@ def opt_stats(spark, sf_dir):
 
 
 @query(f"""WITH {LONG}, f AS (SELECT label % 4 AS state, sqrt(sum(x * x)) AS l2, avg(abs(x)) AS m, max(abs(x)) AS t FROM long WHERE label % 4 < 3 GROUP BY 1),
-c AS (SELECT r_regionkey % 5 AS state, list(r_regionkey * 7 ORDER BY r_regionkey) AS counts FROM (SELECT r_regionkey FROM region WHERE r_regionkey > 1 UNION ALL SELECT r_regionkey + 5 FROM region WHERE r_regionkey > 1) GROUP BY 1)
+c AS (SELECT r_regionkey % 5 AS state, list(CAST(r_regionkey AS BIGINT) * 7 ORDER BY r_regionkey) AS counts FROM (SELECT r_regionkey FROM region WHERE r_regionkey > 1 UNION ALL SELECT r_regionkey + 5 FROM region WHERE r_regionkey > 1) GROUP BY 1)
 SELECT CAST(state AS BIGINT) AS state, round(l2, 6) AS l2, round(m, 6) AS abs_mean, round(t, 6) AS abs_max, coalesce(counts, []) AS counts FROM f FULL JOIN c USING (state)""")
 def optimizer_stats(spark, sf_dir):
     """States 0 to 2 hold vectors, 2 to 4 whole numbers."""

@@ -262,7 +262,7 @@ def _permuted_once(source: str, seed: int, epoch: int) -> str:
     return f"SELECT id, n, a, b, l * b + r AS place FROM {sql}"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT n, a, CAST(-(-n // a) AS BIGINT) AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) + 1 AS BIGINT) AS a FROM (SELECT count(*) AS n FROM events))),
+@query(f"""WITH RECURSIVE s AS (SELECT n, a, CAST((n + a - 1) // a AS BIGINT) AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) + 1 AS BIGINT) AS a FROM (SELECT count(*) AS n FROM events))),
 e AS (SELECT event_id AS id, n, a, b, event_id AS place FROM events, s),
 w AS ({_permuted_once('e', 7, 2)} UNION ALL {_permuted_once('(SELECT * FROM w WHERE place >= n)', 7, 2)})
 SELECT id AS event_id, place // 64 AS batch_id, place % 64 AS slot FROM w WHERE place < n""")

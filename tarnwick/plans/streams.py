@@ -24,7 +24,7 @@ def event_stream(spark, sf_dir):
 CAPACITY, LEAST = 64, 32
 
 
-@query(f"""WITH l AS (SELECT event_id, event_id % (SELECT greatest(1, -(-count(*) // 25000)) FROM events) AS lane FROM events)
+@query(f"""WITH l AS (SELECT event_id, event_id % (SELECT greatest(1, (count(*) + 24999) // 25000) FROM events) AS lane FROM events)
 SELECT event_id AS id, CAST(lane AS BIGINT) AS lane, true AS bounded, true AS after_least, CAST(count(*) OVER (PARTITION BY lane) AS BIGINT) AS given FROM l""")
 def stream_shuffle(spark, sf_dir):
     """Every row once, with its lane and how many different turns the lane had.
