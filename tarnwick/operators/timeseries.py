@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,12 +62,13 @@ def anomalies(history: DataFrame, gap: int, jump: float, value: str = "loss") ->
     return rows.where((F.col("step_gap") > gap) | (F.abs("change") > jump)).select("run", "step", "step_gap", "change")
 
 
-def _smoothed(values: np.ndarray, alpha: float) -> np.ndarray:
-    out, last = [], 0.0
-    for v in values.tolist():
-        last = alpha * v + (1 - alpha) * last
+def _smoothed(values: np.ndarray, first: np.ndarray, alpha: float, last: float) -> np.ndarray:
+    """The recurrence from ``last`` on, from 0 on anew where ``first`` is true."""
+    out = []
+    for v, new in zip(values.tolist(), first.tolist(), strict=True):
+        last = alpha * v + (1 - alpha) * (0.0 if new else last)
         out.append(last)
-    return np.array(out)
+    return np.array(out, float)
 
 
 def _schema(rows: DataFrame, more: str, drop: tuple[str, ...] = ()) -> str:
@@ -79,12 +83,16 @@ def ema(history: DataFrame, alpha: float, keys: tuple[str, ...] = ("run",), orde
     """
     rows = ordered.blocks(history, order, keys, block)
 
-    def own(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ordered.AT, ignore_index=True)
-        return part.assign(__own=_smoothed(part[value].to_numpy(float), alpha))
+    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0.0
+        for part in parts:
+            if len(part):
+                out = _smoothed(part[value].to_numpy(float), part[ordered.AT].to_numpy() % block == 0, alpha, last)
+                last = float(out[-1])
+                yield part.assign(__own=out)
 
-    smoothed = rows.groupBy(*keys, ordered.BLOCK).applyInPandas(own, _schema(rows, "__own double"))
-    smoothed = written(smoothed, "smoothed")
+    dealt = rows.repartition(*keys, ordered.BLOCK).sortWithinPartitions(*keys, ordered.BLOCK, ordered.AT)
+    smoothed = written(dealt.mapInPandas(own, _schema(rows, "__own double")), "smoothed")
     ends = smoothed.groupBy(*keys, ordered.BLOCK).agg(
         F.max_by("__own", ordered.AT).alias("end"), F.count("*").alias("size"), F.min_by(value, ordered.AT).cast("double").alias("first")
     )
@@ -103,18 +111,40 @@ def ema(history: DataFrame, alpha: float, keys: tuple[str, ...] = ("run",), orde
     return both.withColumn("ema", F.col("__own") + power * F.col("carry")).drop(ordered.AT, ordered.BLOCK, ordered.HOME, "__own", "carry")
 
 
+class _Frames(BaseIndexer):
+    """Frames from ``starts`` up to and with each row."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.starts.astype(np.int64), np.arange(1, num_values + 1)
+
+
 def _rolled(history: DataFrame, width: int, keys: tuple[str, ...], order: tuple[str, ...], value: str, block: int, columns: dict) -> DataFrame:
     """``history`` plus ``columns``, functions of a frame of the last ``width`` values: each block of a run also gets the rows before it that its frames reach."""
-    rows = ordered.blocks(history, order, keys, max(block, width), width - 1)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ordered.AT, ignore_index=True)
-        frames = part[value].astype(float).rolling(width, min_periods=1)
-        part = part.assign(**{name: f(frames) for name, f in columns.items()})
-        return part[part[ordered.HOME] == part[ordered.BLOCK]].drop(columns=[ordered.AT, ordered.HOME, ordered.BLOCK])
+    size = max(block, width)
+    rows = ordered.blocks(history, order, keys, size, width - 1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(0)  # the values that the next frames reach, and how many rows of their block they begin with
+        into = 0
+        for part in parts:
+            if not len(part):
+                continue
+            at, of = part[ordered.AT].to_numpy(), part[ordered.BLOCK].to_numpy()
+            new = at == np.maximum(of * size - (width - 1), 0)  # a block's first row
+            place = np.arange(len(part))
+            begin = np.maximum.accumulate(np.where(new, place, -into))  # where a row's block begins, before this part as a negative place
+            start = np.maximum(begin, place - width + 1) + len(held)
+            frames = pd.Series(np.concatenate([held, part[value].to_numpy(float)])).rolling(_Frames(starts=np.concatenate([np.zeros(len(held), np.int64), start])), min_periods=1)
+            found = {name: f(frames).to_numpy()[len(held) :] for name, f in columns.items()}
+            into = int(place[-1] + 1 - begin[-1])
+            keep = min(into, width - 1)
+            held = np.concatenate([held, part[value].to_numpy(float)])[-keep:] if keep else np.zeros(0)
+            into = keep
+            yield part.assign(**found)[(part[ordered.HOME] == of).to_numpy()].drop(columns=[ordered.AT, ordered.HOME, ordered.BLOCK])
 
     drop = (ordered.AT, ordered.HOME, ordered.BLOCK)
-    out = rows.groupBy(*keys, ordered.BLOCK).applyInPandas(run, _schema(rows, ", ".join(f"{c} double" for c in columns), drop))
+    dealt = rows.repartition(*keys, ordered.BLOCK).sortWithinPartitions(*keys, ordered.BLOCK, ordered.AT)
+    out = dealt.mapInPandas(run, _schema(rows, ", ".join(f"{c} double" for c in columns), drop))
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in columns})
 
 
