@@ -140,7 +140,7 @@ def clip_features(x: np.ndarray, rate: int = 32000, seconds: float = 5.0, center
     """Standardised log-mel features [512, n_mels] of a clip of fixed length; missing frames get the least value."""
     n = int(rate * seconds)
     x = np.pad(x[:n].astype(np.float32), (0, max(0, n - len(x))))
-    m = log_mel(x - x.mean() if center else x, rate, **options)[:FEATURE_FRAMES]
+    m = log_mel(x - x.mean(dtype=np.float64) if center else x, rate, **options)[:FEATURE_FRAMES]
     m = np.pad(m, ((0, FEATURE_FRAMES - len(m)), (0, 0)), constant_values=m.min(initial=0.0))
     return (m - FEATURE_MEAN) / FEATURE_SPAN
 
@@ -267,6 +267,20 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int, int]:
     raise ValueError("no samples")
 
 
+def encode_wav(x: np.ndarray, rate: int, channels: int = 1, width: int = 2, floating: bool = False) -> bytes:
+    """A WAV file of interleaved samples between -1 and 1, that :func:`decode_wav` reads: PCM of 1, 2 or 4 bytes rounded down, or floating-point."""
+    x = np.asarray(x, np.float64)
+    if floating:
+        body = x.astype(f"<f{width}").tobytes()
+    else:
+        full = 1 << (8 * width - 1)
+        whole = np.clip(np.floor(x * full), -full, full - 1).astype(np.int64)
+        body = (whole + 128).astype(np.uint8).tobytes() if width == 1 else whole.astype(f"<i{width}").tobytes()
+    form = struct.pack("<HHIIHH", 3 if floating else 1, channels, rate, rate * channels * width, channels * width, 8 * width)
+    parts = b"".join(name + struct.pack("<I", len(part)) + part + b"\0" * (len(part) % 2) for name, part in ((b"fmt ", form), (b"data", body)))
+    return b"RIFF" + struct.pack("<I", 4 + len(parts)) + b"WAVE" + parts
+
+
 DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray, int, int]]] = {"RIFF": decode_wav, "fLaC": decode_flac}
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .shard_sink import ShardWriter
+
 SCHEMA = StructType([
     StructField("shard", LongType()), StructField("position", LongType()), StructField("index", LongType()), StructField("subset", StringType()), StructField("split", StringType()), StructField("path", StringType()),
     StructField("audio", StructType([StructField("bytes", BinaryType()), StructField("path", StringType())])), StructField("label", LongType()), StructField("error", StringType()),
@@ -228,7 +230,7 @@ class ShardStreamReader(_Options, ds.DataSourceStreamReader):
 
 
 class ShardSource(ds.DataSource):
-    """``spark.read`` or ``spark.readStream`` with ``.format("shards").option("path", uri)``; options as in :class:`_Options`."""
+    """``spark.read``, ``spark.readStream`` or ``df.write`` with ``.format("shards").option("path", uri)``; options as in :class:`_Options` and :class:`ShardWriter`."""
 
     @classmethod
     def name(cls) -> str:
@@ -243,6 +245,9 @@ class ShardSource(ds.DataSource):
     def streamReader(self, schema: StructType) -> ds.DataSourceStreamReader:
         return ShardStreamReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> ds.DataSourceArrowWriter:
+        return ShardWriter(self.options, schema, overwrite)
+
 
 def split_sizes(rows: DataFrame, split: str, label: str) -> DataFrame:
     """(split, n, n_classes): rows and different labels of each split, null labels counting as rows only."""
