@@ -254,6 +254,24 @@ def mean_pool(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.mean_pool(tokens, 8), lambda x: F.round(x, 6)).alias("pooled"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 255) AS BIGINT) % 256) AS c FROM embeddings)
+SELECT vec_id, list_transform(range(21), lambda i: round(((0.299::DOUBLE * c[3 * i + 1] + 0.587::DOUBLE * c[3 * i + 2] + 0.114::DOUBLE * c[3 * i + 3]) / 255 - 0.4914::DOUBLE) / 0.2470::DOUBLE, 6)) AS grey FROM e""")
+def gray_values(spark, sf_dir):
+    colours = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255) % 256)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.gray(colours), lambda x: F.round(x, 6)).alias("grey"))
+
+
+@query("""WITH v AS (SELECT vec_id, (i - 1) // 8 AS p, (i - 1) % 8 AS j, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+a AS (SELECT vec_id, 7 - p AS p, j, x, avg(x) OVER w AS m, var_pop(x) OVER w AS s FROM v WINDOW w AS (PARTITION BY vec_id, p)),
+e AS (SELECT vec_id, p, avg(power(v.x - (a.x - m) / sqrt(s + 1e-6::DOUBLE), 2)) AS x FROM v JOIN a USING (vec_id, p, j) GROUP BY ALL)
+SELECT vec_id, round(sum(CASE WHEN (vec_id + p) % 3 = 0 THEN x END) / count(CASE WHEN (vec_id + p) % 3 = 0 THEN 1 END), 6) AS error FROM e GROUP BY vec_id""")
+def masked_patch_error(spark, sf_dir):
+    """Mean squared error of masked patches, predicted by the vector's own ones in reverse."""
+    patches = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * 8 + 1, 8), lambda x: x.cast("double")))
+    masked = F.array(*((F.col("vec_id") + k) % 3 == 0 for k in range(8)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(A.masked_error(patches, F.reverse(patches), masked), 6).alias("error"))
+
+
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS s FROM v GROUP BY vec_id)
 SELECT vec_id, list(round((x - m) / sqrt(s + 1e-6::DOUBLE), 5) ORDER BY i) AS normal FROM v JOIN m USING (vec_id) GROUP BY vec_id""")
