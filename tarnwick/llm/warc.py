@@ -5,8 +5,8 @@ equal payloads the one with the smallest id is a response; the others are revisi
 and hold no body, only its length in their response head.  A record longer than ``segment_bytes`` is cut into a first record and
 continuation records with the same origin id; the last states the total length.
 
-Reading: archives are inflated piece by piece and parsed by the length that each record states.  Whole records are decoded where
-they are read; only segments are shuffled: they are grouped by origin id and ordered by segment number, the total length is verified, and the
+Reading: archives are inflated piece by piece, once, and parsed by the length that each record states.  Whole records are decoded where
+they are read; records are written to one table, of which only segments are shuffled: they are grouped by origin id and ordered by segment number, the total length is verified, and the
 chunked framing is decoded.  Every payload is checked against its digest.
 
 Cases: null html is an empty payload; a null id counts as larger than any other.  Rows that repeat
@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
 
 
 _WHOLE = "id string, kind string, digest string, refers_to string, payload_bytes bigint, payload binary"
-_SEGMENT = "id string, kind string, digest string, refers_to string, origin string, number int, total bigint, block binary"
+_RECORD = "id string, kind string, digest string, refers_to string, origin string, number int, total bigint, payload_bytes bigint, body binary"
 
 
 def inflated(data: bytes) -> Iterator[bytes]:
@@ -151,37 +151,34 @@ def inflated(data: bytes) -> Iterator[bytes]:
             yield piece
 
 
-def _read(spark: SparkSession, path: str, schema: str, segmented: bool) -> DataFrame:
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, digest, refers_to, origin, number, total, payload_bytes, body) of the records under ``path``, each archive inflated and parsed once.
+
+    ``body`` is the payload of a whole record, its framing decoded, and the block of a segment, which has a ``number``; the rows are written once, as
+    whole records and segments go different ways.
+    """
+    names, kinds = zip(*(x.split() for x in _RECORD.split(", ")), strict=True)
     types = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[k] for k in kinds]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch["content"]:
                 out, size = [], 0
-                for record_id, kind, digest, refers_to, origin, number, total, block in _parse(inflated(value.as_buffer().to_pybytes())):
-                    if (number is not None) != segmented:
-                        continue
-                    out.append((record_id, kind, digest, refers_to, *((origin, number, total, block) if segmented else _decoded(kind, block))))
+                for record_id, digest, refers_to, origin, kind, number, total, block in _parse(inflated(value.as_buffer().to_pybytes())):
+                    body = (None, block) if number is not None else _decoded(kind, block)
+                    out.append((record_id, kind, digest, refers_to, origin, number, total, *body))
                     size += len(block)
                     if len(out) == 1024 or size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                        yield batch_of(out)
                         out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    yield batch_of(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, schema)
-
-
-def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """(id, kind, digest, refers_to, payload_bytes, payload) of the records under ``path`` that aren't segmented, with their framing decoded."""
-    return _read(spark, path, _WHOLE, False)
-
-
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(id, kind, digest, refers_to, origin, number, total, block) of first records and their continuations."""
-    return _read(spark, path, _SEGMENT, True)
+    return materialise(files.select("content").mapInArrow(run, _RECORD), "records")
 
 
 def _parse(chunks: Iterable[bytes]) -> Iterator[tuple]:
@@ -202,8 +199,8 @@ def _parse(chunks: Iterable[bytes]) -> Iterator[tuple]:
             at, block = end + 4, held[head + 4 : end]
             number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
             yield (
-                f["warc-record-id"].strip("<>"), f["warc-type"], f.get("warc-payload-digest", "").removeprefix("sha1:") or None, (f.get("warc-refers-to") or "").strip("<>") or None,
-                (f.get("warc-segment-origin-id") or (number and f["warc-record-id"]) or "").strip("<>") or None, number and int(number), total and int(total), block,
+                f["warc-record-id"].strip("<>"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, (f.get("warc-refers-to") or "").strip("<>") or None,
+                (f.get("warc-segment-origin-id") or (number and f["warc-record-id"]) or "").strip("<>") or None, f["warc-type"], number and int(number), total and int(total), block,
             )
         held = held[at:]
     if held:
@@ -211,8 +208,8 @@ def _parse(chunks: Iterable[bytes]) -> Iterator[tuple]:
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
-    """(id, kind, digest, refers_to, payload_bytes, payload): segments joined in their order, and the framing decoded."""
-    part = F.struct("number", "total", "block")
+    """(id, kind, digest, refers_to, payload_bytes, payload): segments of :func:`read_records` joined in their order, and the framing decoded."""
+    part = F.struct("number", "total", F.col("body").alias("block"))
     columns = ["id", "kind", "digest", "refers_to"]
     first = F.col("number") == 1
     joined = segments.groupBy("origin").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in columns), F.sort_array(F.collect_list(part)).alias("parts"))
@@ -251,7 +248,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has no payload of its own; its head states the length.
     """
-    found = read_whole(spark, path).unionByName(reassemble(read_segments(spark, path)))
+    records = read_records(spark, path)
+    whole = records.where("number is null").select("id", "kind", "digest", "refers_to", "payload_bytes", F.col("body").alias("payload"))
+    found = whole.unionByName(reassemble(records.where("number is not null")))
     page_id = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) as bigint)")
     right = F.col("payload").isNull() | (base32_sha1(F.col("payload")) == F.col("digest"))
     digest = F.when(right, F.col("digest")).otherwise(F.raise_error(F.lit("a payload does not match its digest")))
