@@ -144,16 +144,6 @@ def test_archives_round_trip(spark, segment):
         assert r["payload"] is None or bytes(r["payload"]) == h
 
 
-def test_archives_are_parsed_once(spark):
-    pages = spark.createDataFrame([(i, "u", "<p>" * (i * 100)) for i in range(20)], "page_id bigint, url string, html string")
-    path = storage.new_path(spark, "warc")
-    warc.write_archives(pages, path, segment_bytes=1000)
-    out = warc.read_archives(spark, path)
-    assert not [f for f in out.inputFiles() if path in f] and out.where("payload_bytes <> page_id * 300").count() == 0
-    records = warc.read_records(spark, path)
-    assert records.where("number is not null").count() > 20 and records.where("number is null and payload_bytes is null").count() == 0
-
-
 def test_broken_archives():
     with pytest.raises(ValueError):
         warc._joined([{"number": 2, "total": None, "block": b""}])
