@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -93,35 +94,50 @@ def istft(spectra: np.ndarray, n_fft: int, hop: int, window: int, length: int) -
     return np.pad(out, (0, length - len(out)))
 
 
+@dataclass(frozen=True)
+class PatchGrid:
+    """A clip of ``samples`` at ``rate``, its transform, and its grid of patches: ``times`` of ``frames`` frames each, by ``bands`` from ``low`` to half the rate."""
+
+    samples: int = FILTER_SAMPLES
+    rate: int = FILTER_RATE
+    n_fft: int = FILTER_FFT
+    hop: int = FILTER_HOP
+    window: int = FILTER_WINDOW
+    low: float = FILTER_LOW
+    times: int = FILTER_TIMES
+    bands: int = FILTER_BANDS
+    frames: int = FILTER_FRAMES
+
+
 def mel_band_edges(bands: int = FILTER_BANDS, low: float = FILTER_LOW, high: float = FILTER_RATE / 2) -> np.ndarray:
     """The frequencies that cut ``low`` to ``high`` in bands equally wide on the decimal mel scale."""
     mel = np.linspace(2595 * np.log10(1 + low / 700), 2595 * np.log10(1 + high / 700), bands + 1)
     return 700 * (10 ** (mel / 2595) - 1)
 
 
-def patch_mask(active: np.ndarray, frames: int) -> np.ndarray:
-    """Which bins of which frames [frames, bins] lie in an active patch: patch i is at time i div 8, band i mod 8; frames past the last time are in none."""
-    grid = np.asarray(active, bool).reshape(FILTER_TIMES, FILTER_BANDS)
-    hz, edges = np.linspace(0, FILTER_RATE / 2, FILTER_FFT // 2 + 1), mel_band_edges()
+def patch_mask(active: np.ndarray, frames: int, form: PatchGrid = PatchGrid()) -> np.ndarray:
+    """Which bins of which frames [frames, bins] lie in an active patch: patch i is at time i div bands, band i mod bands; frames past the last time are in none."""
+    grid = np.asarray(active, bool).reshape(form.times, form.bands)
+    hz, edges = np.linspace(0, form.rate / 2, form.n_fft // 2 + 1), mel_band_edges(form.bands, form.low, form.rate / 2)
     band = np.searchsorted(edges, hz, side="right") - 1  # a band has its lower edge, not its upper one
-    time = np.arange(frames) // FILTER_FRAMES
-    inside = (time < FILTER_TIMES)[:, None] & ((band >= 0) & (band < FILTER_BANDS))
-    return grid[np.minimum(time, FILTER_TIMES - 1)][:, np.clip(band, 0, FILTER_BANDS - 1)] & inside
+    time = np.arange(frames) // form.frames
+    inside = (time < form.times)[:, None] & ((band >= 0) & (band < form.bands))
+    return grid[np.minimum(time, form.times - 1)][:, np.clip(band, 0, form.bands - 1)] & inside
 
 
-def filter_audio(x: np.ndarray, active: np.ndarray, spectrum: bool = True) -> np.ndarray:
-    """The times of ``x`` with an active patch of 256, one after the other; with ``spectrum`` only the mel bands of active patches are left in them.
+def filter_audio(x: np.ndarray, active: np.ndarray, spectrum: bool = True, form: PatchGrid = PatchGrid()) -> np.ndarray:
+    """The times of ``x`` with an active patch, one after the other; with ``spectrum`` only the mel bands of active patches are left in them.
 
-    ``x``, at 32 kHz, is filled up with zeros or cut to five seconds first.
+    ``x``, at the rate of ``form`` (32 kHz), is filled up with zeros or cut to its samples (five seconds) first.
     """
-    if len(active) != FILTER_TIMES * FILTER_BANDS:
-        raise ValueError(f"{FILTER_TIMES * FILTER_BANDS} patches are needed")
-    x = np.pad(np.asarray(x, np.float64)[:FILTER_SAMPLES], (0, max(0, FILTER_SAMPLES - len(x))))
+    if len(active) != form.times * form.bands:
+        raise ValueError(f"{form.times * form.bands} patches are needed")
+    x = np.pad(np.asarray(x, np.float64)[: form.samples], (0, max(0, form.samples - len(x))))
     if spectrum:
-        s = stft(x, FILTER_FFT, FILTER_HOP, FILTER_WINDOW)
-        x = istft(s * patch_mask(active, len(s)), FILTER_FFT, FILTER_HOP, FILTER_WINDOW, len(x))
-    step = FILTER_FRAMES * FILTER_HOP
-    times = np.flatnonzero(np.asarray(active, bool).reshape(FILTER_TIMES, FILTER_BANDS).any(axis=1))
+        s = stft(x, form.n_fft, form.hop, form.window)
+        x = istft(s * patch_mask(active, len(s), form), form.n_fft, form.hop, form.window, len(x))
+    step = form.frames * form.hop
+    times = np.flatnonzero(np.asarray(active, bool).reshape(form.times, form.bands).any(axis=1))
     return np.concatenate([np.zeros(0), *(x[t * step : (t + 1) * step] for t in times)]).astype(np.float32)
 
 

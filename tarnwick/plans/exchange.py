@@ -160,6 +160,27 @@ def clip_values(spark, sf_dir):
     return x.select("vec_id", F.size("f").alias("n"), F.transform(F.slice("f", 1, 36), digits).alias("head"), digits(F.element_at("f", -1)).alias("filled"), ((F.array_min(rest) == F.array_max(rest)) & (F.array_max(rest) == F.array_min("f"))).alias("all_filled"))
 
 
+_GRID = S.PatchGrid(samples=64, rate=1000, n_fft=16, hop=4, window=12, times=4, bands=4, frames=4)
+_ANGLE = "2 * pi() * k * n / 16"
+
+
+@query(f"""WITH {_SAMPLES}, h AS (SELECT n, CASE WHEN n BETWEEN 2 AND 13 THEN 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n - 2) / 12) ELSE 0 END AS w FROM (SELECT unnest(range(16)) AS n)), t AS (SELECT unnest(range(17)) AS t),
+g AS (SELECT t, n, w, CASE WHEN q < 0 THEN -q WHEN q > 63 THEN 126 - q ELSE q END AS i FROM (SELECT *, 4 * t + n - 8 AS q FROM h, t)),
+s AS (SELECT vec_id, t, k, sum(x * w * cos({_ANGLE})) AS re, -sum(x * w * sin({_ANGLE})) AS im FROM v JOIN g USING (i), (SELECT unnest(range(9)) AS k) GROUP BY ALL),
+c AS (SELECT 2595 * log10(1 + 20.0::DOUBLE / 700) AS low, 2595 * log10(1 + 500.0::DOUBLE / 700) AS high), e AS (SELECT j, 700 * (power(10.0::DOUBLE, (low + (high - low) * j / 4) / 2595) - 1) AS hz FROM c, (SELECT unnest(range(5)) AS j)),
+b AS (SELECT k, max(j) AS band FROM (SELECT unnest(range(9)) AS k), e WHERE hz <= k * 62.5::DOUBLE GROUP BY k HAVING max(j) < 4),
+m AS (SELECT vec_id, t, k, re, im FROM s JOIN b USING (k) WHERE t < 16 AND (vec_id + t // 4 * 4 + band) % 7 = 0),
+y AS (SELECT vec_id, t, n, sum(CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END * (re * cos({_ANGLE}) - im * sin({_ANGLE}))) / 16 * any_value(w) AS y FROM m, h GROUP BY ALL),
+o AS (SELECT vec_id, 4 * t + n - 8 AS i, sum(y) AS y FROM y GROUP BY ALL), d AS (SELECT 4 * t + n - 8 AS i, sum(w * w) AS d FROM h, t GROUP BY ALL),
+p AS (SELECT vec_id, i, coalesce(y, 0) / d AS x FROM v JOIN d USING (i) LEFT JOIN o USING (vec_id, i) WHERE (vec_id + i // 16 * 4) % 7 IN (0, 4, 5, 6))
+SELECT vec_id, list(round(CAST(x AS FLOAT)::DOUBLE, 5) + 0.0 ORDER BY i) AS kept FROM p GROUP BY vec_id""")
+def filtered_bands(spark, sf_dir):
+    """Times and mel bands of a vector's active patches: against direct Fourier sums, forward and back."""
+    active = F.array(*((F.col("vec_id") + p) % 7 == 0 for p in range(16)))
+    kept = S.array_udf(lambda x, on: S.filter_audio(x, on, True, _GRID))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(kept("embedding", active), lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("kept"))
+
+
 # -- logs, histories, summaries ------------------------------------------------------------------
 
 
