@@ -152,6 +152,23 @@ def block_mask_count(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", count("vec_id").alias("masked"))
 
 
+@query("""WITH m AS (SELECT vec_id, CAST(floor(64 * (vec_id % 10) / 10.0) AS INT) AS masked FROM embeddings)
+SELECT vec_id, masked, masked // 4 AS whole_blocks, CAST(masked % 4 AS INT) AS single, true AS again FROM m""")
+def block_mask_blocks(spark, sf_dir):
+    """Masked patches lie in as many whole blocks as fit, the rest alone; the same seed masks the same ones."""
+
+    @F.pandas_udf("masked int, whole_blocks int, single int, again boolean")
+    def counts(ids: pd.Series) -> pd.DataFrame:
+        out = []
+        for i in ids:
+            mask = S.block_mask(8, 8, 2, (i % 10) / 10, i)
+            blocks = mask.reshape(4, 2, 4, 2).sum(axis=(1, 3))
+            out.append((mask.sum(), (blocks == 4).sum(), blocks[blocks < 4].sum(), (mask == S.block_mask(8, 8, 2, (i % 10) / 10, i)).all()))
+        return pd.DataFrame(out, columns=["masked", "whole_blocks", "single", "again"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", counts("vec_id").alias("m")).select("vec_id", "m.*")
+
+
 _AUGMENTS = {
     "crop": G.random_crop(1), "flip": G.flip(), "noise": G.noise(), "freq_mask": G.freq_mask(3), "time_mask": G.time_mask(3), "resized_crop": G.resized_crop(),
     "jitter": G.jitter(), "blur": G.blur(), "solarize": G.solarize(p=1.0),
