@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double to ``digits`` decimals as SQL engines do it that scale, round and scale back: halves away from zero, and what becomes zero keeps its sign."""
+    x = F.col(x) if isinstance(x, str) else x
+    near = F.round(x * 10.0**digits, 0) / 10.0**digits
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def zeros(like: Column, n: Column) -> Column:
     """``n`` zeros (none if negative), to stand beside ``like``."""
     return F.array_repeat(F.lit(0.0).cast("float"), F.greatest(n, F.lit(0)).cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rounded
 from ..operators import diagnostics as D
 from .registry import ORACLE_SQL, query, table
 
@@ -58,7 +59,7 @@ for _method in ("mod", "div", "hash", "shard"):
         SELECT step, CASE WHEN k = 0 OR sqrt(greatest(xx - mx * mx, 0) * greatest(yy - my * my, 0)) * {_m} < 1e-10 THEN 1.0::DOUBLE
           ELSE round((xy - mx * my) / sqrt(greatest(xx - mx * mx, 0) * greatest(yy - my * my, 0)), 6) END AS acf FROM s""",
         f"acf_{_method}",
-    )(lambda spark, sf_dir, m=_method: D.lag1_correlation(D.histogram(batches(spark, sf_dir), _key(m)), _n(m)).withColumn("acf", F.round("acf", 6)))
+    )(lambda spark, sf_dir, m=_method: D.lag1_correlation(D.histogram(batches(spark, sf_dir), _key(m)), _n(m)).withColumn("acf", rounded("acf", 6)))
 
 
 @query(f"WITH {BATCHES} SELECT step, count(DISTINCT index) AS n_unique FROM batches GROUP BY step")
@@ -139,4 +140,4 @@ _ALL = " JOIN ".join(f"(SELECT step, {', '.join(f'{c} AS {n}' for c, n in _NAMES
 def batch_metrics_all(spark, sf_dir):
     rows = D.batch_metrics(batches(spark, sf_dir), N, SIZE, SHARDS, WINDOW)
     exact = ("step", "n_unique", "overlap", "overlap_bucket", "sliding_unique")
-    return rows.select(*(c if c in exact else F.round(c, 6).alias(c) for c in rows.columns))
+    return rows.select(*(c if c in exact else rounded(c, 6).alias(c) for c in rows.columns))

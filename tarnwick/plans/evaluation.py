@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rounded
 from ..operators import backbones as B
 from ..operators import evaluation as E
 from ..operators import probes as P
@@ -27,13 +28,13 @@ ap AS (SELECT class_id, sum(tp * ctp / cn) / sum(tp) AS ap, CAST(sum(tp) AS BIGI
 def scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     means = E.centroids(e.where("vec_id % 2 = 0"), DIM)
-    return E.class_scores(e.where("vec_id % 2 = 1"), means).withColumn("score", F.round("score", 9)).withColumn("truth", F.col("label") == F.col("class_id"))
+    return E.class_scores(e.where("vec_id % 2 = 1"), means).withColumn("score", rounded("score", 9)).withColumn("truth", F.col("label") == F.col("class_id"))
 
 
 @query(f"WITH {LONG} SELECT label AS class_id, i - 1 AS dim, round(avg(x), 6) AS m FROM long WHERE vec_id % 2 = 0 GROUP BY ALL")
 def class_centroids(spark, sf_dir):
     means = E.centroids(table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0"), DIM)
-    return means.select("class_id", F.posexplode("centroid").alias("dim", "m")).select("class_id", F.col("dim").cast("bigint").alias("dim"), F.round("m", 6).alias("m"))
+    return means.select("class_id", F.posexplode("centroid").alias("dim", "m")).select("class_id", F.col("dim").cast("bigint").alias("dim"), rounded("m", 6).alias("m"))
 
 
 @query(AP + " SELECT class_id, round(ap, 6) AS ap, n_positive FROM ap")
@@ -167,7 +168,7 @@ def linear_probe_scores(spark, sf_dir):
     i, c = np.arange(DIM), np.arange(CLASSES)
     w = {"scale": 1 + i / 128, "shift": i / 640, "w": np.sin(c[:, None] * 64 + i) / 8, "b": c / 10}
     out = P.scores(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), w)
-    return out.select("vec_id", "class_id", F.round("score", 6).alias("score"))
+    return out.select("vec_id", "class_id", rounded("score", 6).alias("score"))
 
 
 @query(f"""WITH {_NORMAL}, h AS (SELECT vec_id, k, sum(x * cos(k * 64 + i) / 8) + k / 64.0::DOUBLE AS z FROM x, (SELECT unnest(range(8)) AS k) GROUP BY vec_id, k),
@@ -178,7 +179,7 @@ def mlp_probe_scores(spark, sf_dir):
     i, c, k = np.arange(DIM), np.arange(CLASSES), np.arange(8)
     w = {"scale": 1 + i / 128, "shift": i / 640, "w1": np.cos(k[:, None] * 64 + i) / 8, "b1": k / 64, "w": np.sin(c[:, None] * 8 + k), "b": c / 10}
     out = P.scores(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), w)
-    return out.select("vec_id", "class_id", F.round("score", 6).alias("score"))
+    return out.select("vec_id", "class_id", rounded("score", 6).alias("score"))
 
 
 @query()
@@ -197,7 +198,7 @@ def backbone_values(spark, sf_dir):
     if "waves" not in B.names():
         B.register("waves", B.patch_projection(lambda checkpoint: np.cos(np.arange(16)[:, None] * 8 + np.arange(8))))
     out = table(spark, sf_dir, "embeddings").select("vec_id", B.encoded("waves", "any", "embedding").alias("e"))
-    return out.select("vec_id", F.transform("e", lambda x: F.round(x + F.lit(0.0), 6)).alias("encoded"))
+    return out.select("vec_id", F.transform("e", lambda x: rounded(x + F.lit(0.0), 6)).alias("encoded"))
 
 
 @query("SELECT vec_id, 32 AS size FROM embeddings")

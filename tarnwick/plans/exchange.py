@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import signal as S
+from ..functions.arrays import rounded
 from ..operators import loader, relational, sampling, sinks
 from ..scratch import folder
 from ..sources import logs, shards
@@ -143,7 +144,7 @@ def log_mel_values(spark, sf_dir):
     """Log-mel energies by frame, with the frame's energy before them, and by band: against a direct Fourier sum."""
     by_frame = S.array_udf(lambda x: S.log_mel(x, 1000, energy=True, **_SHORT))
     by_band = S.array_udf(lambda x: S.mel_by_frame(x, 1000, **_SHORT))
-    digits = lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 4))
+    digits = lambda c: F.transform(c, lambda x: rounded(x.cast("double"), 4))
     return table(spark, sf_dir, "embeddings").select("vec_id", digits(by_frame("embedding")).alias("by_frame"), digits(by_band("embedding")).alias("by_band"))
 
 
@@ -155,7 +156,7 @@ def clip_values(spark, sf_dir):
     """Standardised features of a clip of 80 samples: nine frames, then 503 of the clip's least value."""
     features = S.array_udf(lambda x: S.clip_features(x, 1000, 0.08, **_SHORT))
     x = table(spark, sf_dir, "embeddings").select("vec_id", features("embedding").alias("f"))
-    digits = lambda c: F.round(c.cast("double"), 4)
+    digits = lambda c: rounded(c.cast("double"), 4)
     rest = F.slice("f", 37, 512 * 4 - 36)
     return x.select("vec_id", F.size("f").alias("n"), F.transform(F.slice("f", 1, 36), digits).alias("head"), digits(F.element_at("f", -1)).alias("filled"), ((F.array_min(rest) == F.array_max(rest)) & (F.array_max(rest) == F.array_min("f"))).alias("all_filled"))
 
@@ -178,7 +179,7 @@ def filtered_bands(spark, sf_dir):
     """Times and mel bands of a vector's active patches: against direct Fourier sums, forward and back."""
     active = F.array(*((F.col("vec_id") + p) % 7 == 0 for p in range(16)))
     kept = S.array_udf(lambda x, on: S.filter_audio(x, on, True, _GRID))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(kept("embedding", active), lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("kept"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(kept("embedding", active), lambda x: rounded(x.cast("double"), 5) + F.lit(0.0)).alias("kept"))
 
 
 # -- logs, histories, summaries ------------------------------------------------------------------

@@ -63,7 +63,7 @@ def filter_time(spark, sf_dir):
 @query("SELECT vec_id, list_transform(range(16), lambda i: round((embedding[4 * i + 1]::DOUBLE + embedding[4 * i + 2]::DOUBLE + embedding[4 * i + 3]::DOUBLE + embedding[4 * i + 4]::DOUBLE) / 4, 6)) AS mono FROM embeddings")
 def mono_mix(spark, sf_dir):
     m = A.mono(F.transform("embedding", lambda x: x.cast("double")), F.lit(4))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(m, lambda x: F.round(x, 6)).alias("mono"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(m, lambda x: A.rounded(x, 6)).alias("mono"))
 
 
 @query("SELECT vec_id, list_transform(range(8), lambda i: embedding[8 * i + 1 : 8 * i + 8]) AS f FROM embeddings")
@@ -74,7 +74,7 @@ def framing(spark, sf_dir):
 @query("""SELECT p_partkey, round(1127 * ln(1 + p_retailprice::DOUBLE * 10 / 700), 6) AS natural, round(2595 * log10(1 + p_retailprice::DOUBLE * 10 / 700), 6) AS decimal FROM part""")
 def mel_scale(spark, sf_dir):
     hz = F.col("p_retailprice").cast("double") * 10
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(A.mel(hz), 6).alias("natural"), F.round(A.mel(hz, False), 6).alias("decimal"))
+    return table(spark, sf_dir, "part").select("p_partkey", A.rounded(A.mel(hz), 6).alias("natural"), A.rounded(A.mel(hz, False), 6).alias("decimal"))
 
 
 def tones(spark, sf_dir):
@@ -140,7 +140,7 @@ for _source, _target in ((16000, 22050), (44100, 32003)):
     @query(_resampled(_source, _target), f"resample_{_source}_{_target}")
     def _resample(spark, sf_dir, source=_source, target=_target):
         exact = S.array_udf(lambda x: S.resample(x, source, target), "double")
-        return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(exact("embedding"), lambda y: F.round(y, 7) + F.lit(0.0)).alias("y"))
+        return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(exact("embedding"), lambda y: A.rounded(y, 7) + F.lit(0.0)).alias("y"))
 
 
 @query("SELECT vec_id, CAST(floor(64 * (vec_id % 10) / 10.0) AS BIGINT) AS masked FROM embeddings")
@@ -197,7 +197,7 @@ _IMAGE = "list(round(x, 5) + 0.0 ORDER BY r, c) AS v"
 
 def _augmented(spark, sf_dir, *steps):
     out = G.augmented(list(steps), 8, 8, "double")("embedding", F.lit(0))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(out, lambda x: F.round(x, 5) + F.lit(0.0)).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(out, lambda x: A.rounded(x, 5) + F.lit(0.0)).alias("v"))
 
 
 @query(f"""WITH {_PIXELS}, m AS (SELECT vec_id, avg(x * 1.3::DOUBLE) AS m FROM v GROUP BY vec_id), a AS (SELECT vec_id, r, c, (x * 1.3::DOUBLE - m) * 0.6::DOUBLE + m AS x FROM v JOIN m USING (vec_id))
@@ -268,14 +268,14 @@ def exact_mask(spark, sf_dir):
 @query("SELECT vec_id, list_transform(range(8), lambda k: round(list_avg(list_transform(range(8), lambda t: embedding[t * 8 + k + 1]::DOUBLE)), 6)) AS pooled FROM embeddings")
 def mean_pool(spark, sf_dir):
     tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, 8), lambda x: x.cast("double")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.mean_pool(tokens, 8), lambda x: F.round(x, 6)).alias("pooled"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.mean_pool(tokens, 8), lambda x: A.rounded(x, 6)).alias("pooled"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 255) AS BIGINT) % 256) AS c FROM embeddings)
 SELECT vec_id, list_transform(range(21), lambda i: round(((0.299::DOUBLE * c[3 * i + 1] + 0.587::DOUBLE * c[3 * i + 2] + 0.114::DOUBLE * c[3 * i + 3]) / 255 - 0.4914::DOUBLE) / 0.2470::DOUBLE, 6)) AS grey FROM e""")
 def gray_values(spark, sf_dir):
     colours = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255) % 256)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.gray(colours), lambda x: F.round(x, 6)).alias("grey"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.gray(colours), lambda x: A.rounded(x, 6)).alias("grey"))
 
 
 @query("""WITH v AS (SELECT vec_id, (i - 1) // 8 AS p, (i - 1) % 8 AS j, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
@@ -286,7 +286,7 @@ def masked_patch_error(spark, sf_dir):
     """Mean squared error of masked patches, predicted by the vector's own ones in reverse."""
     patches = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * 8 + 1, 8), lambda x: x.cast("double")))
     masked = F.array(*((F.col("vec_id") + k) % 3 == 0 for k in range(8)))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(A.masked_error(patches, F.reverse(patches), masked), 6).alias("error"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.rounded(A.masked_error(patches, F.reverse(patches), masked), 6).alias("error"))
 
 
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -294,7 +294,7 @@ m AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS s FROM v GROUP BY vec_id)
 SELECT vec_id, list(round((x - m) / sqrt(s + 1e-6::DOUBLE), 5) ORDER BY i) AS normal FROM v JOIN m USING (vec_id) GROUP BY vec_id""")
 def layer_norm(spark, sf_dir):
     x = F.transform("embedding", lambda v: v.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.layer_norm(x), lambda v: F.round(v, 5)).alias("normal"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.layer_norm(x), lambda v: A.rounded(v, 5)).alias("normal"))
 
 
 @query("SELECT vec_id, list_reduce(list_transform(range(8), lambda r: list_transform(range(8), lambda c: embedding[r * 8 + 8 - c])), lambda a, b: list_concat(a, b)) AS v FROM embeddings")

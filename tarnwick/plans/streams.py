@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rounded
 from ..operators import diagnostics as D
 from ..operators import ordered
 from ..scratch import folder
@@ -55,7 +56,7 @@ def stream_acf(spark, sf_dir):
     for part in (0, 1):  # two runs: the second goes on from the first one's state
         stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in/[0-{part}]")
         pairs = stateful.run_available(stateful.lagged_counts(stream), path)
-    return D.correlation_of_pairs(pairs, N).withColumn("acf", F.round("acf", 6))
+    return D.correlation_of_pairs(pairs, N).withColumn("acf", rounded("acf", 6))
 
 
 @query("""WITH b AS (SELECT DISTINCT event_id // 100 AS step, user_id AS index FROM events)

@@ -231,3 +231,19 @@ def test_crops_follow_one_law(spark):
     assert [r["index"] for r in sent] == [i for s in dict.fromkeys(r["shard"] for r in sent) for i in range(s, 200, 7)][:60]
     bad = spark.createDataFrame([(1, bytearray(b"junk")), (2, bytearray(wav(np.ones(4, np.int16)))), (3, bytearray(b""))], "index bigint, bytes binary")
     assert sorted((r["index"], r["attempt"]) for r in check_indices(bad, [1, 2], 2).collect()) == [(1, 1), (1, 2)]
+
+
+def test_rounding_keeps_the_sign_of_zero_and_takes_halves_away_from_it(spark):
+    values = [-0.04, 0.04, -0.0, -0.06, 0.25, -1.75, 2.5]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(A.rounded("v", 1)).collect()]
+    want = [-0.0, 0.0, -0.0, -0.1, 0.3, -1.8, 2.5]
+    assert got == want and [np.signbit(x) for x in got] == [np.signbit(x) for x in want]
+
+
+def test_taps_are_divided_by_a_sum_in_their_order():
+    at = np.arange(65536) - 32768.0
+    taps = S.blackman_harris(65536) ** 2 * np.sinc(at * 0.95 / 256)
+    total = 0.0
+    for x in taps.tolist():
+        total += x
+    assert S.sinc_table(22050 / 16000)[0, 127] == taps[32768] / (total / 256)
