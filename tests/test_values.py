@@ -11,6 +11,7 @@ from tarnwick.operators import diagnostics as D
 from tarnwick.operators import evaluation as E
 from tarnwick.operators import sinks
 from tarnwick.operators.loader import load_clips
+from tarnwick.plans.features import wave as tone
 
 
 @pytest.mark.parametrize("n", [0, 900, 160_000, 200_000])
@@ -89,3 +90,18 @@ def test_correlation_leaves_out_buckets_beyond_the_last(spark):
     hist = [(0, 0, 4), (0, 1, 2), (1, 0, 4), (1, 1, 2), (1, 3, 50), (2, 3, 50), (3, 4, 50)]
     got = {r["step"]: r["acf"] for r in D.lag1_correlation(spark.createDataFrame(hist, "step int, bucket bigint, n bigint"), 3).collect()}
     assert got == pytest.approx({0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0})
+
+
+def test_zeros_after_a_short_recording_are_transformed_once(monkeypatch):
+    x, seen, whole = np.random.default_rng(0).standard_normal(16000).astype(np.float32), [], S.log_mel
+    monkeypatch.setattr(S, "log_mel", lambda x, *a, **k: seen.append(len(x)) or whole(x, *a, **k))
+    padded = np.pad(x, (0, 144_000))
+    m = whole(padded - padded.mean(dtype=np.float64), 32000)
+    want = (np.pad(m, ((0, 14), (0, 0)), constant_values=m.min()) + 7.2) / 8.86
+    assert np.allclose(S.clip_features(x), want, atol=1e-5) and seen == [50 * 320 + 800]
+
+
+def test_high_tones_err_no_more_than_low_ones():
+    low = np.sin(2 * np.pi * 220 * np.arange(16000) / 16000) * 0.5
+    assert (tone(1.2e9 + 220, 0.5) == tone(220.0, 0.5)).all() and np.allclose(tone(220.0, 0.5), low, atol=1e-7)  # a multiple of the rate more
+    assert np.allclose(tone(220.5, 0.5), np.sin(2 * np.pi * 220.5 * np.arange(16000) / 16000) * 0.5, atol=1e-7)
