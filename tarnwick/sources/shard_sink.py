@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 FOLDERS = ("split", "subset")
 #: Shards that a task writes at the same time; with more folders than these it ends the one begun first.
 MOST_OPEN = 16
+#: Files that are put in place at the same time.
+MOVERS = 16
 _AUDIO = pa.struct([("bytes", pa.binary()), ("path", pa.string())])
 
 
@@ -92,9 +95,12 @@ class ShardWriter(ds.DataSourceArrowWriter):
         old = [f.path for f in files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file and f.base_name.endswith(".arrow")]
         for path in old if self.overwrite else ():
             files.delete_file(path)
-        for at, to in (move for m in messages if m for move in m.moves):
-            files.create_dir(to.rsplit("/", 1)[0], recursive=True)
-            files.move(at, to)
+        moves = [move for m in messages if m for move in m.moves]
+        for folder in sorted({to.rsplit("/", 1)[0] for _, to in moves}):
+            files.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(MOVERS) as pool:  # a move waits for the file system, not for this process
+            for _ in pool.map(lambda move: files.move(*move), moves):
+                pass
         self._tidy(files, root)
 
     def abort(self, messages: list[ShardsWritten | None]) -> None:

@@ -1,4 +1,4 @@
-"""Recording shards in Arrow stream format, as a Spark data source for batches and streams: one partition a shard, record batches streamed.
+"""Recording shards in Arrow stream format, as a Spark data source for batches and streams: neighbouring shards share a task, record batches streamed.
 
 Shards are the files ``*.arrow`` below a folder, in order of their paths.  Folders named ``split=...`` and ``subset=...`` give these two columns.
 Filters on shard, split, subset and path drop whole shards before they are opened.  Filters on position are applied to record batches before
@@ -40,25 +40,44 @@ _COMPARE = {ds.GreaterThan: np.greater, ds.GreaterThanOrEqual: np.greater_equal,
 class ShardPartition(ds.InputPartition):
     """A shard: its number (none in a stream), place, values of its folders, and the rows before and in it, where they are known."""
 
-    def __init__(self, number: int | None, path: str, name: str, subset: str | None, split: str | None, first: int | None = None, many: int | None = None):
-        self.number, self.path, self.name, self.subset, self.split, self.first, self.many = number, path, name, subset, split, first, many
+    def __init__(self, number: int | None, path: str, name: str, subset: str | None, split: str | None, first: int | None = None, many: int | None = None, size: int = 0):
+        self.number, self.path, self.name, self.subset, self.split, self.first, self.many, self.size = number, path, name, subset, split, first, many, size
+        self.more: list[ShardPartition] = []  # what the same task reads after it
 
     def of_shard(self, column: str):
         return {"shard": self.number, "subset": self.subset, "split": self.split, "path": self.name}[column]
 
 
+#: Bytes of the shards that one task reads; each counts as so many more for being opened.
+TASK_BYTES, OPEN_BYTES = 128 << 20, 1 << 20
+
+
+def grouped(shards: list[ShardPartition], at_least: int = 16) -> list[ShardPartition]:
+    """The first shard of each task, with those next to it that the task reads too: about ``TASK_BYTES``, or less where fewer than ``at_least`` tasks would come out."""
+    most = min(TASK_BYTES, -(-sum(p.size + OPEN_BYTES for p in shards) // at_least))
+    out, held = [], 0
+    for p in shards:
+        if not out or held + p.size + OPEN_BYTES > most:
+            out.append(p)
+            held = 0
+        else:
+            out[-1].more.append(p)
+        held += p.size + OPEN_BYTES
+    return out
+
+
 def listed(uri: str) -> list[ShardPartition]:
     """All shards below ``uri``."""
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(uri)
     found = files.get_file_info(fs.FileSelector(root, recursive=True))
-    paths = sorted(f.path for f in found if f.is_file and f.base_name.endswith(".arrow") and f.base_name[0] not in "._")
+    sizes = {f.path: f.size or 0 for f in found if f.is_file and f.base_name.endswith(".arrow") and f.base_name[0] not in "._"}
     out = []
-    for k, path in enumerate(paths):
+    for k, path in enumerate(sorted(sizes)):
         name = path[len(root) :].lstrip("/")
         of = dict(part.split("=", 1) for part in name.split("/")[:-1] if "=" in part)
-        out.append(ShardPartition(k, path, name, of.get("subset"), of.get("split")))
+        out.append(ShardPartition(k, path, name, of.get("subset"), of.get("split"), size=sizes[path]))
     return out
 
 
@@ -176,11 +195,16 @@ class _Options:
         self.filters: list[ds.Filter] = [_FILTERS[sign](column, value) for column, sign, value in json.loads(options.get("where", "[]"))]
 
     def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
-        return batches(partition, self.path, self.label, self.audio, self.bad, self.filters, self.pushed)
+        for shard in (partition, *partition.more):
+            yield from batches(shard, self.path, self.label, self.audio, self.bad, self.filters, self.pushed)
 
 
 class ShardReader(_Options, ds.DataSourceReader):
     def partitions(self) -> list[ds.InputPartition]:
+        return grouped(self.wanted())
+
+    def wanted(self) -> list[ShardPartition]:
+        """The shards in which a row may pass."""
         out = []
         for p in listed(self.path):
             p.first, p.many = self.first.get(p.name, (None, None))
@@ -220,7 +244,7 @@ class ShardStreamReader(_Options, ds.DataSourceStreamReader):
         out = [p for p in listed(self.path) if p.name in wanted and p.name not in seen]
         for p in out:
             p.number = None
-        return out
+        return grouped(out)
 
     def commit(self, end: dict) -> None:
         pass

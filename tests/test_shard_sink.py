@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.sources import shards
 from tarnwick.sources.shard_sink import write_shards
 from tarnwick.sources.shards import read_shards
 
@@ -47,3 +48,13 @@ def test_a_failed_write_leaves_no_shard(spark, tmp_path):
 def test_missing_columns(spark, tmp_path):
     with pytest.raises(Exception, match="shards need the columns"):
         rows(spark).drop("audio").select("label").write.format("shards").mode("append").save(f"file://{tmp_path}/s")
+
+
+def test_many_small_shards_share_tasks(spark, tmp_path):
+    rows = spark.range(3000).select(F.struct(F.encode(F.col("id").cast("string"), "utf-8").alias("bytes"), F.lit("a").alias("path")).alias("audio"), F.col("id").alias("label")).repartitionByRange(4, "label").sortWithinPartitions("label")
+    uri = f"file://{tmp_path}/s"
+    write_shards(rows, uri, shard_rows=10)
+    out = shards.read_shards(spark, uri, exclude=(7,))
+    assert len(shards.listed(uri)) >= 300 and out.rdd.getNumPartitions() < 40
+    got = out.select("index", "label", "position", "shard").orderBy("index").collect()
+    assert [r["label"] for r in got] == [r["index"] for r in got] == [k for k in range(3000) if k != 7] and len({r["shard"] for r in got}) == len(shards.listed(uri))
