@@ -97,15 +97,19 @@ def ema(history: DataFrame, alpha: float, keys: tuple[str, ...] = ("run",), orde
         F.max_by("__own", ordered.AT).alias("end"), F.count("*").alias("size"), F.min_by(value, ordered.AT).cast("double").alias("first")
     )
 
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ordered.BLOCK, ignore_index=True)
-        carry, now = [], part["first"].iloc[0]
-        for end, size in zip(part["end"], part["size"], strict=True):
-            carry.append(now)
-            now = end + (1 - alpha) ** size * now
-        return part.assign(carry=carry).drop(columns=["end", "size", "first"])
-
-    carried = ends.groupBy(*keys).applyInPandas(chain, _schema(ends, "carry double", ("end", "size", "first")))
+    def chain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = 0.0
+        for part in parts:
+            carry = []
+            for block_no, end, size, first in zip(*(part[c].tolist() for c in (ordered.BLOCK, "end", "size", "first")), strict=True):
+                now = first if block_no == 0 else now  # the first block of a run
+                carry.append(now)
+                now = end + (1 - alpha) ** size * now
+            yield part.assign(carry=carry).drop(columns=["end", "size", "first"])
+
+    # a stream over sorted partitions: many short runs need no group each
+    sorted_ends = ends.repartition(*keys).sortWithinPartitions(*keys, ordered.BLOCK)
+    carried = sorted_ends.mapInPandas(chain, _schema(ends, "carry double", ("end", "size", "first")))
     both = ordered.joined(smoothed, carried, (*keys, ordered.BLOCK))
     power = F.pow(F.lit(1 - alpha), F.col(ordered.AT) % block + 1)
     return both.withColumn("ema", F.col("__own") + power * F.col("carry")).drop(ordered.AT, ordered.BLOCK, ordered.HOME, "__own", "carry")

@@ -92,3 +92,15 @@ def test_batches_in_many_ranges(spark):
     got = S.assign_batches(rows, 10, ("k", "id"), range_rows=100).collect()
     order = [r["id"] for r in sorted(got, key=lambda r: (r["batch_id"], r["slot"]))]
     assert order == sorted(range(1003), key=lambda i: (i * 37 % 11, i))
+
+
+def test_smoothing_of_many_short_runs_makes_no_group_each(spark):
+    from tarnwick.operators import timeseries as T
+
+    rows = spark.range(4000).selectExpr("id div 4 AS run", "id % 4 AS step", "id AS ts", "cast(id % 7 AS double) AS loss")
+    out = T.ema(rows, 0.25, block=2)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got, now = {(r["run"], r["step"]): r["ema"] for r in out.collect()}, 0.0
+    for k in range(4000):
+        now = k % 7 if k % 4 == 0 else 0.25 * (k % 7) + 0.75 * now
+        assert abs(got[k // 4, k % 4] - now) < 1e-12
