@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .attention import SIZE, WINDOW, Adam, Vocabulary, fresh, score_stream, views
 from .storage import materialise
 from .subwords import Encoder
-from .textbuf import LOWER, binary, blocks, distinct, flat, hashes, mix, ragged, words
+from .textbuf import LOWER, binary, blocks, distinct, flat, mix, ragged, words
 
 START_ID, END_ID, IDS = 49406, 49407, 49408
 ROUNDS, BATCH, RATE = 4, 64, 0.02
@@ -52,56 +52,56 @@ def _rows(kind: int, many: int, /, **columns: pa.Array) -> pa.RecordBatch:
 
 
 class _Block:
-    """Texts as hashed words, until they are numbered."""
+    """Texts as numbers of the words of their part of a block, until the block's own numbers are known.
+
+    A part keeps each different word once, so a block holds neither its texts nor its words one by one.
+    """
 
     def __init__(self):
         self.size = 0
-        self.raw, self.start, self.end, self.hash, self.many = [], [], [], [], []
-        self.texts: list[pa.RecordBatch] = []
+        self.raw, self.long, self.times, self.learned = [], [], [], []  # of each part's different words: bytes, lengths, counts, counts in training texts
+        self.parts: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
 
     def add(self, texts: pa.RecordBatch, raw: np.ndarray, off: np.ndarray) -> None:
         low = LOWER[raw]
         start, end, first = words(low, off)
-        self.raw.append(low)
-        self.start.append((start + self.size).astype(np.int32))
-        self.end.append((end + self.size).astype(np.int32))
-        self.hash.append(hashes(low, start, end))
-        self.many.append(np.diff(first))
-        self.texts.append(texts)
+        one, number, times = distinct(low, start, end)
+        many, learn = np.diff(first), texts["learn"].to_numpy(zero_copy_only=False)
+        start, long = start[one], (end - start)[one]
+        self.raw.append(low[ragged(start, long)])
+        self.long.append(long)
+        self.times.append(times)
+        self.learned.append(np.bincount(number[np.repeat(learn, many)], minlength=len(one)))
+        self.parts.append((texts.select(["doc_id", "held_out", "learn"]), number.astype(np.int32), many))
         self.size += len(low)
 
     def close(self, number: int) -> Iterator[pa.RecordBatch]:
-        if not self.texts:
+        if not self.parts:
             return
-        texts = pa.Table.from_batches(self.texts).combine_chunks()
-        many = np.concatenate(self.many)
-        h = np.concatenate(self.hash)
-        self.hash.clear()
-        start, end = np.concatenate(self.start).astype(np.int64), np.concatenate(self.end).astype(np.int64)
-        self.start.clear()
-        self.end.clear()
-        raw = np.concatenate(self.raw)
+        raw, long = np.concatenate(self.raw), np.concatenate(self.long)
         self.raw.clear()
-        one, of, times = distinct(raw, start, end, h=h)
-        del h
+        end = np.cumsum(long)
+        start = end - long
+        one, of, _ = distinct(raw, start, end)
+        times, learned = (np.bincount(of, np.concatenate(x), len(one)).astype(np.int64) for x in (self.times, self.learned))
         rank = np.argsort(-times, kind="stable")  # the commonest word gets the least number
         place = np.empty(len(rank), "<u4")
         place[rank] = np.arange(len(rank))
-        numbers, one = place[of], one[rank]
-        del of
-        start, end = start[one], end[one]
-        learn = texts["learn"].combine_chunks().to_numpy(zero_copy_only=False)
-        counts = np.bincount(numbers[np.repeat(learn, many)], minlength=len(one))
-        first = np.concatenate([[0], np.cumsum(many)])
-        for at in range(0, len(many), 1024):
-            n = min(1024, len(many) - at)
-            part = texts.slice(at, n)
-            spelled = [numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(first[at : at + n].tolist(), first[at + 1 : at + n + 1].tolist(), strict=True)]
-            yield _rows(TEXT, n, block=pa.array(np.full(n, number)), n=pa.array(many[at : at + n]), numbers=pa.array(spelled, pa.binary()), **{c: part[c].combine_chunks() for c in ("doc_id", "held_out", "learn")})
+        place, one, counts = place[of], one[rank], learned[rank]  # the first: by a word's number in its part
+        start, long = start[one], long[one]
+        done = 0
+        for k, (texts, numbers, many) in enumerate(self.parts):
+            numbers = place[done + numbers]
+            done += len(self.long[k])
+            first = np.concatenate([[0], np.cumsum(many)])
+            for at in range(0, len(many), 1024):
+                n = min(1024, len(many) - at)
+                part = texts.slice(at, n)
+                spelled = [numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(first[at : at + n].tolist(), first[at + 1 : at + n + 1].tolist(), strict=True)]
+                yield _rows(TEXT, n, block=pa.array(np.full(n, number)), n=pa.array(many[at : at + n]), numbers=pa.array(spelled, pa.binary()), **{c: part[c] for c in ("doc_id", "held_out", "learn")})
         for at in range(0, len(one), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            size = end[part] - start[part]
-            word = binary(raw[ragged(start[part], size)], np.concatenate([[0], np.cumsum(size)]))
+            size = long[at : at + (1 << 16)]
+            word = binary(raw[ragged(start[at : at + (1 << 16)], size)], np.concatenate([[0], np.cumsum(size)]))
             n = len(size)
             yield _rows(WORD, n, block=pa.array(np.full(n, number)), number=pa.array(np.arange(at, at + n)), n=pa.array(counts[at : at + n]), word=word)
 
