@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,8 +116,15 @@ def augmented(steps: list[Step], height: int, width: int, kind: str = "float") -
     """A column function of (flat row-major array, whole-number seed), giving arrays of ``kind``."""
     number = {"float": np.float32, "double": np.float64}[kind]
 
-    @F.pandas_udf(f"array<{kind}>")
-    def run(values: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else apply_steps(np.asarray(v, float).reshape(height, width), steps, int(s)).astype(number).ravel() for v, s in zip(values, seeds, strict=True)])
+    @F.arrow_udf(f"array<{kind}>")
+    def run(values: pa.Array, seeds: pa.Array) -> pa.Array:
+        flat, off, none = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy(), values.is_null().to_numpy(zero_copy_only=False)
+        out = [np.empty(0, number)]  # rows lie in one buffer, without an object for each value that goes in
+        ends = np.zeros(len(values) + 1, np.int32)
+        for i, seed in enumerate(seeds.to_pylist()):
+            if not none[i]:
+                out.append(apply_steps(np.asarray(flat[off[i] : off[i + 1]], float).reshape(height, width), steps, seed).astype(number).ravel())
+                ends[i + 1] = len(out[-1])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(np.concatenate(out)), mask=pa.array(none))
 
     return run

@@ -195,7 +195,7 @@ def augment_sizes(spark, sf_dir):
     one = {k: F.size(G.augmented([v], 8, 8)("embedding", seed(k))) for k, v in _AUGMENTS.items()}
     one["all"] = F.size(G.augmented(list(_AUGMENTS.values()), 8, 8)("embedding", seed("all")))
     wide = e.select("vec_id", F.array(*(F.struct(F.lit(k).alias("name"), v.alias("n")) for k, v in one.items())).alias("x"))
-    return wide.select("vec_id", F.inline("x"))
+    return wide.select("vec_id", F.inline_outer("x"))  # inline brings a filter for empty arrays, which would call all functions again
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > 0.1::DOUBLE THEN (1 - x::DOUBLE)::FLOAT ELSE x END) AS v FROM embeddings")
