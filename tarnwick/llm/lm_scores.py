@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import SIZE, WINDOW, Adam, Vocabulary, fresh, score_stream, views
+from .attention import SIZE, WINDOW, Adam, Vocabulary, fresh, keep_memory, score_stream, views
 from .storage import materialise
 from .subwords import Encoder
-from .textbuf import LOWER, binary, blocks, distinct, flat, mix, ragged, words
+from .textbuf import LOWER, SPACE, binary, blocks, flat, mix, ragged, words
 
 START_ID, END_ID, IDS = 49406, 49407, 49408
 ROUNDS, BATCH, RATE = 4, 64, 0.02
@@ -51,6 +51,13 @@ def _rows(kind: int, many: int, /, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(many, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
+def _kinds(raw: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words that stand in ``raw`` without a gap: the bytes and lengths of the different ones, and the number of each word among these."""
+    found = binary(raw, np.concatenate([[0], np.cumsum(long)])).dictionary_encode()
+    raw, off = flat(found.dictionary, "u1")
+    return raw, np.diff(off), found.indices.to_numpy()
+
+
 class _Block:
     """Texts as numbers of the words of their part of a block, until the block's own numbers are known.
 
@@ -65,30 +72,27 @@ class _Block:
     def add(self, texts: pa.RecordBatch, raw: np.ndarray, off: np.ndarray) -> None:
         low = LOWER[raw]
         start, end, first = words(low, off)
-        one, number, times = distinct(low, start, end)
+        long = end - start
+        kinds, long, number = _kinds(low[~SPACE[low]], long)
         many, learn = np.diff(first), texts["learn"].to_numpy(zero_copy_only=False)
-        start, long = start[one], (end - start)[one]
-        self.raw.append(low[ragged(start, long)])
+        self.raw.append(kinds)
         self.long.append(long)
-        self.times.append(times)
-        self.learned.append(np.bincount(number[np.repeat(learn, many)], minlength=len(one)))
-        self.parts.append((texts.select(["doc_id", "held_out", "learn"]), number.astype(np.int32), many))
+        self.times.append(np.bincount(number, minlength=len(long)))
+        self.learned.append(np.bincount(number[np.repeat(learn, many)], minlength=len(long)))
+        self.parts.append((texts.select(["doc_id", "held_out", "learn"]), number, many))
         self.size += len(low)
 
     def close(self, number: int) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        raw, long = np.concatenate(self.raw), np.concatenate(self.long)
+        raw, long, of = _kinds(np.concatenate(self.raw), np.concatenate(self.long))
         self.raw.clear()
-        end = np.cumsum(long)
-        start = end - long
-        one, of, _ = distinct(raw, start, end)
-        times, learned = (np.bincount(of, np.concatenate(x), len(one)).astype(np.int64) for x in (self.times, self.learned))
+        times, learned = (np.bincount(of, np.concatenate(x), len(long)).astype(np.int64) for x in (self.times, self.learned))
         rank = np.argsort(-times, kind="stable")  # the commonest word gets the least number
         place = np.empty(len(rank), "<u4")
         place[rank] = np.arange(len(rank))
-        place, one, counts = place[of], one[rank], learned[rank]  # the first: by a word's number in its part
-        start, long = start[one], long[one]
+        place, counts = place[of], learned[rank]  # the first: by a word's number in its part
+        start, long = (np.cumsum(long) - long)[rank], long[rank]
         done = 0
         for k, (texts, numbers, many) in enumerate(self.parts):
             numbers = place[done + numbers]
@@ -99,7 +103,7 @@ class _Block:
                 part = texts.slice(at, n)
                 spelled = [numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(first[at : at + n].tolist(), first[at + 1 : at + n + 1].tolist(), strict=True)]
                 yield _rows(TEXT, n, block=pa.array(np.full(n, number)), n=pa.array(many[at : at + n]), numbers=pa.array(spelled, pa.binary()), **{c: part[c] for c in ("doc_id", "held_out", "learn")})
-        for at in range(0, len(one), 1 << 16):
+        for at in range(0, len(long), 1 << 16):
             size = long[at : at + (1 << 16)]
             word = binary(raw[ragged(start[at : at + (1 << 16)], size)], np.concatenate([[0], np.cumsum(size)]))
             n = len(size)
@@ -234,6 +238,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, ids: int, worker_ids: int =
         turn, rate = done % rounds, RATE * (1 - done / (rounds * passes))
 
         def run(batches: Iterator[pa.RecordBatch], start=weights, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             adam, seen = Adam(start.copy(), rate), 0
             held: list[np.ndarray] = []
             first: list[list[np.ndarray]] = []
@@ -291,6 +296,7 @@ def model_scores(texts: DataFrame, weights: np.ndarray, vocabulary: Vocabulary)
     keep = [c for c in texts.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         w = views(weights)
         for batch in batches:
             for at in range(0, len(batch), 128):
