@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -79,56 +80,63 @@ def mel_scale(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", A.rounded(A.mel(hz), 6).alias("natural"), A.rounded(A.mel(hz, False), 6).alias("decimal"))
 
 
+#: Samples of a wave, one second.
+TONE_RATE = 16000
+
+
 def tones(spark, sf_dir):
-    """(event_id, hz, strength) of every event: what :func:`wave` makes a sine of one second of."""
-    # rows are small and waves are long: a small file's rows are spread before they grow
-    e = table(spark, sf_dir, "events").select("event_id", "value").repartition(4 * spark.sparkContext.defaultParallelism)
-    return e.select("event_id", (200 + F.col("event_id") * 20).cast("double").alias("hz"), ((1 + F.col("value") % 5) / 8).cast("double").alias("strength"))
+    """(event_id, hz, strength) of every event: what :func:`wave` makes a sine of one second of.  Whole tones a rate apart are the same samples, so ``hz`` lies below the rate."""
+    hz = F.pmod((200 + F.col("event_id") * 20).cast("double"), F.lit(float(TONE_RATE)))
+    return table(spark, sf_dir, "events").select("event_id", hz.alias("hz"), ((1 + F.col("value") % 5) / 8).cast("double").alias("strength"))
 
 
 @lru_cache(4)
 def _sines(rate: int) -> np.ndarray:
-    """Two rounds of a sine of ``rate`` places."""
-    return np.tile(np.sin(2 * np.pi * np.arange(rate) / rate), 2)
+    """A round of a sine of ``rate`` places."""
+    return np.sin(2 * np.pi * np.arange(rate) / rate)
 
 
-def wave(hz: float, strength: float, rate: int = 16000) -> np.ndarray:
-    """One second of a sine.  Of whole ``hz``, its places in the round are exact and tabled, so that a high tone costs and errs no more than a low one."""
-    if hz % 1 == 0 and rate % 128 == 0:
+def wave(hz: float, strength: float, rate: int = TONE_RATE) -> np.ndarray:
+    """One second of a sine.  Of whole ``hz``, its places in the round are exact and tabled, so that a high tone costs and errs no more than a low one; they come again and again."""
+    if hz % 1 == 0:
         step = int(hz) % rate
-        place = (step * 128 * np.arange(rate // 128) % rate)[:, None] + step * np.arange(128) % rate
-        return (_sines(rate)[place.ravel()] * strength).astype(np.float32)
+        some = rate // math.gcd(step, rate)
+        return np.tile((_sines(rate)[step * np.arange(some) % rate] * strength).astype(np.float32), rate // some)
     return (np.sin(2 * np.pi * hz * np.arange(rate) / rate) * strength).astype(np.float32)
 
 
-def of_tones(f, kind: str):
-    """A column of what ``f`` gives for the wave of each (hz, strength); waves are made where they are used, one at a time."""
+def of_tones(events, f, kind: str):
+    """(event_id, m) of every row of ``events`` (see :func:`tones`): m is what ``f`` gives for its wave.
+
+    Rows of one hz and strength have the same wave, so each different one is made once, where it is used and one at a time, and m is joined to all its rows.
+    """
 
     @F.pandas_udf(kind)
     def run(hz: pd.Series, strength: pd.Series) -> pd.Series:
         out = [f(wave(*x)) for x in zip(hz, strength, strict=True)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in kind.split(", ")]) if "," in kind else pd.Series(out)
 
-    return run("hz", "strength")
+    # rows are small and waves are long: what is a small table is spread before it grows
+    different = events.select(F.col("hz").alias("of_hz"), F.col("strength").alias("of_strength")).distinct().repartition(4 * events.sparkSession.sparkContext.defaultParallelism)
+    made = different.select("of_hz", "of_strength", run("of_hz", "of_strength").alias("m"))
+    same = F.col("hz").eqNullSafe(F.col("of_hz")) & F.col("strength").eqNullSafe(F.col("of_strength"))
+    return events.join(made, same, "left").select("event_id", "m")
 
 
 @query()
 def fbank_stats(spark, sf_dir):
-    def stats(x):
-        m = S.log_mel(x, 16000, n_mels=64)
-        return m.size, m.max(), m.min()
-
-    return tones(spark, sf_dir).select("event_id", of_tones(stats, "n int, top float, low float").alias("m")).select("event_id", "m.*")
+    stats = of_tones(tones(spark, sf_dir), lambda x: S.log_mel_range(x, TONE_RATE, n_mels=64), "n int, top float, low float")
+    return stats.select("event_id", "m.*")
 
 
 @query("SELECT event_id, 512 * 128 AS n FROM events")
 def clip_feature_size(spark, sf_dir):
-    return tones(spark, sf_dir).select("event_id", of_tones(lambda x: S.clip_features(x, 32000).size, "int").alias("n"))
+    return of_tones(tones(spark, sf_dir), lambda x: S.clip_features(x, 32000).size, "int").withColumnRenamed("m", "n")
 
 
 @query("SELECT event_id, 22050 AS n FROM events")
 def resample_len(spark, sf_dir):
-    return tones(spark, sf_dir).select("event_id", of_tones(lambda x: len(S.resample(x, 16000, 22050)), "int").alias("n"))
+    return of_tones(tones(spark, sf_dir), lambda x: len(S.resample(x, TONE_RATE, 22050)), "int").withColumnRenamed("m", "n")
 
 
 _PLACE = "(256 * (j - CAST(floor(t) AS BIGINT) + 127 + 1) - ({p}))"

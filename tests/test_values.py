@@ -11,6 +11,7 @@ from tarnwick.operators import diagnostics as D
 from tarnwick.operators import evaluation as E
 from tarnwick.operators import sinks
 from tarnwick.operators.loader import load_clips
+from tarnwick.plans import features as P
 from tarnwick.plans.features import wave as tone
 
 
@@ -105,3 +106,39 @@ def test_high_tones_err_no_more_than_low_ones():
     low = np.sin(2 * np.pi * 220 * np.arange(16000) / 16000) * 0.5
     assert (tone(1.2e9 + 220, 0.5) == tone(220.0, 0.5)).all() and np.allclose(tone(220.0, 0.5), low, atol=1e-7)  # a multiple of the rate more
     assert np.allclose(tone(220.5, 0.5), np.sin(2 * np.pi * 220.5 * np.arange(16000) / 16000) * 0.5, atol=1e-7)
+
+
+def test_equal_tones_are_transformed_once_and_given_to_all_their_events(spark, tmp_path):
+    rows = [(i, float(v)) for i in (0, 1, 800, 801, 1600, -800, 10**15) for v in (2, 7, 3.5)] + [(0, None), (800, None), (5, float("nan"))]
+    spark.createDataFrame(rows, "event_id bigint, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    calls = spark.sparkContext.accumulator(0)
+
+    def stats(x):
+        calls.add(1)
+        return S.log_mel_range(x, 16000, n_mels=64)
+
+    got = P.of_tones(P.tones(spark, str(tmp_path)), stats, "n int, top float, low float").select("event_id", "m.*").collect()
+    want = []
+    for i, v in rows:
+        m = S.log_mel(tone(200.0 + 20 * i, np.nan if v is None else (1 + v % 5) / 8), 16000, n_mels=64)
+        want.append((i, m.size, *(None if np.isnan(x) else float(x) for x in (m.max(), m.min()))))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and calls.value == 2 * 2 + 2  # two places and strengths, one without a value and one without a number
+    assert sorted(r["event_id"] for r in P.fbank_stats(spark, str(tmp_path)).collect()) == sorted(i for i, _ in rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"energy": True}, {"energy": True, "raw_energy": False, "energy_last": True}, {"remove_mean": False}, {"dither": 0.1, "seed": 5}])
+def test_long_recordings_are_transformed_block_by_block(monkeypatch, options):
+    x, seen, rfft = np.random.default_rng(1).standard_normal(16000 * 3) + 0.5, [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda f, *a, **k: seen.append(len(f)) or rfft(f, *a, **k))
+    got = S.log_mel(x, 16000, n_mels=40, **options)
+    assert max(seen) <= 128 and sum(seen) == len(got) == 298
+    f = np.stack([x[160 * t : 160 * t + 400] for t in range(298)]) + options.get("dither", 0) * np.random.default_rng(5).standard_normal((298, 400))
+    f -= f.mean(axis=1, keepdims=True) if options.get("remove_mean", True) else 0
+    loud = (f * f).sum(axis=1)
+    f = (f - 0.97 * np.column_stack([f[:, 0], f[:, :-1]])) * np.hanning(400)
+    loud = loud if options.get("raw_energy", True) else (f * f).sum(axis=1)
+    want = np.log(np.maximum(np.abs(rfft(f, 512, axis=1)) ** 2 @ S.mel_filters(512, 16000, 40).T, np.finfo(np.float32).eps))
+    if options.get("energy"):
+        want = np.column_stack([want, np.log(loud)] if options.get("energy_last") else [np.log(loud), want])
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-5)
