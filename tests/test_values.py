@@ -1,5 +1,7 @@
 """Values that queries give only as sizes or laws, and rarely met cases."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,22 @@ def test_long_recordings_are_transformed_block_by_block(monkeypatch, options):
     if options.get("energy"):
         want = np.column_stack([want, np.log(loud)] if options.get("energy_last") else [np.log(loud), want])
     assert got.shape == want.shape and np.allclose(got, want, atol=1e-5)
+
+
+def test_a_clip_takes_little_more_memory_than_its_features():
+    x = np.random.default_rng(2).standard_normal(16000).astype(np.float32)
+    S.clip_features(x)  # what is kept for the next one
+    tracemalloc.start()
+    out = S.clip_features(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.shape == (512, 128) and out.dtype == np.float32 and (out[51:498] == out[50]).all() and (out[498:] == out.min()).all()
+    assert most < 3 * out.nbytes
+
+
+@pytest.mark.parametrize(("rate", "seconds", "n"), [(32000, 5.0, 0), (32000, 5.0, 300), (32000, 5.0, 159_900), (32000, 0.02, 100), (1000, 8.0, 2000), (16000, 7.0, 1000)])
+def test_clips_of_any_length_are_filled_up_alike(rate, seconds, n):
+    x, size = np.random.default_rng(n).standard_normal(n).astype(np.float32), int(rate * seconds)
+    m = S.log_mel(np.pad(x, (0, size - n)) - x.sum(dtype=np.float64) / size, rate)[:512]
+    want = np.pad(m, ((0, 512 - len(m)), (0, 0)), constant_values=m.min(initial=0.0))
+    assert np.allclose(S.clip_features(x, rate, seconds), (want + 7.2) / 8.86, atol=1e-5)
